@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from listingspark.llm.binrecords import token_records
+from listingspark.llm.cleaning import clean_lines
 from listingspark.llm.common import read
+from listingspark.llm.decontam import find_leaks
+from listingspark.llm.mixing import mix_to_weights
 from listingspark.llm.neardup import near_duplicates
+from listingspark.llm.secretscan import joined, scan_secrets
+from listingspark.llm.warc import archive_pages
+
+#: The vocabulary of op8; any file of the tokenizers library serves.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,9 +29,182 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern and model findings in every document."""
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+    spans = F.array_sort(F.concat("base_spans", "random_spans"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by the weights 5, 2, 1 over all documents, three copies at most."""
+    mixed = mix_to_weights(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    cleaned = clean_lines(read(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a record of token ids, read back from the files."""
+    return token_records(read(spark, sf_dir, "documents"), vocabulary_path(), end_id=1)
+
+
+def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an archive record, read back from the archives."""
+    return archive_pages(read(spark, sf_dir, "pages")).drop("url")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks a benchmark item."""
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op3_minhash_near_dedup": op3_minhash_near_dedup}
+    found = [
+        op3_minhash_near_dedup,
+        op4_secret_scan,
+        op6_mix_sources,
+        op7_line_cleaning,
+        op8_token_records,
+        op9_warc_archives,
+        op10_decontaminate,
+    ]
+    return {f.__name__: f for f in found}
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select distinct doc_id, case when len(w) < 3 then w else w[i:i+2] end as s
+  from words, lateral (select unnest(range(1, greatest(len(w) - 1, 2))) as i)
+  where len(w) > 0
+), sizes as (select doc_id, count(*) as n from sets group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id
+  join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n
+  having 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach as (
+  select doc_id as root, doc_id as node from documents
+  union
+  select r.root, l.b from reach r join links l on l.a = r.node
+), lowest as (select node, min(root) as component_id from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join sizes using (doc_id) join lowest on node = d.doc_id
+"""
+
+OP6_SQL = rf"""
+with sized as (
+  select doc_id, source, len({WORDS}) as size,
+    ('0x' || substr(md5(concat(coalesce(cast(doc_id as varchar), ''), '|', coalesce(text, ''))), 1, 15))::bigint as hash
+  from documents
+), totals as (select source, cast(sum(size) as bigint) as source_size from sized group by source),
+ranked as (
+  select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, 3 * source_size as cap from totals
+), levels as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
+  from ranked
+), chosen as (
+  select coalesce(arg_min(level, cap / weight) filter (level * weight <= cap), max(level)) as level from levels
+), targets as (
+  select source, source_size, least(cap::double, chosen.level * weight) as target from levels, chosen
+), budgets as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from targets
+), run as (
+  select s.doc_id, s.source, s.size, s.hash, b.source_size, b.target, b.whole,
+    b.target - b.whole * b.source_size as budget,
+    sum(s.size) over (partition by s.source order by s.hash range unbounded preceding) as upto,
+    sum(s.size) over (partition by s.source, s.hash) as own
+  from sized s join budgets b on s.source is not distinct from b.source
+)
+, ends as (
+  select *, min(case when upto > budget then hash end) over (partition by source) as edge from run
+)
+select doc_id, size, source_size, target,
+  cast(size * (whole + case when budget > 0 and (hash < edge or (hash = edge and own - (budget - (upto - own)) <= budget - (upto - own))) then 1 else 0 end) as bigint) as taken
+from ends
+"""
+
+OP7_SQL = r"""
+with base as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), windows as (
+  select doc_id, i, w[i:i+4] as g from base, lateral (select unnest(range(1, len(w) - 3)) as i) where len(w) >= 5
+), twins as (
+  select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from windows) where c > 1
+), covered as (
+  select doc_id, count(distinct i + k) as repeated from twins, (select unnest(range(0, 5)) as k) group by doc_id
+), firsts as (
+  select doc_id, x, min(p) as p from (select doc_id, unnest(lines) as x, generate_subscripts(lines, 1) as p from base) group by doc_id, x
+), judged as (
+  select doc_id, x,
+    length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) as solid,
+    length(x) - length(translate(x, '#*$%&|<>', '')) as symbols,
+    length(x) - length(replace(x, '!', '')) as shouted,
+    len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n,
+    len(regexp_extract_all(x, ' \| ')) as bars,
+    regexp_matches(lower(x), 'all rights reserved|cookie policy|enable javascript|licensed under|lorem ipsum|privacy policy|subscribe to our|terms of use') as furniture
+  from firsts
+), stays as (
+  select doc_id, sum(solid) as left_chars from judged
+  where not (symbols * 10 > solid or (shouted > 3 and shouted * 3 > n) or (bars > 0 and bars * 5 > n) or furniture)
+  group by doc_id
+), measured as (
+  select b.doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(repeated, 0) as n_repeat_words, coalesce(left_chars, 0) as left_chars
+  from base b left join covered c on c.doc_id = b.doc_id left join stays s on s.doc_id = b.doc_id
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 10 or n_repeat_words > 0.2 * n_words) as base_failed,
+  not (n_words < 10 or n_repeat_words > 0.2 * n_words)
+    and (case when word_chars > 0 then 1 - left_chars::double / word_chars else 0 end) <= 0.5 as kept
+from measured
+"""
+
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * g}, 10))::bigint >> {35 - 5 * k}) & 31)::int, 1)"
+    for g in range(4)
+    for k in range(8)
+)
+OP9_SQL = f"""
+with payloads as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages
+), firsts as (
+  select *, max(page_id) over (partition by h, payload_bytes) as response from payloads
+)
+select page_id, payload_bytes, {_DIGITS} as payload_digest,
+  case when page_id = response then 'response' else 'revisit' end as record_type,
+  case when page_id <> response then response end as refers_to
+from firsts
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_minhash_near_dedup": OP3_SQL,
+        "op6_mix_sources": OP6_SQL,
+        "op7_line_cleaning": OP7_SQL,
+        "op9_warc_archives": OP9_SQL,
+    }

@@ -18,6 +18,9 @@ _LOWER[65:91] += 32
 _SOLID = np.ones(256, dtype=bool)
 _SOLID[[32, 9, 10, 11, 12, 13]] = False
 
+#: Letters and digits of ASCII, and all bytes of other characters.
+_LETTERS = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U)
 _powers: dict[str, np.ndarray] = {}
@@ -54,10 +57,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def _segment(data: np.ndarray, doc_starts: np.ndarray):
+def _segment(data: np.ndarray, doc_starts: np.ndarray, kinds: np.ndarray):
     """Word starts, ends and hashes of one window; ``doc_starts`` always end a word."""
     low = _LOWER[data]
-    solid = _SOLID[data]
+    solid = kinds[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     first[doc_starts] = solid[doc_starts]
@@ -72,12 +75,14 @@ def _segment(data: np.ndarray, doc_starts: np.ndarray):
     return a, b, mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, word offsets by row (rows + 1), byte start and end of each word).
 
     Byte positions count from the start of the column's own buffer slice. Windows of
     about a megabyte bound the memory; they are cut at white space or at a row's end.
+    With ``letters`` a word is a run of ASCII letters and digits and other characters.
     """
+    kinds = _LETTERS if letters else _SOLID
     data, at = buffers(column)
     begin, stop = int(at[0]), int(at[-1])
     data = data[begin:stop]
@@ -88,16 +93,16 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         hi = min(lo + WINDOW, len(data))
         if hi < len(data):
             row = int(at[np.searchsorted(at, hi, side="right") - 1])
-            gap = np.flatnonzero(~_SOLID[data[lo:hi]])
+            gap = np.flatnonzero(~kinds[data[lo:hi]])
             cut = max(row, lo + int(gap[-1]) + 1 if len(gap) else lo)
             if cut <= lo:  # one word longer than the window: go on to its end
-                nxt = np.flatnonzero(~_SOLID[data[hi:]])
+                nxt = np.flatnonzero(~kinds[data[hi:]])
                 end = hi + int(nxt[0]) if len(nxt) else len(data)
                 row = at[(at > lo) & (at <= end)]
                 cut = int(row[0]) if len(row) else end
             hi = cut
         inside = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo
-        a, b, h = _segment(data[lo:hi], inside[inside < hi - lo])
+        a, b, h = _segment(data[lo:hi], inside[inside < hi - lo], kinds)
         hashes.append(h)
         starts.append(a + lo)
         ends.append(b + lo)
