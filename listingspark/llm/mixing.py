@@ -103,6 +103,37 @@ def thresholds(scratch: Scratch, sized: DataFrame, budgets: DataFrame) -> DataFr
     return state.select("source", (F.col("prefix") + nearer).alias("threshold"))
 
 
+def plan_mix(scratch: Scratch, sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    """(name, source_size, target, whole, threshold) of each source of ``sized``."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(totals, weights, repeats)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    targets = targets.withColumn("whole", whole.cast("long")).withColumn(
+        "budget", F.col("target") - F.col("whole") * F.col("source_size")
+    )
+    targets = scratch.table(targets, "targets")
+    limits = thresholds(scratch, sized, targets.filter("budget > 0"))
+    plan = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left")
+    return scratch.table(
+        plan.select(
+            F.col("t.source").alias("name"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")
+        ),
+        "plan",
+    )
+
+
+def _sized(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return scratch.table(
+        docs.select(
+            F.col(id_col).alias("id"),
+            F.col(source_col).alias("source"),
+            count_words(F.col(text_col)).alias("size"),
+            document_hash(id_col, text_col).alias("hash"),
+        ),
+        "sized",
+    )
+
+
 def mix_to_weights(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -125,28 +156,8 @@ def mix_to_weights(
     list of names, not data. Their budgets are broadcast if they are few.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = scratch.table(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            count_words(F.col(text_col)).alias("size"),
-            document_hash(id_col, text_col).alias("hash"),
-        ),
-        "sized",
-    )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, repeats)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = targets.withColumn("whole", whole.cast("long")).withColumn(
-        "budget", F.col("target") - F.col("whole") * F.col("source_size")
-    )
-    targets = scratch.table(targets, "targets")
-    limits = thresholds(scratch, sized, targets.filter("budget > 0"))
-    plan = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left")
-    plan = scratch.table(
-        plan.select(F.col("t.source").alias("name"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")),
-        "plan",
-    )
+    sized = _sized(scratch, docs, id_col, text_col, source_col)
+    plan = plan_mix(scratch, sized, weights, repeats)
     out = sized.join(small(plan), F.col("source").eqNullSafe(F.col("name")), "left")
     copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
     return out.select(
@@ -157,5 +168,25 @@ def mix_to_weights(
         (copies * F.col("size")).alias("taken"),
         copies.alias("copies"),
         "source",
-        "hash",
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    repeats: int = MAX_REPEATS,
+) -> DataFrame:
+    """``docs`` with each row as often as ``mix_to_weights`` takes it, from none on.
+
+    All columns pass through; the texts themselves are scanned, never shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    plan = plan_mix(scratch, _sized(scratch, docs, id_col, text_col, source_col), weights, repeats)
+    plan = plan.select(F.col("name").alias("__name"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
+    out = docs.join(small(plan), F.col(source_col).eqNullSafe(F.col("__name")), "left")
+    copies = F.col("__whole") + (document_hash(id_col, text_col) < F.col("__threshold")).cast("long")
+    out = out.withColumn("__copies", copies).filter("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)

@@ -9,9 +9,12 @@ from listingspark.llm.binrecords import token_records
 from listingspark.llm.cleaning import clean_lines
 from listingspark.llm.common import read
 from listingspark.llm.decontam import find_leaks
+from listingspark.llm.lm import score_language
 from listingspark.llm.mixing import mix_to_weights
 from listingspark.llm.neardup import near_duplicates
+from listingspark.llm.quality import score_quality
 from listingspark.llm.secretscan import joined, scan_secrets
+from listingspark.llm.toxicity import score_toxicity
 from listingspark.llm.warc import archive_pages
 
 #: The vocabulary of op8; any file of the tokenizers library serves.
@@ -24,6 +27,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of the ids is held out."""
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids is held out."""
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at 0.85, over all documents."""
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
@@ -43,6 +56,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document; a tenth of the ids is held out."""
+    return score_language(read(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by the weights 5, 2, 1 over all documents, three copies at most."""
     mixed = mix_to_weights(read(spark, sf_dir, "documents"))
@@ -74,8 +92,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = [
+        op1_quality,
+        op2_toxicity,
         op3_minhash_near_dedup,
         op4_secret_scan,
+        op5_language_model,
         op6_mix_sources,
         op7_line_cleaning,
         op8_token_records,
