@@ -4,7 +4,8 @@ Large stars hang every larger neighbour of a node on the smallest one; small sta
 so for the smaller neighbours. Both keep components and end in a forest of stars after
 a logarithmic number of rounds in practice. Each round is two aggregations with map-side
 combining and joins with the edge table itself, so no neighbour list is ever gathered.
-A union-find inside each task first shrinks the edges to a spanning forest.
+A union-find inside each task first shrinks the edges to a spanning forest; a table of
+edges under one block's bound is done with that.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from listingspark.llm.common import Scratch
 
 
+#: Edges of one block of the union-find in a task.
+BLOCK_EDGES = 500_000
+
+
 def spanning_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over blocks of edges: emits (node, root) with root < node.
 
@@ -54,7 +59,7 @@ def spanning_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         block.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
         held += batch.num_rows
-        if held >= 500_000:
+        if held >= BLOCK_EDGES:
             yield forest()
             block, held = [], 0
     if held:
@@ -91,9 +96,12 @@ def connected_components(scratch: Scratch, edges: DataFrame, label: str = "cc",
     ignored. An empty edge table gives an empty result.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    one_block = edges.count() < BLOCK_EDGES
+    if one_block:  # then the union-find of one task is all there is to do
+        pairs = pairs.coalesce(1)
     now = scratch.table(pairs.mapInArrow(spanning_forest, "u long, v long"), f"{label}_0")
     last = f"{label}_0"
-    for k in range(1, rounds + 1):
+    for k in range(1, 1 if one_block else rounds + 1):
         # done when every node has one root and no root hangs on another node
         state = now.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).collect()[0]["n"]
         if state is None or (state == 1 and not now.join(now.select(F.col("v").alias("u")), "u", "left_semi").take(1)):
@@ -104,6 +112,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, label: str = "cc",
         scratch.drop(last, *names[:3])
         now, last = after, f"{label}_{k}"
     else:
-        raise RuntimeError("components did not settle; raise rounds")
+        if not one_block:
+            raise RuntimeError("components did not settle; raise rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)

@@ -6,9 +6,13 @@ registers use one permutation rank per element, are split into bands, and meet i
 buckets of equal bands. Links are confirmed on full sets and closed to components.
 
 No bucket is expanded into all pairs. Each member is first tried against the smallest
-member of one of its buckets, which joins a group of copies in linear work; after that
-only members of one bucket that lie in *different* components are compared, until no
-bucket holds an untried pair that could still join two components.
+member of one of its buckets; then, round by round, each component that shares a bucket
+with another is tried once against the largest component of one such bucket, which joins
+a group of copies in work linear in its size. When rounds join next to nothing more, the
+pairs of one bucket that still lie in different components are tried in full, so that no
+link that banding finds is lost. Those pairs are not listed by bucket either, where copies
+that differ a little too much would meet in their square: two sets can only link if they
+share one of their rarest elements, so they meet by those.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from listingspark.llm.common import Scratch
 from listingspark.llm.components import connected_components
 
 U = np.uint64
+#: Rounds of single trials at most; what they leave is tried in full.
+ROUNDS = 12
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, sets: int, m: int) -> np.ndarray:
@@ -114,6 +120,15 @@ def _set_writer(k: int):
     return run
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each element of each set."""
+    for batch in batches:
+        found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("elements")]
+        if found:
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["id", "e"])
+
+
 def _verifier(num: int, den: int):
     """Keeps pairs with den * |A and B| >= num * |A or B|, on full sets."""
 
@@ -200,22 +215,60 @@ def near_duplicates(
     links = confirmed(first, "links_first")
     label = scratch.table(connected_components(scratch, links, "cc_first"), "label_first")
 
-    # buckets that still span components: all pairs across components, tried once
+    # members and components once more by turns, each component with one trial a round
+    for k in range(ROUNDS):
+        now = scratch.table(members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), f"placed_{k}")
+        drawn = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("id"))
+        fronts = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(drawn)["id"].alias("id"))
+        fronts = scratch.table(fronts, f"fronts_{k}")
+        hubs = fronts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c", "id")).alias("hub")).filter("parts > 1")
+        hubs = scratch.table(hubs.select("key", F.col("hub.c").alias("hub_c"), F.col("hub.id").alias("a")), f"hubs_{k}")
+        met = fronts.join(hubs, "key").filter("c <> hub_c")
+        trial = F.min(F.struct(F.xxhash64("key", F.lit(k)), F.col("a"), F.col("id").alias("b"), F.col("hub_c"), F.col("c"))).alias("t")
+        trials = scratch.table(met.groupBy("c").agg(trial).select("t.a", "t.b", "t.hub_c", "t.c"), f"trials_{k}")
+        n = trials.count()
+        if not n:
+            break
+        good = confirmed(trials.select("a", "b"), f"links_{k}")
+        joins = trials.join(good, ["a", "b"], "left_semi").select(F.col("hub_c").alias("a"), F.col("c").alias("b"))
+        joins = scratch.table(joins, f"joins_{k}")
+        won = joins.count()
+        if won:
+            # components join components; members follow
+            moved = connected_components(scratch, joins, f"cc_{k}").select(F.col("id").alias("c"), F.col("component").alias("to"))
+            labelled = now.select("id", "c").distinct().join(moved, "c", "left")
+            label = scratch.table(labelled.select("id", F.coalesce("to", "c").alias("component")), f"label_{k}")
+        scratch.drop(f"placed_{k}", f"fronts_{k}", f"hubs_{k}", f"trials_{k}", f"links_{k}", f"joins_{k}")
+        if won * 20 < n:
+            break
+
+    # buckets that still span components: what is left across components is tried in full
     now = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     now = scratch.table(now, "placed_now")
     spanning = scratch.table(
         now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), "spanning"
     )
-    now = scratch.table(now.join(spanning, "key", "left_semi"), "open")
-    left = now.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    right = now.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    pairs = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-    pairs = scratch.table(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    signs = leading.select("id", "n", "sig")
-    tried = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x")), "a").join(
-        signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y")), "b"
+    open_ids = scratch.table(now.join(spanning, "key", "left_semi").select("id", "c").distinct(), "open")
+    # sets that link share one of their rarest elements, of n the first n - ceil(p n) + 1
+    held = sets.join(open_ids, "id", "left_semi").mapInArrow(_occurrences, "id long, e long")
+    often = scratch.table(held.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    ranked = held.join(often, "e", "left").select("id", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e").alias("x"))
+    lists = ranked.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    first_ones = F.expr(f"slice(xs, 1, cast(size(xs) - ({num} * size(xs) + {den - 1}) div {den} + 1 as int))")
+    prefix = lists.select("id", F.size("xs").alias("n"), F.posexplode(first_ones).alias("i", "x")).filter("x.df > 1")
+    prefix = scratch.table(prefix.join(open_ids, "id").select("id", "n", "c", "i", F.col("x.e").alias("e")), "prefix")
+    left = prefix.select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("i").alias("ia"))
+    right = prefix.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"))
+    # and of the pair's own need, ceil(p (na + nb) / (1 + p)) common elements, none may be out of reach
+    need = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
+    pairs = left.join(right, "e").filter(f"a < b and ca <> cb and ia <= na - {need} and ib <= nb - {need}")
+    pairs = scratch.table(pairs.select("a", "b").distinct(), "pairs")
+    # of those, the ones that share a bucket
+    signs = leading.select("id", "bands", "sig")
+    tried = pairs.join(signs.select(F.col("id").alias("a"), F.col("bands").alias("ka"), F.col("sig").alias("x")), "a").join(
+        signs.select(F.col("id").alias("b"), F.col("bands").alias("kb"), F.col("sig").alias("y")), "b"
     )
-    tried = tried.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b", "x", "y")
+    tried = tried.filter(F.arrays_overlap("ka", "kb")).select("a", "b", "x", "y")
     m = bands * width
     p = num / den
     least = int(m * p - 6.5 * (m * p * (1 - p)) ** 0.5)  # six and a half deviations below the mean
@@ -225,7 +278,7 @@ def near_duplicates(
     if more.take(1):
         hung = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
         found = scratch.table(connected_components(scratch, hung.unionAll(more), "cc_more"), "label")
-    scratch.drop("shared", "members", "sets", "placed_now", "spanning", "open", "pairs", "likely", "links_first", "links_more", "leading")
+    scratch.drop("shared", "members", "sets", "placed_now", "spanning", "open", "often", "prefix", "pairs", "likely", "links_first", "links_more", "leading")
 
     # representatives that took part in a link, then every row by its set
     joined = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left")
@@ -240,3 +293,21 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group that ``near_duplicates`` finds.
+
+    The row with the smallest id stays; of rows that share it, one. Rows with a null id
+    all stay. All columns pass through.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = scratch.table(near_duplicates(docs, id_col, **options).select(F.col(id_col).alias("__id"), "kept"), "found")
+    gone = found.filter(~F.col("kept")).select("__id").distinct()
+    rest = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    twice = found.filter("kept and __id is not null").groupBy("__id").count().filter("count > 1").select("__id")
+    twice = scratch.table(twice, "twice")
+    if not twice.take(1):
+        return rest
+    single = rest.join(twice, rest[id_col] == twice["__id"], "left_anti")
+    return single.unionAll(rest.join(twice, rest[id_col] == twice["__id"], "left_semi").dropDuplicates([id_col]))
