@@ -26,6 +26,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 WORDLIKE = r"[A-Za-z][A-Za-z_-]{7,}"
 #: Documents and random strings, about, from which the models are counted.
 SAMPLE = 20_000
+#: Occurrences that each model's expectation counts as.
+PRIOR = 4.0
 
 
 def located(text: Column, pattern: str, value: int = 0) -> Column:
@@ -83,7 +85,9 @@ def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of all character pairs, as one array of SIDE * SIDE.
 
     Counts are made by Spark; what comes to the driver is at most two tables of pairs.
-    Counts are smoothed by one half of an occurrence of each next character.
+    By the weight of ``PRIOR`` occurrences a pair's share leans on what its model expects
+    anyway: of random strings any character alike, of identifiers the second character's
+    share among all. So a first character that a model never saw still tells.
     """
     codes = samples.select("label", _codes(F.col("token")).alias("codes"))
     pairs = codes.select(
@@ -99,19 +103,25 @@ def train(samples: DataFrame) -> list[float]:
             )
         ).alias("pair"),
     )
-    n = [[0.5] * (SIDE * SIDE) for _ in range(2)]
+    n = [[0] * (SIDE * SIDE) for _ in range(2)]
     for label, pair, count in pairs.groupBy("label", "pair").count().collect():
         n[label][pair] += count
-    out = []
-    for a in range(SIDE):
-        rows = [x[a * SIDE : (a + 1) * SIDE] for x in n]
-        sums = [sum(r) for r in rows]
-        out += [math.log(q / sums[1]) - math.log(p / sums[0]) for p, q in zip(*rows, strict=True)]
-    return out
+
+    def logs(counts: list[int], uniform: bool) -> list[float]:
+        overall = [1.0 if uniform else sum(counts[b::SIDE]) + 0.5 for b in range(SIDE)]
+        total = sum(overall)
+        out = []
+        for a in range(SIDE):
+            row = counts[a * SIDE : (a + 1) * SIDE]
+            out += [math.log((x + PRIOR * o / total) / (sum(row) + PRIOR)) for x, o in zip(row, overall, strict=True)]
+        return out
+
+    return [q - p for p, q in zip(logs(n[0], False), logs(n[1], True), strict=True)]
 
 
 def mean_ratio(token: Column, ratios: Column) -> Column:
     """Mean log-likelihood ratio per step of a token; 0 under two characters."""
+
     def over(codes: Column) -> Column:
         total = F.aggregate(
             F.sequence(F.lit(0), F.size(codes) - 2),
