@@ -39,7 +39,7 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None):
 
 
 def _load() -> None:
-    from listingspark.plans import queries_alerts, queries_enrich, queries_extract, queries_features, queries_report, queries_resolve, queries_score  # noqa: F401
+    from listingspark.plans import queries_alerts, queries_enrich, queries_extract, queries_features, queries_io, queries_report, queries_resolve, queries_score  # noqa: F401
 
 
 def queries() -> dict:
