@@ -18,21 +18,20 @@ DIRECTIONS = {
 }
 STATES = {"new york": "ny", "new jersey": "nj", "connecticut": "ct", "pennsylvania": "pa", "massachusetts": "ma"}
 # Property types; an exact match wins, else the first prefix in this order.
+SINGLE, CONDO, TOWN, MULTI, MOBILE = "Single Family Residential", "Condo/Co-op", "Townhouse", "Multi-Family", "Mobile/Manufactured Home"
 PROPERTY_TYPES = (
-    ("single family", "Single Family Residential"),
-    ("single-family", "Single Family Residential"),
-    ("condo", "Condo/Co-op"),
-    ("co-op", "Condo/Co-op"),
-    ("coop", "Condo/Co-op"),
-    ("townhouse", "Townhouse"),
-    ("townhome", "Townhouse"),
-    ("multi-family", "Multi-Family"),
-    ("multi family", "Multi-Family"),
-    ("land", "Land"),
-    ("mobile", "Mobile/Manufactured Home"),
-    ("manufactured", "Mobile/Manufactured Home"),
-)
-LIST_URL = r"https?://[^\s<>\"]*(?:redfin\.com|onekeymls\.com|onehome\.com|zillow\.com)[^\s<>\"]*"
+    ("single family residential", SINGLE), ("single family home", SINGLE), ("single family", SINGLE),
+    ("single-family residential", SINGLE), ("single-family home", SINGLE), ("single-family", SINGLE), ("residential", SINGLE),
+    ("condominium", CONDO), ("condo", CONDO), ("co-op", CONDO), ("co op", CONDO), ("coop", CONDO),
+    ("townhouse", TOWN), ("townhome", TOWN),
+    ("multi-family", MULTI), ("multi family", MULTI), ("multifamily", MULTI), ("two-family", MULTI), ("two family", MULTI),
+    ("colonial", SINGLE), ("ranch", SINGLE), ("cape cod", SINGLE), ("split level", SINGLE), ("split-level", SINGLE),
+    ("contemporary", SINGLE), ("victorian", SINGLE), ("tudor", SINGLE), ("farmhouse", SINGLE), ("craftsman", SINGLE),
+    ("mobile home", MOBILE), ("manufactured home", MOBILE), ("mobile-home", MOBILE), ("manufactured-home", MOBILE),
+)
+LIST_URL = r"(?i)https?://(?:www\.)?(?:redfin\.com/[A-Z]{2}/[^/]+/[^/]+/\S+|onekeymls\.com/listing/\S+|onehome\.com/\S+)"
+LOT_ACRES = r"(?i)(?<!/)([\d,.]+)\s*(?:acre|ac)s?\b"
+LOT_FEET = r"(?i)([\d,]+)\s*(?:sq\.?\s*ft|sqft|square\s+feet)\s+lot\b"
 
 
 def none_if_empty(c: Column) -> Column:
@@ -144,8 +143,7 @@ def parse_list_date_text(c: Column) -> Column:
 
 def parse_lot_acres(c: Column) -> Column:
     """Acres, not those of a fraction, else square feet of lot; 0.01 to 1000, four digits."""
-    text = F.lower(c)
-    acres = F.coalesce(extract(text, r"(?:^|[^/\d.])(\d+(?:\.\d+)?)\s*acres?\b").try_cast("double"))
-    feet = number(extract(text, r"([\d,]+)\s*(?:sq\.?\s*ft\.?|sqft|square feet)\s+lot\b")) / 43560.0
+    acres = F.regexp_replace(extract(c, LOT_ACRES), ",", "").try_cast("double")
+    feet = number(extract(c, LOT_FEET)) / 43560.0
     inside = lambda x: F.when((x >= 0.01) & (x <= 1000), x)
     return F.round(F.coalesce(inside(acres), inside(feet)), 4)

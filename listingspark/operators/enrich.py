@@ -118,7 +118,8 @@ def parcel_lot_acres(df: DataFrame, parcels: DataFrame, town_county: DataFrame)
     """
     number, street = _street(F.col("address"))
     rows = df.filter(~F.coalesce(F.lower("state").isin(*NO_PARCEL_STATES), F.lit(False)))
-    rows = rows.join(town_county.select(F.lower("town").alias("__town"), "county"), F.lower("town") == F.col("__town"), "left")
+    # the towns of a region are a fixed list
+    rows = rows.join(F.broadcast(town_county.select(F.lower("town").alias("__town"), "county")), F.lower("town") == F.col("__town"), "left")
     rows = rows.select("listing_id", F.upper("town").alias("town"), F.coalesce("county", F.lit("Westchester")).alias("county"), number.alias("number"), street.alias("street")).filter("number is not null")
     p = parcels.select("parcel_id", "county", "number", F.upper("street").alias("pstreet"), F.upper(F.coalesce("municipality", F.lit(""))).alias("muni"), F.upper(F.coalesce("city_town", F.lit(""))).alias("city"), "acres", "calc_acres")
     first = lambda c: F.substring_index(c, " ", 1)

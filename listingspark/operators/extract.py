@@ -9,16 +9,30 @@ from listingspark.functions import text as T
 
 # Patterns of the alert layouts.
 FORWARD_MARK = "---------- Forwarded message"
-PRICE = r"\$\s*([\d,]+)(?:\.\d{2})?"
-MLS = r"(?i)MLS\s*(?:#|ID|Number)?\s*:?\s*#?\s*(\d{5,})"
-BEDS = r"(?i)(\d+)\s*(?:bd|bds|beds?|bedrooms?)\b"
-BATHS = r"(?i)(\d+(?:\.\d)?)\s*(?:ba|baths?|bathrooms?)\b"
-SQFT = r"(?i)([\d,]+)\s*(?:sq\.?\s*ft|sqft|square feet)"
-CITY_LINE = r"(?m)^\s*([A-Za-z][A-Za-z .'-]*),\s*(New York|New Jersey|Connecticut|NY|NJ|CT)\s+(\d{5})"
-STREET_LINE = r"(?m)^\s*(?:\d+[.)]\s+)?(\d+[A-Za-z]?\s+[A-Za-z][A-Za-z0-9 .'-]*)\s*$"
-SLUG = r"redfin\.com/([A-Z]{2})/([^/]+)/([^/]+)/home/(\d+)"
-STATUS_LINE = r"(?im)^\s*(new listing|price drop|price decreased|price increased|back on market|coming soon|open house|pending|sold|active|contingent|under contract|closed|off market|updated mls listing)\s*:?\s*"
-JUNK = ("icon", "logo", "badge", "sprite", "avatar", "pixel", "placeholder", "spacer")
+PRICE = r"\$\s*([\d,]+(?:\.\d{2})?)"
+MLS = r"(?i)MLS\s*#?\s*(\d+)"
+BEDS = r"(?i)(\d+)\s*(?:bd|bed|bedroom)s?"
+BATHS = r"(?i)(\d+)\s*(?:ba|bath|bathroom)s?"
+SQFT = r"(?i)([\d,]+)\s*(?:sq\s*\.?\s*ft|sqft|SF)"
+ZIP = r"\b(\d{5})(?:-\d{4})?\b"
+STREET_SUFFIX = r"(?:Street|St|Avenue|Ave|Lane|Ln|Drive|Dr|Road|Rd|Court|Ct|Place|Pl|Way|Circle|Cir|Boulevard|Blvd|Terrace|Ter)"
+STREET_SIDE = r"(?:\s+(?:N|S|E|W|NE|NW|SE|SW))?"
+STREET_LINE = rf"(?im)^\s*(\d+\s+[\w\s.]+{STREET_SUFFIX}\.?{STREET_SIDE})\s*$"
+CITY_LINE = r"(?m)^\s*([A-Za-z][\w\s]*?),\s*([A-Za-z][\w\s]*?)\s+(\d{5}(?:-\d{4})?)\s*$"
+INLINE = rf"(?i)(\d+[^\n,]+{STREET_SUFFIX}\.?{STREET_SIDE})\s*,\s*([A-Za-z][^\n,]*?)\s*,\s*([A-Z]{{2}})\s+(\d{{5}}(?:-\d{{4}})?)"
+SLUG = r"(?i)redfin\.com/([A-Z]{2})/([^/]+)/([^/]+?)(?:-(\d{5}))?/home/(\d+)?"
+STATUS_LABELS = (
+    "New Listing", "Pending", "Coming Soon", "New Favorite", "Price Drop", "Price Decreased", "Price Increased", "Back on Market",
+    "Sold", "Contingent", "Under Contract", "Active", "Open House", "New Tour Insight", "Updated MLS Listing",
+)
+STATUS_LINE = r"(?im)^\s*(" + "|".join(STATUS_LABELS) + r")\s*$"
+TOUR_LINE = r"(?im)^\s*\d+\s+homes?\s+on\s+this\s+tour\s*$"
+PAGE_JUNK = (
+    "icon", "logo", "avatar", "sprite", "placeholder", "1x1", "pixel", "spacer", "blank", "badge", "flag", "footer", "app-download", "equal-housing",
+)
+SCORING_JUNK = (
+    "badge", "flag", "footer", "app-download", "equal-housing", "1x1", "spacer", "system_files", "150x150", "120x120", "maphomecard", "genmap", "genbcs",
+)
 
 
 def unwrap_forwarded(df: DataFrame) -> DataFrame:
@@ -64,9 +78,9 @@ def slug_fields(url: Column) -> dict[str, Column]:
     return {
         "state": T.extract(url, SLUG, 1),
         "town": title_slug(T.extract(url, SLUG, 2)),
-        "address": title_slug(F.regexp_replace(slug, r"-\d{5}$", "")),
-        "zip_code": T.extract(slug, r"-(\d{5})$"),
-        "home_id": T.extract(url, SLUG, 4),
+        "address": title_slug(slug),
+        "zip_code": T.extract(url, SLUG, 4),
+        "home_id": T.extract(url, SLUG, 5),
     }
 
 
@@ -74,21 +88,21 @@ def extract_plain_fields(df: DataFrame, block: str = "block") -> DataFrame:
     """The fields of each block, the first match of each; blocks without price, MLS and address go."""
     raw = F.col(block)
     status = T.extract(raw, STATUS_LINE)
-    b = F.regexp_replace(raw, STATUS_LINE, "")
+    b = F.regexp_replace(F.regexp_replace(raw, STATUS_LINE, ""), TOUR_LINE, "")
     url = F.regexp_replace(T.extract(b, T.LIST_URL, 0), r"[.,;:)]+$", "")
     slug = slug_fields(url)
     out = df.withColumns(
         {
-            "price": T.number(T.extract(b, PRICE)),
+            "price": T.number(F.substring_index(T.extract(b, PRICE), ".", 1)),
             "bedrooms": T.extract(b, BEDS).try_cast("long"),
             "bathrooms": T.extract(b, BATHS).try_cast("double"),
             "sqft": T.number(T.extract(b, SQFT)),
             "mls_id": T.extract(b, MLS),
             "listing_url": url,
-            "address": F.coalesce(F.trim(T.extract(b, STREET_LINE)), slug["address"]),
-            "town": F.coalesce(T.extract(b, CITY_LINE, 1), slug["town"]),
-            "state": F.coalesce(T.extract(b, CITY_LINE, 2), slug["state"]),
-            "zip_code": F.coalesce(T.extract(b, CITY_LINE, 3), slug["zip_code"], T.extract(b, r"\b(\d{5})\b")),
+            "address": F.coalesce(F.trim(T.extract(b, STREET_LINE)), F.trim(T.extract(b, INLINE, 1)), slug["address"]),
+            "town": F.coalesce(T.extract(b, CITY_LINE, 1), T.extract(b, INLINE, 2), slug["town"]),
+            "state": F.coalesce(T.extract(b, CITY_LINE, 2), T.extract(b, INLINE, 3), slug["state"]),
+            "zip_code": F.coalesce(T.extract(b, CITY_LINE, 3), T.extract(b, INLINE, 4), slug["zip_code"], T.extract(b, ZIP)),
             "listing_status": F.initcap(status),
         }
     )
@@ -168,7 +182,7 @@ def extract_page_stats(df: DataFrame, html: str = "html") -> DataFrame:
     """Adds price, bedrooms, bathrooms, sqft and year_built of a landed page."""
     t = page_text(F.col(html))
     out = df.withColumn("__t", t)
-    prices = F.transform(F.regexp_extract_all("__t", F.lit(PRICE), F.lit(1)), T.number)
+    prices = F.transform(F.regexp_extract_all("__t", F.lit(PRICE), F.lit(1)), lambda x: T.number(F.substring_index(x, ".", 1)))
     sizes = F.transform(F.regexp_extract_all("__t", F.lit(SQFT), F.lit(1)), T.number)
     sizes = F.filter(sizes, lambda x: (x % 500 != 0) & (x >= 500) & (x <= 30000))
     year = T.extract(F.col("__t"), r"(?i)(?:built in|year built:?)\s*(\d{4})").try_cast("long")
@@ -176,7 +190,7 @@ def extract_page_stats(df: DataFrame, html: str = "html") -> DataFrame:
         {
             "page_price": F.get(F.filter(prices, lambda x: x >= 50_000), F.lit(0)),
             "page_bedrooms": T.extract(F.col("__t"), BEDS).try_cast("long"),
-            "page_bathrooms": T.extract(F.col("__t"), BATHS).try_cast("double"),
+            "page_bathrooms": T.extract(F.col("__t"), r"(?i)(\d+(?:\.\d)?)\s*(?:ba|bath)").try_cast("double"),
             "page_sqft": F.array_max(sizes),
             "page_year": F.when((year >= 1700) & (year <= 2030), year),
         }
@@ -220,13 +234,13 @@ def extract_image_urls(html: Column) -> Column:
     """Absolute image URLs in order, wide enough where a width is given, without page furniture."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
     wide = F.filter(tags, lambda t: F.coalesce(T.extract(t, r'(?i)\bwidth="(\d+)').try_cast("int") >= 200, F.lit(True)))
-    urls = F.transform(wide, lambda t: F.coalesce(T.extract(t, r'(?i)\bdata-src="(https?://[^"]+)"'), T.extract(t, r'(?i)\bsrc="(https?://[^"]+)"')))
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & ~F.lower(u).rlike("|".join(JUNK))))
+    urls = F.transform(wide, lambda t: F.coalesce(T.extract(t, r'(?i)\ssrc="(https?://[^"]+)"'), T.extract(t, r'(?i)\sdata-src="(https?://[^"]+)"')))
+    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & ~F.lower(u).rlike("|".join(PAGE_JUNK))))
 
 
 def select_images(images: Column, k: int = 8) -> Column:
     """At most ``k`` images: the first three, the last three and two between, in order."""
-    xs = F.filter(images, lambda u: ~F.lower(u).rlike("|".join(JUNK)))
+    xs = F.filter(images, lambda u: ~F.lower(u).rlike("|".join(SCORING_JUNK)))
     n = F.size(xs)
     step = (n - 3 - 1 - 3) / 3.0
     inner = [F.floor(3 + step * j) for j in (1, 2)]
@@ -238,22 +252,36 @@ def page_status(html: Column) -> Column:
     return T.extract(html, r'"(?:SaleStatus|MlsStatus)"\s*:\s*"([^"]*)"')
 
 
-BOT = r"captcha|access denied|are you a robot|unusual traffic|verify you are human"
+# What pages say of their status, and what a bot challenge looks like.
+BOT = ("tacker probe", "1x1 image", "awswaf")
+PENDING_BANNER = r"(?:^|\n)\s*(?:pending|contingent)\s*(?:$|\n)"
+PENDING_MARKS = ('"listingstatus":"pending"', "pending sale", "sale pending", "under contract")
+SOLD_MARKS = ("sold on", "off market", "this home is no longer", "no longer for sale", "status: sold", "sale-status-sold", '"listingstatus":"sold"')
+PAGE_FIELDS = r"class=\"[^\"]*(?:address-street|price|property-details|remarkscontainer)|id=\"listingremarks"
+
+
+def _any(c: Column, marks: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.contains(c, F.lit(m))
+    return out
 
 
 def classify_page(body: Column) -> Column:
     """error, pending, active, sold or null, from the first 5,000 characters."""
-    t = F.lower(F.left(body, F.lit(5000)))
+    t = F.left(F.lower(body), F.lit(5000))
     banner = F.left(t, F.lit(2500))
     return (
-        F.when((F.length(t) < 200) | t.rlike(BOT), "error")
-        .when(banner.rlike(r"\bpending\b|under contract|contingent"), "pending")
+        F.when((F.length(t) < 200) | _any(t, BOT), "error")
+        .when(banner.rlike(PENDING_BANNER) | _any(banner, PENDING_MARKS), "pending")
         .when(banner.contains("for sale"), "active")
-        .when(banner.rlike(r"\bsold (?:on|for|in)\b|off market|last sold"), "sold")
+        .when(_any(banner, SOLD_MARKS), "sold")
     )
 
 
-def is_block_page(body: Column) -> Column:
-    t = F.lower(body)
-    fields = t.rlike(r"\$[\d,]{6,}|\bbeds?\b|\bbaths?\b|sq\.? ?ft")
-    return F.when(F.length(F.regexp_replace(page_text(body), r"\s", "")) > 5000, False).otherwise(t.contains("unknown address") & t.contains("error") & ~t.contains("<nav") & ~fields)
+def is_block_page(html: Column) -> Column:
+    """A bot challenge: an unknown-address error without navigation or property fields."""
+    t = F.lower(html)
+    nav = t.rlike(r"<nav\b|class=\"header\"|id=\"header\"")
+    marks = F.lower(page_text(html)).contains("unknown address") & t.contains("error")
+    return F.when(F.length(page_text(html)) > 5000, False).otherwise(marks & ~nav & ~t.rlike(PAGE_FIELDS))

@@ -117,16 +117,20 @@ def reconcile_arithmetic(df: DataFrame, tolerance: int = DEFAULT.arithmetic_tole
     )
 
 
-ATTACHED_TYPES = r"(?i)condo|co-?op|town|multi|mobile|manufactured"
+# Criteria that a row's own data can bear out.
+SCHOOL_NAMES = r"(?i)school|district|elementary|middle|high school"
+SOLD_NAMES = r"(?i)sold|status|off.market|closed"
+DETACHED_NAMES = r"(?i)detached|single.family|property type"
+NOT_DETACHED = r"(?i)condo|co-?op|town|multi|attached|apartment"
 
 
 def validated_failure(result: Column, best_school: Column, status: Column, property_type: Column) -> Column:
     """Whether the row's own data bear out a failed result; criteria are tested in this order."""
-    name = F.lower(F.coalesce(result["criterion"], F.lit("")))
+    name = F.coalesce(result["criterion"], F.lit(""))
     out = (
-        F.when(name.contains("school"), best_school < DEFAULT.school_floor)
-        .when(name.contains("sold") | name.contains("status"), F.lower(F.trim(status)).isin("sold", "closed"))
-        .when(name.contains("detached") | name.contains("type"), property_type.rlike(ATTACHED_TYPES))
+        F.when(name.rlike(SCHOOL_NAMES), best_school < DEFAULT.school_floor)
+        .when(name.rlike(SOLD_NAMES), F.lower(F.trim(status)).isin("sold", "closed"))
+        .when(name.rlike(DETACHED_NAMES), property_type.rlike(NOT_DETACHED))
         .otherwise(False)
     )
     return F.coalesce(out, F.lit(False))
@@ -159,7 +163,7 @@ def strip_invalid_reject(df: DataFrame) -> DataFrame:
     )
 
 
-UNSURE_KEY = r"(?i)unknown|unconfirm|missing|uncertain|not[ _]stated"
+UNSURE_KEY = r"(?i)unknown|unconfirm|missing|unverified|unclear"
 
 
 def uncertainty_penalty(points: Column, images: Column, description: Column) -> Column:
@@ -169,7 +173,11 @@ def uncertainty_penalty(points: Column, images: Column, description: Column) ->
     return F.when((F.coalesce(images, F.lit(0)) == 0) & T.blank(description), F.coalesce(total, F.lit(0))).otherwise(0)
 
 
-ADMITS = r"(?i)penalt|pass|meets|acceptable"
+# Fixed value: reasons that own up to a penalty or a pass.
+ADMITS = (
+    r"(?i)[-−]\s*\d+\s*(?:point|pt)s?\b[^.]{0,40}penalt|penalt\w*[^.]{0,25}[-−]?\d+\s*(?:point|pt)"
+    r"|\bnot\s+(?:actually\s+|really\s+)?a\s+(?:hard\s+)?fail|\btechnically\s+(?:passes|meets|satisfies|clears)\b"
+)
 
 
 def self_contradictions(df: DataFrame) -> DataFrame:
@@ -203,19 +211,24 @@ def worst_breaches(df: DataFrame, tolerance: int = DEFAULT.arithmetic_tolerance,
     return df.select("listing_id", d.alias("delta")).filter(F.abs("delta") > tolerance).orderBy(F.abs("delta").desc(), "listing_id").limit(n)
 
 
+# How the criteria's text states each threshold.
 THRESHOLDS = {
-    "commute": r"(?i)commute[^.]*?(\d{2,3})\s*min",
-    "price_min": r"(?i)price[^.]*?\$([\d,]{6,})",
-    "price_max": r"(?i)price[^.]*?\$[\d,]{6,}\s*-\s*\$([\d,]{6,})",
-    "sqft": r"(?i)([\d,]{4,})\s*sq\.?\s*ft",
-    "bedrooms": r"(?i)(\d)\s*bedrooms?",
-    "school_floor": r"(?i)percentile\s*(\d+)",
-    "base": r"(?i)base score\s*(\d+)",
+    "commute": r"(?i)commute[^.\n]{0,60}?(?:over|of)\s+(\d{2,3})\s*min",
+    "price_min": r"(?i)price\s+between\s+\$?([\d,]+)\s*(?:and|-|–|to)",
+    "price_max": r"(?i)price\s+between\s+\$?[\d,]+\s*(?:and|-|–|to)\s*\$?([\d,]+)",
+    "sqft": r"(?i)minimum\s+([\d,]{3,})\s*sq\.?\s?ft",
+    "bedrooms": r"(?i)minimum\s+(\d{1,2})\s+bedrooms?",
+    "school_floor": r"(?i)below\s+(\d{1,2})(?:st|nd|rd|th)\s+percentile",
+    "base": r"(?i)base\s+score:?\s*(\d{1,3})",
 }
+COMMUTE_ALSO = r"(?i)reject\s+(?:over|at)\s+(\d{2,3})\s*min"
 
 
 def criteria_thresholds(df: DataFrame) -> DataFrame:
-    return df.select("version", *[T.number(T.extract(F.col("instructions"), p)).alias(n) for n, p in THRESHOLDS.items()])
+    text = F.col("instructions")
+    found = {n: T.number(T.extract(text, p)) for n, p in THRESHOLDS.items()}
+    found["commute"] = F.coalesce(found["commute"], T.number(T.extract(text, COMMUTE_ALSO)))
+    return df.select("version", *[c.alias(n) for n, c in found.items()])
 
 
 def gate_drift(criteria: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

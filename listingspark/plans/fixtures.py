@@ -51,7 +51,7 @@ select o_orderkey as listing_id, cast((o_orderkey * 31) % 101 as bigint) as scor
   case when o_orderkey % 12 = 0 then 'Reject' when (o_orderkey * 31) % 101 >= 80 then 'Strong Match'
     when (o_orderkey * 31) % 101 >= 60 then 'Worth Touring' when (o_orderkey * 31) % 101 >= 40 then 'Low Priority' else 'Weak Match' end as verdict,
   case o_orderkey % 5 when 0 then '[]' when 1 then null
-    when 2 then '[{"criterion":"schools","passed":false,"value":"44","reason":"below floor, -10 penalty"}]'
+    when 2 then '[{"criterion":"schools","passed":false,"value":"44","reason":"below floor, -10 point penalty"}]'
     when 3 then '[{"criterion":"lot","passed":null,"value":"","reason":"unknown"},{"criterion":"tax","passed":null,"value":"","reason":"unknown"}]'
     else '[{"criterion":"commute","passed":true,"value":"60","reason":"ok"}]' end as hard_results_json,
   case when o_orderkey % 6 = 0 then null else concat('{"commute":', cast(o_orderkey % 21 - 10 as varchar(9)), ',"schools":', cast(o_orderkey % 13 as varchar(9)),
@@ -83,9 +83,9 @@ select concat('m', cast(o_orderkey as varchar(12))) as message_id, o_orderkey as
   case o_orderkey % 6 when 0 then 'Only sold this week' when 1 then 'Fwd: new homes' when 2 then 'FW: only active' when 3 then 'only pending' else 'Listings for you' end as subject,
   o_orderdate as ts,
   concat(case when o_orderkey % 6 = 1 then concat('Hi', chr(10), '---------- Forwarded message ---------', chr(10), 'From: A', chr(10), 'Date: B', chr(10), chr(10)) else '' end,
-    '1. ', cast(o_orderkey % 97 + 1 as varchar(9)), ' Oak Street', chr(10), 'Rye, New York 10573', chr(10), '$', cast(100 + o_orderkey % 900 as varchar(9)), ',000', chr(10),
+    cast(o_orderkey % 97 + 1 as varchar(9)), ' Oak Street', chr(10), 'Rye, New York 10573', chr(10), '$', cast(100 + o_orderkey % 900 as varchar(9)), ',000', chr(10),
     cast(1 + o_orderkey % 6 as varchar(9)), ' bd 2 ba 2,437 sqft', chr(10), 'MLS #', cast(900000 + o_orderkey % 4000 as varchar(12)), chr(10), chr(10),
-    case when o_orderkey % 2 = 0 then concat('2. ', cast(o_orderkey % 89 + 1 as varchar(9)), ' Elm Road', chr(10), 'Rye, New York 10574', chr(10), '$1,250,000', chr(10), '4 bd 3 ba', chr(10),
+    case when o_orderkey % 2 = 0 then concat(cast(o_orderkey % 89 + 1 as varchar(9)), ' Elm Road', chr(10), 'Rye, New York 10574', chr(10), '$1,250,000', chr(10), '4 bd 3 ba', chr(10),
       'https://www.redfin.com/NY/Rye/', cast(o_orderkey % 89 + 1 as varchar(9)), '-Elm-Rd-10574/home/', cast(o_orderkey % 9000 as varchar(12)), '.') else 'no more' end) as text,
   case when o_orderkey % 4 = 0 then concat('<div class="multiLineDisplay"><span class="highlight-price">$', cast(1 + o_orderkey % 3 as varchar(9)), ',295,000</span><span class="highlight-description">',
     cast(o_orderkey % 97 + 1 as varchar(9)), ' Elm St</span><span class="highlight-address">Rye Brook, New York 10573</span><p class="highlight-specs">4 bd 3 ba 2,437 sqft</p><p>MLS #',
@@ -137,8 +137,8 @@ select event_id as alert_id, user_id as listing_id, cast(45 + (event_id * 37) %
 """
 
 VIEWS["criteria_v"] = """
-select cast(1 as bigint) as version, 'Commute under 100 minutes. Price $850,000 - $2,250,000. Minimum 2,200 sqft. At least 3 bedrooms. Schools percentile 50. Base score 50.' as instructions, 'a' as created_by
-union all select 2, 'Commute under 110 minutes. Price $900,000 - $2,250,000. Minimum 2,400 sqft. At least 4 bedrooms.', 'b'
+select cast(1 as bigint) as version, 'Reject a commute of over 100 minutes. Price between $850,000 and $2,250,000. Minimum 2,200 sqft. Minimum 3 bedrooms. Schools below 50th percentile. Base score: 50.' as instructions, 'a' as created_by
+union all select 2, 'A commute of 110 min is the limit. Price between $900,000 - $2,250,000. Minimum 2,400 sq. ft. Minimum 4 bedrooms.', 'b'
 union all select 3, 'No thresholds here.', 'a'
 """
 

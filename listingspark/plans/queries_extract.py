@@ -89,7 +89,7 @@ def _(v):
     return v("messages_v").select("message_id", T.status_from_subject(F.col("subject")).alias("status"))
 
 
-@query("b03_split_blocks", MV, r", b as (select message_id, list_filter(string_split_regex(text, '\n\s*\n'), lambda x: regexp_matches(x, '\$\s*([\d,]+)(?:\.\d{2})?') or regexp_matches(x, '(?i)MLS\s*(?:#|ID|Number)?\s*:?\s*#?\s*(\d{5,})')) as bs, text from messages_v) select message_id, case when len(bs) > 1 then len(bs) else 1 end as n_blocks from b")
+@query("b03_split_blocks", MV, r", b as (select message_id, list_filter(string_split_regex(text, '\n\s*\n'), lambda x: regexp_matches(x, '\$\s*([\d,]+(?:\.\d{2})?)') or regexp_matches(x, '(?i)MLS\s*#?\s*(\d+)')) as bs, text from messages_v) select message_id, case when len(bs) > 1 then len(bs) else 1 end as n_blocks from b")
 def _(v):
     return X.split_blocks(v("messages_v")).groupBy("message_id").agg(F.count("*").alias("n_blocks"))
 
@@ -166,12 +166,12 @@ def _(v):
 
 @query("b17_b18_page_class", None, "select page_id, 'Active' as status, case page_id % 4 when 0 then 'error' when 1 then 'pending' when 2 then 'active' else 'sold' end as class from pages")
 def _(v):
-    kinds = F.element_at(F.array(*map(F.lit, ["captcha ", "Pending offer ", "This home is for sale ", "Sold on May 1 "])), (F.col("page_id") % 4 + 1).cast("int"))
+    kinds = F.element_at(F.array(*map(F.lit, ["awswaf ", "Under contract ", "This home is for sale ", "Sold on May 1 "])), (F.col("page_id") % 4 + 1).cast("int"))
     body = F.concat(kinds, F.lit('{"MlsStatus": "Active"} '), F.repeat(F.lit("words and so forth "), 20))
     return v.table("pages").select("page_id", X.page_status(body).alias("status"), X.classify_page(body).alias("class"))
 
 
 @query("b19_block_page", None, "select page_id, page_id % 3 = 0 as blocked from pages")
 def _(v):
-    body = F.when(F.col("page_id") % 3 == 0, "Unknown address: error").otherwise("3 beds unknown address error")
+    body = F.when(F.col("page_id") % 3 == 0, "<p>Unknown address</p><p>error</p>").otherwise("<nav>x</nav><p>unknown address error</p>")
     return v.table("pages").select("page_id", X.is_block_page(body).alias("blocked"))

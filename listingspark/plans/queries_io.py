@@ -79,8 +79,7 @@ def _(v):
 @query(
     "f16_criteria_thresholds",
     ["criteria_v"],
-    r"""select version, try_cast(nullif(regexp_extract(instructions, '(?i)commute[^.]*?(\d{2,3})\s*min', 1), '') as bigint) as commute, try_cast(nullif(replace(regexp_extract(instructions, '(?i)([\d,]{4,})\s*sq\.?\s*ft', 1), ',', ''), '') as bigint) as sqft,
-    try_cast(nullif(regexp_extract(instructions, '(?i)(\d)\s*bedrooms?', 1), '') as bigint) as bedrooms from criteria_v""",
+    "select version, " + ", ".join(f"try_cast(nullif(replace(regexp_extract(instructions, '{C.THRESHOLDS[n]}', 1), ',', ''), '') as bigint) as {n}" for n in ("commute", "sqft", "bedrooms")) + " from criteria_v",
 )
 def _(v):
     return C.criteria_thresholds(v("criteria_v")).select("version", "commute", "sqft", "bedrooms")

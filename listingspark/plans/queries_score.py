@@ -100,7 +100,7 @@ def _(v):
     return p.select("listing_id", C.uncertainty_penalty(F.col("soft_points"), F.col("listing_id") % 2, F.lit("")).cast("long").alias("penalty"))
 
 
-@query("f14_self_contradictions", ["scores_v"], f", {S.PARSED}, x as (select listing_id, unnest(hard_results) as h from parsed) select listing_id, h.criterion as criterion, h.reason as reason from x where h.passed = false and regexp_matches(h.reason, '(?i)penalt|pass|meets|acceptable')")
+@query("f14_self_contradictions", ["scores_v"], f", {S.PARSED}, x as (select listing_id, unnest(hard_results) as h from parsed) select listing_id, h.criterion as criterion, h.reason as reason from x where h.passed = false and regexp_matches(h.reason, '{C.ADMITS}')")
 def _(v):
     return C.self_contradictions(C.parsed(v("scores_v")))
 
@@ -108,7 +108,7 @@ def _(v):
 @query(
     "f15_scoring_integrity",
     ["scores_v"],
-    f""", {S.PARSED}, d as (select *, {S.DELTA} as d, len(list_filter(hard_results, lambda x: x.passed = false and regexp_matches(x.reason, '(?i)penalt|pass|meets|acceptable'))) > 0 as c from parsed)
+    f""", {S.PARSED}, d as (select *, {S.DELTA} as d, len(list_filter(hard_results, lambda x: x.passed = false and regexp_matches(x.reason, '{C.ADMITS}'))) > 0 as c from parsed)
     select count(*) as scored, count(*) filter (c) as contradictions, round(count(*) filter (c) / count(*), 4) as contradiction_rate, percentile_disc(0.5) within group (order by d desc) as upper_median_delta,
       count(*) filter (abs(d) <= 5) as within_tolerance, count(*) filter (abs(d) > 5) as breaches, cast(0 as bigint) as two_school_keys, count(soft_points_json) as uncertainty_keys from d""",
 )
@@ -124,9 +124,7 @@ def _(v):
 @query(
     "f17_gate_drift",
     ["criteria_v"],
-    r""", t as (select version, instructions as i, regexp_extract(instructions, '(?i)commute[^.]*?(\d{2,3})\s*min', 1) as commute, replace(regexp_extract(instructions, '(?i)price[^.]*?\$([\d,]{6,})', 1), ',', '') as price_min,
-      replace(regexp_extract(instructions, '(?i)price[^.]*?\$[\d,]{6,}\s*-\s*\$([\d,]{6,})', 1), ',', '') as price_max, replace(regexp_extract(instructions, '(?i)([\d,]{4,})\s*sq\.?\s*ft', 1), ',', '') as sqft,
-      regexp_extract(instructions, '(?i)(\d)\s*bedrooms?', 1) as bedrooms, regexp_extract(instructions, '(?i)percentile\s*(\d+)', 1) as school_floor, regexp_extract(instructions, '(?i)base score\s*(\d+)', 1) as base from criteria_v),
+    ", t as (select version, " + ", ".join(f"replace(regexp_extract(instructions, '{p}', 1), ',', '') as {n}" for n, p in C.THRESHOLDS.items()) + r""" from criteria_v),
     x as (select version, 'commute' as "check", commute as s, 110 as configured from t union all select version, 'price_min', price_min, 850000 from t union all select version, 'price_max', price_max, 2250000 from t
       union all select version, 'sqft', sqft, 2200 from t union all select version, 'bedrooms', bedrooms, 3 from t union all select version, 'school_floor', school_floor, 50 from t union all select version, 'base', base, 50 from t)
     select version, "check", try_cast(nullif(s, '') as bigint) as stated, cast(configured as bigint) as configured, coalesce(try_cast(nullif(s, '') as bigint) = configured, true) as in_sync from x""",
