@@ -40,6 +40,11 @@ def bare(word: str) -> str:
     return word.strip(PUNCTUATION).lower()
 
 
+def shorter(word: str) -> list[str]:
+    """All forms of a word with one letter less."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 @dataclass
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
@@ -65,14 +70,20 @@ class Lexicon:
             for c in t:
                 at = at.next.setdefault(c, Node())
             at.term, at.stem = i, s
-        # a word within one edit of a term agrees with it in its first or its second half
-        self.heads = {t[: len(t) // 2] for t in self.terms}
-        self.tails = {t[len(t) // 2 + 1 :] for t, s in zip(self.terms, self.stems, strict=True) if not s and len(t) > 4}
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails if x})
+        # words within one edit of each other have a common form with one letter less, or one of
+        # them is such a form of the other; the automaton is run on words that have one only
+        self.forms = set(self.terms) | {x for t in self.terms for x in shorter(t)}
+        self.longest = max(map(len, self.terms), default=0)
+        self.stem_sizes = sorted({len(t) for t, s in zip(self.terms, self.stems, strict=True) if s})
+        self.stem_set = {t for t, s in zip(self.terms, self.stems, strict=True) if s}
 
     def likely(self, word: str) -> bool:
-        return any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)
+        """Whether the automaton could meet a term: never false where it would."""
+        if any(word[:k] in self.stem_set for k in self.stem_sizes):
+            return True
+        if len(word) > self.longest + 1:
+            return False
+        return word in self.forms or any(x in self.forms for x in shorter(word))
 
     def look_up(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term within the word's allowance, or None.
