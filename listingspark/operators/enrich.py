@@ -121,21 +121,26 @@ def parcel_lot_acres(df: DataFrame, parcels: DataFrame, town_county: DataFrame)
     # the towns of a region are a fixed list
     rows = rows.join(F.broadcast(town_county.select(F.lower("town").alias("__town"), "county")), F.lower("town") == F.col("__town"), "left")
     rows = rows.select("listing_id", F.upper("town").alias("town"), F.coalesce("county", F.lit("Westchester")).alias("county"), number.alias("number"), street.alias("street")).filter("number is not null")
-    p = parcels.select("parcel_id", "county", "number", F.upper("street").alias("pstreet"), F.upper(F.coalesce("municipality", F.lit(""))).alias("muni"), F.upper(F.coalesce("city_town", F.lit(""))).alias("city"), "acres", "calc_acres")
+    keys = ["county", "town", "number", "street"]
     first = lambda c: F.substring_index(c, " ", 1)
-    met = rows.join(p.withColumn("__first", first(F.col("pstreet"))), ["county", "number"]).filter(F.col("__first") == first(F.col("street")))
     three = lambda c: F.substring_index(c, " ", 3)
-    n = F.count("*").over(Window.partitionBy("listing_id"))
+    places = rows.select(*keys).distinct().withColumn("word", first(F.col("street")))
+    # parcels that any place would rank alike are one candidate, the first of them
+    p = parcels.select("parcel_id", "county", "number", F.upper("street").alias("pstreet"), F.upper(F.coalesce("municipality", F.lit(""))).alias("muni"), F.upper(F.coalesce("city_town", F.lit(""))).alias("city"), "acres", "calc_acres")
+    p = p.groupBy("county", "number", first(F.col("pstreet")).alias("word"), three(F.col("pstreet")).alias("pthree"), "muni", "city")
+    p = p.agg(F.min(F.struct("parcel_id", "acres", "calc_acres")).alias("p"), F.count("*").alias("n"))
+    met = places.join(p, ["county", "number", "word"])
+    alone = F.sum("n").over(Window.partitionBy(*keys)) == 1
     rank = (
-        F.when(three(F.col("street")) == three(F.col("pstreet")), 3)
+        F.when(three(F.col("street")) == F.col("pthree"), 3)
         .when((F.col("muni") == "") | F.col("muni").contains(F.col("town")) | F.col("town").contains(F.col("muni")), 2)
         .when(F.col("city") == F.col("town"), 1)
-        .when(n == 1, 0)
+        .when(alone, 0)
     )
     scored = met.withColumn("__rank", rank).filter("__rank is not null")
-    best = scored.groupBy("listing_id").agg(F.min(F.struct(-F.col("__rank"), "parcel_id", "acres", "calc_acres")).alias("b"))
+    best = scored.groupBy(*keys).agg(F.min(F.struct(-F.col("__rank"), "p.parcel_id", "p.acres", "p.calc_acres")).alias("b"))
     acres = F.when(F.col("b.acres") > 0, F.col("b.acres")).otherwise(F.nullif("b.calc_acres", F.lit(0.0)))
-    return best.select("listing_id", F.round(acres, 4).alias("lot_acres"))
+    return rows.join(best, keys).select("listing_id", F.round(acres, 4).alias("lot_acres"))
 
 
 def property_tax(df: DataFrame, rolls: DataFrame) -> DataFrame:
@@ -147,10 +152,10 @@ def property_tax(df: DataFrame, rolls: DataFrame) -> DataFrame:
     first = F.substring_index(street, " ", 1)
     rows = df.select("listing_id", F.upper("town").alias("town"), number.alias("number"), first.alias("word")).filter("number is not null")
     r = rolls.filter("assessed > 0").select("parcel_id", F.upper("municipality").alias("town"), "number", F.substring_index(F.upper("street"), " ", 1).alias("word"), "assessed")
-    pick = lambda d: d.groupBy("listing_id").agg(F.min(F.struct("parcel_id", "assessed")).alias("b")).select("listing_id", "b.assessed")
-    one = pick(rows.join(r, ["town", "number", "word"])).withColumn("tier", F.lit("municipality"))
+    # one parcel stands for a place, so that a common street is no skewed pair join
+    near = r.groupBy("town", "number", "word").agg(F.min(F.struct("parcel_id", "assessed")).alias("b"))
+    one = rows.join(near, ["town", "number", "word"]).select("listing_id", "b.assessed", F.lit("municipality").alias("tier"))
     rest = rows.join(one, "listing_id", "left_anti")
-    # one parcel stands for a number and street of the county, so that a common street is no skewed pair join
     wide = r.groupBy("number", "word").agg(F.min(F.struct("parcel_id", "assessed")).alias("b"))
     two = rest.join(wide, ["number", "word"]).select("listing_id", "b.assessed", F.lit("county").alias("tier"))
     return one.unionByName(two)
