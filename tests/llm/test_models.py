@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from listingspark.llm import lm, quality, toxicity
+from listingspark.llm import decontam, lm, quality, toxicity
 from listingspark.llm import texthash as H
 from listingspark.llm.decontam import align, decontaminate, find_leaks
 from listingspark.llm.neardup import drop_near_duplicates
@@ -178,7 +178,9 @@ def brute_leaks(docs, items, least):
     return out
 
 
-def test_leaks_match_brute_force(spark):
+@pytest.mark.parametrize("block", [20_000, 4])
+def test_leaks_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", block)
     rng = random.Random(11)
     vocabulary = [f"v{i}" for i in range(3000)] + ["the", "of", "and"] * 200
     text = lambda n: rng.choices(vocabulary, k=n)
