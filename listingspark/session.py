@@ -3,9 +3,32 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends the package's own modules to the Python workers, once for each application.
+
+    Functions that run in tasks are found by their module, and a worker need not have
+    the driver's import path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="package-")).resolve() / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(file.relative_to(root.parent)))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
 
 def build_session(app: str = "listingspark", cpus: int | None = None) -> SparkSession:
     """A local session with the settings the library is tuned for.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from listingspark.config import DEFAULT, Config
 from listingspark.operators.tables import upsert_table
+from listingspark.session import ship_package
 
 ALERTS = "listing_id long, event_id long, ts timestamp, score long, reason string"
 STATE = "latched boolean, fired boolean, score long, live boolean"
@@ -57,6 +58,7 @@ def alert_latch_stream(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     events of a listing that arrived since the last one; it is their order that counts,
     so the source must deliver a listing's events in order of time.
     """
+    ship_package(events.sparkSession)
     return events.groupBy("listing_id").applyInPandasWithState(latch(cfg), ALERTS, STATE, "append", "NoTimeout")
 
 
