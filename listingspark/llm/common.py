@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listingspark.session import ship_package
+
 #: A word is a run of anything but ASCII white space (Java and Python regex alike).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        ship_package(spark)
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.path}/{label}"
