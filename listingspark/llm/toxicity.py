@@ -10,6 +10,7 @@ that quotation and abuse part, and the finds of a text add up to its score.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -167,13 +168,31 @@ def term_keys(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
 
 
+def _placed(batches: Iterator[pa.RecordBatch], wanted: set[str]) -> Iterator[pa.RecordBatch]:
+    """Each wanted term with a hash of the words before and after it, distinct in the task."""
+    for batch in batches:
+        found: set[tuple[str, int]] = set()
+        for text in batch.column("text").to_pylist():
+            words = (text or "").split()
+            for i, w in enumerate(words):
+                b = bare(w)
+                if not 3 <= len(b) <= 40:
+                    continue
+                for key in (b, *(b[:k] + "*" for k in STEMS if len(b) >= k)):
+                    if key in wanted:
+                        around = "\0".join((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+                        found.add((key, zlib.crc32(around.encode())))
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64())], ["key", "place"])
+
+
 def learn(train: DataFrame) -> Lexicon:
     """A lexicon from rows (text, y), y 1 for toxic.
 
     A term stays if it occurs in toxic texts so often, and in others so seldom, that
     chance would hardly do it for any of all the terms tried, and if at least six in
     seven texts that hold it are toxic. A stem replaces the words that it covers. Equal
-    texts count once.
+    texts count once, and so do finds between the same two neighbours.
     """
     train = train.dropDuplicates(["text"])
     spark = train.sparkSession
@@ -195,6 +214,12 @@ def learn(train: DataFrame) -> Lexicon:
     others = train.filter("y = 0").mapInArrow(lambda b: _counted(b, lambda t: term_keys(t) & wanted.value), "key string, y long, n long")
     against = {r["key"]: r["n"] for r in others.groupBy("key").agg(F.sum("n").alias("n")).collect()}
     kept = {k: t for k, t in counts.items() if t >= 6 * against.get(k, 0) and unlikely(t, against.get(k, 0), share, tried)}
+    # near copies of one text hold a word between the same neighbours: they count once
+    terms_seen = spark.sparkContext.broadcast(set(kept))
+    places = train.filter("y = 1").mapInArrow(lambda b: _placed(b, terms_seen.value), "key string, place long")
+    apart = {r["key"]: r["n"] for r in places.distinct().groupBy("key").agg(F.count("*").alias("n")).collect()}
+    kept = {k: min(t, apart.get(k, 0)) for k, t in kept.items()}
+    kept = {k: t for k, t in kept.items() if t >= least and t >= 6 * against.get(k, 0) and unlikely(t, against.get(k, 0), share, tried)}
 
     chosen = covering(kept)
     terms = sorted(chosen, key=lambda k: (-chosen[k], k))[:MOST_TERMS]
