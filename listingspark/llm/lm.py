@@ -4,8 +4,10 @@ P(word | context) = P(class | context) * P(word | class, context). The frequent
 fill classes of equal width by rank; every other word is of the last class. Log-linear
 features of the context (the word before, the word before that as a skip, and both
 together) are hashed to rows of weights over classes, and the class with the word before
-to rows of weights over the words of a class. Within the last class a word has its
-smoothed share of the class's count, so that the model sums to one over all words.
+to rows of weights over the words of a class. The last class branches on by the word's
+hash, WIDTH ways at each level, with the word before as context at every branch; the
+levels and the hashed rows grow with the counted vocabulary. Within a leaf a word has its
+smoothed share of the leaf's count, so that the model sums to one over all words.
 
 Counting and training go over every training document. Words are counted with map-side
 combining; the commonest are broadcast up to a fixed number, all others meet their
@@ -29,8 +31,10 @@ from listingspark.llm.common import Scratch, id_remainder
 U = np.uint64
 #: Counted words that are broadcast, at most; further ones are joined.
 HEAD = 1 << 19
-#: Classes of frequent words, words of a class, hashed rows of either kind of weights.
-CLASSES, WIDTH, ROWS = 15, 64, 1 << 13
+#: Classes of frequent words, words of a class, the least and most hashed rows of either kind of weights.
+CLASSES, WIDTH, ROWS, MOST_ROWS = 31, 64, 1 << 13, 1 << 16
+#: Levels below the last class, at most; its leaves are then WIDTH to that power.
+LEVELS = 3
 #: Step sizes of class and of word weights.
 CLASS_RATE, WORD_RATE = 0.03, 0.5
 STEP = 8192
@@ -81,10 +85,14 @@ class Model:
     place: Table
     head: Table
     class_bias: np.ndarray
-    word_bias: np.ndarray  # classes x width
+    word_bias: np.ndarray  # (classes + branches of the last class) x width
     class_rows: np.ndarray  # hashed rows x (classes + 1)
     word_rows: np.ndarray  # hashed rows x width
-    last_log: float  # log10 of what the smoothed counts of the last class add up to
+    leaf_log: np.ndarray  # log10 of what the smoothed counts of each leaf of the last class add up to
+
+    @property
+    def levels(self) -> int:
+        return levels_of(len(self.leaf_log))
 
     def start(self) -> tuple[np.ndarray, np.ndarray]:
         return self.class_rows.copy(), self.word_rows.copy()
@@ -117,9 +125,49 @@ def _contexts(tokens: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def _rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Hashed class-weight rows of the three features, tokens x 3."""
-    top = U(64 - ROWS.bit_length() + 1)
+def levels_of(leaves: int) -> int:
+    """Levels of the last class that has so many leaves."""
+    return (leaves.bit_length() - 1) // (WIDTH.bit_length() - 1)
+
+
+def sizes(words: int) -> tuple[int, int]:
+    """(levels of the last class, hashed rows) for so many counted words.
+
+    A leaf holds WIDTH words on average, and a word has a row of its own, as far as the
+    bounds on memory go.
+    """
+    levels = 0
+    while levels < LEVELS and words - CLASSES * WIDTH > WIDTH ** (levels + 1):
+        levels += 1
+    rows = ROWS
+    while rows < min(words, MOST_ROWS):
+        rows *= 2
+    return levels, rows
+
+
+def _leaves(tokens: np.ndarray, levels: int) -> np.ndarray:
+    """The leaf of the last class that a word would be in: the leading bits of its hash."""
+    bits = levels * (WIDTH.bit_length() - 1)
+    return (tokens >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+
+
+def _choices(place: np.ndarray, leaf: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, node, branch) of every choice below the classes; classes are the first nodes."""
+    inner, far = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+    at, node, branch = [inner], [place[inner] // WIDTH], [place[inner] % WIDTH]
+    first = CLASSES
+    for k in range(levels):
+        path = leaf[far] // WIDTH ** (levels - 1 - k)
+        at.append(far)
+        node.append(first + path // WIDTH)
+        branch.append(path % WIDTH)
+        first += WIDTH**k
+    return np.concatenate(at), np.concatenate(node), np.concatenate(branch)
+
+
+def _rows(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """Hashed class-weight rows, of ``n``, of the three features, tokens x 3."""
+    top = U(64 - n.bit_length() + 1)
     return np.stack(
         [
             (H.mix(one ^ U(0x1111)) >> top).astype(np.int64),
@@ -130,8 +178,8 @@ def _rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     )
 
 
-def _word_rows(one: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return (H.mix(one ^ (cls.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)) >> U(64 - ROWS.bit_length() + 1)).astype(np.int64)
+def _word_rows(one: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
+    return (H.mix(one ^ (node.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)) >> U(64 - n.bit_length() + 1)).astype(np.int64)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -146,7 +194,7 @@ def _class_logits(rows: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np
 
 def _descend(weights: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """One step: each row moves by the sum of its gradients over the root of their number."""
-    order = np.argsort(rows.astype(np.int16), kind="stable")  # rows are under 2^15: a radix sort
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # rows are under MOST_ROWS: a radix sort
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     sums = np.add.reduceat(gradient[order], first, axis=0)
@@ -166,19 +214,18 @@ def _train(model: Model):
                 one, two = _contexts(tokens, edge)
                 place = m.place.get(tokens)
                 cls = np.where(place >= 0, place // WIDTH, CLASSES)
-                rows = _rows(one, two)
+                rows, leaf = _rows(one, two, len(wc)), _leaves(tokens, m.levels)
                 for k in range(0, len(tokens), STEP):
                     s = slice(k, k + STEP)
                     g = np.exp(_log_softmax(_class_logits(rows[s], m.class_bias, wc)))
                     g[np.arange(len(g)), cls[s]] -= 1
                     for f in range(3):
                         _descend(wc, rows[s, f], g, CLASS_RATE)
-                    inner = np.flatnonzero(place[s] >= 0)
-                    if len(inner):
-                        c, w = cls[s][inner], place[s][inner] % WIDTH
-                        r = _word_rows(one[s][inner], c)
-                        g = np.exp(_log_softmax(ww[r] + m.word_bias[c]))
-                        g[np.arange(len(g)), w] -= 1
+                    at, node, branch = _choices(place[s], leaf[s], m.levels)
+                    if len(at):
+                        r = _word_rows(one[s][at], node, len(ww))
+                        g = np.exp(_log_softmax(ww[r] + m.word_bias[node]))
+                        g[np.arange(len(g)), branch] -= 1
                         _descend(ww, r, g, WORD_RATE)
                 seen += len(tokens)
         if seen:
@@ -246,18 +293,17 @@ def _scorer(model, log_all: float):
                 known = count >= 0
                 log_count = np.where(known, np.log10(np.maximum(count, 0) + 0.1), 0.0)
                 cls = np.where(place >= 0, place // WIDTH, CLASSES)
-                rows = _rows(one, two)
+                rows, leaf = _rows(one, two, len(m.class_rows)), _leaves(tokens, m.levels)
                 log = np.empty(len(tokens))
                 for k in range(0, len(tokens), STEP):
                     s = slice(k, k + STEP)
                     x = _log_softmax(_class_logits(rows[s], m.class_bias, m.class_rows))
                     log[s] = x[np.arange(len(x)), cls[s]]
-                    inner = np.flatnonzero(place[s] >= 0)
-                    if len(inner):
-                        c = cls[s][inner]
-                        x = _log_softmax(m.word_rows[_word_rows(one[s][inner], c)] + m.word_bias[c])
-                        log[s.start + inner] += x[np.arange(len(x)), place[s][inner] % WIDTH]
-                log = log / np.log(10) + np.where(place >= 0, 0.0, log_count - m.last_log)
+                    at, node, branch = _choices(place[s], leaf[s], m.levels)
+                    if len(at):
+                        x = _log_softmax(m.word_rows[_word_rows(one[s][at], node, len(m.word_rows))] + m.word_bias[node])
+                        log[s] += np.bincount(at, x[np.arange(len(x)), branch], len(place[s]))
+                log = log / np.log(10) + np.where(place >= 0, 0.0, log_count - m.leaf_log[leaf])
                 sums = [np.add.reduceat(x, edge[:-1]) if len(n) else x[:0] for x in (log_count - log_all, log, known.astype(np.int64))]
                 far = np.flatnonzero(~known)
                 owner = np.searchsorted(edge, far, side="right") - 1
@@ -273,6 +319,18 @@ def _scorer(model, log_all: float):
     return run
 
 
+def _leaf_mass(vocabulary: DataFrame, keys: np.ndarray, counts: np.ndarray, levels: int) -> np.ndarray:
+    """What the smoothed counts of each leaf add up to, one unseen word included, without the frequent ``keys``."""
+    bits = levels * (WIDTH.bit_length() - 1)
+    leaf = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+    found = vocabulary.groupBy(leaf.alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+    mass = np.full(WIDTH**levels, 0.1)
+    mass[found["leaf"].to_numpy()] += found["c"].to_numpy() + 0.1 * found["n"].to_numpy()
+    at = _leaves(keys, levels)
+    np.subtract.at(mass, at, counts + 0.1)
+    return np.maximum(mass, 0.1)  # a leaf without other words keeps the unseen one
+
+
 def train_model(scratch: Scratch, train: DataFrame, vocabulary: DataFrame, total: int, words: int) -> Model:
     """Counts of the head from ``vocabulary`` (h, c), then weights from ``train`` (text)."""
     spark = train.sparkSession
@@ -296,21 +354,23 @@ def train_model(scratch: Scratch, train: DataFrame, vocabulary: DataFrame, total
     tall = np.zeros(CLASSES * WIDTH)
     tall[: len(order)] = counts[order]
     tall = tall.reshape(CLASSES, WIDTH)
-    last = total - tall.sum()
-    last_words = words - len(order)
-    sums = np.append(tall.sum(axis=1), last + 0.1 * (last_words + 1))
+    levels, n_rows = sizes(words)
+    mass = _leaf_mass(vocabulary, keys[order], counts[order], levels)
+    sums = np.append(tall.sum(axis=1), mass.sum())
     rest = tall.copy()
     rest[tall == 0] = 1e-30  # places without a word take no share
-    with np.errstate(divide="ignore"):
-        model = Model(
-            place,
-            Table(keys, counts),
-            np.log(np.maximum(sums, 1e-30) / max(1, sums.sum())).astype(np.float32),
-            np.log(rest / np.maximum(rest.sum(axis=1, keepdims=True), 1e-30)).astype(np.float32),
-            np.zeros((ROWS, CLASSES + 1), np.float32),
-            np.zeros((ROWS, WIDTH), np.float32),
-            float(np.log10(last + 0.1 * (last_words + 1))),
-        )
+    # each branch of the last class begins with its leaves' share
+    branches = [mass.reshape(WIDTH**k, WIDTH, -1).sum(axis=2) for k in range(levels)]
+    rest = np.concatenate([rest, *branches])
+    model = Model(
+        place,
+        Table(keys, counts),
+        np.log(np.maximum(sums, 1e-30) / max(1, sums.sum())).astype(np.float32),
+        np.log(rest / np.maximum(rest.sum(axis=1, keepdims=True), 1e-30)).astype(np.float32),
+        np.zeros((n_rows, CLASSES + 1), np.float32),
+        np.zeros((n_rows, WIDTH), np.float32),
+        np.log10(mass),
+    )
     if total:
         workers = max(spark.sparkContext.defaultParallelism, -(-total // WORKER_TOKENS))
         shared = spark.sparkContext.broadcast(model)

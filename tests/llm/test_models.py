@@ -141,6 +141,36 @@ def test_language_model_beats_the_base_on_patterns(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.05 * sum(r.n_tokens for r in got)
 
 
+def test_language_model_predicts_rare_words(spark):
+    """Words beyond the frequent classes are predicted from their contexts as well."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in (rng.randrange(2500) for _ in range(60)))) for i in range(1500)]
+    got = [r for r in lm.score_language(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.06 * sum(r.n_tokens for r in got)
+
+
+def test_language_model_grows_with_the_vocabulary():
+    found = [lm.sizes(n) for n in (10, 4_000, 100_000, 10_000_000)]
+    assert found[0] == (0, lm.ROWS) and found == sorted(found) and found[-1] == (lm.LEVELS, lm.MOST_ROWS)
+
+
+def test_leaves_of_the_last_class_add_up_to_one(spark):
+    """Every word has one path of choices, and the leaves hold all counts but the frequent ones."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2)
+    vocabulary = spark.createDataFrame([(int(x), int(c)) for x, c in zip(h.view(np.int64), rng.integers(1, 50, 9000), strict=True)], "h long, c long")
+    counts = {r.h: r.c for r in vocabulary.collect()}
+    top = h[:100]
+    mass = lm._leaf_mass(vocabulary, top, np.array([counts[int(x)] for x in top.view(np.int64)]), 2)
+    rest = lm._leaves(h[100:], 2)
+    want = np.full(4096, 0.1)
+    np.add.at(want, rest, [counts[int(x)] + 0.1 for x in h[100:].view(np.int64)])
+    assert np.allclose(mass, want)
+    at, node, branch = lm._choices(np.full(8900, -1), rest, 2)
+    path = {(int(n), int(b)) for n, b in zip(node[at == 7], branch[at == 7], strict=True)}
+    assert path == {(lm.CLASSES, int(rest[7]) // 64), (lm.CLASSES + 1 + int(rest[7]) // 64, int(rest[7]) % 64)}
+
+
 def test_model_is_a_distribution(spark):
     """For one context the model's shares of all words and of unseen ones add up to one."""
     rng = np.random.default_rng(0)
