@@ -30,6 +30,8 @@ STEMS = range(4, 9)
 MOST_TERMS = 20_000
 #: Words whose look-ups a Python worker keeps.
 WORD_TABLE = 500_000
+#: Letters from which a term may be two edits off, and from which swapped neighbours are one edit.
+LONG, SWAPS = 8, 7
 WINDOW = 3
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-|/\\`~#$%&+=@^«»“”„‘’…¡¿"
 OPENING, CLOSING = "\"'«“„‘", "\"'»”’"
@@ -41,9 +43,15 @@ def bare(word: str) -> str:
     return word.strip(PUNCTUATION).lower()
 
 
-def shorter(word: str) -> list[str]:
-    """All forms of a word with one letter less."""
-    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+def allowed(length: int) -> int:
+    """Edits that a term of so many letters may be off."""
+    return 0 if length < 5 else 1 if length < LONG else 2
+
+
+def shorter(word: str, most: int = 1) -> set[str]:
+    """All forms of a word with one letter less, or with up to ``most`` letters less."""
+    forms = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return forms if most == 1 else forms | {x for f in forms for x in shorter(f, most - 1)}
 
 
 @dataclass
@@ -62,55 +70,73 @@ class Lexicon:
     weights: list[float]
     base: float
     context: dict[str, float]
-    root: Node = field(default_factory=Node)
+    root: Node = field(default_factory=Node)  # terms under SWAPS letters
+    long_root: Node = field(default_factory=Node)
     known: dict[str, tuple[int, int] | None] = field(default_factory=dict)  # a worker's look-ups
 
     def __post_init__(self):
         for i, (t, s) in enumerate(zip(self.terms, self.stems, strict=True)):
-            at = self.root
+            at = self.long_root if len(t) >= SWAPS else self.root
             for c in t:
                 at = at.next.setdefault(c, Node())
             at.term, at.stem = i, s
-        # words within one edit of each other have a common form with one letter less, or one of
-        # them is such a form of the other; the automaton is run on words that have one only
-        self.forms = set(self.terms) | {x for t in self.terms for x in shorter(t)}
+        # words within so many edits of each other, swaps included, have a common form with at
+        # most as many letters less in either; the automaton is run on words that have one only
+        self.forms = set(self.terms).union(*(shorter(t, allowed(len(t))) for t in self.terms if allowed(len(t))))
         self.longest = max(map(len, self.terms), default=0)
-        self.stem_sizes = sorted({len(t) for t, s in zip(self.terms, self.stems, strict=True) if s})
+        self.edits = allowed(self.longest)
         self.stem_set = {t for t, s in zip(self.terms, self.stems, strict=True) if s}
+        sizes = {len(t) for t in self.stem_set}
+        self.stem_sizes = sorted(sizes)
+        near = {(k + d, allowed(k)) for k in sizes if allowed(k) for d in range(-allowed(k), allowed(k) + 1)}
+        self.prefixes = sorted((k, max(e for n, e in near if n == k)) for k in {n for n, _ in near})
 
     def likely(self, word: str) -> bool:
         """Whether the automaton could meet a term: never false where it would."""
         if any(word[:k] in self.stem_set for k in self.stem_sizes):
             return True
-        if len(word) > self.longest + 1:
+        if len(word) <= self.longest + self.edits:
+            if word in self.forms or any(x in self.forms for x in shorter(word)):
+                return True
+            if self.edits > 1 and len(word) >= LONG - 2 and any(x in self.forms for x in shorter(word, 2)):
+                return True
+        if len(word) < 5:
             return False
-        return word in self.forms or any(x in self.forms for x in shorter(word))
+        for k, edits in self.prefixes:
+            if len(word) > k:
+                start = word[:k]
+                if start in self.forms or any(x in self.forms for x in shorter(start, edits)):
+                    return True
+        return False
 
     def look_up(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the nearest term within the word's allowance, or None.
+        """(term, edits) of the nearest term within the allowance of word and term, or None.
 
-        Walks the trie with the automaton of the word: a state is the row of edit
+        Walks the tries with the automaton of the word: a state is the row of edit
         distances between the trie's path and every prefix of the word; a path whose
         row holds nothing within the allowance is left. A stem is met where the row is
-        within the allowance for some prefix of the word, exactly if the word goes on.
+        within the allowance for some prefix of the word. For terms of SWAPS letters and
+        more, swapped neighbours are one edit.
         """
-        allow = 1 if len(word) >= 5 else 0
+        allow = 0 if len(word) < 5 else self.edits
         best: tuple[int, int] | None = None
-        stack = [(self.root, list(range(len(word) + 1)), "")]
-        while stack:
-            node, row, path = stack.pop()
-            if node.term >= 0:
-                edits = row[-1] if row[-1] <= allow and len(path) >= 5 or row[-1] == 0 else None
-                if node.stem and word.startswith(path):
-                    edits = 0
-                if edits is not None and (best is None or edits < best[1]):
-                    best = (node.term, edits)
-            for c, below in node.next.items():
-                step = [row[0] + 1]
-                for k, w in enumerate(word, 1):
-                    step.append(min(row[k] + 1, step[k - 1] + 1, row[k - 1] + (w != c)))
-                if min(step) <= allow:
-                    stack.append((below, step, path + c))
+        for root, swaps in ((self.root, False), (self.long_root, True)):
+            stack = [(root, list(range(len(word) + 1)), None, "")]
+            while stack:
+                node, row, before, path = stack.pop()
+                if node.term >= 0:
+                    edits = min(row) if node.stem else row[-1]
+                    if edits <= min(allow, allowed(len(path))) and (best is None or edits < best[1]):
+                        best = (node.term, edits)
+                for c, below in node.next.items():
+                    step = [row[0] + 1]
+                    for k, w in enumerate(word, 1):
+                        d = min(row[k] + 1, step[k - 1] + 1, row[k - 1] + (w != c))
+                        if swaps and before and k > 1 and w == path[-1] and word[k - 2] == c:
+                            d = min(d, before[k - 2] + 1)
+                        step.append(d)
+                    if min(step) <= allow:
+                        stack.append((below, step, row, path + c))
         return best
 
     def find(self, word: str) -> tuple[int, int] | None:

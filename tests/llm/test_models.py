@@ -100,6 +100,49 @@ def test_automaton_equals_edit_distance():
             assert lex.likely(w)
 
 
+@pytest.mark.parametrize(
+    ("word", "term"),
+    [("ldiots", 0), ("idoots", 0), ("idiotically", 0), ("iidiotic", 0), ("idea", None), ("degenerate", 1), ("dgeenerate", 1), ("degenrat", 1), ("degenerrrrate", None), ("basatrd", 2), ("batsrad", None)],
+)
+def test_misspelled_stems_swaps_and_long_terms(word, term):
+    lex = toxicity.Lexicon(["idiot", "degenerate", "bastard"], [True, False, False], [5.0] * 3, -2.0, {})
+    hit = lex.find(word)
+    assert (hit[0] if hit else None) == term
+
+
+def swap_distance(a, b):
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_long_terms_and_stems_equal_brute_force():
+    rng = random.Random(8)
+    terms, stems = ["abcabca", "bcaabcab", "cabbacabc", "abacb", "bbcaccaa"], [False, False, False, True, True]
+    lex = toxicity.Lexicon(terms, stems, [1.0] * 5, 0.0, {})
+    for _ in range(4000):
+        w = "".join(rng.choice("abc") for _ in range(rng.randrange(5, 12)))
+        if rng.random() < 0.7:
+            w = list(rng.choice(terms) + "ca"[: rng.randrange(3)])
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = rng.choice("abc")
+            w = "".join(w)
+        found = []
+        for t, s in zip(terms, stems, strict=True):
+            far = swap_distance if len(t) >= 7 else distance
+            edits = min(far(t, w[:k]) for k in range(len(w) + 1)) if s else far(t, w)
+            if edits <= (1 if len(t) < 8 else 2):
+                found.append(edits)
+        hit = lex.look_up(w)
+        assert (hit[1] if hit else None) == (min(found) if found else None)
+        if hit:
+            assert lex.likely(w)
+
+
 def test_quotation_lowers_the_score():
     plain = toxicity._score(lexicon({"quoted": -3.0}), "you are an idiot and more")[0]
     quoted = toxicity._score(lexicon({"quoted": -3.0}), 'he wrote "what an idiot" and more')[0]
