@@ -19,7 +19,7 @@ def nearest_station(df: DataFrame, stations: DataFrame, reach_cells: int = 8) ->
     A small table, by its checked size, is one array held beside every row. A larger one
     meets the rows in grid cells of growing reach, and only rows that find none within
     one reach go on to the next; the last step takes whatever remains against all
-    stations of the nearest occupied cells by ring.
+    stations.
     """
     key = [c for c in df.columns]
     if stations.limit(BROADCAST_STATIONS + 1).count() <= BROADCAST_STATIONS:
@@ -50,13 +50,18 @@ def _nearest_by_grid(df: DataFrame, stations: DataFrame, reach: int) -> DataFram
         near = near.withColumn("cx", F.explode(G.neighbours(F.col("cx0"))))
         placed = table.withColumns({"cy": G.cell(F.col("slat"), cell), "cx": G.cell(F.col("slng"), cell)})
         d = G.haversine_m(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-        best = near.join(placed, ["cy", "cx"]).groupBy("__id", "lat").agg(F.min(F.struct(d.alias("d"), "i", "name")).alias("__best"))
-        edge = F.radians(F.lit(cell)) * G.RADIUS_M * F.cos(F.radians(F.col("lat")))
-        good = best.filter((F.col("__best.d") <= edge) | F.lit(width * 2 > reach * 64)).select("__id", "__best")
+        best = near.join(placed, ["cy", "cx"]).groupBy("__id", "lat", "lng").agg(F.min(F.struct(d.alias("d"), "i", "name")).alias("__best"))
+        # how far the next meridian of cells is at least; cells do not go on across 180 degrees
+        edge = F.asin(F.cos(F.radians(F.col("lat"))) * F.sin(F.radians(F.lit(cell)))) * G.RADIUS_M
+        good = best.filter((F.col("__best.d") <= edge) & (F.abs("lng") + cell <= 180)).select("__id", "__best")
         sure = sure.unionByName(todo.join(good, "__id"))
         todo = todo.join(good, "__id", "left_anti")
         width *= 4
-    return sure.unionByName(todo.withColumn("__best", F.lit(None).cast("struct<d:double,i:bigint,name:string>")))
+    # the rest, few by then, meet all stations, in blocks
+    blocks = table.groupBy(F.pmod(F.xxhash64("i"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("i", "name", "slat", "slng")).alias("__s"))
+    each = F.transform("__s", lambda s: F.struct(G.haversine_m(F.col("lat"), F.col("lng"), s["slat"], s["slng"]).alias("d"), s["i"].alias("i"), s["name"].alias("name")))
+    far = todo.select("__id", "lat", "lng").crossJoin(blocks.select("__s")).select("__id", F.array_min(each).alias("b"))
+    return sure.unionByName(todo.join(far.groupBy("__id").agg(F.min("b").alias("__best")), "__id", "left"))
 
 
 def within_radius(df: DataFrame, features: DataFrame, radius_m: float = 300.0, key: str = "listing_id") -> DataFrame:

@@ -130,3 +130,13 @@ def test_nearest_by_grid_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(enrich, "BROADCAST_STATIONS", 1)
     grid = sorted(map(tuple, enrich.nearest_station(points, stations).select("listing_id", "station", "station_m").collect()), key=str)
     assert whole == grid and not math.isnan(whole[0][2])
+
+
+def test_remote_rows_get_their_nearest_station_by_the_grid_too(spark, monkeypatch):
+    stations = spark.createDataFrame([(0, "A", 41.0, -73.7), (1, "B", 41.2, -73.5), (2, "C", 10.0, 179.9)], "idx long, name string, lat double, lng double")
+    points = spark.createDataFrame([(1, 41.0, -73.6), (2, 5.0, -30.0), (3, 10.0, -179.9), (4, 60.0, -100.0), (5, None, 1.0)], "listing_id long, lat double, lng double")
+    found = []
+    for most in (5_000, 1):
+        monkeypatch.setattr(enrich, "BROADCAST_STATIONS", most)
+        found.append({r.listing_id: (r.station, r.station_m) for r in enrich.nearest_station(points, stations).collect()})
+    assert found[0] == found[1] and found[1][3][0] == "C" and found[1][2][0] is not None and found[1][5] == (None, None)
