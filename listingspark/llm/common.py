@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +17,23 @@ from listingspark.session import ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Rows of an Arrow batch; with texts of up to some 100 KB a batch stays under 60 MB.
+#: Rows of an Arrow batch in jobs of an operator's own. In plans that it returns Spark's bound on a
+#: batch's bytes holds; workers take slices of any batch by the bytes of their texts.
 BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``. Where that is unset, as in tests
-    on one machine, a temporary folder is made and becomes the checkpoint folder.
+    Where that is unset and everything runs in one process, as in tests, a temporary folder
+    is made and becomes the checkpoint folder. On a cluster executors would not see
+    each other's files there, so that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else "file://" + found
@@ -44,12 +51,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         ship_package(spark)
 
+    @contextmanager
+    def small_batches(self) -> Iterator[None]:
+        """Jobs run inside send workers BATCH_ROWS rows at a time; the caller's setting comes back."""
+        key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+        before = conf.get(key)
+        conf.set(key, str(BATCH_ROWS))
+        try:
+            yield
+        finally:
+            conf.set(key, before)
+
     def table(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.path}/{label}"
-        df.write.parquet(path)
+        with self.small_batches():
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, label: str) -> str:

@@ -1,23 +1,26 @@
 """Language-model scoring with a hashed maximum-entropy model and class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class, context). The frequent words
-fill classes of equal width by rank; every other word is of the last class. Log-linear
-features of the context (the word before, the word before that as a skip, and both
-together) are hashed to rows of weights over classes, and the class with the word before
-to rows of weights over the words of a class. The last class branches on by the word's
-hash, WIDTH ways at each level, with the word before as context at every branch; the
-levels and the hashed rows grow with the counted vocabulary. Within a leaf a word has its
-smoothed share of the leaf's count, so that the model sums to one over all words.
-
-Counting and training go over every training document. Words are counted with map-side
-combining; the commonest are broadcast up to a fixed number, all others meet their
-counts in a shuffle join, where no word is frequent enough to be hot. Weights are
-trained by gradient steps in parallel workers, whose changes are averaged.
+The frequent words are units of their own; every other word, known or not, belongs to the
+unit of its form, a hash of its ending. P(word | context) is P(class | context) *
+P(unit | class, word before) * P(word | unit). Classes are groups of units that stand
+beside the same frequent words. The class is a log-linear softmax over three features of the
+context hashed to rows of weights: the word before, the word before that (a skip), and
+both together. Below its class a unit is found by choices among BRANCH branches with one
+feature each, the choice with the word before; for one feature a context the
+maximum of the likelihood is known, its smoothed counts, so one gradient sum gives it.
+A word has its smoothed share of its form's count, and one unseen word a form has a share
+too, so that the model sums to one.
+
+All sums over the corpus, counts and gradients alike, are whole numbers (gradients in
+units of 1 / SCALE), so that neither the partitioning nor the order of rows changes a
+score. Texts are read twice: to count their words, and to write their units. Every later
+pass reads two bytes a token. A pass's sums have a fixed size, are added up as a stream by
+block and come to the driver as one table of weights.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,29 +34,42 @@ from listingspark.llm.common import Scratch, id_remainder
 U = np.uint64
 #: Counted words that are broadcast, at most; further ones are joined.
 HEAD = 1 << 19
-#: Classes of frequent words, words of a class, the least and most hashed rows of either kind of weights.
-CLASSES, WIDTH, ROWS, MOST_ROWS = 31, 64, 1 << 13, 1 << 16
-#: Levels below the last class, at most; its leaves are then WIDTH to that power.
-LEVELS = 3
-#: Step sizes of class and of word weights.
-CLASS_RATE, WORD_RATE = 0.03, 0.5
-STEP = 8192
-#: Tokens that one worker trains on, about; its changes are a few megabytes.
-WORKER_TOKENS = 8_000_000
+#: Units, of which the first FORMS are forms; two bytes hold a unit.
+UNITS, FORMS = 1 << 15, 1 << 11
+#: Occurrences from which a word is a unit of its own.
+LEAST_UNIT = 5
+#: Frequent words that tell the classes apart, classes, and branches of a choice.
+BEACONS, CLASSES, BRANCH = 32, 32, 32
+#: Hashed rows of the word before, of the skip and of both; rows of choices below the classes.
+ROWS, NODE_ROWS = (1 << 14, 1 << 14, 1 << 15), 1 << 16
+#: Words before that have rows of their own below the classes; the others stand for their class.
+OWN = 1 << 13
+#: Occurrences that a row's prior weighs: of the three class features, and of a choice.
+PRIOR, NODE_PRIOR = (8.0, 8.0, 64.0), 100.0
+#: Sixteenths of the training texts that each gradient round reads; together all of them.
+ROUNDS = ((0, 2), (2, 5), (5, 10), (10, 16))
+PARTS = 16
+#: Step of a round, and occurrences that keep rows with few from wide steps.
+RATE, CALM = 0.6, 8.0
+#: Shares of a class as whole numbers.
+SCALE = 1 << 12
+#: Bound of a weight; three of them stay far within what float32 exponentials bear.
+MOST_WEIGHT = 12.0
+STEP = 16384
+BLOCKS = 32
 #: Stands for the end of a text; no word hashes are made this way.
 END = U(0x5D1E0FAD5D1E0FAD)
-START = U(0x57A27A1157A27A11)
 
 
 class Table:
-    """Counts by 64-bit key, by open addressing in numpy arrays."""
+    """Places of 64-bit keys, by open addressing in numpy arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(len(keys) * 2).bit_length())
         self.shift = U(64 - bits)
         self.mask = (1 << bits) - 1
         self.keys = np.zeros(1 << bits, dtype=U)
-        self.values = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.full(1 << bits, -1, dtype=np.int32)
         left, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
         while len(left):
             free = self.values[slot] < 0
@@ -79,306 +95,433 @@ class Table:
 
 
 @dataclass
-class Model:
-    """The model's arrays; ``place`` gives a frequent word's class * WIDTH + position."""
-
-    place: Table
-    head: Table
-    class_bias: np.ndarray
-    word_bias: np.ndarray  # (classes + branches of the last class) x width
-    class_rows: np.ndarray  # hashed rows x (classes + 1)
-    word_rows: np.ndarray  # hashed rows x width
-    leaf_log: np.ndarray  # log10 of what the smoothed counts of each leaf of the last class add up to
-
-    @property
-    def levels(self) -> int:
-        return levels_of(len(self.leaf_log))
-
-    def start(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.class_rows.copy(), self.word_rows.copy()
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with the hashes of their tokens, an end after each text, and offsets."""
-    for part in H.chunks(batch, "text", 2 << 20):
-        h, at, _, _ = H.words(part.column("text"))
-        n = np.diff(at)
-        out = np.empty(len(h) + len(n), dtype=U)
-        edge = np.concatenate([[0], np.cumsum(n + 1)])
-        keep = np.ones(len(out), dtype=bool)
-        keep[edge[1:] - 1] = False
-        out[keep] = h
-        out[~keep] = END
-        yield part, out, edge
-
-
-def _contexts(tokens: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token and the one before that; starts of texts count as words."""
-    one = np.empty_like(tokens)
-    one[1:], one[0] = tokens[:-1], START
-    one[edge[:-1]] = START
-    two = np.empty_like(tokens)
-    two[2:], two[:2] = tokens[:-2], START
-    two[edge[:-1]] = START
-    second = edge[:-1] + 1
-    two[second[second < edge[1:]]] = START
-    return one, two
-
-
-def levels_of(leaves: int) -> int:
-    """Levels of the last class that has so many leaves."""
-    return (leaves.bit_length() - 1) // (WIDTH.bit_length() - 1)
-
-
-def sizes(words: int) -> tuple[int, int]:
-    """(levels of the last class, hashed rows) for so many counted words.
-
-    A leaf holds WIDTH words on average, and a word has a row of its own, as far as the
-    bounds on memory go.
-    """
-    levels = 0
-    while levels < LEVELS and words - CLASSES * WIDTH > WIDTH ** (levels + 1):
-        levels += 1
-    rows = ROWS
-    while rows < min(words, MOST_ROWS):
-        rows *= 2
-    return levels, rows
-
-
-def _leaves(tokens: np.ndarray, levels: int) -> np.ndarray:
-    """The leaf of the last class that a word would be in: the leading bits of its hash."""
-    bits = levels * (WIDTH.bit_length() - 1)
-    return (tokens >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-
-
-def _choices(place: np.ndarray, leaf: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, node, branch) of every choice below the classes; classes are the first nodes."""
-    inner, far = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
-    at, node, branch = [inner], [place[inner] // WIDTH], [place[inner] % WIDTH]
-    first = CLASSES
-    for k in range(levels):
-        path = leaf[far] // WIDTH ** (levels - 1 - k)
-        at.append(far)
-        node.append(first + path // WIDTH)
-        branch.append(path % WIDTH)
-        first += WIDTH**k
-    return np.concatenate(at), np.concatenate(node), np.concatenate(branch)
-
-
-def _rows(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
-    """Hashed class-weight rows, of ``n``, of the three features, tokens x 3."""
-    top = U(64 - n.bit_length() + 1)
-    return np.stack(
-        [
-            (H.mix(one ^ U(0x1111)) >> top).astype(np.int64),
-            (H.mix(two ^ U(0x2222)) >> top).astype(np.int64),
-            (H.mix(H.fold([two, one]) ^ U(0x3333)) >> top).astype(np.int64),
-        ],
-        axis=1,
-    )
+class Words:
+    """The broadcast head of the vocabulary, by falling count; the first ``own`` are units."""
 
+    table: Table
+    counts: np.ndarray
+    own: int
+    form_log: np.ndarray  # log10 of what the smoothed counts of each form add up to
 
-def _word_rows(one: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
-    return (H.mix(one ^ (node.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)) >> U(64 - n.bit_length() + 1)).astype(np.int64)
+    def units(self, place: np.ndarray, form: np.ndarray) -> np.ndarray:
+        return np.where((place >= 0) & (place < self.own), place + FORMS, form)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
-
-
-def _class_logits(rows: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + bias
-
-
-def _descend(weights: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-    """One step: each row moves by the sum of its gradients over the root of their number."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # rows are under MOST_ROWS: a radix sort
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    sums = np.add.reduceat(gradient[order], first, axis=0)
-    n = np.diff(np.append(first, len(rows))).astype(np.float32)
-    weights[rows[first]] -= np.float32(rate) * sums / (np.sqrt(n) * (1 + np.sqrt(n)))[:, None]
-
-
-def _train(model: Model):
-    """Gradient steps over the texts of one worker; emits the changes of its weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        wc, ww = m.start()
-        seen = 0
-        for batch in batches:
-            for _, tokens, edge in _texts(batch):
-                one, two = _contexts(tokens, edge)
-                place = m.place.get(tokens)
-                cls = np.where(place >= 0, place // WIDTH, CLASSES)
-                rows, leaf = _rows(one, two, len(wc)), _leaves(tokens, m.levels)
-                for k in range(0, len(tokens), STEP):
-                    s = slice(k, k + STEP)
-                    g = np.exp(_log_softmax(_class_logits(rows[s], m.class_bias, wc)))
-                    g[np.arange(len(g)), cls[s]] -= 1
-                    for f in range(3):
-                        _descend(wc, rows[s, f], g, CLASS_RATE)
-                    at, node, branch = _choices(place[s], leaf[s], m.levels)
-                    if len(at):
-                        r = _word_rows(one[s][at], node, len(ww))
-                        g = np.exp(_log_softmax(ww[r] + m.word_bias[node]))
-                        g[np.arange(len(g)), branch] -= 1
-                        _descend(ww, r, g, WORD_RATE)
-                seen += len(tokens)
-        if seen:
-            delta = np.concatenate([(wc - m.class_rows).reshape(-1), (ww - m.word_rows).reshape(-1)])
-            parts = np.array_split(delta, BLOCKS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())],
-                ["block", "seen", "delta"],
-            )
-
-    return run
-
-
-BLOCKS = 32
+@dataclass
+class Shape:
+    """Classes of the units and the choices that lead from a class to a unit."""
 
+    cls: np.ndarray  # class of each unit
+    node: np.ndarray  # units x 3, the node of each choice or -1
+    branch: np.ndarray  # units x 3
+    prior: np.ndarray  # nodes x BRANCH, shares without a context
+    last: np.ndarray  # the last branch of each node; hashed rows may hold counts of more
+    class_prior: np.ndarray
+    near: np.ndarray  # what a unit counts as when it is the word before; START last
 
-def _averaged(changes: DataFrame, size: int) -> np.ndarray:
-    """Changes of all workers, each weighed by its tokens; one block of weights a group."""
 
-    def merge(pdf):
-        import pandas as pd
+@dataclass
+class Model:
+    shape: Shape
+    weights: np.ndarray  # hashed rows of all features x classes
+    node_counts: np.ndarray  # NODE_ROWS x BRANCH
+    node_upto: np.ndarray  # their running sums over the branches
 
-        total = max(1, int(pdf["seen"].sum()))
-        mean = sum(np.frombuffer(d, "<f4").astype(np.float64) * (n / total) for d, n in zip(pdf["delta"], pdf["seen"], strict=True))
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "delta": [mean.astype("<f4").tobytes()]})
 
-    found = {r["block"]: r["delta"] for r in changes.groupBy("block").applyInPandas(merge, "block int, delta binary").collect()}
-    sizes = [len(x) for x in np.array_split(np.zeros(size, np.int8), BLOCKS)]
-    return np.concatenate([np.frombuffer(found[k], "<f4") if k in found else np.zeros(n, np.float32) for k, n in enumerate(sizes)])
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a batch with the hashes and forms of their tokens, an end after each text, and offsets."""
+    for part in H.chunks(batch, "text", 2 << 20):
+        column = part.column("text")
+        h, at, a, b = H.words(column)
+        n = np.diff(at)
+        edge = np.concatenate([[0], np.cumsum(n + 1)])
+        ends = edge[1:] - 1
+        inner = np.ones(len(h) + len(n), dtype=bool)
+        inner[ends] = False
+        out, form = np.empty(len(inner), dtype=U), np.zeros(len(inner), dtype=np.int32)
+        out[inner], out[ends] = h, END
+        form[inner] = _forms(column, a, b)
+        yield part, out, form, edge
+
+
+def _forms(column: pa.Array, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The form of each word: a hash of its last four bytes."""
+    data, at = H.buffers(column)
+    data = data[int(at[0]) : int(at[-1])]
+    x = np.zeros(len(end), dtype=U)
+    for k in range(1, 5):
+        byte = H.LOWER[data[np.maximum(end - k, start)]].astype(U)
+        x = (x << U(8)) | np.where(end - k >= start, byte, U(0))
+    return (H.mix(x + U(1)) >> U(64 - FORMS.bit_length() + 1)).astype(np.int32)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of tokens, combined in the task over some millions of them at a time."""
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
 
     def flush() -> pa.RecordBatch:
-        words, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["h", "c"])
+        forms = np.concatenate([x[1] for x in held])
+        words, first, counts = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(forms[first]), pa.array(counts)], ["h", "form", "c"])
 
     for batch in batches:
-        for _, tokens, _ in _texts(batch):
-            held.append(tokens)
+        for _, tokens, form, _ in _texts(batch):
+            held.append((tokens, form))
             n += len(tokens)
-            if n > 4_000_000:
+            if n > 3_000_000:
                 yield flush()
                 held, n = [], 0
     if held:
         yield flush()
 
 
-def _scorer(model, log_all: float):
-    """Per text: what the broadcast counts and the model settle, and the words they do not know."""
+def head_count(vocabulary: DataFrame, most: int) -> int:
+    """The smallest count at which at most ``most`` words occur so often, exactly.
+
+    Counts are first taken by their leading ten bits, then those of the bucket in which
+    the bound falls one by one, so that either table has some ten thousand rows at most
+    (the second some more where a count passes 2^24).
+    """
+    lead = F.greatest(F.length(F.bin("c")) - 10, F.lit(0))
+    coarse = F.expr("shiftleft(shiftright(c, greatest(length(bin(c)) - 10, 0)), greatest(length(bin(c)) - 10, 0))")
+    above, edge = 0, None
+    for r in vocabulary.groupBy(coarse.alias("low"), lead.alias("bits")).count().orderBy(F.col("low").desc()).collect():
+        if above + r["count"] > most:
+            edge = (r["low"], r["low"] + (1 << r["bits"]))
+            break
+        above += r["count"]
+    if edge is None:
+        return 1
+    least = edge[1]
+    inside = vocabulary.filter((F.col("c") >= edge[0]) & (F.col("c") < edge[1]))
+    for r in inside.groupBy("c").count().orderBy(F.col("c").desc()).collect():
+        above += r["count"]
+        if above > most:
+            break
+        least = r["c"]
+    return least
+
+
+def known_words(vocabulary: DataFrame) -> tuple[Words, np.ndarray]:
+    """The head of the vocabulary, and what the smoothed counts of each unit add up to."""
+    head = vocabulary.filter(F.col("c") >= head_count(vocabulary, HEAD)).toArrow()
+    keys, counts, forms = head["h"].to_numpy().view(U), head["c"].to_numpy(), head["form"].to_numpy()
+    order = np.lexsort((keys, -counts))
+    keys, counts, forms = keys[order], counts[order], forms[order]
+    own = int(min(UNITS - FORMS, np.searchsorted(-counts, -LEAST_UNIT, side="right")))
+    found = vocabulary.groupBy("form").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+    mass = np.zeros(UNITS)
+    mass[:FORMS] = 0.1
+    mass[found["form"].to_numpy()] += found["c"].to_numpy() + 0.1 * found["n"].to_numpy()
+    np.subtract.at(mass, forms[:own], counts[:own] + 0.1)
+    mass[:FORMS] = np.maximum(mass[:FORMS], 0.1)  # a form without other words keeps the unseen one
+    mass[FORMS : FORMS + own] = counts[:own]
+    return Words(Table(keys, np.arange(len(keys))), counts, own, np.log10(mass[:FORMS])), mass
+
+
+def _encoder(words, log_all: float):
+    """Per text: what the broadcast counts settle, its units, and the words they do not know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m = model.value
+        w = words.value
         row = TaskContext.get().partitionId() << 36
+        log_counts = np.log10(np.append(w.counts, 0.9) + 0.1)  # the last one, log 1, for words without a count
+        log_counts[-1] = 0.0
         for batch in batches:
-            for part, tokens, edge in _texts(batch):
+            for part, tokens, form, edge in _texts(batch):
                 n = np.diff(edge)
-                one, two = _contexts(tokens, edge)
-                place, count = m.place.get(tokens), m.head.get(tokens)
-                known = count >= 0
-                log_count = np.where(known, np.log10(np.maximum(count, 0) + 0.1), 0.0)
-                cls = np.where(place >= 0, place // WIDTH, CLASSES)
-                rows, leaf = _rows(one, two, len(m.class_rows)), _leaves(tokens, m.levels)
-                log = np.empty(len(tokens))
-                for k in range(0, len(tokens), STEP):
-                    s = slice(k, k + STEP)
-                    x = _log_softmax(_class_logits(rows[s], m.class_bias, m.class_rows))
-                    log[s] = x[np.arange(len(x)), cls[s]]
-                    at, node, branch = _choices(place[s], leaf[s], m.levels)
-                    if len(at):
-                        x = _log_softmax(m.word_rows[_word_rows(one[s][at], node, len(m.word_rows))] + m.word_bias[node])
-                        log[s] += np.bincount(at, x[np.arange(len(x)), branch], len(place[s]))
-                log = log / np.log(10) + np.where(place >= 0, 0.0, log_count - m.leaf_log[leaf])
-                sums = [np.add.reduceat(x, edge[:-1]) if len(n) else x[:0] for x in (log_count - log_all, log, known.astype(np.int64))]
+                place = w.table.get(tokens)
+                known = place >= 0
+                log_count = log_counts[place]
+                units = w.units(place, form)
+                share = np.where(units < FORMS, log_count - w.form_log[np.minimum(units, FORMS - 1)], 0.0)
+                sums = [np.add.reduceat(x, edge[:-1]) if len(n) else x[:0] for x in (log_count - log_all, share, known.astype(np.int64))]
                 far = np.flatnonzero(~known)
                 owner = np.searchsorted(edge, far, side="right") - 1
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)), pa.array(tokens[far].view(np.int64))
                 )
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * edge).astype(np.int32)), pa.py_buffer(units.astype("<u2"))])
                 ids = pa.array(np.arange(row, row + len(n)))
                 row += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, part.column("id"), pa.array(n), *map(pa.array, sums), lists], ["row", "id", "n", "base", "score", "known", "far"]
+                    [ids, part.column("id"), part.column("part"), pa.array(n), *map(pa.array, sums), lists, data],
+                    ["row", "id", "part", "n", "base", "share", "known", "far", "units"],
                 )
 
     return run
 
 
-def _leaf_mass(vocabulary: DataFrame, keys: np.ndarray, counts: np.ndarray, levels: int) -> np.ndarray:
-    """What the smoothed counts of each leaf add up to, one unseen word included, without the frequent ``keys``."""
-    bits = levels * (WIDTH.bit_length() - 1)
-    leaf = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    found = vocabulary.groupBy(leaf.alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
-    mass = np.full(WIDTH**levels, 0.1)
-    mass[found["leaf"].to_numpy()] += found["c"].to_numpy() + 0.1 * found["n"].to_numpy()
-    at = _leaves(keys, levels)
-    np.subtract.at(mass, at, counts + 0.1)
-    return np.maximum(mass, 0.1)  # a leaf without other words keeps the unseen one
+def _unit_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices with their units, about ``most`` tokens or one text, and offsets."""
+    for batch in batches:
+        for part in H.chunks(batch, "units", 2 * most):
+            data, at = H.buffers(part.column("units"))
+            units = data[int(at[0]) : int(at[-1])].view("<u2").astype(np.int64)
+            yield part, units, (at - at[0]) // 2
+
+
+def _contexts(units: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit before each token and the one before that; UNITS stands before a text."""
+    one, two = np.empty_like(units), np.empty_like(units)
+    one[1:], two[2:] = units[:-1], units[:-2]
+    one[:1] = two[:2] = UNITS
+    starts = edge[:-1]
+    one[starts] = two[starts] = UNITS
+    second = starts + 1
+    two[second[second < edge[1:]]] = UNITS
+    return one, two
+
+
+def _hashed(x: np.ndarray, rows: int) -> np.ndarray:
+    return (H.mix(x.astype(U)) >> U(64 - rows.bit_length() + 1)).astype(np.int64)
+
+
+def _feature_rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """The rows of the three features of each token, over all features."""
+    single = np.arange(1, UNITS + 2)
+    before, skip = _hashed(single, ROWS[0]), _hashed(single << 20, ROWS[1])
+    return [before[one], ROWS[0] + skip[two], ROWS[0] + ROWS[1] + _hashed(((one + 1) << 40) | (two + 1), ROWS[2])]
+
+
+def _node_rows(near: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return _hashed((near << 32) | (node + 1), NODE_ROWS)
+
+
+def _summed(table: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """What ``sums`` adds up over the partitions of ``table``: whole numbers, ``size`` of them.
+
+    Each task sends blocks of its sums; those of one block meet in one task, which adds
+    them up as they come.
+    """
+    spark = table.sparkSession
+    edges = np.linspace(0, size, BLOCKS + 1).astype(np.int64)
+    schema = "block int, sums binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sums(batches)
+        for k in range(BLOCKS):
+            x = found[edges[k] : edges[k + 1]]
+            if x.any():
+                small = np.abs(x).max() < 1 << 31
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(b"4" if small else b"8") + x.astype("<i4" if small else "<i8").tobytes()], pa.binary())], ["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+                raw = np.frombuffer(x.as_buffer(), np.uint8)
+                values = np.frombuffer(raw[1:].tobytes(), f"<i{chr(raw[0])}")
+                held[k] = held[k] + values if k in held else values.astype(np.int64)
+        for k, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<i8").tobytes()], pa.binary())], ["block", "sums"])
+
+    few = table.coalesce(2 * spark.sparkContext.defaultParallelism)  # each task sends as much, however little it reads
+    out = np.zeros(size, np.int64)
+    for r in few.mapInArrow(send, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect():
+        out[edges[r["block"]] : edges[r["block"] + 1]] += np.frombuffer(r["sums"], "<i8")
+    return out
+
+
+def _beside(beacon: np.ndarray):
+    """Counts of beacons one and two before and one behind each unit."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(UNITS * BEACONS, np.int64)
+        place = np.full(UNITS + 1, -1)
+        place[beacon] = np.arange(len(beacon))
+        for _, units, edge in _unit_slices(batches, 1 << 20):
+            one, two = _contexts(units, edge)
+            here = place[units]
+            for of, b in ((units, place[one]), (units, place[two]), (one, here)):
+                at = np.flatnonzero((b >= 0) & (of < UNITS))
+                out += np.bincount(of[at] * BEACONS + b[at], minlength=len(out))
+        return out
+
+    return sums
+
 
+def classes(beside: np.ndarray) -> np.ndarray:
+    """A class for each unit: groups whose beacons have the same distribution.
 
-def train_model(scratch: Scratch, train: DataFrame, vocabulary: DataFrame, total: int, words: int) -> Model:
-    """Counts of the head from ``vocabulary`` (h, c), then weights from ``train`` (text)."""
+    Hard expectation steps over multinomials, from units far from each other on.
+    """
+    m = beside.reshape(UNITS, BEACONS).astype(np.float64)
+    overall = (m.sum(axis=0) + 1) / (m.sum() + BEACONS)
+    tops = np.argsort(-m.sum(axis=1), kind="stable")[:2000]
+    sides = np.sqrt((m[tops] + overall) / (m[tops].sum(axis=1) + 1)[:, None])
+    seeds, nearest = [0], sides @ sides[0]
+    for _ in range(CLASSES - 1):
+        k = int(np.argmax((1 - nearest) * np.log1p(m[tops].sum(axis=1))))
+        seeds.append(k)
+        nearest = np.maximum(nearest, sides @ sides[k])
+    theta = m[tops[seeds]] + 20 * overall
+    share = np.ones(CLASSES)
+    cls = np.zeros(UNITS, np.int64)
+    for _ in range(15):
+        fit = m @ np.log(theta / theta.sum(axis=1, keepdims=True)).T + np.log(share / share.sum())
+        cls = fit.argmax(axis=1)
+        theta = np.zeros((CLASSES, BEACONS))
+        np.add.at(theta, cls, m)
+        theta += 20 * overall
+        share = np.bincount(cls, minlength=CLASSES) + 1.0
+    return cls
+
+
+def shape_of(cls: np.ndarray, mass: np.ndarray) -> Shape:
+    """Places the units of each class in a tree of choices, frequent ones together."""
+    real = np.flatnonzero(mass > 0)
+    order = real[np.lexsort((real, -mass[real], cls[real]))]
+    size = np.bincount(cls[real], minlength=CLASSES)
+    rank = np.empty(UNITS, np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    depth = 1 + (size > BRANCH) + (size > BRANCH**2)
+    node, branch = np.full((UNITS, 3), -1), np.zeros((UNITS, 3), np.int64)
+    first = 0
+    for level in range(3):
+        of = real[depth[cls[real]] > level]
+        below = BRANCH ** (depth[cls[of]] - 1 - level)  # units below one branch
+        upper = rank[of] // (below * BRANCH)
+        width = np.where(depth > level, -(-size // BRANCH ** np.maximum(depth - level, 0)), 0)
+        base = first + np.cumsum(width) - width
+        node[of, level] = base[cls[of]] + upper
+        branch[of, level] = rank[of] // below % BRANCH
+        first += int(width.sum())
+    prior, last = np.zeros((first, BRANCH)), np.zeros(first, np.int64)
+    for level in range(3):
+        of = np.flatnonzero(node[:, level] >= 0)
+        np.add.at(prior, (node[of, level], branch[of, level]), mass[of])
+        np.maximum.at(last, node[of, level], branch[of, level])
+    prior /= np.maximum(prior.sum(axis=1, keepdims=True), 1e-300)
+    sums = np.bincount(cls, mass, minlength=CLASSES)
+    near = np.arange(UNITS + 1)
+    rare = np.argsort(-mass, kind="stable")[OWN:]
+    near[rare] = UNITS + 1 + cls[rare]
+    return Shape(cls, node, branch, prior, last, sums / max(sums.sum(), 1e-300), near)
+
+
+def _choice_counts(shape):
+    """Counts of classes by feature row, and of branches by row of choices."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        s = shape.value
+        by_class, by_node = np.zeros(sum(ROWS) * CLASSES, np.int64), np.zeros(NODE_ROWS * BRANCH, np.int64)
+        for _, units, edge in _unit_slices(batches, 1 << 20):
+            one, two = _contexts(units, edge)
+            cls = s.cls[units]
+            for rows in _feature_rows(one, two):
+                by_class += np.bincount(rows * CLASSES + cls, minlength=len(by_class))
+            near = s.near[one]
+            for level in range(3):
+                at = np.flatnonzero(s.node[units, level] >= 0)
+                if len(at):
+                    rows = _node_rows(near[at], s.node[units[at], level])
+                    by_node += np.bincount(rows * BRANCH + s.branch[units[at], level], minlength=len(by_node))
+        return np.concatenate([by_class, by_node])
+
+    return sums
+
+
+def _logits(rows: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logits of the classes, within bounds that float32 exponentials bear."""
+    x = weights.take(rows[0], axis=0)
+    x += weights.take(rows[1], axis=0)
+    x += weights.take(rows[2], axis=0)
+    x += bias
+    return x
+
+
+def _bias(shape: Shape) -> np.ndarray:
+    return np.log(np.maximum(shape.class_prior, 1e-30)).astype(np.float32)
+
+
+def _gradient(model):
+    """Expected minus observed classes by feature row, in whole units of 1 / SCALE."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        shape, weights = model.value
+        bias, column = _bias(shape), np.arange(CLASSES)
+        out = np.zeros(weights.size)  # sums of whole numbers are exact up to 2^53
+        for _, units, edge in _unit_slices(batches, 1 << 18):
+            one, two = _contexts(units, edge)
+            rows, cls = _feature_rows(one, two), shape.cls[units]
+            for k in range(0, len(units), STEP):
+                some = [r[k : k + STEP] for r in rows]
+                x = np.exp(_logits(some, bias, weights))
+                x *= np.float32(SCALE) / x.sum(axis=1, keepdims=True)
+                g = np.rint(x, out=x).astype(np.float64).reshape(-1)
+                g[np.arange(len(x)) * CLASSES + cls[k : k + STEP]] -= SCALE
+                for r in some:
+                    np.add.at(out, (r[:, None] * CLASSES + column).reshape(-1), g)
+        return out.astype(np.int64)
+
+    return sums
+
+
+def first_weights(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Where training starts: of each feature a third of its rows' smoothed log ratios."""
+    weight = np.repeat(PRIOR, ROWS)[:, None]
+    share = (counts + weight * prior) / (counts.sum(axis=1, keepdims=True) + weight)
+    return np.clip(np.log(share / np.maximum(prior, 1e-30) + 1e-30) / 3 * (prior > 0), -MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
+
+
+def step(weights: np.ndarray, gradient: np.ndarray, counts: np.ndarray, prior: np.ndarray, part: float) -> np.ndarray:
+    """Weights after a round: each moves by its gradient over what it expects to see."""
+    n = counts.sum(axis=1, keepdims=True)
+    expected = part * (counts + n * prior) / 2 + CALM
+    return np.clip(weights - np.clip(RATE * gradient / SCALE / expected, -1, 1), -MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
+
+
+def train_model(train: DataFrame, words: Words, mass: np.ndarray) -> Model:
+    """The model from ``train`` (part, units): classes, choices, then rounds of gradient steps."""
     spark = train.sparkSession
+    own = np.arange(FORMS, FORMS + words.own)
+    end = words.table.get(np.array([END]))[0] + FORMS
+    beacon = own[own != end][:BEACONS]
+    units = train.select("units")
+    shape = shape_of(classes(_summed(units, _beside(beacon), UNITS * BEACONS)), mass)
+    counts = _summed(units, _choice_counts(spark.sparkContext.broadcast(shape)), sum(ROWS) * CLASSES + NODE_ROWS * BRANCH)
+    by_class = counts[: sum(ROWS) * CLASSES].reshape(-1, CLASSES)
+    by_node = counts[sum(ROWS) * CLASSES :].reshape(-1, BRANCH)
+    weights = first_weights(by_class, shape.class_prior)
+    for a, b in ROUNDS:
+        some = train.filter((F.col("part") >= a) & (F.col("part") < b)).select("units")
+        gradient = _summed(some, _gradient(spark.sparkContext.broadcast((shape, weights))), by_class.size)
+        weights = step(weights, gradient.reshape(by_class.shape), by_class, shape.class_prior, (b - a) / PARTS)
+    return Model(shape, weights, by_node.astype(np.float32), by_node.cumsum(axis=1).astype(np.float32))
+
+
+def unit_logs(model: Model, units: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log10 P(unit | the two units before)."""
+    shape, bias = model.shape, _bias(model.shape)
+    rows, cls = _feature_rows(one, two), shape.cls[units]
+    out = np.empty(len(units))
+    for k in range(0, len(units), STEP):
+        x = _logits([r[k : k + STEP] for r in rows], bias, model.weights)
+        here = x[np.arange(len(x)), cls[k : k + STEP]].astype(np.float64)
+        out[k : k + STEP] = here - np.log(np.exp(x).sum(axis=1))
+    near = shape.near[one]
+    for level in range(3):
+        at = np.flatnonzero(shape.node[units, level] >= 0)
+        if len(at):
+            node, branch = shape.node[units[at], level], shape.branch[units[at], level]
+            r = _node_rows(near[at], node)
+            share = (model.node_counts[r, branch] + NODE_PRIOR * shape.prior[node, branch]) / (model.node_upto[r, shape.last[node]] + NODE_PRIOR)
+            out[at] += np.log(np.maximum(share, 1e-300))
+    return out / np.log(10)
+
+
+def _scorer(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for part, units, edge in _unit_slices(batches, 1 << 18):
+            log = unit_logs(m, units, *_contexts(units, edge))
+            yield pa.RecordBatch.from_arrays([*part.drop_columns(["units"]).columns, pa.array(np.add.reduceat(log, edge[:-1]))], [*part.drop_columns(["units"]).schema.names, "log"])
 
-    def least_count(most: int) -> int:
-        """The smallest count at which at most ``most`` words occur so often."""
-        tall = vocabulary.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.col("c").desc()).collect()
-        held, least = 0, (1 << 16) + 1
-        for r in tall:  # one row for each count under the cap
-            held += r["count"]
-            if held > most:
-                break
-            least = r["c"]
-        return least
-
-    # the cap of counts leaves a head empty only if over ``most`` words pass it
-    head = vocabulary.filter(F.col("c") >= least_count(HEAD)).toArrow()
-    keys, counts = head["h"].to_numpy().view(U), head["c"].to_numpy()
-    order = np.lexsort((keys, -counts))[: CLASSES * WIDTH]
-    place = Table(keys[order], np.arange(len(order)))
-    tall = np.zeros(CLASSES * WIDTH)
-    tall[: len(order)] = counts[order]
-    tall = tall.reshape(CLASSES, WIDTH)
-    levels, n_rows = sizes(words)
-    mass = _leaf_mass(vocabulary, keys[order], counts[order], levels)
-    sums = np.append(tall.sum(axis=1), mass.sum())
-    rest = tall.copy()
-    rest[tall == 0] = 1e-30  # places without a word take no share
-    # each branch of the last class begins with its leaves' share
-    branches = [mass.reshape(WIDTH**k, WIDTH, -1).sum(axis=2) for k in range(levels)]
-    rest = np.concatenate([rest, *branches])
-    model = Model(
-        place,
-        Table(keys, counts),
-        np.log(np.maximum(sums, 1e-30) / max(1, sums.sum())).astype(np.float32),
-        np.log(rest / np.maximum(rest.sum(axis=1, keepdims=True), 1e-30)).astype(np.float32),
-        np.zeros((n_rows, CLASSES + 1), np.float32),
-        np.zeros((n_rows, WIDTH), np.float32),
-        np.log10(mass),
-    )
-    if total:
-        workers = max(spark.sparkContext.defaultParallelism, -(-total // WORKER_TOKENS))
-        shared = spark.sparkContext.broadcast(model)
-        changes = train.coalesce(workers).mapInArrow(_train(shared), "block int, seen long, delta binary")
-        change = _averaged(changes, model.class_rows.size + model.word_rows.size)
-        model.class_rows = change[: model.class_rows.size].reshape(model.class_rows.shape).astype(np.float32)
-        model.word_rows = change[model.class_rows.size :].reshape(model.word_rows.shape).astype(np.float32)
-    return model
+    return run
 
 
 def score_language(
@@ -396,33 +539,33 @@ def score_language(
     Defined results: a null or empty text is its end alone; rows with a null id are held
     out; repeated rows are each scored and, if in training, each counted; without
     training texts every count is 0; further columns are not read; an empty table
-    gives an empty result.
+    gives an empty result. Scores depend neither on the partitioning nor on the order of
+    the rows, but for the last digits of their sums.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     held = id_remainder("id", 10) == 0 if held_out is None else held_out
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    train = rows.filter(~held).select("text")
-    counted = train.mapInArrow(_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    vocabulary = scratch.table(counted, "vocabulary")
+    counted = rows.filter(~held).select("text").mapInArrow(_counts, "h long, form int, c long")
+    vocabulary = scratch.table(counted.groupBy("h").agg(F.sum("c").alias("c"), F.min("form").alias("form")), "vocabulary")
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("words")).collect()[0]
-    total, words = int(size["total"]), int(size["words"])
-    model = train_model(scratch, train, vocabulary, total, words)
-    log_all = float(np.log10(total + 0.1 * (words + 1)))
+    total, n_words = int(size["total"]), int(size["words"])
+    log_all = float(np.log10(total + 0.1 * (n_words + 1)))
+    words, mass = known_words(vocabulary)
     kind = rows.schema["id"].dataType.simpleString()
-    near = scratch.table(
-        rows.mapInArrow(
-            _scorer(spark.sparkContext.broadcast(model), log_all),
-            f"row long, id {kind}, n long, base double, score double, known long, far array<long>",
-        ),
-        "near",
-    )
+    parted = rows.withColumn("part", F.when(held, -1).otherwise(F.pmod(F.xxhash64("id", "text"), F.lit(PARTS))).cast("int"))
+    fields = f"row long, id {kind}, part int, n long, base double, share double, known long"
+    encoder = _encoder(spark.sparkContext.broadcast(words), log_all)
+    near = scratch.table(parted.mapInArrow(encoder, f"{fields}, far array<long>, units binary"), "near")
+    model = train_model(near.filter("part >= 0").select("part", "units"), words, mass)
+    scorer = _scorer(spark.sparkContext.broadcast(model))
+    scored = near.drop("far").mapInArrow(scorer, f"{fields}, log double")
     # words without a broadcast count: their counts by a join, then one row for each text
     far = near.select("row", F.explode("far").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
     met = scratch.table(far, "far").join(vocabulary, "h", "left")
     log = F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("far_log")
     settled = met.groupBy("row").agg(log, F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("far_known"))
-    out = near.drop("far").join(settled, "row", "left")
+    out = scored.join(settled, "row", "left")
     more = F.coalesce("far_log", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col),
@@ -431,5 +574,5 @@ def score_language(
         (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("log") + F.col("share") + more).alias("score"),
     )

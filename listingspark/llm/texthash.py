@@ -13,8 +13,8 @@ import pyarrow as pa
 U = np.uint64
 WINDOW = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SOLID = np.ones(256, dtype=bool)
 _SOLID[[32, 9, 10, 11, 12, 13]] = False
 
@@ -59,7 +59,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _segment(data: np.ndarray, doc_starts: np.ndarray, kinds: np.ndarray):
     """Word starts, ends and hashes of one window; ``doc_starts`` always end a word."""
-    low = _LOWER[data]
+    low = LOWER[data]
     solid = kinds[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]

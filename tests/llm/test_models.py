@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from listingspark.llm import decontam, lm, quality, toxicity
@@ -192,35 +193,109 @@ def test_language_model_predicts_rare_words(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.06 * sum(r.n_tokens for r in got)
 
 
-def test_language_model_grows_with_the_vocabulary():
-    found = [lm.sizes(n) for n in (10, 4_000, 100_000, 10_000_000)]
-    assert found[0] == (0, lm.ROWS) and found == sorted(found) and found[-1] == (lm.LEVELS, lm.MOST_ROWS)
+def trained(spark, rows):
+    """A model of ``rows`` with its words, and the units of some texts."""
+    vocabulary = Counter(w for t in rows for w in [*words_of(t), None])
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])
+    hashes, forms, edges = zip(*[(h, f, np.diff(e)) for _, h, f, e in lm._texts(batch)], strict=True)
+    h, f, edge = np.concatenate(hashes), np.concatenate(forms), np.concatenate([[0], np.cumsum(np.concatenate(edges))])
+    keys, first, counts = np.unique(h, return_index=True, return_counts=True)
+    assert sorted(counts) == sorted(vocabulary.values())
+    table = spark.createDataFrame([(int(k), int(c), int(x)) for k, c, x in zip(keys.view(np.int64), counts, f[first], strict=True)], "h long, c long, form int")
+    words, mass = lm.known_words(table)
+    units = words.units(words.table.get(h), f)
+    texts = [units[a:b].astype("<u2").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    train = spark.createDataFrame([(k % lm.PARTS, x) for k, x in enumerate(texts)], "part int, units binary")
+    return lm.train_model(train, words, mass), words, mass, units.astype(np.int64), edge, dict(zip(keys.tolist(), counts.tolist(), strict=True)), h, f
 
 
-def test_leaves_of_the_last_class_add_up_to_one(spark):
-    """Every word has one path of choices, and the leaves hold all counts but the frequent ones."""
-    rng = np.random.default_rng(4)
-    h = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2)
-    vocabulary = spark.createDataFrame([(int(x), int(c)) for x, c in zip(h.view(np.int64), rng.integers(1, 50, 9000), strict=True)], "h long, c long")
-    counts = {r.h: r.c for r in vocabulary.collect()}
-    top = h[:100]
-    mass = lm._leaf_mass(vocabulary, top, np.array([counts[int(x)] for x in top.view(np.int64)]), 2)
-    rest = lm._leaves(h[100:], 2)
-    want = np.full(4096, 0.1)
-    np.add.at(want, rest, [counts[int(x)] + 0.1 for x in h[100:].view(np.int64)])
-    assert np.allclose(mass, want)
-    at, node, branch = lm._choices(np.full(8900, -1), rest, 2)
-    path = {(int(n), int(b)) for n, b in zip(node[at == 7], branch[at == 7], strict=True)}
-    assert path == {(lm.CLASSES, int(rest[7]) // 64), (lm.CLASSES + 1 + int(rest[7]) // 64, int(rest[7]) % 64)}
+def some_texts(seed, n=200):
+    rng = random.Random(seed)
+    return [" ".join(f"{rng.choice(('un', 're', 'o'))}{rng.randrange(40)}" if rng.random() < 0.8 else f"x{rng.randrange(9999)}" for _ in range(rng.randrange(1, 60))) for _ in range(n)]
 
 
 def test_model_is_a_distribution(spark):
-    """For one context the model's shares of all words and of unseen ones add up to one."""
-    rng = np.random.default_rng(0)
+    """For a context the shares of all units add up to one, and so do those of a form's words."""
+    model, words, mass, units, edge, counts, h, f = trained(spark, some_texts(0))
+    real = np.flatnonzero(mass > 0)
+    one, two = lm._contexts(units, edge)
+    for k in (0, 1, 2, 50, 333):
+        logs = lm.unit_logs(model, real, np.full(len(real), one[k]), np.full(len(real), two[k]))
+        assert math.isclose((10**logs).sum(), 1, rel_tol=1e-4)
+    form_of = dict(zip(h.tolist(), f.tolist(), strict=True))
+    own = {int(x) for x, u in zip(h, units, strict=True) if u >= lm.FORMS}
+    for form in {form_of[x] for x in counts if x not in own}:
+        share = sum(counts[x] + 0.1 for x in counts if x not in own and form_of[x] == form)
+        assert math.isclose(share + 0.1, 10 ** words.form_log[form], rel_tol=1e-9)
+
+
+def test_unit_logs_and_gradient_match_plain_loops(spark):
+    """The vectorised score and gradient against loops over single tokens."""
+    model, _, _, units, edge, *_ = trained(spark, some_texts(1, 60))
+    s = model.shape
+    one, two = lm._contexts(units, edge)
+    got = lm.unit_logs(model, units, one, two)
+    gradient = np.zeros((sum(lm.ROWS), lm.CLASSES))
+    starts = set(edge[:-1].tolist())
+    for k, u in enumerate(units.tolist()):
+        before = lm.UNITS if k in starts else int(units[k - 1])
+        skip = lm.UNITS if k in starts or k - 1 in starts else int(units[k - 2])
+        assert (before, skip) == (one[k], two[k])
+        rows = [int(r[0]) for r in lm._feature_rows(np.array([before]), np.array([skip]))]
+        logits = [float(lm._bias(s)[c]) + sum(float(model.weights[r, c]) for r in rows) for c in range(lm.CLASSES)]
+        total = sum(map(math.exp, logits))
+        log = math.log(math.exp(logits[s.cls[u]]) / total)
+        for c in range(lm.CLASSES):
+            for r in rows:
+                gradient[r, c] += math.exp(logits[c]) / total - (c == s.cls[u])
+        for level in range(3):
+            node, branch = int(s.node[u, level]), int(s.branch[u, level])
+            if node >= 0:
+                r = int(lm._node_rows(np.array([s.near[before]]), np.array([node]))[0])
+                log += math.log((model.node_counts[r, branch] + lm.NODE_PRIOR * s.prior[node, branch]) / (sum(model.node_counts[r, : s.last[node] + 1]) + lm.NODE_PRIOR))
+        assert math.isclose(got[k], log / math.log(10), rel_tol=1e-4, abs_tol=1e-5)
+    texts = [units[a:b].astype("<u2").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    shared = spark.sparkContext.broadcast((s, model.weights))
+    sums = lm._gradient(shared)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["units"])]))
+    assert np.allclose(sums.reshape(gradient.shape) / lm.SCALE, gradient, atol=len(units) / lm.SCALE)
+
+
+def test_rounds_lower_the_loss(spark):
+    """Training ends nearer to the texts than it starts, and every part of them is read once."""
+    assert [x for a, b in lm.ROUNDS for x in range(a, b)] == list(range(lm.PARTS))
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.choice('ab')}{k}{rng.randrange(30)} the" for _ in range(40)) for k in ("x", "y") for _ in range(300)]
+    rng.shuffle(texts)
+    model, _, _, units, edge, *_ = trained(spark, texts)
+    one, two = lm._contexts(units, edge)
+    after = lm.unit_logs(model, units, one, two).mean()
+    model.weights = np.zeros_like(model.weights)
+    assert after > lm.unit_logs(model, units, one, two).mean() + 0.05
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = list(enumerate(some_texts(4, 400))) + [(7, "again a row"), (7, "again a row"), (None, "no id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.score, 9), round(r.base_score, 9), r.held_out)
+    one, two = (sorted(map(key, lm.score_language(docs.repartition(n, F.rand(n))).collect())) for n in (2, 7))
+    assert one == two
+    assert all(h for i, *_, h in one if i == "None") and sum(i == "7" for i, *_ in one) == 3
+
+
+def test_head_count_is_exact(spark):
+    rng = random.Random(5)
+    counts = [rng.choice([1, 2, 3, 900, 1500, 3000, 70_000, 70_001, 5_000_000]) + rng.randrange(3) for _ in range(3000)]
+    vocabulary = spark.createDataFrame([(c,) for c in counts], "c long")
+    for most in (0, 1, 5, 700, 1500, 2999, 3000, 9999):
+        least = lm.head_count(vocabulary, most)
+        assert sum(c >= least for c in counts) <= most
+        below = [c for c in counts if c < least]
+        assert not below or sum(c >= max(below) for c in counts) > most
+
+
+def test_table_finds_its_keys():
     table = lm.Table(np.arange(1, 6, dtype=np.uint64) * np.uint64(1 << 60), np.arange(5))
     assert table.get(np.array([1, 3, 7], dtype=np.uint64) * np.uint64(1 << 60)).tolist() == [0, 2, -1]
-    rows = lm._log_softmax(rng.normal(size=(4, 9)).astype(np.float32))
-    assert np.allclose(np.exp(rows).sum(axis=1), 1, atol=1e-5)
 
 
 def brute_align(a, b):
