@@ -30,25 +30,6 @@ RARE = 1e-7
 #: An item with fewer rare seeds than this takes all its n-grams as seeds.
 LEAST_SEEDS = 4
 LEAST_SCORE = 0.5
-BITS = 22
-
-
-class Members:
-    """Membership of 64-bit hashes in a small set: a bitmap, then the sorted hashes."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.map = np.zeros(1 << BITS, dtype=bool)
-        self.map[(self.keys >> U(64 - BITS)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``h`` of members, and their places among ``keys``."""
-        at = np.flatnonzero(self.map[(h >> U(64 - BITS)).astype(np.int64)])
-        if not len(self.keys):
-            return at[:0], at[:0]
-        place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        good = self.keys[place] == h[at]
-        return at[good], place[good]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -94,7 +75,7 @@ class Items:
             self.words.append(w)
         flat = np.concatenate(grams) if grams else np.zeros(0, U)
         order = np.argsort(flat, kind="stable")
-        self.seeds = Members(flat)
+        self.seeds = H.Members(flat)
         self.at = np.searchsorted(flat[order], self.seeds.keys), np.searchsorted(flat[order], self.seeds.keys, side="right")
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
@@ -145,7 +126,7 @@ class Items:
 def word_shares(docs: DataFrame, items: DataFrame, text_col: str) -> dict[int, float]:
     """Share of each word of ``items`` (one block, collected) among all words of ``docs``."""
     texts = [x[0] for x in items.select("text").collect()]
-    keys = Members(H.words(pa.array(texts, pa.string()), letters=True)[0])
+    keys = H.Members(H.words(pa.array(texts, pa.string()), letters=True)[0])
     known = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

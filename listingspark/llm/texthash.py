@@ -114,6 +114,26 @@ def words(column: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarr
     return h, np.searchsorted(a, at, side="left").astype(np.int64), a, b
 
 
+class Members:
+    """Membership of 64-bit hashes in a set: a bitmap of fixed size, then the sorted hashes."""
+
+    BITS = 22
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.map = np.zeros(1 << self.BITS, dtype=bool)
+        self.map[(self.keys >> U(64 - self.BITS)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``h`` of members, and their places among ``keys``."""
+        at = np.flatnonzero(self.map[(h >> U(64 - self.BITS)).astype(np.int64)])
+        if not len(self.keys):
+            return at[:0], at[:0]
+        place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        good = self.keys[place] == h[at]
+        return at[good], place[good]
+
+
 def fold(parts: list[np.ndarray]) -> np.ndarray:
     """One hash from the hashes of consecutive words."""
     x = parts[0]
