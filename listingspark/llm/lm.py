@@ -291,6 +291,18 @@ def _node_rows(near: np.ndarray, node: np.ndarray) -> np.ndarray:
     return _hashed((near << 32) | (node + 1), NODE_ROWS)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, most of them small, as compressed bytes: all lowest bytes first."""
+    rows = x.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(rows), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    rows = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(rows.T).view("<i8").reshape(-1)
+
+
 def _summed(table: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
     """What ``sums`` adds up over the partitions of ``table``: whole numbers, ``size`` of them.
 
@@ -306,23 +318,20 @@ def _summed(table: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndar
         for k in range(BLOCKS):
             x = found[edges[k] : edges[k + 1]]
             if x.any():
-                small = np.abs(x).max() < 1 << 31
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(b"4" if small else b"8") + x.astype("<i4" if small else "<i8").tobytes()], pa.binary())], ["block", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(x)], pa.binary())], ["block", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-                raw = np.frombuffer(x.as_buffer(), np.uint8)
-                values = np.frombuffer(raw[1:].tobytes(), f"<i{chr(raw[0])}")
-                held[k] = held[k] + values if k in held else values.astype(np.int64)
+            for k, x in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                held[k] = held[k] + unpack(x) if k in held else unpack(x)
         for k, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<i8").tobytes()], pa.binary())], ["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(x)], pa.binary())], ["block", "sums"])
 
-    few = table.coalesce(2 * spark.sparkContext.defaultParallelism)  # each task sends as much, however little it reads
+    few = table.coalesce(spark.sparkContext.defaultParallelism)  # each task sends as much, however little it reads
     out = np.zeros(size, np.int64)
     for r in few.mapInArrow(send, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect():
-        out[edges[r["block"]] : edges[r["block"] + 1]] += np.frombuffer(r["sums"], "<i8")
+        out[edges[r["block"]] : edges[r["block"] + 1]] += unpack(r["sums"])
     return out
 
 

@@ -293,6 +293,11 @@ def test_head_count_is_exact(spark):
         assert not below or sum(c >= max(below) for c in counts) > most
 
 
+def test_packed_sums_come_back():
+    for x in (np.array([0, -1, 5, 1 << 40, -(1 << 50)]), np.zeros(0, np.int64), np.arange(-500, 500)):
+        assert (lm.unpack(lm.pack(x)) == x).all() and len(lm.unpack(lm.pack(x))) == len(x)
+
+
 def test_table_finds_its_keys():
     table = lm.Table(np.arange(1, 6, dtype=np.uint64) * np.uint64(1 << 60), np.arange(5))
     assert table.get(np.array([1, 3, 7], dtype=np.uint64) * np.uint64(1 << 60)).tolist() == [0, 2, -1]
