@@ -1,11 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items are the stated query set; documents are all rows. Items come in blocks of
-bounded size, and each block is broadcast to one scan of the documents. A document meets
-an item where it holds one of the item's seeds, n-grams that chance would hardly bring
-about given the corpus's own word frequencies. Around its seeds the document is aligned
-with the item by words, and the best local alignment over the item's best possible one
-is the score, so that edited and paraphrased copies count as well as exact ones.
+bounded size, and each block is broadcast to one scan of the documents. A seed is two words
+of an item that follow each other or have one word between. A document meets an
+item where it holds enough of the item's seeds, so as well with a word between or none.
+Around its seeds the document is aligned with the item by words, and the best local
+alignment over the item's best possible one is the score, so that edited and paraphrased
+copies count as well as exact ones.
+
+The seeds reach every alignment. One of L words that scores least * 2L with m matches has
+x = 2m - 2 least L mismatches and gaps at most. If k of the m - 1 steps from match to match
+cost one or none, then x >= 2 (m - 1 - k), so k >= least L - 1; each such step is a seed with
+a word of its own to start from. So an item may leave out the commonest places to start
+from, as long as fewer than least L - 1 go, and what a document must hold is the rest of them.
 """
 
 from __future__ import annotations
@@ -24,11 +31,12 @@ U = np.uint64
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items of a block, which bounds what is broadcast; more items mean more scans.
 BLOCK_ITEMS = 20_000
-SEED_WORDS = 3
-#: A seed is rare if chance brings it about at a word less often than this.
+#: Items under so many words have to occur whole.
+SHORT = 3
+#: Places of an item are left out of its seeds if chance brings about theirs more often than this at a word.
 RARE = 1e-7
-#: An item with fewer rare seeds than this takes all its n-grams as seeds.
-LEAST_SEEDS = 4
+#: Distinct words of items that one scan counts, at most; with more, each block has its own.
+COUNTED_WORDS = 1 << 22
 LEAST_SCORE = 0.5
 
 
@@ -50,84 +58,107 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def pairs(h: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of each word with the one ``apart`` places on."""
+    return H.fold([h[:-apart], h[apart:]]) if len(h) > apart else h[:0]
+
+
 class Items:
     """One block of items, ready to be broadcast."""
 
-    def __init__(self, ids: list, texts: list[str | None], word_share: dict[int, float] | None, seed_words: int, rare: float):
-        self.n = seed_words
+    def __init__(self, ids: list, texts: list[str | None], word_share: dict[int, float] | None, rare: float, least: float):
         h, at, _, _ = H.words(pa.array(texts, pa.string()), letters=True)
-        self.ids, self.words, grams, owner, place, chance = [], [], [], [], [], []
+        self.ids, self.words, self.need, self.least = [], [], [], least
+        grams, owner, self.short = [], [], {}
         for i, a, b in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
             w = h[a:b]
             if not len(w):
                 continue
-            g = H.shingles(w, seed_words)
-            share = np.array([word_share.get(int(x), 0.0) for x in w]) if word_share else np.zeros(len(w))
-            k = min(seed_words, len(w))
-            odds = np.prod([share[j : len(w) - k + 1 + j] for j in range(k)], axis=0)
-            keep = odds <= rare
-            if keep.sum() < LEAST_SEEDS:
-                keep[:] = True
-            grams.append(g[keep])
-            place.append(np.flatnonzero(keep))
-            owner.append(np.full(int(keep.sum()), len(self.ids)))
+            if len(w) < SHORT:
+                self.short.setdefault(len(w), []).append((int(H.shingles(w, len(w))[0]), len(self.ids)))
+                need = 1
+            else:
+                share = np.array([word_share.get(int(x), 0.0) for x in w]) if word_share else np.zeros(len(w))
+                next_, after = np.append(share[1:], 0.0), np.append(share[2:], [0.0, 0.0])
+                odds = (share * np.maximum(next_, after))[:-1]
+                steps = max(1, int(np.ceil(least * len(w) - 1 - 1e-9)))
+                common = np.argsort(-odds, kind="stable")[: steps - 1]
+                common = common[odds[common] > rare]
+                need = steps - len(common)
+                starts = np.ones(len(w) - 1, bool)
+                starts[common] = False
+                both = [pairs(w, 1)[starts], pairs(w, 2)[starts[:-1]]]
+                found = np.unique(np.concatenate(both))
+                grams.append(found)
+                owner.append(np.full(len(found), len(self.ids)))
             self.ids.append(i)
             self.words.append(w)
+            self.need.append(need)
         flat = np.concatenate(grams) if grams else np.zeros(0, U)
         order = np.argsort(flat, kind="stable")
         self.seeds = H.Members(flat)
-        self.at = np.searchsorted(flat[order], self.seeds.keys), np.searchsorted(flat[order], self.seeds.keys, side="right")
+        self.first, self.end = np.searchsorted(flat[order], self.seeds.keys), np.searchsorted(flat[order], self.seeds.keys, side="right")
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
-        self.short = any(len(w) < seed_words for w in self.words)
+        self.need = np.array(self.need, np.int64)
+        self.spans = np.array([int(len(w) * (3 - 2 * least)) + 1 for w in self.words], np.int64)
+
+    def windows(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, first word, end word) of the parts of texts that hold enough seeds of an item."""
+        met_pos, met_item = [], []
+        for apart in (1, 2):
+            pos, key = self.seeds.find(pairs(h, apart))
+            row = np.searchsorted(at, pos, side="right") - 1
+            inside = pos + apart < at[row + 1]
+            pos, key = pos[inside], key[inside]
+            n = self.end[key] - self.first[key]
+            each = np.repeat(np.cumsum(n) - n, n)
+            met_pos.append(np.repeat(pos, n))
+            met_item.append(self.owner[np.repeat(self.first[key], n) + np.arange(int(n.sum())) - each])
+        pos, item = np.concatenate(met_pos), np.concatenate(met_item)
+        out = []
+        if len(pos):
+            both = np.unique(np.stack([item, pos]), axis=1)
+            item, pos = both
+            row = np.searchsorted(at, pos, side="right") - 1
+            # the need-th seed from here on: of the same item and text, and within an alignment's length
+            later = np.arange(len(pos)) + self.need[item] - 1
+            good = later < len(pos)
+            later = np.minimum(later, len(pos) - 1)
+            good &= (item[later] == item) & (row[later] == row) & (pos[later] - pos <= self.spans[item])
+            for k in np.flatnonzero(good).tolist():
+                r, i = int(row[k]), int(item[k])
+                lo, hi = max(int(at[r]), int(pos[k] - self.spans[i])), min(int(at[r + 1]), int(pos[later[k]] + self.spans[i]) + 3)
+                if out and out[-1][:2] == (r, i) and lo <= out[-1][3]:
+                    out[-1] = (r, i, out[-1][2], max(hi, out[-1][3]))
+                else:
+                    out.append((r, i, lo, hi))
+        for size, items in self.short.items():
+            whole = H.shingles(h, size) if len(h) >= size else h[:0]
+            for key, i in items:
+                for p in np.flatnonzero(whole == U(key)).tolist():
+                    r = int(np.searchsorted(at, p, side="right")) - 1
+                    if p + size <= at[r + 1]:
+                        out.append((r, i, p, p + size))
+        return out
 
     def leaks(self, column: pa.Array, least: float) -> list[tuple[int, int, float, int, int]]:
         """(row, item, score, first word, end word) of the best alignment for each row and item."""
         h, at, _, _ = H.words(column, letters=True)
-        out = []
-        sizes = {self.n} | ({len(w) for w in self.words if len(w) < self.n} if self.short else set())
-        hits: dict[tuple[int, int], list[int]] = {}
-        for k in sizes:
-            if len(h) < k:
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for r, i, lo, hi in self.windows(h, at):
+            item, window = self.words[i], h[lo:hi]
+            if np.isin(item, window).mean() < least:
                 continue
-            pos, key = self.seeds.find(H.shingles(h, k))
-            row = np.searchsorted(at, pos, side="right") - 1
-            inside = pos + k <= at[row + 1]
-            for p, r, s in zip(pos[inside].tolist(), row[inside].tolist(), key[inside].tolist(), strict=True):
-                for x in range(int(self.at[0][s]), int(self.at[1][s])):
-                    hits.setdefault((r, int(self.owner[x])), []).append(p - int(self.place[x]))
-        for (r, i), starts in hits.items():
-            item = self.words[i]
-            slack = len(item) // 2 + 2
-            best = (0.0, 0, 0)
-            starts.sort()
-            first = last = starts[0]
-            groups = []
-            for s in starts[1:]:  # seeds far from each other are other occurrences
-                if s - last > len(item):
-                    groups.append((first, last))
-                    first = s
-                last = s
-            groups.append((first, last))
-            for a, b in groups:
-                lo, hi = max(int(at[r]), a - slack), min(int(at[r + 1]), b + len(item) + slack)
-                window = h[lo:hi]
-                if np.isin(item, window).mean() < least:
-                    continue
-                points, end = align(item, window)
-                score = points / (MATCH * len(item))
-                if score > best[0]:
-                    best = (score, lo + max(0, end - len(item)) - int(at[r]), lo + end - int(at[r]))
-            if best[0] >= least:
-                out.append((r, i, *best))
-        return out
+            points, end = align(item, window)
+            score = points / (MATCH * len(item))
+            if score >= least and score > best.get((r, i), (0.0,))[0]:
+                best[r, i] = (score, lo + max(0, end - len(item)) - int(at[r]), lo + end - int(at[r]))
+        return [(*k, *v) for k, v in sorted(best.items())]
 
 
-def word_shares(docs: DataFrame, items: DataFrame, text_col: str) -> dict[int, float]:
-    """Share of each word of ``items`` (one block, collected) among all words of ``docs``."""
-    texts = [x[0] for x in items.select("text").collect()]
-    keys = H.Members(H.words(pa.array(texts, pa.string()), letters=True)[0])
-    known = docs.sparkSession.sparkContext.broadcast(keys)
+def word_shares(scratch: Scratch, docs: DataFrame, words: np.ndarray, text_col: str) -> dict[int, float]:
+    """Share of each of the hashed ``words`` among all words of ``docs``, in one scan."""
+    known = docs.sparkSession.sparkContext.broadcast(H.Members(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = known.value
@@ -142,25 +173,33 @@ def word_shares(docs: DataFrame, items: DataFrame, text_col: str) -> dict[int, f
         last = np.concatenate([np.zeros(len(some), bool), np.ones(1, bool)])
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.append(counts[some], total)), pa.array(last)], ["word", "n", "total"])
 
-    rows = (
-        docs.select(F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, "word long, n long, total boolean")
-        .groupBy("word", "total")
-        .agg(F.sum("n").alias("n"))
-        .collect()  # at most one row for each word of the block
-    )
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long, total boolean")
+    with scratch.small_batches():  # at most one row for each of the words
+        rows = counted.groupBy("word", "total").agg(F.sum("n").alias("n")).collect()
     total = max(1, sum(r["n"] for r in rows if r["total"]))
     return {r["word"] & (1 << 64) - 1: r["n"] / total for r in rows if not r["total"]}
 
 
-def _blocks(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, text_col: str, seed_words: int, rare: float) -> Iterator[Items]:
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(H.words(batch.column("text"), letters=True)[0]).view(np.int64))], ["word"])
+
+
+def _blocks(scratch: Scratch, docs: DataFrame, items: DataFrame, item_id: str, item_text: str, text_col: str, rare: float, least: float) -> Iterator[Items]:
     rows = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     n = max(1, -(-rows.count() // BLOCK_ITEMS))
+
+    def hashes(some: DataFrame) -> DataFrame:
+        return some.select("text").mapInArrow(_word_hashes, "word long").distinct()
+
+    def shares(some: DataFrame) -> dict[int, float]:
+        return word_shares(scratch, docs, hashes(some).toArrow()["word"].to_numpy().view(U), text_col)
+
+    share = shares(rows) if n == 1 or hashes(rows).limit(COUNTED_WORDS + 1).count() <= COUNTED_WORDS else None
     for k in range(n):
         block = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        share = word_shares(docs, block, text_col)
         found = block.distinct().orderBy("item", "text").collect()
-        yield Items([r["item"] for r in found], [r["text"] for r in found], share, seed_words, rare)
+        yield Items([r["item"] for r in found], [r["text"] for r in found], shares(block) if share is None else share, rare, least)
 
 
 def find_leaks(
@@ -170,28 +209,27 @@ def find_leaks(
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    seed_words: int = SEED_WORDS,
     rare: float = RARE,
     least: float = LEAST_SCORE,
 ) -> DataFrame:
     """(id_col, item_id, score, first_word, end_word): every document that leaks an item.
 
-    The score is 1 for an exact copy; rows have ``least`` or more. Words are runs of
+    The score is 1 for an exact copy; rows have ``least`` or more, and none is missed. Words are runs of
     letters and digits, with A-Z lower-cased. first_word and end_word (exclusive) place the alignment
     among the document's words.
 
-    Defined results: null and empty documents and items leak nothing; an item shorter
-    than a seed is one seed; repeated rows of documents give repeated results, repeated
+    Defined results: null and empty documents and items leak nothing; an item of one or
+    two words leaks where it occurs whole; texts of any length are read whole; repeated rows of documents give repeated results, repeated
     items do not; item ids that are null stay null in the result; further columns are
     not read; an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    Scratch(spark, "decontam")
+    scratch = Scratch(spark, "decontam")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     item_type = items.schema[item_id].dataType.simpleString()
     schema = f"id {rows.schema['id'].dataType.simpleString()}, item {item_type}, score double, first_word long, end_word long"
     found = spark.createDataFrame([], schema)
-    for block in _blocks(docs, items, item_id, item_text, text_col, seed_words, rare):
+    for block in _blocks(scratch, docs, items, item_id, item_text, text_col, rare, least):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -215,7 +253,6 @@ def decontaminate(
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    seed_words: int = SEED_WORDS,
     rare: float = RARE,
     least: float = LEAST_SCORE,
 ) -> DataFrame:
@@ -224,9 +261,9 @@ def decontaminate(
     All columns pass through. Defined results are those of ``find_leaks``.
     """
     spark = docs.sparkSession
-    Scratch(spark, "decontam")
+    scratch = Scratch(spark, "decontam")
     out = docs
-    for block in _blocks(docs, items, item_id, item_text, text_col, seed_words, rare):
+    for block in _blocks(scratch, docs, items, item_id, item_text, text_col, rare, least):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

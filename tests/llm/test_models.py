@@ -359,6 +359,43 @@ def test_leaks_match_brute_force(spark, monkeypatch, block):
     assert find_leaks(a.limit(0).drop("item_id"), b).count() == 0 and find_leaks(a.drop("item_id"), b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edit", ["third", "fourth", "inserted", "dropped", "mixed"])
+def test_leaks_reach_every_alignment_of_a_half(spark, edit):
+    """Copies without three words in a row: all that full alignment scores a half are found."""
+    rng = random.Random(edit)
+    vocabulary = [f"v{i}" for i in range(2000)] + ["the", "of", "and", "to", "in"] * 300
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 45)))) for k in range(40)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        if edit == "third":
+            w = [f"n{rng.randrange(10**6)}" if j % 3 == 1 else x for j, x in enumerate(w)]
+        elif edit == "fourth":
+            w = [f"n{rng.randrange(10**6)}" if j % 4 == 3 else x for j, x in enumerate(w)]
+        elif edit == "inserted":
+            w = [y for x in w for y in (x, "new")]
+        elif edit == "dropped":
+            w = [x for j, x in enumerate(w) if j % 3]
+        else:
+            w = [y for x in w for y in ((x,), (), ("z",), (x, "q"))[rng.choices(range(4), (7, 1, 1, 1))[0]]]
+        docs.append((k, " ".join(rng.choices(vocabulary, k=20) + w + rng.choices(vocabulary, k=20))))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items, 0.5)
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in find_leaks(a, b).collect()} == {k: round(v, 6) for k, v in want.items()}
+    assert sum((k, k) in want for k, _ in items) > 10
+
+
+def test_leaks_of_odd_tables(spark):
+    """Null ids, repeated rows and a very long text."""
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = [(1, "x " * 50_000 + item), (None, item), (1, item), (2, "x " * 5000)]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(None, item), (7, item), (7, item)], "item_id long, text string")
+    got = sorted(map(str, ((r.doc_id, r.item_id, r.score) for r in find_leaks(a, b).collect())))
+    assert got == sorted(str((d, i, 1.0)) for d in (1, 1, None) for i in (None, 7))
+    assert [r.doc_id for r in decontaminate(a, b).collect()] == [2]
+
+
 def test_drop_near_duplicates_keeps_one_of_each(spark):
     rows = [(3, "a b c d e f g", "x"), (1, "A b c d e f g", "y"), (1, "A b c d e f g", "y"), (None, "a b c d e f g", "z"), (4, None, "n"), (5, "other words here", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
