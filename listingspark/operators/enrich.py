@@ -2,66 +2,64 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingspark.functions import geo as G
 from listingspark.functions import text as T
-from listingspark.operators.resolve import coalesce_update
 
-#: Stations up to which the table is broadcast whole.
+#: Stations up to which the joins by cell broadcast their table; a larger one is shuffled by cell.
 BROADCAST_STATIONS = 5_000
 
 
-def nearest_station(df: DataFrame, stations: DataFrame, reach_cells: int = 8) -> DataFrame:
+def nearest_station(df: DataFrame, stations: DataFrame, cell_degrees: float | None = None) -> DataFrame:
     """Adds station, station_m and walk_min: the nearest station, the first in the table on ties.
 
-    A small table, by its checked size, is one array held beside every row. A larger one
-    meets the rows in grid cells of growing reach, and only rows that find none within
-    one reach go on to the next; the last step takes whatever remains against all
-    stations.
+    Both joins are equi joins by grid cell, whatever the size of either table. Cells double from
+    level to level until they span the globe. Each distinct place first meets one station of
+    its own cell at every level; the nearest of those bounds the distance. Then it meets all
+    stations of its own and the neighbouring cells at the first level whose cells reach as far
+    as the bound, so that the nearest is among them. The first cells hold about two stations
+    each (``cell_degrees`` sets another width). Rows without a place get nulls.
     """
-    key = [c for c in df.columns]
-    if stations.limit(BROADCAST_STATIONS + 1).count() <= BROADCAST_STATIONS:
-        table = stations.agg(F.array_sort(F.collect_list(F.struct("idx", "name", "lat", "lng"))).alias("__s"))
-        dist = F.transform("__s", lambda s: F.struct(G.haversine_m(F.col("lat"), F.col("lng"), s["lat"], s["lng"]).alias("d"), s["idx"].alias("i"), s["name"].alias("name")))
-        best = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.array_min(dist))
-        out = df.join(F.broadcast(table)).withColumn("__best", best)
-    else:
-        out = _nearest_by_grid(df, stations, reach_cells)
+    table = stations.select(F.col("idx").cast("long").alias("i"), "name", F.col("lat").alias("slat"), F.col("lng").alias("slng")).filter("slat is not null and slng is not null")
+    if cell_degrees is None:
+        box = table.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("slat", "slng") for k, f in (("lo", F.min), ("hi", F.max))]).head()
+        area = (box.hi_slat - box.lo_slat) * (box.hi_slng - box.lo_slng) if box.n else 0.0
+        cell_degrees = min(2.0, max(0.01, (2 * area / max(1, box.n)) ** 0.5))
+    top = math.ceil(math.log2(360 / cell_degrees))
+    width = lambda level: cell_degrees * F.pow(F.lit(2.0), level)
+    few = stations.limit(BROADCAST_STATIONS + 1).count() <= BROADCAST_STATIONS
+    own = lambda d, y, x: d.withColumns({"cy": G.cell(F.col(y), width(F.col("level"))), "cx": G.cell(F.col(x), width(F.col("level")))})
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+    placed = own(table.select("*", levels), "slat", "slng")
+    one = placed.groupBy("level", "cy", "cx").agg(F.first("slat").alias("slat"), F.first("slng").alias("slng"))
+    placed, one = (F.broadcast(placed), F.broadcast(one)) if few else (placed, one)
+    away = G.haversine_m(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # places are few bytes and much work: no merging
+    places = df.filter("lat is not null and lng is not null").select("lat", "lng").distinct().repartition(parts, "lat", "lng")
+    bound = own(places.select("lat", "lng", levels), "lat", "lng").join(one, ["level", "cy", "cx"], "left").groupBy("lat", "lng").agg(F.min(away).alias("d"))
+    # how wide cells must be for the next meridian of them to lie beyond the bound; near the
+    # poles and where they would cross 180 degrees only the globe's will do
+    ratio = F.sin(F.col("d") / G.RADIUS_M) / F.cos(F.radians("lat"))
+    bound = bound.withColumn("need", F.when((F.col("d") < G.RADIUS_M) & (ratio < 0.99), F.degrees(F.asin(ratio)) * (1 + 1e-9)))
+    bound = bound.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("need"), F.lit(cell_degrees)) / cell_degrees))).cast("int"))
+    globe = F.col("need").isNull() | (F.col("level") > top) | (F.abs("lng") + width(F.col("level")) > 180)
+    bound = bound.select("lat", "lng", F.when(globe, top).otherwise(F.col("level")).alias("level"))
+    side = lambda c: F.explode(G.neighbours(G.cell(F.col(c), width(F.col("level")))))
+    near = bound.withColumn("cy", side("lat")).withColumn("cx", side("lng"))
+    met = near.join(placed, ["level", "cy", "cx"])
+    state = met.groupBy("lat", "lng").agg(F.min(F.struct(away.alias("d"), F.col("i"), F.col("name"))).alias("__best"))
+    # rows without a place would all have one key: each takes one of many that no place has
+    spread = -1000.0 - F.pmod(F.xxhash64(*df.columns), F.lit(4099))
+    rows = df.withColumns({"__lat": F.coalesce("lat", spread), "__lng": F.coalesce("lng", spread)})
+    found = state.select(F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), "__best")
+    out = rows.join(found, ["__lat", "__lng"], "left")
     metres = F.bround(F.col("__best.d"))
-    return out.select(*key, F.col("__best.name").alias("station"), metres.cast("long").alias("station_m"), F.bround(F.col("__best.d") / 83).cast("long").alias("walk_min"))
-
-
-def _nearest_by_grid(df: DataFrame, stations: DataFrame, reach: int) -> DataFrame:
-    """Nearest station by cells of 0.05 degrees, doubling the reach for rows not yet sure.
-
-    A find is sure once it is nearer than the edge of what was searched.
-    """
-    size = 0.05
-    rows = df.withColumn("__id", F.monotonically_increasing_id())
-    todo = rows.filter("lat is not null and lng is not null")
-    sure = rows.filter("lat is null or lng is null").withColumn("__best", F.lit(None).cast("struct<d:double,i:bigint,name:string>"))
-    table = stations.select(F.col("idx").cast("long").alias("i"), "name", F.col("lat").alias("slat"), F.col("lng").alias("slng"))
-    width = 1
-    while width <= reach * 64:
-        cell = size * width
-        near = todo.select("__id", "lat", "lng", F.explode(G.neighbours(G.cell(F.col("lat"), cell))).alias("cy"), G.cell(F.col("lng"), cell).alias("cx0"))
-        near = near.withColumn("cx", F.explode(G.neighbours(F.col("cx0"))))
-        placed = table.withColumns({"cy": G.cell(F.col("slat"), cell), "cx": G.cell(F.col("slng"), cell)})
-        d = G.haversine_m(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-        best = near.join(placed, ["cy", "cx"]).groupBy("__id", "lat", "lng").agg(F.min(F.struct(d.alias("d"), "i", "name")).alias("__best"))
-        # how far the next meridian of cells is at least; cells do not go on across 180 degrees
-        edge = F.asin(F.cos(F.radians(F.col("lat"))) * F.sin(F.radians(F.lit(cell)))) * G.RADIUS_M
-        good = best.filter((F.col("__best.d") <= edge) & (F.abs("lng") + cell <= 180)).select("__id", "__best")
-        sure = sure.unionByName(todo.join(good, "__id"))
-        todo = todo.join(good, "__id", "left_anti")
-        width *= 4
-    # the rest, few by then, meet all stations, in blocks
-    blocks = table.groupBy(F.pmod(F.xxhash64("i"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("i", "name", "slat", "slng")).alias("__s"))
-    each = F.transform("__s", lambda s: F.struct(G.haversine_m(F.col("lat"), F.col("lng"), s["slat"], s["slng"]).alias("d"), s["i"].alias("i"), s["name"].alias("name")))
-    far = todo.select("__id", "lat", "lng").crossJoin(blocks.select("__s")).select("__id", F.array_min(each).alias("b"))
-    return sure.unionByName(todo.join(far.groupBy("__id").agg(F.min("b").alias("__best")), "__id", "left"))
+    return out.select(*df.columns, F.col("__best.name").alias("station"), metres.cast("long").alias("station_m"), F.bround(F.col("__best.d") / 83).cast("long").alias("walk_min"))
 
 
 def within_radius(df: DataFrame, features: DataFrame, radius_m: float = 300.0, key: str = "listing_id") -> DataFrame:
@@ -105,65 +103,118 @@ def zone_lookup(df: DataFrame, zones: DataFrame, key: str = "listing_id", size:
     return df.select(key).join(best.select(key, "z.zone_id", "z.zone"), key, "left").withColumn("sfha", F.upper("zone").rlike("^[AV]"))
 
 
-NO_PARCEL_STATES = ("nj", "ct", "pa", "ma", "new jersey", "connecticut", "pennsylvania", "massachusetts")
+# States without parcels here, and street names written as one word or two.
+NO_PARCEL_STATES = ("NJ", "CT", "PA", "MA")
+STREET_COMPOUNDS = (
+    ("LAKESHORE", "LAKE SHORE"), ("LAKESIDE", "LAKE SIDE"), ("LAKEVIEW", "LAKE VIEW"), ("BROOKSIDE", "BROOK SIDE"),
+    ("HILLSIDE", "HILL SIDE"), ("HILLCREST", "HILL CREST"), ("RIDGEWOOD", "RIDGE WOOD"), ("RIDGEWAY", "RIDGE WAY"),
+    ("WOODSIDE", "WOOD SIDE"), ("CLIFFSIDE", "CLIFF SIDE"), ("PARKWAY", "PARK WAY"),
+)
+BOROUGHS = {"manhattan": "1", "bronx": "2", "brooklyn": "3", "queens": "4", "staten island": "5"}
+#: Leading letters that an equi join on a street's beginning goes by.
+PREFIX = 3
 
 
-def _street(address: Column) -> tuple[Column, Column]:
-    """House number and street of an address, the street in upper case without points."""
-    clean = F.upper(F.translate(F.translate(F.trim(address), ".", ""), "-", " "))
-    return T.extract(clean, r"^(\d+)\s"), F.trim(F.regexp_replace(clean, r"^\d+\s+", ""))
+def _house(address: Column) -> tuple[Column, Column]:
+    """The first word of an address, and the rest in upper case; null without a rest."""
+    parts = F.split(F.trim(address), r"\s+", 2)
+    return F.get(parts, F.lit(0)), F.upper(F.trim(F.get(parts, F.lit(1))))
 
 
-def parcel_lot_acres(df: DataFrame, parcels: DataFrame, town_county: DataFrame) -> DataFrame:
-    """(listing_id, lot_acres): the lot of the best parcel of the same number and street.
+def _word(c: Column, n: int = 1) -> Column:
+    return F.substring_index(F.regexp_replace(c, r"\s+", " "), " ", n)
+
 
-    Candidates share county, house number and the street's first word. The street's
-    first three words rank before the municipality, that before the city, and a sole
-    candidate is taken for want of better. Acres of zero give way to calculated ones.
+def _by_prefix(left: DataFrame, right: DataFrame, keys: list[str], begin: str, whole: str) -> DataFrame:
+    """Rows of both that share ``keys`` and whose ``whole`` (right) starts with ``begin`` (left).
+
+    An equi join on the keys and up to PREFIX leading letters, with the rest as residual test.
     """
-    number, street = _street(F.col("address"))
-    rows = df.filter(~F.coalesce(F.lower("state").isin(*NO_PARCEL_STATES), F.lit(False)))
+    size = F.least(F.length(begin), F.lit(PREFIX))
+    a = left.withColumns({"__n": size, "__p": F.left(F.col(begin), size)})
+    b = right.withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.length(whole), F.lit(PREFIX))))).withColumn("__p", F.left(F.col(whole), F.col("__n")))
+    return a.join(b.filter(F.length(whole) > 0), [*keys, "__n", "__p"]).filter(F.col(whole).startswith(F.col(begin))).drop("__n", "__p")
+
+
+def county_of(df: DataFrame, town_county: DataFrame, default: str = "Westchester") -> DataFrame:
+    """Adds county: that of the town in ``town_county``, null where that says so, else ``default``."""
     # the towns of a region are a fixed list
-    rows = rows.join(F.broadcast(town_county.select(F.lower("town").alias("__town"), "county")), F.lower("town") == F.col("__town"), "left")
-    rows = rows.select("listing_id", F.upper("town").alias("town"), F.coalesce("county", F.lit("Westchester")).alias("county"), number.alias("number"), street.alias("street")).filter("number is not null")
-    keys = ["county", "town", "number", "street"]
-    first = lambda c: F.substring_index(c, " ", 1)
-    three = lambda c: F.substring_index(c, " ", 3)
-    places = rows.select(*keys).distinct().withColumn("word", first(F.col("street")))
-    # parcels that any place would rank alike are one candidate, the first of them
-    p = parcels.select("parcel_id", "county", "number", F.upper("street").alias("pstreet"), F.upper(F.coalesce("municipality", F.lit(""))).alias("muni"), F.upper(F.coalesce("city_town", F.lit(""))).alias("city"), "acres", "calc_acres")
-    p = p.groupBy("county", "number", first(F.col("pstreet")).alias("word"), three(F.col("pstreet")).alias("pthree"), "muni", "city")
-    p = p.agg(F.min(F.struct("parcel_id", "acres", "calc_acres")).alias("p"), F.count("*").alias("n"))
-    met = places.join(p, ["county", "number", "word"])
-    alone = F.sum("n").over(Window.partitionBy(*keys)) == 1
-    rank = (
-        F.when(three(F.col("street")) == F.col("pthree"), 3)
-        .when((F.col("muni") == "") | F.col("muni").contains(F.col("town")) | F.col("town").contains(F.col("muni")), 2)
-        .when(F.col("city") == F.col("town"), 1)
-        .when(alone, 0)
-    )
-    scored = met.withColumn("__rank", rank).filter("__rank is not null")
-    best = scored.groupBy(*keys).agg(F.min(F.struct(-F.col("__rank"), "p.parcel_id", "p.acres", "p.calc_acres")).alias("b"))
-    acres = F.when(F.col("b.acres") > 0, F.col("b.acres")).otherwise(F.nullif("b.calc_acres", F.lit(0.0)))
-    return rows.join(best, keys).select("listing_id", F.round(acres, 4).alias("lot_acres"))
+    towns = town_county.groupBy(F.lower(F.trim("town")).alias("__town")).agg(F.min("county").alias("__county"), F.lit(True).alias("__listed"))
+    out = df.join(F.broadcast(towns), F.lower(F.trim("town")) == F.col("__town"), "left")
+    return out.withColumn("county", F.when(F.col("__listed"), F.col("__county")).otherwise(default)).drop("__town", "__county", "__listed")
 
 
-def property_tax(df: DataFrame, rolls: DataFrame) -> DataFrame:
-    """(listing_id, assessed, tier): by municipality and street, else by county and street.
+def parcel_lot_acres(df: DataFrame, parcels: DataFrame, town_county: DataFrame) -> DataFrame:
+    """(listing_id, lot_acres): the lot of the best parcel of the same county, number and street.
 
-    ``rolls``: (parcel_id, county, municipality, number, street, assessed); zeros are unknown.
+    Candidates' streets begin with the street's first word, or where there is none, with the
+    first word of its compound written apart. House number and two words of the street rank
+    before the municipality, that before the city, where names that contain each other agree
+    and a blank one agrees with all; a sole candidate is taken for want of better. The first
+    of the best with acres, else calculated ones, above zero counts.
     """
-    number, street = _street(F.col("address"))
-    first = F.substring_index(street, " ", 1)
-    rows = df.select("listing_id", F.upper("town").alias("town"), number.alias("number"), first.alias("word")).filter("number is not null")
-    r = rolls.filter("assessed > 0").select("parcel_id", F.upper("municipality").alias("town"), "number", F.substring_index(F.upper("street"), " ", 1).alias("word"), "assessed")
-    # one parcel stands for a place, so that a common street is no skewed pair join
-    near = r.groupBy("town", "number", "word").agg(F.min(F.struct("parcel_id", "assessed")).alias("b"))
-    one = rows.join(near, ["town", "number", "word"]).select("listing_id", "b.assessed", F.lit("municipality").alias("tier"))
-    rest = rows.join(one, "listing_id", "left_anti")
-    wide = r.groupBy("number", "word").agg(F.min(F.struct("parcel_id", "assessed")).alias("b"))
-    two = rest.join(wide, ["number", "word"]).select("listing_id", "b.assessed", F.lit("county").alias("tier"))
-    return one.unionByName(two)
+    number, street = _house(F.col("address"))
+    rows = df.filter(~F.coalesce(F.left(F.upper(F.trim("state")), F.lit(2)).isin(*NO_PARCEL_STATES), F.lit(False)))
+    rows = county_of(rows.select("listing_id", "address", "town"), town_county)
+    rows = rows.select("listing_id", F.upper(F.trim(F.coalesce("town", F.lit("")))).alias("town"), "county", number.alias("number"), street.alias("street"))
+    rows = rows.filter("county is not null and number <> '' and street <> ''")
+    keys = ["county", "town", "number", "street"]
+    places = rows.select(*keys).distinct()
+    upper = lambda c: F.upper(F.coalesce(c, F.lit("")))
+    p = parcels.select("parcel_id", "county", "number", upper(F.col("street")).alias("pstreet"), upper(F.col("municipality")).alias("muni"), upper(F.col("city_town")).alias("city"), "acres", "calc_acres")
+    lot = F.when(F.col("acres") > 0, F.col("acres")).when(F.col("calc_acres") > 0, F.col("calc_acres"))
+    # parcels that any place would rank alike are one candidate: the first of them with a lot
+    p = p.withColumn("lot", lot).groupBy("county", "number", _word(F.col("pstreet"), 2).alias("ptwo"), "muni", "city")
+    p = p.agg(F.count("*").alias("n"), F.min(F.when(F.col("lot").isNotNull(), F.struct("parcel_id", "lot"))).alias("p"))
+    # the compounds are a fixed list: every place has its own word first, then those that apply
+    compound = [F.when(F.col("street").startswith(a), F.struct(F.lit(k + 1).alias("turn"), F.lit(b.split()[0]).alias("word"))) for k, (a, b) in enumerate(STREET_COMPOUNDS)]
+    turns = F.array_compact(F.array(F.struct(F.lit(0).alias("turn"), _word(F.col("street")).alias("word")), *compound))
+    met = _by_prefix(places.select(*keys, F.explode(turns).alias("t")).select(*keys, "t.*"), p, ["county", "number"], "word", "ptwo")
+    two = _word(F.col("street"), 2)
+    either = lambda a: F.col(a).contains(F.col("town")) | F.col("town").contains(F.col(a))
+    rank = F.when((two == F.col("ptwo")) & two.contains(" "), 3).when(either("muni"), 2).when(either("city"), 1).otherwise(0)
+    ranked = met.groupBy(*keys, "turn").agg(F.sum("n").alias("n"), F.min(F.when(F.col("p").isNotNull() & (rank > 0), F.struct((-rank).alias("r"), "p"))).alias("good"), F.min("p").alias("any"))
+    # the first turn that finds parcels at all
+    best = ranked.groupBy(*keys).agg(F.min(F.struct("turn", "n", "good", "any")).alias("b"))
+    found = F.coalesce("b.good.p.lot", F.when(F.col("b.n") == 1, F.col("b.any.lot")))
+    return rows.join(best, keys).select("listing_id", F.round(found, 4).alias("lot_acres")).filter("lot_acres is not null")
+
+
+def property_tax(df: DataFrame, rolls: DataFrame, town_county: DataFrame, nyc: DataFrame, municipalities: DataFrame) -> DataFrame:
+    """(listing_id, assessed, market, tier): city roll, else municipality's, else the county's.
+
+    ``nyc``: (row_id, boro, address, assessed, market), met by borough and the address as a
+    beginning. ``rolls``: (parcel_id, county, municipality, number, street, assessed, market),
+    met by number and the street's first word as a beginning, in the municipality that
+    ``municipalities`` (town, municipality) names for the town, the town itself else, and
+    then in the town's county. The first row of a tier counts; its zeros are unknown. Rows
+    without a town, or with one word for an address, have no tax.
+    """
+    number, street = _house(F.col("address"))
+    rows = df.filter(~T.blank(F.col("address")) & ~T.blank(F.col("town"))).select("listing_id", F.trim("town").alias("town"), F.upper(F.trim("address")).alias("address"), number.alias("number"), _word(street).alias("word")).filter("word <> ''")
+    # places, not rows, meet the rolls, and a place has one row of each tier
+    borough = F.coalesce(F.create_map(*[F.lit(x) for kv in BOROUGHS.items() for x in kv])[F.lower("town")], F.lower("town"))
+    city = rows.select(borough.alias("boro"), "address").distinct().filter("boro <> ''")
+    roll = nyc.select("row_id", "boro", F.upper("address").alias("whole"), "assessed", "market")
+    number_of = lambda c: _word(F.col(c))
+    city = _by_prefix(city.withColumn("nr", number_of("address")), roll.withColumn("nr", number_of("whole")), ["boro", "nr"], "address", "whole")
+    city = city.groupBy("boro", "address").agg(F.min(F.struct("row_id", "assessed", "market")).alias("c"))
+    # the towns of a region are a fixed list
+    named = F.broadcast(municipalities.groupBy(F.lower("town").alias("__t")).agg(F.min("municipality").alias("__m")))
+    rows = county_of(rows.withColumn("boro", borough), town_county).join(named, F.lower("town") == F.col("__t"), "left")
+    rows = rows.withColumn("muni", F.upper(F.coalesce("__m", "town"))).drop("__t", "__m")
+    state = rolls.select("parcel_id", "county", F.upper("municipality").alias("muni"), "number", _word(F.upper("street")).alias("whole"), "assessed", "market")
+
+    def tier(key: str, label: str) -> DataFrame:
+        first = state.groupBy(key, "number", "whole").agg(F.min(F.struct("parcel_id", "assessed", "market")).alias("x"))
+        places = rows.select(key, "number", "word").distinct().filter(f"{key} <> '' and word <> ''")
+        return _by_prefix(places, first, [key, "number"], "word", "whole").groupBy(key, "number", "word").agg(F.min("x").alias(label))
+
+    out = rows.join(city, ["boro", "address"], "left").join(tier("muni", "m"), ["muni", "number", "word"], "left").join(tier("county", "w"), ["county", "number", "word"], "left")
+    best = lambda n: F.when(F.col("c").isNotNull(), F.col(f"c.{n}")).when(F.col("m").isNotNull(), F.col(f"m.{n}")).otherwise(F.col(f"w.{n}"))
+    label = F.when(F.col("c").isNotNull(), "city").when(F.col("m").isNotNull(), "municipality").when(F.col("w").isNotNull(), "county")
+    out = out.select("listing_id", *[F.nullif(best(n), F.lit(0)).alias(n) for n in ("assessed", "market")], label.alias("tier"))
+    return out.filter("tier is not null")
 
 
 LEVELS = (("elem", "elementary"), ("mid", "middle"), ("high", "high"))
@@ -187,10 +238,8 @@ def best_elementary(schools: Column) -> Column:
 
 
 def read_wide_index(wide: DataFrame, months: list[str]) -> DataFrame:
-    """(zip, value): the latest value by position of a wide monthly table of zips, blanks dropped."""
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).cast("double").alias("v")) for i, m in enumerate(months)])
-    last = F.array_max(F.filter(table, lambda x: x["v"].isNotNull()))
-    return wide.filter("region_type = 'zip'").select(F.lpad("zip", 5, "0").alias("zip"), last["v"].alias("value")).filter("value is not null")
+    """(zip, value): the last month's value, by position, of a wide monthly table of zips; blanks are dropped."""
+    return wide.filter("region_type = 'zip'").select(F.lpad("zip", 5, "0").alias("zip"), F.col(months[-1]).try_cast("double").alias("value")).filter("value is not null")
 
 
 def price_signal(price: Column, sqft: Column, value: Column) -> Column:
@@ -207,19 +256,33 @@ def price_per_sqft_signal(df: DataFrame, index: DataFrame) -> DataFrame:
     return out.select("listing_id", "__p.*")
 
 
-def commute(legs: DataFrame) -> DataFrame:
-    """(listing_id, minutes, rejected): from drive and transit seconds with the road's and straight metres.
+def commute(df: DataFrame, stations: DataFrame, overrides: DataFrame, drives: DataFrame, transits: DataFrame) -> DataFrame:
+    """(listing_id, station, minutes, rejected): drive to the town's station, then transit from there.
 
-    Null with a reason where a leg is missing, too long, or its road winds too much.
+    ``overrides`` (town, station_town) names another town's station for some towns, and
+    ``stations`` (idx, name, lat, lng) are met by their folded names. ``drives`` (listing_id,
+    station, drive_s, road_m) and ``transits`` (station, transit_s) are the legs of routes.
+    Null with a reason where the station is unknown, a leg is missing or too long, or its
+    road winds too much against the straight line.
     """
+    # the overrides and stations of a region are fixed lists; the straight line comes from their places
+    other = F.broadcast(overrides.groupBy(F.lower("town").alias("__town")).agg(F.min("station_town").alias("__other")))
+    named = stations.groupBy(T.fold_place(F.col("name")).alias("__key")).agg(F.min(F.struct("idx", "name", "lat", "lng")).alias("__s"))
+    out = df.select("listing_id", "town", "lat", "lng").join(other, F.lower("town") == F.col("__town"), "left")
+    out = out.withColumn("__key", T.fold_place(F.coalesce("__other", "town"))).join(named, "__key", "left").withColumn("station", F.col("__s.name"))
+    out = out.join(drives.select("listing_id", F.col("station").alias("__d"), "drive_s", "road_m"), "listing_id", "left")
+    drive = F.when(F.col("__d") == F.col("station"), F.col("drive_s"))
+    out = out.withColumn("drive_s", drive).join(F.broadcast(transits.groupBy("station").agg(F.min("transit_s").alias("transit_s"))), "station", "left")
+    straight = G.haversine_m(F.col("lat"), F.col("lng"), F.col("__s.lat"), F.col("__s.lng"))
     reason = (
-        F.when(F.coalesce(F.col("drive_s") <= 0, F.lit(True)) | F.coalesce(F.col("transit_s") <= 0, F.lit(True)), "missing_leg")
+        F.when(F.col("station").isNull(), "no_station")
+        .when(F.coalesce(F.col("drive_s") <= 0, F.lit(True)) | F.coalesce(F.col("transit_s") <= 0, F.lit(True)), "missing_leg")
         .when(F.col("transit_s") > 120 * 60, "transit_too_long")
         .when(F.col("drive_s") > 30 * 60, "drive_too_long")
-        .when(F.col("road_m") > F.greatest(3 * F.col("straight_m"), F.lit(5000)), "road_too_long")
+        .when(F.col("road_m") > F.greatest(3 * straight, F.lit(5000)), "road_too_long")
     )
     minutes = F.bround((F.col("drive_s") + F.col("transit_s")) / 60).cast("long")
-    return legs.select("listing_id", F.when(reason.isNull(), minutes).alias("minutes"), reason.alias("rejected"))
+    return out.select("listing_id", "station", F.when(reason.isNull(), minutes).alias("minutes"), reason.alias("rejected"))
 
 
 def departure_slot(ts: Column) -> Column:
@@ -269,21 +332,63 @@ def fix_sentinel_lot(df: DataFrame, bad: float = 4.0) -> DataFrame:
     return df.filter(F.col("lot_acres") == bad).select("listing_id", F.col("lot_acres").alias("old"), F.when(again != bad, again).alias("new"))
 
 
-def enrich_all(df: DataFrame, stations: DataFrame, index: DataFrame, features: DataFrame, parcels: DataFrame, rolls: DataFrame, town_county: DataFrame) -> DataFrame:
-    """One plan of all enrichments, each filling only what is missing.
+@dataclass(frozen=True)
+class References:
+    """The reference tables of ``enrich_all``, each as its own operator takes it."""
+
+    stations: DataFrame
+    index: DataFrame
+    features: DataFrame
+    zones: DataFrame
+    parcels: DataFrame
+    rolls: DataFrame
+    nyc: DataFrame
+    municipalities: DataFrame
+    town_county: DataFrame
+    schools: DataFrame
+    overrides: DataFrame
+    drives: DataFrame
+    transits: DataFrame
+    places: DataFrame
+    urls: DataFrame
+
 
-    A lookup that finds nothing leaves a marker (found = false), so that it is not asked again.
+#: What each lookup adds, filled where it is missing.
+FILLED = ("commute_minutes", "station", "station_m", "walk_min", "n_features", "nearest_m", "zone", "sfha", "lot_acres", "assessed", "market", "tier", "schools")
+
+
+def enrich_all(df: DataFrame, refs: References) -> DataFrame:
+    """One plan of all enrichments: ``df`` with its gaps filled, its markers and its signals.
+
+    URLs and coordinates are resolved first, since other lookups read them. A column of
+    FILLED that ``df`` has keeps its values and is filled where null. What a description says
+    of dues, size source and (where the lot is missing) lot is read anew. Lookups that find
+    nothing leave ``<name>_checked`` = true, so that they are not asked again.
     """
     from listingspark.functions.features import hoa, sqft_source
 
-    out = nearest_station(df, stations)
-    out = out.join(within_radius(df, features).withColumnRenamed("found", "power_found").drop("kind", "voltage"), "listing_id", "left")
-    out = out.join(price_per_sqft_signal(df, index), "listing_id", "left")
-    out = out.join(parcel_lot_acres(df, parcels, town_county), "listing_id", "left")
-    out = out.join(property_tax(df, rolls).withColumnRenamed("tier", "tax_tier"), "listing_id", "left")
+    base = geocode_join(resolve_urls(df, refs.urls), refs.places)
+    key = base.select("listing_id", "address", "town", "state", "zip_code", "lat", "lng", "price", "sqft")
+    near = nearest_station(key.select("listing_id", "lat", "lng"), refs.stations).drop("lat", "lng")
+    power = within_radius(key, refs.features).select("listing_id", F.when(F.col("found"), F.col("n_features")).alias("n_features"), "nearest_m")
+    zone = zone_lookup(key, refs.zones).select("listing_id", "zone", "sfha")
+    signal = price_per_sqft_signal(key, refs.index)
+    lot = parcel_lot_acres(key, refs.parcels, refs.town_county).withColumnRenamed("lot_acres", "parcel_acres")
+    tax = property_tax(key, refs.rolls, refs.town_county, refs.nyc, refs.municipalities)
+    by_level = schools_by_zip(key, refs.schools).select("listing_id", F.struct("level", "names", "best").alias("x"))
+    schools = by_level.groupBy("listing_id").agg(F.array_sort(F.collect_list("x")).alias("schools"))  # three levels at most
+    ride = commute(key, refs.stations, refs.overrides, refs.drives, refs.transits).select("listing_id", F.col("minutes").alias("commute_minutes"), F.col("rejected").alias("commute_rejected"))
+    found = [near, power, zone, lot, tax, schools, ride]
+    for extra in found:
+        have = [c for c in extra.columns if c != "listing_id" and c in base.columns]
+        base = base.join(extra.withColumnsRenamed({c: f"__{c}" for c in have}), "listing_id", "left")
+        base = base.withColumns({c: F.coalesce(c, f"__{c}") for c in have}).drop(*[f"__{c}" for c in have])
+    base = base.join(signal, "listing_id", "left")
     d = F.col("description")
-    return out.withColumns({"lot_acres": F.coalesce("lot_acres", T.parse_lot_acres(d)), "hoa_monthly": hoa(d)["hoa_monthly"], "sqft_source": sqft_source(d)["sqft_source"]})
-
-
-def fill_only_missing(df: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    return coalesce_update(df, found, "listing_id", columns)
+    own = [F.col("lot_acres")] if "lot_acres" in df.columns else []
+    checked = {"power": "n_features", "zone": "zone", "tax": "tier", "schools": "schools", "lot": "lot_acres", "commute": "commute_minutes"}
+    return (
+        base.withColumns({"lot_acres": F.coalesce(*own, "parcel_acres", T.parse_lot_acres(d)), "hoa_monthly": hoa(d)["hoa_monthly"], "sqft_source": sqft_source(d)["sqft_source"]})
+        .withColumns({f"{n}_checked": F.col(c).isNull() for n, c in checked.items()})
+        .drop("parcel_acres")
+    )

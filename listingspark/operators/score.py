@@ -211,24 +211,25 @@ def worst_breaches(df: DataFrame, tolerance: int = DEFAULT.arithmetic_tolerance,
     return df.select("listing_id", d.alias("delta")).filter(F.abs("delta") > tolerance).orderBy(F.abs("delta").desc(), "listing_id").limit(n)
 
 
-# How the criteria's text states each threshold.
+# How the criteria's text states each threshold, and which group holds it.
+COMMUTE_LIMIT = r"(?i)commute[^.\n]{0,60}?(?:over|of)\s+(\d{2,3})\s*min|reject\s+(?:over|at)\s+(\d{2,3})\s*min"
+PRICE_BAND = r"(?i)price\s+between\s+\$?([\d,]+)\s*(?:and|-|–|to)\s*\$?([\d,]+)"
 THRESHOLDS = {
-    "commute": r"(?i)commute[^.\n]{0,60}?(?:over|of)\s+(\d{2,3})\s*min",
-    "price_min": r"(?i)price\s+between\s+\$?([\d,]+)\s*(?:and|-|–|to)",
-    "price_max": r"(?i)price\s+between\s+\$?[\d,]+\s*(?:and|-|–|to)\s*\$?([\d,]+)",
-    "sqft": r"(?i)minimum\s+([\d,]{3,})\s*sq\.?\s?ft",
-    "bedrooms": r"(?i)minimum\s+(\d{1,2})\s+bedrooms?",
-    "school_floor": r"(?i)below\s+(\d{1,2})(?:st|nd|rd|th)\s+percentile",
-    "base": r"(?i)base\s+score:?\s*(\d{1,3})",
+    "price_min": (PRICE_BAND, 1),
+    "price_max": (PRICE_BAND, 2),
+    "sqft": (r"(?i)minimum\s+([\d,]{3,})\s*sq\.?\s?ft", 1),
+    "bedrooms": (r"(?i)minimum\s+(\d{1,2})\s+bedrooms?", 1),
+    "school_floor": (r"(?i)below\s+(\d{1,2})(?:st|nd|rd|th)\s+percentile", 1),
+    "base": (r"(?i)base\s+score:?\s*(\d{1,3})", 1),
 }
-COMMUTE_ALSO = r"(?i)reject\s+(?:over|at)\s+(\d{2,3})\s*min"
 
 
 def criteria_thresholds(df: DataFrame) -> DataFrame:
+    """Each threshold that the criteria's text states, by its first match; null where it states none."""
     text = F.col("instructions")
-    found = {n: T.number(T.extract(text, p)) for n, p in THRESHOLDS.items()}
-    found["commute"] = F.coalesce(found["commute"], T.number(T.extract(text, COMMUTE_ALSO)))
-    return df.select("version", *[c.alias(n) for n, c in found.items()])
+    # the first match in the text, whichever form it has: one group or the other is blank
+    commute = T.number(F.coalesce(F.nullif(T.extract(text, COMMUTE_LIMIT, 1), F.lit("")), T.extract(text, COMMUTE_LIMIT, 2)))
+    return df.select("version", commute.alias("commute"), *[T.number(T.extract(text, p, g)).alias(n) for n, (p, g) in THRESHOLDS.items()])
 
 
 def gate_drift(criteria: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -294,12 +295,20 @@ def build_scoring_payload(df: DataFrame) -> DataFrame:
     return rich.select("listing_id", F.to_json(payload).alias("payload"))
 
 
-def apply_scores(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid score rows, requests to retry): responses are JSON text by listing_id."""
+def apply_scores(requests: DataFrame, responses: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(valid score rows, requests to retry): responses are JSON text by listing_id.
+
+    A response is validated, then stripped of a Reject that neither the gate nor its own
+    validated failures bear out, then reconciled with its ledger. ``requests`` holds the
+    listings' gate columns, best_school and property_type.
+    """
     schema = f"score string, verdict string, hard_results {HARD}, soft_points map<string,string>, concerns array<string>, confidence string"
     read = requests.select("listing_id").join(responses, "listing_id", "left").withColumn("r", F.from_json(T.strip_json_fence(F.col("response")), schema))
-    good = read.filter(F.col("r.verdict").isNotNull())
-    return reconcile_arithmetic(validate_scores(good.select("listing_id", "r.*"))), read.filter(F.col("r.verdict").isNull()).select("listing_id")
+    good = validate_scores(read.filter(F.col("r.verdict").isNotNull()).select("listing_id", "r.*"))
+    facts = hard_gate(requests, cfg).select("listing_id", "gate", "best_school", "listing_status", "property_type")
+    stripped = strip_invalid_reject(invalid_reject(good.join(facts, "listing_id")))
+    kept = reconcile_arithmetic(stripped).drop("gate", "best_school", "listing_status", "property_type")
+    return kept, read.filter(F.col("r.verdict").isNull()).select("listing_id")
 
 
 def ledger_score(df: DataFrame, rules: DataFrame, base: int = DEFAULT.base_score) -> DataFrame:

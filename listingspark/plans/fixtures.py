@@ -51,7 +51,7 @@ select o_orderkey as listing_id, cast((o_orderkey * 31) % 101 as bigint) as scor
   case when o_orderkey % 12 = 0 then 'Reject' when (o_orderkey * 31) % 101 >= 80 then 'Strong Match'
     when (o_orderkey * 31) % 101 >= 60 then 'Worth Touring' when (o_orderkey * 31) % 101 >= 40 then 'Low Priority' else 'Weak Match' end as verdict,
   case o_orderkey % 5 when 0 then '[]' when 1 then null
-    when 2 then '[{"criterion":"schools","passed":false,"value":"44","reason":"below floor, -10 point penalty"}]'
+    when 2 then concat('[{"criterion":"', case o_orderkey % 15 when 2 then 'schools' when 7 then 'sold status' else 'detached home' end, '","passed":false,"value":"44","reason":"below floor, -10 point penalty"}]')
     when 3 then '[{"criterion":"lot","passed":null,"value":"","reason":"unknown"},{"criterion":"tax","passed":null,"value":"","reason":"unknown"}]'
     else '[{"criterion":"commute","passed":true,"value":"60","reason":"ok"}]' end as hard_results_json,
   case when o_orderkey % 6 = 0 then null else concat('{"commute":', cast(o_orderkey % 21 - 10 as varchar(9)), ',"schools":', cast(o_orderkey % 13 as varchar(9)),
@@ -117,11 +117,49 @@ select cast(10500 + n_nationkey as varchar(9)) as zip, 'zip' as region_type, cas
 """
 
 VIEWS["parcels_v"] = """
-select c_custkey as parcel_id, 'Westchester' as county, case when c_custkey % 5 = 0 then '' else n_name end as municipality,
+select c_custkey as parcel_id, case c_custkey % 7 when 0 then 'Putnam' when 1 then 'Dutchess' else 'Westchester' end as county,
+  case when c_custkey % 6 = 0 then '' else n_name end as municipality,
   case when c_custkey % 3 = 0 then n_name else 'ELSEWHERE' end as city_town, cast(c_custkey % 97 + 1 as varchar(9)) as number,
-  case c_custkey % 3 when 0 then 'OAK ST' when 1 then 'MAPLE AVE' else 'CROTON ON HUDSON TER' end as street,
+  case c_custkey % 5 when 0 then 'OAK ST' when 1 then 'MAPLE AVE' when 2 then 'NORTH MAPLE AVENUE' when 3 then 'LAKE SHORE DR' else 'OAKLAND PL' end as street,
   case when c_custkey % 4 = 0 then 0.0 else cast(c_custkey % 50 as double) / 10 end as acres, cast(c_custkey % 70 as double) / 10 as calc_acres,
-  cast(c_custkey % 9 * 100000 as bigint) as assessed from customer join nation on c_nationkey = n_nationkey
+  cast(c_custkey % 9 * 100000 as bigint) as assessed, cast(c_custkey % 11 * 100000 as bigint) as market from customer join nation on c_nationkey = n_nationkey
+"""
+
+VIEWS["homes_v"] = """
+select listing_id, case when listing_id % 10 = 7 then concat(cast(listing_id % 97 + 1 as varchar(9)), ' Lakeshore Drive') when listing_id % 83 = 0 then 'Nowhere' else address end as address,
+  case when listing_id % 12 = 5 then 'Queens' when listing_id % 12 = 6 then 'Brooklyn' when listing_id % 89 = 0 then null else town end as town,
+  case when listing_id % 14 = 3 then 'NJ' else state end as state, zip_code, price, sqft, listing_url, description, lat, lng from listings_v
+"""
+
+VIEWS["town_county_v"] = """
+select lower(n_name) as town, case n_nationkey % 4 when 0 then 'Putnam' when 1 then 'Dutchess' else null end as county from nation where n_nationkey % 4 <> 3
+"""
+
+VIEWS["municipalities_v"] = """
+select lower(a.n_name) as town, b.n_name as municipality from nation a join nation b on b.n_nationkey = (a.n_nationkey + 1) % 25 where a.n_nationkey % 5 = 0
+"""
+
+VIEWS["nyc_v"] = """
+select s_suppkey as row_id, cast(s_suppkey % 5 + 1 as varchar(9)) as boro, concat(cast(s_suppkey % 97 + 1 as varchar(9)), case when s_suppkey % 2 = 0 then ' Oak Street' else ' N MAPLE AVE' end, ' APT ', cast(s_suppkey as varchar(9))) as address,
+  cast(s_suppkey % 4 * 1000 as bigint) as assessed, cast(s_suppkey % 3 * 1000 as bigint) as market from supplier
+"""
+
+VIEWS["zones_v"] = """
+select n_nationkey as zone_id, case n_nationkey % 3 when 0 then 'AE' when 1 then 'X' else 'VE' end as zone,
+  40.9 + n_nationkey * 0.02 as lat_lo, 41.0 + n_nationkey * 0.02 as lat_hi, -73.9 + n_nationkey * 0.015 as lng_lo, -73.8 + n_nationkey * 0.015 as lng_hi from nation
+"""
+
+VIEWS["overrides_v"] = """
+select lower(n_name) as town, concat('Supplier ', lpad(cast(n_nationkey + 1 as varchar(9)), 9, '0')) as station_town from nation where n_nationkey % 6 <> 0
+"""
+
+VIEWS["drives_v"] = """
+select listing_id, case when listing_id % 13 = 0 then 'Elsewhere' else concat('Supplier#', lpad(cast(cast(zip_code as int) - 10499 as varchar(9)), 9, '0')) end as station,
+  (listing_id * 13) % 2400 as drive_s, cast((listing_id * 7) % 90000 as double) as road_m from listings_v where listing_id % 19 <> 0
+"""
+
+VIEWS["transits_v"] = """
+select s_name as station, case when s_suppkey % 17 = 0 then null else cast((s_suppkey * 2900) % 8000 as bigint) end as transit_s from supplier
 """
 
 VIEWS["tasks_v"] = """
@@ -137,9 +175,13 @@ select event_id as alert_id, user_id as listing_id, cast(45 + (event_id * 37) %
 """
 
 VIEWS["criteria_v"] = """
-select cast(1 as bigint) as version, 'Reject a commute of over 100 minutes. Price between $850,000 and $2,250,000. Minimum 2,200 sqft. Minimum 3 bedrooms. Schools below 50th percentile. Base score: 50.' as instructions, 'a' as created_by
-union all select 2, 'A commute of 110 min is the limit. Price between $900,000 - $2,250,000. Minimum 2,400 sq. ft. Minimum 4 bedrooms.', 'b'
-union all select 3, 'No thresholds here.', 'a'
+select cast(o_orderkey as bigint) as version, concat(
+    case o_orderkey % 4 when 0 then concat('Reject over ', cast(80 + o_orderkey % 40 as varchar(9)), ' min. A commute of 110 minutes is the limit. ') when 1 then concat('A commute of ', cast(100 + o_orderkey % 20 as varchar(9)), ' min is the limit. ')
+      when 2 then 'A short commute is best. ' else '' end,
+    case o_orderkey % 3 when 0 then concat('Price between $850,000 and $', cast(2 + o_orderkey % 2 as varchar(9)), ',250,000. ') when 1 then 'Price between 900,000 - 2,250,000. ' else '' end,
+    case o_orderkey % 5 when 0 then '' when 1 then 'Minimum 2,400 sq. ft. ' else 'Minimum 2,200 sqft. ' end, case when o_orderkey % 2 = 0 then concat('Minimum ', cast(3 + o_orderkey % 3 as varchar(9)), ' bedrooms. ') else '' end,
+    case when o_orderkey % 7 < 3 then 'Schools below 50th percentile. ' when o_orderkey % 7 = 3 then 'Schools below 42nd percentile. ' else '' end, case when o_orderkey % 11 < 5 then 'Base score: 50.' else '' end) as instructions,
+  o_orderstatus as created_by from orders
 """
 
 VIEWS["export_v"] = """
@@ -149,7 +191,7 @@ from listings_v where listing_id % 3 = 0 and listing_id % 6 <> 0
 """
 
 
-NEEDS = {"export_v": ["listings_v"]}
+NEEDS = {"export_v": ["listings_v"], "homes_v": ["listings_v"], "drives_v": ["listings_v"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

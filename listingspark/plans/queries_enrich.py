@@ -38,42 +38,53 @@ def _(v):
     return E.within_radius(v("listings_v"), v("features_v")).select("listing_id", "n_features", "nearest_m", "found")
 
 
-@query("e04_zone_lookup", L, "select listing_id, case when lng > -73.85 and lng < -73.65 and lat > 41.0 and lat < 41.2 then 1 when lng > -73.75 and lat > 41.1 and lat < 41.3 and lng < -73.5 then 2 end as zone_id from listings_v where listing_id % 500 not in (100, 200, 300, 400) and round(lng * 1000) not in (-73850, -73650, -73750, -73500)")
+ZONES = "select listing_id, min(zone_id) as zone_id, arg_min(zone, zone_id) as zone from {} join zones_v on lat >= lat_lo and lat < lat_hi and lng >= lng_lo and lng < lng_hi group by 1"
+
+
+@query("e04_zone_lookup", ["listings_v", "zones_v"], f", z as ({ZONES.format('listings_v')}) select listing_id, zone_id, zone, left(upper(zone), 1) in ('A', 'V') as sfha from listings_v left join z using (listing_id)")
 def _(v):
-    box = lambda a, b, c, d: [(a, c), (b, c), (b, d), (a, d)]
-    zones = v.spark.createDataFrame([(1, "AE", box(41.0, 41.2, -73.85, -73.65)), (2, "X", box(41.1, 41.3, -73.75, -73.5))], "zone_id int, zone string, ring array<struct<lat:double,lng:double>>")
-    rows = v("listings_v").filter("listing_id % 500 not in (100, 200, 300, 400) and round(lng * 1000) not in (-73850, -73650, -73750, -73500)")
-    return E.zone_lookup(rows, zones).select("listing_id", "zone_id")
+    return E.zone_lookup(v("listings_v"), _zones(v))
 
 
-CLEAN = "upper(replace(replace(trim(address), '.', ''), '-', ' '))"
-ADDR = rf"a as (select listing_id, upper(town) as town, state, regexp_extract({CLEAN}, '^(\d+)\s', 1) as number, trim(regexp_replace({CLEAN}, '^\d+\s+', '')) as street from listings_v)"
-THREE = "array_to_string(string_split({}, ' ')[1:3], ' ')"
+def _zones(v):
+    p = lambda a, b: F.struct(F.col(a).cast("double").alias("lat"), F.col(b).cast("double").alias("lng"))
+    ring = F.array(p("lat_lo", "lng_lo"), p("lat_hi", "lng_lo"), p("lat_hi", "lng_hi"), p("lat_lo", "lng_hi"))
+    return v("zones_v").select("zone_id", "zone", ring.alias("ring"))
 
 
-@query(
-    "e05_parcel_lot_acres",
-    ["listings_v", "parcels_v"],
-    f""", {ADDR}, m as (select a.listing_id, a.town, a.street, p.*, upper(p.municipality) as muni, upper(p.city_town) as city, count(*) over (partition by a.listing_id) as n from a join parcels_v p on p.number = a.number and split_part(p.street, ' ', 1) = split_part(a.street, ' ', 1)
-      where coalesce(lower(a.state), '') not in ('nj', 'new jersey')),
-    r as (select *, case when {THREE.format('street')} = {THREE.format('street_1')} then 3 when muni = '' or contains(muni, town) or contains(town, muni) then 2 when city = town then 1 when n = 1 then 0 end as rk from m),
-    b as (select *, row_number() over (partition by listing_id order by -rk, parcel_id) as q from r where rk is not null) select listing_id, round(case when acres > 0 then acres else nullif(calc_acres, 0) end, 4) as lot_acres from b where q = 1""",
-)
+HOUSE = r"""a as (select listing_id, address, town, state, regexp_extract(trim(address), '^(\S+)\s+(.*)$', 1) as number, upper(trim(regexp_extract(trim(address), '^(\S+)\s+(.*)$', 2))) as street from homes_v),
+    c as (select a.*, upper(trim(coalesce(a.town, ''))) as up, case when t.town is not null then t.county else 'Westchester' end as county from a left join town_county_v t on t.town = lower(trim(a.town)))"""
+TWO = "array_to_string(string_split({}, ' ')[1:2], ' ')"
+COMPOUNDS = ", ".join(f"({k + 1}, '{a}', '{b.split()[0]}')" for k, (a, b) in enumerate(E.STREET_COMPOUNDS))
+LOT = f"""with {HOUSE}, d as (select * from c where coalesce(left(upper(trim(state)), 2), '') not in ('NJ', 'CT', 'PA', 'MA') and county is not null and number <> '' and street <> ''),
+    t as (select d.*, 0 as turn, split_part(street, ' ', 1) as word from d union all select d.*, k.turn, k.word from d join (values {COMPOUNDS}) k(turn, compound, word) on starts_with(street, compound)),
+    m as (select t.listing_id, t.up, t.street, t.turn, p.parcel_id, p.street as ps, p.municipality as muni, p.city_town as city, case when p.acres > 0 then p.acres when p.calc_acres > 0 then p.calc_acres end as lot
+      from t join parcels_v p on p.county = t.county and p.number = t.number and starts_with(p.street, t.word)),
+    f as (select listing_id, min(turn) as turn from m group by 1),
+    r as (select m.*, count(*) over (partition by listing_id) as n, case when {TWO.format('street')} = {TWO.format('ps')} and contains({TWO.format('street')}, ' ') then 3 when contains(muni, up) or contains(up, muni) then 2 when contains(city, up) or contains(up, city) then 1 else 0 end as rk
+      from m join f using (listing_id, turn)),
+    b as (select *, row_number() over (partition by listing_id order by -rk, parcel_id) as q from r where lot is not null and (rk > 0 or n = 1)) select listing_id, round(lot, 4) as lot_acres from b where q = 1"""
+
+
+@query("e05_parcel_lot_acres", ["homes_v", "parcels_v", "town_county_v"], f", out as ({LOT}) select * from out")
 def _(v):
-    counties = v.spark.createDataFrame([("nowhere", "Westchester")], "town string, county string")
-    return E.parcel_lot_acres(v("listings_v"), v("parcels_v"), counties)
+    return E.parcel_lot_acres(v("homes_v"), v("parcels_v"), v("town_county_v"))
 
 
-@query(
-    "e06_property_tax",
-    ["listings_v", "parcels_v"],
-    f""", {ADDR}, r as (select parcel_id, upper(municipality) as muni, number, split_part(street, ' ', 1) as word, assessed from parcels_v where assessed > 0),
-    one as (select listing_id, min((parcel_id, assessed)) as b from a join r on r.muni = a.town and r.number = a.number and r.word = split_part(a.street, ' ', 1) group by 1),
-    two as (select listing_id, min((parcel_id, assessed)) as b from a join r on r.number = a.number and r.word = split_part(a.street, ' ', 1) where listing_id not in (select listing_id from one) group by 1)
-    select listing_id, b[2] as assessed, 'municipality' as tier from one union all select listing_id, b[2], 'county' from two""",
-)
+TAX = f"""with {HOUSE}, d as (select c.*, split_part(street, ' ', 1) as word, upper(coalesce(g.municipality, c.town)) as muni,
+      case lower(c.town) when 'manhattan' then '1' when 'bronx' then '2' when 'brooklyn' then '3' when 'queens' then '4' when 'staten island' then '5' else lower(c.town) end as boro
+      from c left join municipalities_v g on g.town = lower(c.town) where c.town is not null and street <> ''),
+    x as (select listing_id, 1 as tier, row_id as id, n.assessed, n.market from d join nyc_v n on n.boro = d.boro and starts_with(upper(n.address), upper(trim(d.address)))
+      union all select listing_id, 2, parcel_id, assessed, market from d join parcels_v p on upper(p.municipality) = d.muni and p.number = d.number and starts_with(split_part(p.street, ' ', 1), d.word)
+      union all select listing_id, 3, parcel_id, assessed, market from d join parcels_v p on p.county = d.county and p.number = d.number and starts_with(split_part(p.street, ' ', 1), d.word)),
+    o as (select *, row_number() over (partition by listing_id order by tier, id) as q from x)
+    select listing_id, nullif(assessed, 0) as assessed, nullif(market, 0) as market, case tier when 1 then 'city' when 2 then 'municipality' else 'county' end as tier from o where q = 1"""
+TAX_VIEWS = ["homes_v", "parcels_v", "town_county_v", "nyc_v", "municipalities_v"]
+
+
+@query("e06_property_tax", TAX_VIEWS, f", out as ({TAX}) select * from out")
 def _(v):
-    return E.property_tax(v("listings_v"), v("parcels_v"))
+    return E.property_tax(v("homes_v"), v("parcels_v"), v("town_county_v"), v("nyc_v"), v("municipalities_v"))
 
 
 @query(
@@ -87,7 +98,7 @@ def _(v):
     return E.schools_by_zip(v("listings_v"), v("schools_v"))
 
 
-INDEX = "ix as (select zip, coalesce(m3, m2, m1) as value from price_index_v)"
+INDEX = "ix as (select zip, m3 as value from price_index_v where m3 is not null)"
 
 
 @query("a07_price_index", ["price_index_v"], f", {INDEX} select * from ix")
@@ -107,19 +118,18 @@ def _(v):
     return out.join(v("listings_v").select("listing_id", F.round(F.col("price") / F.col("sqft"), 1).alias("ppsf")), "listing_id").select("listing_id", "ppsf", "signal")
 
 
-LEGS = "legs as (select listing_id, (listing_id * 13) % 2400 as drive_s, case when listing_id % 17 = 0 then null else (listing_id * 29) % 8000 end as transit_s, cast((listing_id * 7) % 30000 as double) as road_m, cast((listing_id * 3) % 9000 as double) as straight_m from listings_v)"
+FOLDED = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+RIDE = f"""with s as (select {FOLDED.format('name')} as k, min((idx, name, lat, lng)) as s from stations_v group by 1),
+    g as (select h.listing_id, h.lat, h.lng, s.s[2] as station, s.s[3] as slat, s.s[4] as slng from homes_v h left join overrides_v o on o.town = lower(h.town) left join s on s.k = {FOLDED.format('coalesce(o.station_town, h.town)')}),
+    w as (select g.*, case when d.station = g.station then drive_s end as drive_s, road_m, transit_s, {S.haversine('lat', 'lng', 'slat', 'slng')} as straight_m from g left join drives_v d using (listing_id) left join transits_v t on t.station = g.station),
+    r as (select *, case when station is null then 'no_station' when coalesce(drive_s <= 0, true) or coalesce(transit_s <= 0, true) then 'missing_leg' when transit_s > 7200 then 'transit_too_long' when drive_s > 1800 then 'drive_too_long' when road_m > greatest(3 * straight_m, 5000) then 'road_too_long' end as rejected from w)
+    select listing_id, station, case when rejected is null then cast(round_even((drive_s + transit_s) / 60, 0) as bigint) end as minutes, rejected from r"""
+RIDE_VIEWS = ["homes_v", "stations_v", "overrides_v", "drives_v", "transits_v"]
 
 
-@query(
-    "e10_commute",
-    L,
-    f""", {LEGS}, r as (select *, case when coalesce(drive_s <= 0, true) or coalesce(transit_s <= 0, true) then 'missing_leg' when transit_s > 7200 then 'transit_too_long' when drive_s > 1800 then 'drive_too_long' when road_m > greatest(3 * straight_m, 5000) then 'road_too_long' end as rejected from legs)
-    select listing_id, case when rejected is null then cast(round_even((drive_s + transit_s) / 60, 0) as bigint) end as minutes, rejected from r""",
-)
+@query("e10_commute", RIDE_VIEWS, f", out as ({RIDE}) select * from out")
 def _(v):
-    i = F.col("listing_id")
-    legs = v("listings_v").select("listing_id", ((i * 13) % 2400).alias("drive_s"), F.when(i % 17 != 0, (i * 29) % 8000).alias("transit_s"), ((i * 7) % 30000).cast("double").alias("road_m"), ((i * 3) % 9000).cast("double").alias("straight_m"))
-    return E.commute(legs)
+    return E.commute(v("homes_v"), v("stations_v"), v("overrides_v"), v("drives_v"), v("transits_v"))
 
 
 @query("e11_e12_parse", L, "select listing_id, cast(round_even(coalesce(try_cast(rtrim(case when listing_id % 3 = 0 then 'bad' else concat(cast(listing_id % 1000 as varchar), '.25s') end, 's') as double), 0), 0) as bigint) as seconds, regexp_replace(lower(address), '[^a-z0-9]', '', 'g') as folded from listings_v")
@@ -174,8 +184,29 @@ def _(v):
     return E.fix_sentinel_lot(rows)
 
 
-@query("e20_enrich_all", L)
+NEAR_HOME = NEAREST.replace("listings_v", "homes_v").removeprefix(", ")
+
+
+@query(
+    "e20_enrich_all",
+    [*TAX_VIEWS, *RIDE_VIEWS, "features_v", "zones_v", "price_index_v", "schools_v"],
+    f""", {INDEX}, near as (with {NEAR_HOME}), power as (select l.listing_id, count(distinct feature_id) as n_features from homes_v l join features_v f on abs(l.lat - f.lat) < 0.003 and abs(l.lng - f.lng) < 0.004 and {S.haversine('l.lat', 'l.lng', 'f.lat', 'f.lng')} <= 300 group by 1),
+    z as ({ZONES.format('homes_v')}), lot as ({LOT}), tax as ({TAX}), ride as ({RIDE}),
+    k as (select *, case when contains(lower(level), 'elem') then 'elementary' when contains(lower(level), 'mid') then 'middle' when contains(lower(level), 'high') then 'high' end as kind from schools_v),
+    sch as (select zip, max(percentile) as best from (select *, row_number() over (partition by zip, kind order by coalesce(percentile, 0) desc, school_id) as rn from k where kind = 'elementary') where rn <= 3 group by 1),
+    p as (select listing_id, case when price / sqft / (value / 1500) < 0.85 then 'below_market' when price / sqft / (value / 1500) > 1.2 then 'above_market' else 'at_market' end as signal from homes_v join ix on zip = zip_code where price is not null and sqft > 0 and value > 0)
+    select h.listing_id, near.station, near.station_m, near.walk_min, n_features, n_features is null as power_checked, zone, zone is null as zone_checked, assessed, market, tier, tier is null as tax_checked,
+      sch.best as best_elementary, signal, ride.minutes as commute_minutes, ride.rejected as commute_rejected, ride.minutes is null as commute_checked,
+      coalesce(lot_acres, case when description is not null then round((h.listing_id % 90 + 10) * 1000 / 43560.0, 4) end) as lot_acres
+    from homes_v h left join near using (listing_id) left join power using (listing_id) left join z using (listing_id) left join lot using (listing_id) left join tax using (listing_id) left join ride using (listing_id) left join sch on sch.zip = h.zip_code left join p using (listing_id)""",
+)
 def _(v):
-    counties = v.spark.createDataFrame([("nowhere", "Westchester")], "town string, county string")
-    index = E.read_wide_index(v("price_index_v"), ["m1", "m2", "m3"])
-    return E.enrich_all(v("listings_v"), v("stations_v"), index, v("features_v"), v("parcels_v"), v("parcels_v"), counties)
+    homes = v("homes_v")
+    refs = E.References(
+        stations=v("stations_v"), index=E.read_wide_index(v("price_index_v"), ["m1", "m2", "m3"]), features=v("features_v"), zones=_zones(v), parcels=v("parcels_v"), rolls=v("parcels_v"), nyc=v("nyc_v"),
+        municipalities=v("municipalities_v"), town_county=v("town_county_v"), schools=v("schools_v"), overrides=v("overrides_v"), drives=v("drives_v"), transits=v("transits_v"),
+        places=homes.select("address", "town", "state", "lat", "lng"), urls=homes.select("address", "town", F.lit("/p").alias("url")),
+    )
+    best = F.get(F.filter("schools", lambda x: x["level"] == "elementary"), F.lit(0))["best"].alias("best_elementary")
+    columns = "listing_id station station_m walk_min n_features power_checked zone zone_checked assessed market tier tax_checked signal commute_minutes commute_rejected commute_checked lot_acres".split()
+    return E.enrich_all(homes, refs).select(*columns, best)

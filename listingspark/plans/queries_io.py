@@ -10,6 +10,7 @@ from listingspark.operators import enrich as E
 from listingspark.operators import score as C
 from listingspark.operators import tables
 from listingspark.plans.streams import drained, shared_folder
+from listingspark.plans import sqltext as S
 from listingspark.registry import query
 from listingspark.sources import messages as M
 from listingspark.streaming import alerts as stream
@@ -79,10 +80,10 @@ def _(v):
 @query(
     "f16_criteria_thresholds",
     ["criteria_v"],
-    "select version, " + ", ".join(f"try_cast(nullif(replace(regexp_extract(instructions, '{C.THRESHOLDS[n]}', 1), ',', ''), '') as bigint) as {n}" for n in ("commute", "sqft", "bedrooms")) + " from criteria_v",
+    "select version, " + ", ".join(f"try_cast(nullif(replace({x}, ',', ''), '') as bigint) as {n}" for n, x in S.thresholds().items()) + " from criteria_v",
 )
 def _(v):
-    return C.criteria_thresholds(v("criteria_v")).select("version", "commute", "sqft", "bedrooms")
+    return C.criteria_thresholds(v("criteria_v"))
 
 
 @query(

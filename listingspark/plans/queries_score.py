@@ -73,12 +73,18 @@ def _(v):
     return C.reconcile_arithmetic(C.parsed(v("scores_v"))).select("listing_id", "delta", F.size("concerns").alias("n_concerns"), "confidence")
 
 
-REJ = f""", {S.PARSED}, j as (select p.*, l.listing_status, {S.gate_criterion()} as gate, cast(l.listing_id % 70 + 20 as double) as best_school from parsed p join (select listing_id, listing_status, commute_minutes, state, price, sqft, bedrooms from listings_v) l using (listing_id)),
-    b as (select *, verdict = 'Reject' and gate is null and not coalesce(len(list_filter(hard_results, lambda x: x.passed = false and ((contains(lower(x.criterion), 'school') and best_school < 50)))) > 0, false) as invalid_reject from j)"""
+PROPERTY = "case listing_id % 3 when 0 then 'Condo' when 1 then 'Single Family' end"
+REJ = f""", {S.PARSED}, j as (select p.*, l.listing_status, {S.gate_criterion()} as gate, cast(l.listing_id % 70 + 20 as double) as best_school, l.property_type from parsed p join (select *, {PROPERTY} as property_type from listings_v) l using (listing_id)),
+    b as (select *, verdict = 'Reject' and gate is null and not coalesce(len(list_filter(hard_results, lambda x: x.passed = false and (case when contains(lower(x.criterion), 'school') then best_school < 50
+      when contains(lower(x.criterion), 'sold') or contains(lower(x.criterion), 'status') then lower(trim(listing_status)) in ('sold', 'closed') when contains(lower(x.criterion), 'detached') then property_type = 'Condo' else false end))) > 0, false) as invalid_reject from j)"""
+
+
+def _facts(v):
+    return v("listings_v").withColumns({"best_school": (F.col("listing_id") % 70 + 20).cast("double"), "property_type": F.expr(PROPERTY)})
 
 
 def _rejects(v):
-    rows = C.hard_gate(v("listings_v")).select("listing_id", "listing_status", "gate", (F.col("listing_id") % 70 + 20).cast("double").alias("best_school"), F.lit(None).cast("string").alias("property_type"))
+    rows = C.hard_gate(_facts(v)).select("listing_id", "listing_status", "gate", "best_school", "property_type")
     p = C.parsed(v("scores_v")).withColumn("pre_reject_score", F.col("score"))
     return C.invalid_reject(p.join(rows, "listing_id"))
 
@@ -124,7 +130,7 @@ def _(v):
 @query(
     "f17_gate_drift",
     ["criteria_v"],
-    ", t as (select version, " + ", ".join(f"replace(regexp_extract(instructions, '{p}', 1), ',', '') as {n}" for n, p in C.THRESHOLDS.items()) + r""" from criteria_v),
+    ", t as (select version, " + ", ".join(f"replace({x}, ',', '') as {n}" for n, x in S.thresholds().items()) + r""" from criteria_v),
     x as (select version, 'commute' as "check", commute as s, 110 as configured from t union all select version, 'price_min', price_min, 850000 from t union all select version, 'price_max', price_max, 2250000 from t
       union all select version, 'sqft', sqft, 2200 from t union all select version, 'bedrooms', bedrooms, 3 from t union all select version, 'school_floor', school_floor, 50 from t union all select version, 'base', base, 50 from t)
     select version, "check", try_cast(nullif(s, '') as bigint) as stated, cast(configured as bigint) as configured, coalesce(try_cast(nullif(s, '') as bigint) = configured, true) as in_sync from x""",
@@ -169,13 +175,19 @@ def _(v):
     return C.build_scoring_payload(v("listings_v"))
 
 
-@query("f23_apply_scores", ["scores_v"], "select listing_id, score from scores_v where listing_id % 5 <> 0 and verdict <> 'Reject'")
+@query(
+    "f23_apply_scores",
+    LS,
+    REJ + """ select listing_id, case when verdict = 'Reject' and not invalid_reject then 0 else score end as score, case when invalid_reject then case when score >= 80 then 'Strong Match' when score >= 60 then 'Worth Touring' when score >= 40 then 'Low Priority' else 'Weak Match' end else verdict end as verdict,
+      case when invalid_reject then 'low' else confidence end as confidence, case when verdict = 'Reject' then score end as pre_reject_score, 'scored' as outcome from b where listing_id % 5 <> 0 union all select listing_id, null, null, null, null, 'retry' from scores_v where listing_id % 5 = 0""",
+)
 def _(v):
-    s = v("scores_v")
-    body = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("score").cast("string").alias("score"), "verdict", "confidence")), F.lit("\n```"))
+    s = C.parsed(v("scores_v"))
+    body = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("score").cast("string").alias("score"), "verdict", "confidence", "hard_results")), F.lit("\n```"))
     responses = s.select("listing_id", F.when(F.col("listing_id") % 5 == 0, "not json").otherwise(body).alias("response"))
-    good, _retry = C.apply_scores(s.select("listing_id"), responses)
-    return good.filter("verdict <> 'Reject'").select("listing_id", "score")
+    good, retry = C.apply_scores(_facts(v), responses)
+    rows = good.select("listing_id", "score", "verdict", "confidence", "pre_reject_score", F.lit("scored").alias("outcome"))
+    return rows.unionByName(retry.withColumn("outcome", F.lit("retry")), allowMissingColumns=True)
 
 
 RULES = [("commute", 0, 60, 10), ("commute", 60, 90, 0), ("commute", 90, 999, -10), ("sqft", 0, 2200, -5), ("sqft", 2200, 3000, 5), ("sqft", 3000, 99999, 8)]
@@ -193,10 +205,11 @@ def _(v):
     return C.ledger_score(facts, rules).drop("ledger")
 
 
-@query("f25_criteria_history", ["criteria_v"], "select version, created_by, left(instructions, 80) as preview, (select max(version) + 1 from criteria_v) as next_version from criteria_v")
+@query("f25_criteria_history", ["criteria_v"], "select version, created_by, left(instructions, 80) as preview, (select max(version) + 1 from criteria_v) as next_version, (select max(version) from criteria_v) as active_version, (select left(arg_max(instructions, version), 80) from criteria_v) as active_preview from criteria_v")
 def _(v):
     c = v("criteria_v")
-    return C.criteria_history(c).join(C.next_version(c))
+    active = C.active_criteria(c).select(F.col("version").alias("active_version"), F.left("instructions", F.lit(80)).alias("active_preview"))
+    return C.criteria_history(c).join(F.broadcast(C.next_version(c))).join(F.broadcast(active))
 
 
 @query("f26_batch_chunks", L, ", x as (select listing_id, listing_id % 16 as part, row_number() over (partition by listing_id % 16 order by listing_id) as rn from listings_v) select listing_id, part, cast(floor((rn - 1) / 5) as bigint) as chunk from x")

@@ -32,6 +32,14 @@ def status_class(c: str) -> str:
     return f"case when {s} in ({quoted(MARKET_LIVE)}) then 'live_market' when {s} in ({quoted(LIVE_EVENTS)}) then 'live_event' when {s} in ({quoted(OFF_MARKET)}) then 'off_market' else 'unknown' end"
 
 
+def thresholds() -> dict[str, str]:
+    """Text of each threshold of a criteria text, by the patterns that are fixed values."""
+    from listingspark.operators.score import COMMUTE_LIMIT, THRESHOLDS
+
+    commute = f"coalesce(nullif(regexp_extract(instructions, '{COMMUTE_LIMIT}', 1), ''), regexp_extract(instructions, '{COMMUTE_LIMIT}', 2))"
+    return {"commute": commute} | {n: f"regexp_extract(instructions, '{p}', {g})" for n, (p, g) in THRESHOLDS.items()}
+
+
 def haversine(a: str, b: str, c: str, d: str) -> str:
     return f"(2 * 6371000.0 * asin(sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - ({b})) / 2), 2))))"
 
