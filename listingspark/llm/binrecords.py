@@ -59,7 +59,13 @@ class WordEncoder:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
-            _tables[path] = (Tokenizer.from_file(path), {})
+            tokenizer = Tokenizer.from_file(path)
+            # words apart must give what the words give one by one, or the shortcut below is wrong
+            probe = ["Words", "apart,", "12", "--", "é漢", "x\u00a0y", "word"]
+            ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+            if any(ids(gap.join(["", *probe, ""])) != [i for w in probe for i in ids(w)] for gap in (" ", "\n", " \t\r\n ")):
+                raise ValueError(f"{path} keeps white space in its pieces: words cannot be encoded one by one")
+            _tables[path] = (tokenizer, {})
         self.path, self.kind = path, np.dtype("<u4" if wide else "<u2")
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -7,24 +7,29 @@ of its text goes as a whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingspark.llm.common import SPACES, WORD, let
+from listingspark.llm.common import SPACES, WORD, let, spare
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Phrases of page furniture; a line that has one is boilerplate.
+# Phrases of page furniture in the languages of the corpus; a line that has one is boilerplate.
 BOILERPLATE = (
-    "all rights reserved",
-    "cookie policy",
-    "enable javascript",
-    "licensed under",
-    "lorem ipsum",
-    "privacy policy",
-    "subscribe to our",
-    "terms of use",
-)
+    "all rights reserved", "cookie policy", "enable javascript", "licensed under", "lorem ipsum", "privacy policy", "subscribe to our", "terms of use",
+    "alle rechte vorbehalten", "cookie-richtlinie", "javascript aktivieren", "datenschutzerklärung", "allgemeine geschäftsbedingungen",
+    "tous droits réservés", "politique de confidentialité", "activer javascript", "conditions d'utilisation",
+    "todos los derechos reservados", "política de privacidad", "habilitar javascript", "términos de uso",
+)
+#: What parts the entries of menus and breadcrumbs.
+SEPARATORS = (" | ", " > ", " » ", " › ", " • ", " · ")
+#: Ends of lines that lead on to another page.
+LEADS_ON = ("...", "…", "»", "›")
+#: Ends of sentences; a line of up to MENU_WORDS words without one is an entry of a menu.
+SENTENCE_ENDS = ".!?:;,\"'”»)]"
+MENU_WORDS = 3
 
 
 def word_array(text: Column) -> Column:
@@ -70,20 +75,36 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule: punctuation, navigation or boilerplate."""
+    """Whether a line breaks a rule: punctuation, navigation or boilerplate.
+
+    Punctuation: symbols in place of it, shouting, an end that leads on to another page.
+    Navigation: a separator for every five words or more, or a few words without an end of a
+    sentence. Boilerplate: a phrase of page furniture.
+    """
     n = F.regexp_count(line, F.lit(WORD))
+    bare = F.rtrim(F.translate(line, SPACES, " "))
     solid = F.length(F.translate(line, SPACES, ""))
     shouted = F.length(line) - F.length(F.translate(line, "!", ""))
-    lower = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
-    return (
-        (symbol_count(line) * 10 > solid)  # symbols instead of punctuation
-        | ((shouted > 3) & (shouted * 3 > n))  # shouting
-        | (line.contains(" | ") & (F.regexp_count(line, F.lit(r" \| ")) * 5 > n))  # navigation, tables
-        | boilerplate
-    )
+
+    def judged(x: Column) -> Column:
+        """By struct(n, bare): what more than one rule reads."""
+        apart = F.lit(0)
+        for mark in SEPARATORS:
+            apart = apart + F.when(line.contains(mark), F.size(F.split(line, f"\\Q{mark}\\E", -1)) - 1).otherwise(0)
+        leads = F.lit(False)
+        for end in LEADS_ON:
+            leads = leads | x["bare"].endswith(end)
+        entry = (x["n"] <= MENU_WORDS) & ~F.contains(F.lit(SENTENCE_ENDS), F.right(x["bare"], F.lit(1)))
+        return (
+            (symbol_count(line) * 10 > solid)
+            | ((shouted > 3) & (shouted * 3 > x["n"]))
+            | (leads & (x["n"] <= 12))
+            | (apart * 5 > x["n"])
+            | entry
+            | let(F.lower(line), lambda low: reduce(lambda a, p: a | F.contains(low, F.lit(p)), BOILERPLATE, F.lit(False)))
+        )
+
+    return let(F.struct(n.alias("n"), bare.alias("bare")), judged)
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5, most_repeats: float = 0.2, least_words: int = 10) -> DataFrame:
@@ -115,24 +136,25 @@ def clean_lines(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5,
             F.size(words).cast("long").alias("n"), repeated_window_words(words).cast("long").alias("repeated")
         )
 
+    lines, words, chars, symbols = spare(base, "lines", "words", "chars", "symbols")
     measured = base.withColumns(
         {
-            "__lines": let(solid_lines, lines_of),
-            "__words": let(word_array(text), words_of),
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": symbol_count(text).cast("long"),
+            lines: let(solid_lines, lines_of),
+            words: let(word_array(text), words_of),
+            chars: F.length(F.translate(text, SPACES, "")).cast("long"),
+            symbols: symbol_count(text).cast("long"),
         }
     )
-    n, repeated, cleaned = F.col("__words.n"), F.col("__words.repeated"), F.col("__lines.cleaned")
+    n, repeated, cleaned = F.col(f"{words}.n"), F.col(f"{words}.repeated"), F.col(f"{lines}.cleaned")
     left = F.length(F.translate(cleaned, SPACES, ""))
-    lost = F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(F.lit(0.0))
+    lost = F.when(F.col(chars) > 0, 1 - left / F.col(chars)).otherwise(F.lit(0.0))
     failed = (n < least_words) | (repeated > most_repeats * n)
     return measured.select(
-        *base.columns,
+        *[F.col(f"`{c}`") for c in base.columns],
         n.alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        F.col("__lines.dups").alias("n_dup_lines"),
+        F.col(chars).alias("word_chars"),
+        F.col(symbols).alias("n_symbols"),
+        F.col(f"{lines}.dups").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         failed.alias("base_failed"),
         cleaned.alias("cleaned"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingspark.llm.common import Scratch, count_words
+from listingspark.llm.common import Scratch, count_words, spare
 
 #: Shares of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -185,8 +185,8 @@ def mixed_documents(
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     plan = plan_mix(scratch, _sized(scratch, docs, id_col, text_col, source_col), weights, repeats)
-    plan = plan.select(F.col("name").alias("__name"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
-    out = docs.join(small(plan), F.col(source_col).eqNullSafe(F.col("__name")), "left")
-    copies = F.col("__whole") + (document_hash(id_col, text_col) < F.col("__threshold")).cast("long")
-    out = out.withColumn("__copies", copies).filter("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    name, whole, limit, copies, copy = spare(docs, "name", "whole", "limit", "copies", "copy")
+    plan = plan.select(F.col("name").alias(name), F.col("whole").alias(whole), F.col("threshold").alias(limit))
+    out = docs.join(small(plan), F.col(source_col).eqNullSafe(F.col(name)), "left")
+    out = out.withColumn(copies, F.col(whole) + (document_hash(id_col, text_col) < F.col(limit)).cast("long")).filter(F.col(copies) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingspark.llm import texthash as H
-from listingspark.llm.common import Scratch
+from listingspark.llm.common import Scratch, spare
 from listingspark.llm.components import connected_components
 
 U = np.uint64
@@ -191,9 +191,9 @@ def near_duplicates(
     )
     real = sketch.filter("n > 0 and id is not null")
     # equal sets: one representative, found with map-side combining
-    reps = scratch.table(real.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "reps")
+    reps = scratch.table(real.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "reps")
     leading = scratch.table(
-        real.join(reps.withColumnRenamed("rep", "id"), ["f1", "f2", "id"], "left_semi").select("id", "n", "bands", "sig"),
+        real.join(reps.withColumnRenamed("rep", "id"), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "bands", "sig"),
         "leading",
     )
     placed = leading.select("id", F.explode("bands").alias("key"))
@@ -282,10 +282,10 @@ def near_duplicates(
 
     # representatives that took part in a link, then every row by its set
     joined = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    groups = scratch.table(joined.select("f1", "f2", F.coalesce("component", "rep").alias("component")), "groups")
+    groups = scratch.table(joined.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "groups")
     linked = sketch.select("id", "n", "f1", "f2", F.when((F.col("n") > 0) & F.col("id").isNotNull(), True).alias("real"))
-    groups = groups.select("f1", "f2", "component", F.lit(True).alias("real"))
-    out = linked.join(groups, ["f1", "f2", "real"], "left")
+    groups = groups.select("n", "f1", "f2", "component", F.lit(True).alias("real"))
+    out = linked.join(groups, ["n", "f1", "f2", "real"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col),
@@ -302,12 +302,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     all stay. All columns pass through.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.table(near_duplicates(docs, id_col, **options).select(F.col(id_col).alias("__id"), "kept"), "found")
-    gone = found.filter(~F.col("kept")).select("__id").distinct()
-    rest = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    twice = found.filter("kept and __id is not null").groupBy("__id").count().filter("count > 1").select("__id")
+    (key,) = spare(docs, "key")
+    found = scratch.table(near_duplicates(docs, id_col, **options).select(F.col(id_col).alias(key), "kept"), "found")
+    gone = found.filter(~F.col("kept")).select(key).distinct()
+    rest = docs.join(gone, docs[id_col] == gone[key], "left_anti")
+    twice = found.filter(F.col("kept") & F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1").select(key)
     twice = scratch.table(twice, "twice")
     if not twice.take(1):
         return rest
-    single = rest.join(twice, rest[id_col] == twice["__id"], "left_anti")
-    return single.unionAll(rest.join(twice, rest[id_col] == twice["__id"], "left_semi").dropDuplicates([id_col]))
+    single = rest.join(twice, rest[id_col] == twice[key], "left_anti")
+    return single.unionAll(rest.join(twice, rest[id_col] == twice[key], "left_semi").dropDuplicates([id_col]))

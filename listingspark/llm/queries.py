@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingspark.llm.binrecords import token_records
-from listingspark.llm.cleaning import clean_lines
+from listingspark.llm.cleaning import BOILERPLATE, LEADS_ON, MENU_WORDS, SENTENCE_ENDS, SEPARATORS, clean_lines
 from listingspark.llm.common import read
 from listingspark.llm.decontam import find_leaks
 from listingspark.llm.lm import score_language
@@ -165,7 +165,12 @@ select doc_id, size, source_size, target,
 from ends
 """
 
-OP7_SQL = r"""
+_QUOTED = lambda x: x.replace("'", "''")
+_APART = " + ".join(f"len(string_split(x, '{m}')) - 1" for m in SEPARATORS)
+_LEADS = " or ".join(f"ends_with(bare, '{m}')" for m in LEADS_ON)
+_FURNITURE = " or ".join(f"contains(low, '{_QUOTED(p)}')" for p in BOILERPLATE)
+
+OP7_SQL = rf"""
 with base as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
@@ -179,17 +184,16 @@ with base as (
 ), firsts as (
   select doc_id, x, min(p) as p from (select doc_id, unnest(lines) as x, generate_subscripts(lines, 1) as p from base) group by doc_id, x
 ), judged as (
-  select doc_id, x,
+  select doc_id, x, lower(x) as low, rtrim(translate(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) as bare,
     length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) as solid,
     length(x) - length(translate(x, '#*$%&|<>', '')) as symbols,
     length(x) - length(replace(x, '!', '')) as shouted,
-    len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n,
-    len(regexp_extract_all(x, ' \| ')) as bars,
-    regexp_matches(lower(x), 'all rights reserved|cookie policy|enable javascript|licensed under|lorem ipsum|privacy policy|subscribe to our|terms of use') as furniture
+    len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n
   from firsts
 ), stays as (
   select doc_id, sum(solid) as left_chars from judged
-  where not (symbols * 10 > solid or (shouted > 3 and shouted * 3 > n) or (bars > 0 and bars * 5 > n) or furniture)
+  where not (symbols * 10 > solid or (shouted > 3 and shouted * 3 > n) or (n <= 12 and ({_LEADS})) or ({_APART}) * 5 > n
+    or (n <= {MENU_WORDS} and not contains('{_QUOTED(SENTENCE_ENDS)}', right(bare, 1))) or {_FURNITURE})
   group by doc_id
 ), measured as (
   select b.doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,

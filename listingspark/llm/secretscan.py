@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingspark.llm.common import let
+from listingspark.llm.common import let, spare
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -30,29 +30,44 @@ SAMPLE = 20_000
 PRIOR = 4.0
 
 
+def running(lengths: Column) -> Column:
+    """Running sums of an array of whole numbers, by blocks of the root of its size."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+
+    def within(xs: Column) -> Column:
+        side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+
+        def by_block(side: Column) -> Column:
+            blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / side).cast("int"))
+            sums = F.transform(blocks, lambda k: total(F.slice(xs, k * side + 1, side)))
+
+            def placed(sums: Column) -> Column:
+                before = F.transform(sums, lambda x, k: total(F.slice(sums, F.lit(1), k)))
+                return let(before, lambda b: F.transform(xs, lambda x, i: F.get(b, F.floor(i / side).cast("int")) + total(F.slice(xs, F.floor(i / side).cast("int") * side + 1, i % side + 1))))
+
+            return let(sums, placed)
+
+        return let(side, by_block)
+
+    return let(lengths, within)
+
+
 def located(text: Column, pattern: str, value: int = 0) -> Column:
     """array<struct<start, stop, value>> of the leftmost non-overlapping matches.
 
-    Start and stop count code points, stop is exclusive. Each match is found again by its
-    own text behind the one before it; with the patterns here a match's text cannot occur
-    earlier without having been that earlier match. A group 2 that holds the value is
-    found again in the match's own text.
+    Start and stop count code points, stop is exclusive. The matches and the pieces of text
+    between them, in turn, make up the text, so that running sums of their lengths place
+    them; no match is searched for again. Of a match's groups ``value`` is its value.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kind = "array<struct<start:int,stop:int,value:string>>"
 
-    def step(acc: Column, hit: Column) -> Column:
-        held = hit if value == 0 else F.regexp_extract(hit, pattern, value)
-
-        def placed(at: Column) -> Column:
-            end = at - 1 + F.length(hit)
-            found = F.struct((at - 1).alias("start"), end.alias("stop"), held.alias("value"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
-
-        return let(F.position(hit, text, acc["pos"] + 1), placed)
+    def placed(hits: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda p, i: F.length(p) + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(0))
+        held = lambda hit: hit if value == 0 else F.regexp_extract(hit, pattern, value)
+        spans = F.zip_with(hits, running(gaps), lambda hit, at: F.struct(at.alias("start"), (at + F.length(hit)).alias("stop"), held(hit).alias("value")))
+        return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(kind))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(hits, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed).cast(kind)
 
 
 def _codes(token: Column) -> Column:
@@ -151,12 +166,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", samples: DataFrame | N
     text = F.coalesce(F.col(text_col), F.lit(""))
     added = ["base_spans", "random_spans", "n_assign", "n_access", "n_hex"]
     base = docs.drop(*[c for c in added if c in docs.columns])
+    assign, access, hex_, token, spans = spare(docs.drop(*[c for c in added if c in docs.columns]), "assign", "access", "hex", "token", "spans")
     found = base.withColumns(
         {
-            "__assign": F.filter(located(text, ASSIGN, 2), lambda x: F.length(x["value"]) >= 8),
-            "__access": located(text, ACCESS),
-            "__hex": located(text, HEX),
-            "__token": located(text, TOKEN),
+            assign: F.filter(located(text, ASSIGN, 2), lambda x: F.length(x["value"]) >= 8),
+            access: located(text, ACCESS),
+            hex_: located(text, HEX),
+            token: located(text, TOKEN),
         }
     )
 
@@ -168,18 +184,18 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", samples: DataFrame | N
             ),
         )
 
-    bases = F.array_sort(F.concat(named("__assign", "assign"), named("__access", "access"), named("__hex", "hex")))
-    spanned = found.withColumn("base_spans", bases)
-    free = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    bases = F.array_sort(F.concat(named(assign, "assign"), named(access, "access"), named(hex_, "hex")))
+    spanned = found.withColumn(spans, bases)
+    free = lambda x: ~F.exists(spans, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
     mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
-    randoms = F.filter(named("__token", "random"), lambda x: mixed(x) & free(x) & (mean_ratio(x["value"], table) >= least_ratio))
+    randoms = F.filter(named(token, "random"), lambda x: mixed(x) & (mean_ratio(x["value"], table) >= least_ratio) & free(x))
     return spanned.select(
-        *base.columns,
-        "base_spans",
+        *[F.col(f"`{c}`") for c in base.columns],
+        F.col(spans).alias("base_spans"),
         randoms.alias("random_spans"),
-        F.size("__assign").cast("long").alias("n_assign"),
-        F.size("__access").cast("long").alias("n_access"),
-        F.size("__hex").cast("long").alias("n_hex"),
+        F.size(assign).cast("long").alias("n_assign"),
+        F.size(access).cast("long").alias("n_access"),
+        F.size(hex_).cast("long").alias("n_hex"),
     )
 
 

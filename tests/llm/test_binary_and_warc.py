@@ -119,3 +119,11 @@ def test_chunks_and_archive_format(spark, monkeypatch):
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith(b"z\r\n\r\n")
     back = sorted(W.read_archives(archives, scratch.folder("a")).collect(), key=lambda r: r.chunk)
     assert b"".join(r.data for r in back) == b"z" * (3 << 20)
+
+
+def test_tokenizers_that_keep_white_space_are_refused(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="keeps white space"):
+        B.token_records(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
