@@ -84,28 +84,55 @@ def slug_fields(url: Column) -> dict[str, Column]:
     }
 
 
-def extract_plain_fields(df: DataFrame, block: str = "block") -> DataFrame:
-    """The fields of each block, the first match of each; blocks without price, MLS and address go."""
-    raw = F.col(block)
-    status = T.extract(raw, STATUS_LINE)
-    b = F.regexp_replace(F.regexp_replace(raw, STATUS_LINE, ""), TOUR_LINE, "")
+def _untitled(raw: Column) -> Column:
+    """A block without its status and tour lines."""
+    return F.regexp_replace(F.regexp_replace(raw, STATUS_LINE, ""), TOUR_LINE, "")
+
+
+def _plain_address(b: Column) -> Column:
+    return F.coalesce(F.trim(T.extract(b, STREET_LINE)), F.trim(T.extract(b, INLINE, 1)), title_slug(T.extract(T.extract(b, T.LIST_URL, 0), SLUG, 3)))
+
+
+def _plain_price(b: Column) -> Column:
+    return T.number(F.substring_index(T.extract(b, PRICE), ".", 1))
+
+
+def listing_blocks(text: Column) -> Column:
+    """The blocks of a text with a price, an MLS number or an address; the whole text if none has."""
+    telling = lambda raw: let(_untitled(raw), lambda b: _plain_price(b).isNotNull() | T.extract(b, MLS).isNotNull() | _plain_address(b).isNotNull())
+    return let(F.filter(blocks_of(text), telling), lambda found: F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(text), telling)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain_fields(raw: Column, b: Column) -> dict[str, Column]:
+    """Fields of a block ``raw``; ``b`` is the block without its status and tour lines."""
     url = F.regexp_replace(T.extract(b, T.LIST_URL, 0), r"[.,;:)]+$", "")
     slug = slug_fields(url)
-    out = df.withColumns(
-        {
-            "price": T.number(F.substring_index(T.extract(b, PRICE), ".", 1)),
-            "bedrooms": T.extract(b, BEDS).try_cast("long"),
-            "bathrooms": T.extract(b, BATHS).try_cast("double"),
-            "sqft": T.number(T.extract(b, SQFT)),
-            "mls_id": T.extract(b, MLS),
-            "listing_url": url,
-            "address": F.coalesce(F.trim(T.extract(b, STREET_LINE)), F.trim(T.extract(b, INLINE, 1)), slug["address"]),
-            "town": F.coalesce(T.extract(b, CITY_LINE, 1), T.extract(b, INLINE, 2), slug["town"]),
-            "state": F.coalesce(T.extract(b, CITY_LINE, 2), T.extract(b, INLINE, 3), slug["state"]),
-            "zip_code": F.coalesce(T.extract(b, CITY_LINE, 3), T.extract(b, INLINE, 4), slug["zip_code"], T.extract(b, ZIP)),
-            "listing_status": F.initcap(status),
-        }
-    )
+    # an inline address may carry its suite behind a bar
+    address = F.coalesce(F.trim(T.extract(b, STREET_LINE)), F.trim(F.substring_index(T.extract(b, INLINE, 1), "|", 1)), slug["address"])
+    return {
+        "price": _plain_price(b),
+        "bedrooms": T.extract(b, BEDS).try_cast("long"),
+        "bathrooms": T.extract(b, BATHS).try_cast("double"),
+        "sqft": T.number(T.extract(b, SQFT)),
+        "mls_id": T.extract(b, MLS),
+        "listing_url": url,
+        "address": address,
+        "town": F.coalesce(T.extract(b, CITY_LINE, 1), T.extract(b, INLINE, 2), slug["town"]),
+        "state": F.coalesce(T.extract(b, CITY_LINE, 2), T.extract(b, INLINE, 3), slug["state"]),
+        "zip_code": F.coalesce(T.extract(b, CITY_LINE, 3), T.extract(b, INLINE, 4), slug["zip_code"], T.extract(b, ZIP)),
+        "listing_status": F.initcap(T.extract(raw, STATUS_LINE)),
+    }
+
+
+def extract_plain_fields(df: DataFrame, block: str = "block") -> DataFrame:
+    """The fields of each block, the first match of each; blocks without price, MLS and address go."""
+    rows = df.withColumn("__b", _untitled(F.col(block)))
+    out = rows.withColumns(_plain_fields(F.col(block), F.col("__b"))).drop("__b")
     return out.filter("price is not null or mls_id is not null or address is not null")
 
 
@@ -113,48 +140,59 @@ HTML_CLASS = r'(?s)class="[^"]*highlight-{}[^"]*"[^>]*>\s*([^<]+?)\s*<'
 HTML_CITY = r"^([^,]+),\s*([A-Za-z ]+?)\s+(\d{5})"
 
 
-def extract_html_blocks(df: DataFrame, html: str = "html") -> DataFrame:
-    """One row for each multiLineDisplay block, its fields by class."""
-    parts = F.slice(F.split(F.col(html), r'<div[^>]*class="[^"]*multiLineDisplay'), F.lit(2), F.greatest(F.size(F.split(F.col(html), r'<div[^>]*class="[^"]*multiLineDisplay')) - 1, F.lit(0)))
-    rows = df.select("*", F.posexplode(parts).alias("position", "block"))
-    b = F.col("block")
+def html_parts(html: Column) -> Column:
+    """The block markup of a message, one piece from each multiLineDisplay on."""
+    parts = F.split(html, r'<div[^>]*class="[^"]*multiLineDisplay', -1)
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def _html_fields(b: Column) -> dict[str, Column]:
     field = lambda n: T.extract(b, HTML_CLASS.format(n))
     place, specs = field("address"), field("specs")
-    return rows.withColumns(
-        {
-            "price": T.number(F.regexp_replace(field("price"), r"[^\d]", "")),
-            "bedrooms": T.extract(specs, BEDS).try_cast("long"),
-            "bathrooms": T.extract(specs, BATHS).try_cast("double"),
-            "sqft": T.number(T.extract(specs, SQFT)),
-            "mls_id": T.extract(b, MLS),
-            "listing_url": T.extract(b, r'href="([^"]*(?:onehome|redfin|zillow|listing)[^"]*)"'),
-            "address": field("description"),
-            "town": F.coalesce(T.extract(place, HTML_CITY, 1), place),
-            "state": T.extract(place, HTML_CITY, 2),
-            "zip_code": T.extract(place, HTML_CITY, 3),
-            "listing_status": T.extract(b, r'<img[^>]*alt="([^"]+)"'),
-        }
-    )
+    return {
+        "price": T.number(F.regexp_replace(field("price"), r"[^\d]", "")),
+        "bedrooms": T.extract(specs, BEDS).try_cast("long"),
+        "bathrooms": T.extract(specs, BATHS).try_cast("double"),
+        "sqft": T.number(T.extract(specs, SQFT)),
+        "mls_id": T.extract(b, MLS),
+        "listing_url": T.extract(b, r'href="([^"]*(?:onehome|redfin|zillow|listing)[^"]*)"'),
+        "address": field("description"),
+        "town": F.coalesce(T.extract(place, HTML_CITY, 1), place),
+        "state": T.extract(place, HTML_CITY, 2),
+        "zip_code": T.extract(place, HTML_CITY, 3),
+        "listing_status": T.extract(b, r'<img[^>]*alt="([^"]+)"'),
+    }
+
+
+def extract_html_blocks(df: DataFrame, html: str = "html") -> DataFrame:
+    """One row for each multiLineDisplay block, its fields by class."""
+    rows = df.select("*", F.posexplode(html_parts(F.col(html))).alias("position", "block"))
+    return rows.withColumns(_html_fields(F.col("block")))
 
 
 FIELDS = ("price", "bedrooms", "bathrooms", "sqft", "mls_id", "listing_url", "address", "town", "state", "zip_code", "listing_status")
 
 
 def extract_listings(messages: DataFrame) -> DataFrame:
-    """(message_id, position, fields, source_format) of all messages, one plan.
+    """(message_id, position, fields, lot_acres, source_format) of all messages in one scan.
 
-    Block markup comes before plain text; the subject's status fills blank ones; a
-    message without any record has one row of format ``none``.
+    Block markup comes first; where it yields no block, plain text that reads like a listing
+    does. The subject's status fills blank ones; a message without any record has one row of
+    format ``none``.
     """
     m = unwrap_forwarded(messages)
-    marked = F.col("html").rlike("highlight-price|multiLineDisplay")
-    html = extract_html_blocks(m.filter(marked)).select("message_id", "subject", "position", *FIELDS, F.lit("html").alias("source_format"))
-    plain_from = m.filter(~F.coalesce(marked, F.lit(False)) & is_listing_text(F.col("text")))
-    plain = extract_plain_fields(split_blocks(plain_from)).select("message_id", "subject", "position", *FIELDS, F.lit("plaintext").alias("source_format"))
-    rows = html.unionByName(plain)
-    rows = rows.withColumn("listing_status", F.coalesce(F.nullif("listing_status", F.lit("")), T.status_from_subject(F.col("subject"))))
-    none = m.join(rows.select("message_id").distinct(), "message_id", "left_anti").select("message_id", F.lit("none").alias("source_format"))
-    return rows.drop("subject").unionByName(none, allowMissingColumns=True)
+    marked = F.coalesce(F.col("html").rlike("highlight-price|multiLineDisplay"), F.lit(False))
+    m = m.select("message_id", "subject", "text", F.when(marked, html_parts(F.col("html"))).alias("__parts"))
+    m = m.withColumn("__html", F.coalesce(F.size("__parts") > 0, F.lit(False)))
+    blocks = F.when(F.col("__html"), F.col("__parts")).when(is_listing_text(F.col("text")), listing_blocks(F.col("text")))
+    rows = m.select("message_id", "subject", "__html", F.posexplode_outer(blocks).alias("position", "block"))
+    rows = rows.withColumn("__b", F.when(~F.col("__html"), _untitled(F.col("block"))))
+    plain, html = _plain_fields(F.col("block"), F.col("__b")), _html_fields(F.col("block"))
+    rows = rows.withColumns({n: F.when(F.col("__html"), html[n]).otherwise(plain[n]) for n in FIELDS} | {"lot_acres": T.parse_lot_acres(F.col("block"))})
+    found = F.col("position").isNotNull()
+    status = F.when(found, F.coalesce(F.nullif("listing_status", F.lit("")), T.status_from_subject(F.col("subject"))))
+    source = F.when(~found, "none").when(F.col("__html"), "html").otherwise("plaintext")
+    return rows.withColumns({"listing_status": status, "source_format": source}).select("message_id", "position", *FIELDS, "lot_acres", "source_format")
 
 
 def backfill_urls_from_html(listings: DataFrame, urls: DataFrame) -> DataFrame:

@@ -61,6 +61,7 @@ SORTS = {
     "ppsf": lambda: F.expr("try_divide(price, sqft)").asc_nulls_last(),
     "newest": lambda: F.col("created_at").desc_nulls_last(),
     "commute": lambda: F.col("commute_minutes").asc_nulls_last(),
+    "schools": lambda: F.col("best_school").desc_nulls_last(),
 }
 
 
@@ -102,10 +103,24 @@ def field_coverage(df: DataFrame, fields: tuple[str, ...] = QUALITY_FIELDS) -> D
     return wide.select(F.lit(0).alias("k"), "*").unpivot(["k"], list(fields), "field", "pct").drop("k")
 
 
+def data_quality_rows(df: DataFrame) -> DataFrame:
+    """(listing_id, issue) of rows without an address, a URL or a town."""
+    missing = F.array_compact(F.array(*[F.when(T.blank(F.trim(c)), F.lit(f"missing_{c}")) for c in ("address", "listing_url", "town")]))
+    return df.select("listing_id", F.explode(missing).alias("issue"))
+
+
 def data_quality_report(df: DataFrame) -> DataFrame:
     """(issue, n, first_id) for rows without an address, a URL or a town."""
-    rows = df.select("listing_id", F.explode(F.array_compact(F.array(*[F.when(T.blank(F.col(c)), F.lit(f"missing_{c}")) for c in ("address", "listing_url", "town")]))).alias("issue"))
-    return rows.groupBy("issue").agg(F.count("*").alias("n"), F.min("listing_id").alias("first_id"))
+    return data_quality_rows(df).groupBy("issue").agg(F.count("*").alias("n"), F.min("listing_id").alias("first_id"))
+
+
+def fix_data_quality(df: DataFrame) -> DataFrame:
+    """``df`` without rows that have no address; blank towns, states and zips from the URL."""
+    from listingspark.operators.extract import slug_fields
+
+    found = slug_fields(F.col("listing_url"))
+    fill = {c: F.coalesce(F.nullif(F.trim(c), F.lit("")), found[c]) for c in ("town", "state", "zip_code")}
+    return df.filter(~T.blank(F.trim("address"))).withColumns(fill)
 
 
 def _unknown() -> Column:
@@ -121,6 +136,12 @@ def image_audit(listings: DataFrame, scores: DataFrame, images: str = "n_images"
     )
 
 
+def unknown_without_images(listings: DataFrame, scores: DataFrame, images: str = "n_images", n: int = 20) -> DataFrame:
+    """The ``n`` best scored of the listings with an unknown result and no image."""
+    out = listings.join(scores.select("listing_id", "hard_results"), "listing_id").filter(_unknown() & ~F.coalesce(F.col(images) > 0, F.lit(False)))
+    return out.select("listing_id", "score").orderBy(F.col("score").desc_nulls_last(), "listing_id").limit(n)
+
+
 def rescrape_targets(listings: DataFrame, scores: DataFrame, images: str = "n_images") -> DataFrame:
     out = listings.join(scores.select("listing_id", "hard_results"), "listing_id")
     return out.filter(_unknown() & (F.coalesce(F.col(images), F.lit(0)) < 3)).select("listing_id")

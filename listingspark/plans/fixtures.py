@@ -82,14 +82,14 @@ select concat('m', cast(o_orderkey as varchar(12))) as message_id, o_orderkey as
     when 3 then 'x@spam.test' else 'news@redfin.test' end as sender,
   case o_orderkey % 6 when 0 then 'Only sold this week' when 1 then 'Fwd: new homes' when 2 then 'FW: only active' when 3 then 'only pending' else 'Listings for you' end as subject,
   o_orderdate as ts,
-  concat(case when o_orderkey % 6 = 1 then concat('Hi', chr(10), '---------- Forwarded message ---------', chr(10), 'From: A', chr(10), 'Date: B', chr(10), chr(10)) else '' end,
+  case when o_orderkey % 50 = 7 then 'Nothing to see' else concat(case when o_orderkey % 6 = 1 then concat('Hi', chr(10), '---------- Forwarded message ---------', chr(10), 'From: A', chr(10), 'Date: B', chr(10), chr(10)) else '' end,
     cast(o_orderkey % 97 + 1 as varchar(9)), ' Oak Street', chr(10), 'Rye, New York 10573', chr(10), '$', cast(100 + o_orderkey % 900 as varchar(9)), ',000', chr(10),
     cast(1 + o_orderkey % 6 as varchar(9)), ' bd 2 ba 2,437 sqft', chr(10), 'MLS #', cast(900000 + o_orderkey % 4000 as varchar(12)), chr(10), chr(10),
     case when o_orderkey % 2 = 0 then concat(cast(o_orderkey % 89 + 1 as varchar(9)), ' Elm Road', chr(10), 'Rye, New York 10574', chr(10), '$1,250,000', chr(10), '4 bd 3 ba', chr(10),
-      'https://www.redfin.com/NY/Rye/', cast(o_orderkey % 89 + 1 as varchar(9)), '-Elm-Rd-10574/home/', cast(o_orderkey % 9000 as varchar(12)), '.') else 'no more' end) as text,
+      'https://www.redfin.com/NY/Rye/', cast(o_orderkey % 89 + 1 as varchar(9)), '-Elm-Rd-10574/home/', cast(o_orderkey % 9000 as varchar(12)), '.') else 'no more' end) end as text,
   case when o_orderkey % 4 = 0 then concat('<div class="multiLineDisplay"><span class="highlight-price">$', cast(1 + o_orderkey % 3 as varchar(9)), ',295,000</span><span class="highlight-description">',
     cast(o_orderkey % 97 + 1 as varchar(9)), ' Elm St</span><span class="highlight-address">Rye Brook, New York 10573</span><p class="highlight-specs">4 bd 3 ba 2,437 sqft</p><p>MLS #',
-    cast(900000 + o_orderkey % 4000 as varchar(12)), '</p><img alt="Active"/></div><div class="multiLineDisplay"><span class="highlight-price">$999,000</span><span class="highlight-address">Harrison</span></div>') else '' end as html
+    cast(900000 + o_orderkey % 4000 as varchar(12)), '</p><img alt="Active"/></div><div class="multiLineDisplay"><span class="highlight-price">$999,000</span><span class="highlight-address">Harrison</span></div>') when o_orderkey % 8 = 1 then '<p class="highlight-price">see below</p>' else '' end as html
 from orders
 """
 

@@ -64,11 +64,13 @@ def _(v):
     "h09_weekly_digest",
     ["listings_v", "scores_v"],
     """, w as (select l.listing_id, l.score, s.verdict from listings_v l join scores_v s using (listing_id) where created_at >= date '1996-05-25' and created_at <= date '1996-06-01'), g as (select * from w where verdict in ('Worth Touring', 'Strong Match') order by score desc, listing_id limit 5)
-    select (select count(*) from w) as n, (select count(*) from w where verdict in ('Worth Touring', 'Strong Match')) as n_good, (select coalesce(string_agg(cast(listing_id as varchar), ',' order by score desc, listing_id), '') from g) as top""",
+    select (select count(*) from w) as n, (select count(*) from w where verdict in ('Worth Touring', 'Strong Match')) as n_good, (select coalesce(string_agg(cast(listing_id as varchar), ',' order by score desc, listing_id), '') from g) as top, (select round((count(price) + count(sqft) + count(bedrooms)) / (count(*) * 3) * 100, 2) from listings_v) as quality_pct""",
 )
 def _(v):
+    from listingspark.operators.report import quality_pct
+
     rows = v("listings_v").join(v("scores_v").select("listing_id", "verdict"), "listing_id")
-    return A.weekly_digest(rows, F.lit("1996-06-01").cast("date"))
+    return A.weekly_digest(rows, F.lit("1996-06-01").cast("date"), quality_pct(v("listings_v"), ("price", "sqft", "bedrooms")))
 
 
 KEYED = f"keyed as (select *, {S.home_id()} as home_id from listings_v)"

@@ -94,13 +94,13 @@ def _(v):
     return X.split_blocks(v("messages_v")).groupBy("message_id").agg(F.count("*").alias("n_blocks"))
 
 
-@query("b04_is_listing_text", MV, "select message_id, true as is_listing from messages_v")
+@query("b04_is_listing_text", MV, "select message_id, listing_id % 50 <> 7 as is_listing from messages_v")
 def _(v):
     return v("messages_v").select("message_id", X.is_listing_text(F.col("text")).alias("is_listing"))
 
 
-PLAIN = r""", rows as (select message_id, 0 as position, (100 + listing_id % 900) * 1000 as price, 1 + listing_id % 6 as bedrooms, 2437 as sqft, cast(900000 + listing_id % 4000 as varchar) as mls_id, concat(cast(listing_id % 97 + 1 as varchar), ' Oak Street') as address, '10573' as zip_code, listing_id from messages_v
-    union all select message_id, 1, 1250000, 4, null, null, concat(cast(listing_id % 89 + 1 as varchar), ' Elm Road'), '10574', listing_id from messages_v where listing_id % 2 = 0)"""
+PLAIN = r""", rows as (select message_id, 0 as position, (100 + listing_id % 900) * 1000 as price, 1 + listing_id % 6 as bedrooms, 2437 as sqft, cast(900000 + listing_id % 4000 as varchar) as mls_id, concat(cast(listing_id % 97 + 1 as varchar), ' Oak Street') as address, '10573' as zip_code, listing_id from messages_v where listing_id % 50 <> 7
+    union all select message_id, 1, 1250000, 4, null, null, concat(cast(listing_id % 89 + 1 as varchar), ' Elm Road'), '10574', listing_id from messages_v where listing_id % 2 = 0 and listing_id % 50 <> 7)"""
 
 
 @query("b05_plain_fields", MV, PLAIN + " select message_id, position, price, bedrooms, sqft, mls_id, address, zip_code from rows")
@@ -127,9 +127,18 @@ def _(v):
     return X.backfill_urls_from_html(rows, urls)
 
 
-@query("b11_extract_listings", MV, PLAIN + ", h as (" + HTML + ") select source_format, count(*) as n, sum(price) as total from (select 'html' as source_format, price from h union all select 'plaintext', price from rows where listing_id % 4 <> 0) group by 1")
+B11 = PLAIN + """, h as (select listing_id, message_id, 0 as position, (1 + listing_id % 3) * 1000000 + 295000 as price, 4 as bedrooms, 2437 as sqft, cast(900000 + listing_id % 4000 as varchar) as mls_id, concat(cast(listing_id % 97 + 1 as varchar), ' Elm St') as address, 'Rye Brook' as town, '10573' as zip_code, 'Active' as listing_status from messages_v where listing_id % 4 = 0
+      union all select listing_id, message_id, 1, 999000, null, null, null, null, 'Harrison', null, null from messages_v where listing_id % 4 = 0),
+    p as (select listing_id, message_id, position, price, bedrooms, sqft, mls_id, address, 'Rye' as town, zip_code, null as listing_status from rows where listing_id % 4 <> 0),
+    n as (select listing_id, message_id, null, null, null, null, null, null, null, null, null from messages_v where listing_id % 50 = 7 and listing_id % 4 <> 0),
+    u as (select *, 'html' as source_format from h union all select *, 'plaintext' from p union all select *, 'none' from n)
+    select u.message_id, position, price, bedrooms, sqft, mls_id, address, town, zip_code, source_format, case when source_format <> 'none' then coalesce(listing_status, case when contains(lower(subject), 'only sold') then 'Sold' when contains(lower(subject), 'only pending') then 'Pending' when contains(lower(subject), 'only active') then 'Active' end) end as listing_status
+    from u join messages_v m on m.message_id = u.message_id"""
+
+
+@query("b11_extract_listings", MV, B11)
 def _(v):
-    return X.extract_listings(v("messages_v")).groupBy("source_format").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+    return X.extract_listings(v("messages_v")).select("message_id", "position", "price", "bedrooms", "sqft", "mls_id", "address", "town", "zip_code", "source_format", "listing_status")
 
 
 def _stats_page(v):

@@ -88,6 +88,26 @@ def _(v):
     return P.data_quality_report(v("listings_v"))
 
 
+@query(
+    "i11_fix_data_quality",
+    ["homes_v"],
+    r"""select listing_id, coalesce(nullif(trim(town), ''), case when u <> '' then u end) as town, coalesce(nullif(trim(state), ''), case when u <> '' then 'NY' end) as state from (select *, case when listing_id % 89 = 0 and listing_url is not null then 'Town' else '' end as u0, case when listing_url is not null then 'Town' else '' end as u from homes_v) where listing_id % 83 <> 0""",
+)
+def _(v):
+    rows = v("homes_v").withColumn("address", F.when(F.col("listing_id") % 83 != 0, F.col("address")).otherwise(" "))
+    return P.fix_data_quality(rows).select("listing_id", "town", "state")
+
+
+@query("i11_data_quality_rows", ["homes_v"], " union all ".join(f"select listing_id, 'missing_{c}' as issue from homes_v where coalesce(trim({c}), '') = ''" for c in ("address", "listing_url", "town")))
+def _(v):
+    return P.data_quality_rows(v("homes_v"))
+
+
+@query("i05_sort_by_schools", L, "select listing_id, listing_id % 90 as best_school from listings_v order by best_school desc, listing_id limit 100")
+def _(v):
+    return P.sort_by(v("listings_v").withColumn("best_school", F.col("listing_id") % 90), "schools").select("listing_id", "best_school").limit(100)
+
+
 UNK = "coalesce(len(list_filter(hard_results, lambda x: x.passed is null)) > 0, false)"
 
 
@@ -96,9 +116,14 @@ def _(v):
     return P.image_audit(v("listings_v").withColumn("n_images", F.col("listing_id") % 3), C.parsed(v("scores_v")))
 
 
-@query("i13_rescrape_targets", LS, f", {S.PARSED} select l.listing_id from listings_v l join parsed using (listing_id) where {UNK} and l.listing_id % 5 < 3")
+@query("i12_unknown_without_images", LS, f", {S.PARSED} select l.listing_id, l.score from listings_v l join parsed using (listing_id) where {UNK} and l.listing_id % 3 = 0 order by l.score desc, l.listing_id limit 20")
+def _(v):
+    return P.unknown_without_images(v("listings_v").withColumn("n_images", F.col("listing_id") % 3), C.parsed(v("scores_v")))
+
+
+@query("i13_rescrape_targets", LS, f", {S.PARSED} select l.listing_id from listings_v l join parsed using (listing_id) where {UNK} and l.listing_id % 7 < 3")
 def _(v):
-    return P.rescrape_targets(v("listings_v").withColumn("n_images", F.col("listing_id") % 5), C.parsed(v("scores_v")))
+    return P.rescrape_targets(v("listings_v").withColumn("n_images", F.col("listing_id") % 7), C.parsed(v("scores_v")))
 
 
 @query("i14_sender_counts", ["listings_v", "messages_v"], "select sender, count(l.listing_id) as n from messages_v m left join (select listing_id from listings_v where listing_id % 5 <> 3) l using (listing_id) group by 1")
