@@ -144,7 +144,7 @@ def _(v):
 def _stats_page(v):
     i = F.col("page_id")
     line = F.concat(F.lit("<p>$"), (i % 9 + 1).cast("string"), F.lit("50,000 "), (i % 5 + 1).cast("string"), F.lit(" beds 2.5 baths 1,"), (i % 90 + 10).cast("string"), F.lit("3 sqft Built in "), (i % 90 + 1900).cast("string"), F.lit("</p>"))
-    return v.table("pages").withColumn("html", F.concat(F.lit("<script>$9,999,999</script>"), line))
+    return v.table("pages").withColumn("html", F.concat(F.lit("<script>$9,999,999</script>"), line, F.coalesce("html", F.lit(""))))
 
 
 @query("b12_page_stats", None, "select page_id, (page_id % 9 + 1) * 100000 + 50000 - (page_id % 9 + 1) * 0 as page_price, page_id % 5 + 1 as page_bedrooms, 1000 + (page_id % 90 + 10) * 10 + 3 as page_sqft, page_id % 90 + 1900 as page_year from pages".replace("(page_id % 9 + 1) * 100000 + 50000 - (page_id % 9 + 1) * 0", "(page_id % 9 + 1) * 1000000 + 50000").replace("* 1000000 + 50000", "* 1000 * 1000 + 50000"))
@@ -156,7 +156,7 @@ def _(v):
 @query("b13_reader_fields", None, "select page_id, case when page_id % 7 > 0 then (page_id % 7) * 100000 + 50000 end as reader_price, 2437 as reader_sqft, page_id % 5 + 1 as reader_bedrooms, 1900 + page_id % 100 as reader_year, 12345 as reader_tax from pages")
 def _(v):
     i = F.col("page_id")
-    body = F.concat(F.lit("FOR SALE\n\n$"), F.when(i % 7 > 0, (i % 7).cast("string")).otherwise(""), F.lit("50,000\n\n2,437\n\nsq ft\n\n"), (i % 5 + 1).cast("string"), F.lit("\n\nbd\n\n2.5 ba\n\n"), (1900 + i % 100).cast("string"), F.lit(" Year Built\nTax Annual Amount: $12,345\n$90/month HOA\n0.25 acres\nLot Size"))
+    body = F.concat(F.lit("FOR SALE\n\n$"), F.when(i % 7 > 0, (i % 7).cast("string")).otherwise(""), F.lit("50,000\n\n2,437\n\nsq ft\n\n"), (i % 5 + 1).cast("string"), F.lit("\n\nbd\n\n2.5 ba\n\n"), (1900 + i % 100).cast("string"), F.lit(" Year Built\nTax Annual Amount: $12,345\n$90/month HOA\n0.25 acres\nLot Size\n"), F.coalesce("html", F.lit("")))
     return X.extract_reader_page_fields(v.table("pages").withColumn("body", body)).select("page_id", "reader_price", "reader_sqft", "reader_bedrooms", "reader_year", "reader_tax")
 
 
@@ -169,18 +169,19 @@ def _(v):
 def _(v):
     n = (F.col("page_id") % 12 + 2).cast("int")
     tags = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit('<img width="300" src="https://x.test/a'), i.cast("string"), F.lit('.jpg">'))), "")
-    html = F.concat(tags, F.lit('<img src="https://x.test/logo.png"><img width="20" src="https://x.test/s.jpg"><img src="/rel.jpg">'))
+    html = F.concat(tags, F.lit('<img src="https://x.test/logo.png"><img width="20" src="https://x.test/s.jpg"><img src="/rel.jpg">'), F.coalesce("html", F.lit("")))
     return v.table("pages").select("page_id", F.size(X.select_images(X.extract_image_urls(html))).cast("long").alias("n_images"))
 
 
 @query("b17_b18_page_class", None, "select page_id, 'Active' as status, case page_id % 4 when 0 then 'error' when 1 then 'pending' when 2 then 'active' else 'sold' end as class from pages")
 def _(v):
     kinds = F.element_at(F.array(*map(F.lit, ["awswaf ", "Under contract ", "This home is for sale ", "Sold on May 1 "])), (F.col("page_id") % 4 + 1).cast("int"))
-    body = F.concat(kinds, F.lit('{"MlsStatus": "Active"} '), F.repeat(F.lit("words and so forth "), 20))
+    body = F.concat(kinds, F.lit('{"MlsStatus": "Active"} '), F.repeat(F.lit("words and so forth "), 20), F.coalesce("html", F.lit("")))
     return v.table("pages").select("page_id", X.page_status(body).alias("status"), X.classify_page(body).alias("class"))
 
 
 @query("b19_block_page", None, "select page_id, page_id % 3 = 0 as blocked from pages")
 def _(v):
-    body = F.when(F.col("page_id") % 3 == 0, "<p>Unknown address</p><p>error</p>").otherwise("<nav>x</nav><p>unknown address error</p>")
+    challenge = F.concat(F.lit("<p>Unknown address</p><p>error</p>"), F.left(F.regexp_extract("html", r"(?s)<article>(.*)$", 1), F.lit(400)))
+    body = F.when(F.col("page_id") % 3 == 0, challenge).otherwise(F.concat(F.lit("<p>unknown address error</p>"), "html"))
     return v.table("pages").select("page_id", X.is_block_page(body).alias("blocked"))

@@ -140,3 +140,60 @@ def test_remote_rows_get_their_nearest_station_by_the_grid_too(spark, monkeypatc
         monkeypatch.setattr(enrich, "BROADCAST_STATIONS", most)
         found.append({r.listing_id: (r.station, r.station_m) for r in enrich.nearest_station(points, stations).collect()})
     assert found[0] == found[1] and found[1][3][0] == "C" and found[1][2][0] is not None and found[1][5] == (None, None)
+
+
+def test_listing_falls_back_to_text_where_markup_has_no_block(spark):
+    text = "12 Oak Street\nRye, New York 10573\n$900,000\n3 bd 2 ba\nMLS #123456"
+    rows = [("a", "only sold", '<p class="highlight-price">$1</p>', text), ("b", "x", "<p>hi</p>", "no listing"), ("c", "x", '<div class="multiLineDisplay"><span class="highlight-price">$5,000</span></div>', text), ("d", None, None, None)]
+    got = {r.message_id: (r.source_format, r.price, r.address, r.listing_status) for r in extract.extract_listings(spark.createDataFrame(rows, "message_id string, subject string, html string, text string")).collect()}
+    assert got == {"a": ("plaintext", 900_000, "12 Oak Street", "Sold"), "b": ("none", None, None, None), "c": ("html", 5000, None, None), "d": ("none", None, None, None)}
+
+
+@pytest.mark.parametrize(
+    ("text", "commute"),
+    [("Reject over 90 min. A commute of 110 min is too long.", 90), ("A commute of 110 min. Reject over 90 min.", 110), ("No limit", None)],
+)
+def test_commute_limit_is_the_first_in_the_text(spark, text, commute):
+    from listingspark.operators import score
+
+    df = spark.createDataFrame([(1, text)], "version long, instructions string")
+    assert score.criteria_thresholds(df).head().commute == commute
+
+
+def test_tax_falls_back_to_the_towns_own_county(spark):
+    homes = spark.createDataFrame([(1, "5 Oak St", "Rye"), (2, "5 Oak St", "Buffalo"), (3, "5 Oak St", "Queens"), (4, "7 Elm Rd", "Rye")], "listing_id long, address string, town string")
+    rolls = spark.createDataFrame([(1, "Erie", "Amherst", "5", "OAK ST", 10, 0), (2, "Westchester", "Harrison", "5", "OAKLAND", 20, 40)], "parcel_id long, county string, municipality string, number string, street string, assessed long, market long")
+    counties = spark.createDataFrame([("buffalo", "Erie")], "town string, county string")
+    nyc = spark.createDataFrame([(1, "4", "5 OAK ST APT 2", 0, 7)], "row_id long, boro string, address string, assessed long, market long")
+    towns = spark.createDataFrame([], "town string, municipality string")
+    got = {r.listing_id: (r.assessed, r.market, r.tier) for r in enrich.property_tax(homes, rolls, counties, nyc, towns).collect()}
+    assert got == {1: (20, 40, "county"), 2: (10, None, "county"), 3: (None, 7, "city")}
+
+
+def test_lots_by_compound_names_and_beginnings(spark):
+    homes = spark.createDataFrame([(1, "5 Lakeshore Dr", "Rye", "NY"), (2, "6 N Main St", "Rye", "NY"), (3, "5 Lakeshore Dr", "Rye", "NJ"), (4, "Nowhere", "Rye", "NY")], "listing_id long, address string, town string, state string")
+    parcels = spark.createDataFrame([(1, "Westchester", "5", "LAKE SHORE DR", "Elsewhere", "Elsewhere", 0.0, 1.5), (2, "Westchester", "6", "NORTH MAIN ST", "Town of Rye", "", 0.0, 0.0), (3, "Westchester", "6", "NORTH END", "Rye", "", 2.0, 0.0)], "parcel_id long, county string, number string, street string, municipality string, city_town string, acres double, calc_acres double")
+    got = {r.listing_id: r.lot_acres for r in enrich.parcel_lot_acres(homes, parcels, spark.createDataFrame([], "town string, county string")).collect()}
+    assert got == {1: 1.5, 2: 2.0}
+
+
+def test_alert_text_and_departure_slot(spark):
+    from listingspark.operators import alerts
+
+    df = spark.createDataFrame([(1, 81, "5 Oak St", "Rye", "Active", 1_250_000, 3, None, 45)], "listing_id long, score long, address string, town string, listing_status string, price long, bedrooms long, sqft long, commute_minutes long")
+    r = alerts.alert_text(df).head()
+    assert (r.headline, r.stats) == ("81/100 - 5 Oak St - Rye", "$1,250,000 | 3 bd | 45 min | Active")
+    slots = {"2026-01-09 20:00:00": "2026-01-12 13:00:00", "2026-07-07 12:00:00": "2026-07-08 12:00:00", "2026-01-10 03:00:00": "2026-01-12 13:00:00"}
+    for now, want in slots.items():
+        got = spark.sql(f"select timestamp '{now}' as ts").select(enrich.departure_slot(F.col("ts")).cast("string")).head()[0]
+        assert got == want
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from listingspark.plans.streams import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
