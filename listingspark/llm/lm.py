@@ -57,6 +57,8 @@ SCALE = 1 << 12
 MOST_WEIGHT = 12.0
 STEP = 16384
 BLOCKS = 32
+#: Tokens that one task of a pass sums up, about; its sums are a few megabytes.
+TASK_TOKENS = 16_000_000
 #: Stands for the end of a text; no word hashes are made this way.
 END = U(0x5D1E0FAD5D1E0FAD)
 
@@ -303,13 +305,12 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view("<i8").reshape(-1)
 
 
-def _summed(table: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+def _summed(table: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, tasks: int) -> np.ndarray:
     """What ``sums`` adds up over the partitions of ``table``: whole numbers, ``size`` of them.
 
     Each task sends blocks of its sums; those of one block meet in one task, which adds
     them up as they come.
     """
-    spark = table.sparkSession
     edges = np.linspace(0, size, BLOCKS + 1).astype(np.int64)
     schema = "block int, sums binary"
 
@@ -328,7 +329,7 @@ def _summed(table: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndar
         for k, x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(x)], pa.binary())], ["block", "sums"])
 
-    few = table.coalesce(spark.sparkContext.defaultParallelism)  # each task sends as much, however little it reads
+    few = table.coalesce(max(tasks, table.sparkSession.sparkContext.defaultParallelism))  # each task sends as much, however little it reads
     out = np.zeros(size, np.int64)
     for r in few.mapInArrow(send, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect():
         out[edges[r["block"]] : edges[r["block"] + 1]] += unpack(r["sums"])
@@ -484,21 +485,22 @@ def step(weights: np.ndarray, gradient: np.ndarray, counts: np.ndarray, prior: n
     return np.clip(weights - np.clip(RATE * gradient / SCALE / expected, -1, 1), -MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
 
 
-def train_model(train: DataFrame, words: Words, mass: np.ndarray) -> Model:
-    """The model from ``train`` (part, units): classes, choices, then rounds of gradient steps."""
+def train_model(train: DataFrame, words: Words, mass: np.ndarray, total: int = 0) -> Model:
+    """The model from ``train`` (part, units) of ``total`` tokens: classes, choices, then rounds of gradient steps."""
+    tasks = total // TASK_TOKENS
     spark = train.sparkSession
     own = np.arange(FORMS, FORMS + words.own)
     end = words.table.get(np.array([END]))[0] + FORMS
     beacon = own[own != end][:BEACONS]
     units = train.select("units")
-    shape = shape_of(classes(_summed(units, _beside(beacon), UNITS * BEACONS)), mass)
-    counts = _summed(units, _choice_counts(spark.sparkContext.broadcast(shape)), sum(ROWS) * CLASSES + NODE_ROWS * BRANCH)
+    shape = shape_of(classes(_summed(units, _beside(beacon), UNITS * BEACONS, tasks)), mass)
+    counts = _summed(units, _choice_counts(spark.sparkContext.broadcast(shape)), sum(ROWS) * CLASSES + NODE_ROWS * BRANCH, tasks)
     by_class = counts[: sum(ROWS) * CLASSES].reshape(-1, CLASSES)
     by_node = counts[sum(ROWS) * CLASSES :].reshape(-1, BRANCH)
     weights = first_weights(by_class, shape.class_prior)
     for a, b in ROUNDS:
         some = train.filter((F.col("part") >= a) & (F.col("part") < b)).select("units")
-        gradient = _summed(some, _gradient(spark.sparkContext.broadcast((shape, weights))), by_class.size)
+        gradient = _summed(some, _gradient(spark.sparkContext.broadcast((shape, weights))), by_class.size, tasks * (b - a) // PARTS)
         weights = step(weights, gradient.reshape(by_class.shape), by_class, shape.class_prior, (b - a) / PARTS)
     return Model(shape, weights, by_node.astype(np.float32), by_node.cumsum(axis=1).astype(np.float32))
 
@@ -566,7 +568,7 @@ def score_language(
     fields = f"row long, id {kind}, part int, n long, base double, share double, known long"
     encoder = _encoder(spark.sparkContext.broadcast(words), log_all)
     near = scratch.table(parted.mapInArrow(encoder, f"{fields}, far array<long>, units binary"), "near")
-    model = train_model(near.filter("part >= 0").select("part", "units"), words, mass)
+    model = train_model(near.filter("part >= 0").select("part", "units"), words, mass, total)
     scorer = _scorer(spark.sparkContext.broadcast(model))
     scored = near.drop("far").mapInArrow(scorer, f"{fields}, log double")
     # words without a broadcast count: their counts by a join, then one row for each text

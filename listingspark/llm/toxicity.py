@@ -384,7 +384,8 @@ def learn(train: DataFrame) -> Lexicon:
 
     rows = train.mapInArrow(measured, "y int, x array<double>").toPandas()
     blank = rows["x"].isna()
-    lexicon.none = math.log((rows["y"][blank].sum() + 0.5) / ((1 - rows["y"][blank]).sum() + 0.5))
+    # whatever the labels, a text without a find is not called toxic
+    lexicon.none = min(-1.0, math.log((rows["y"][blank].sum() + 0.5) / ((1 - rows["y"][blank]).sum() + 0.5)))
     if not blank.all():
         x, y = np.array(rows["x"][~blank].tolist()), rows["y"][~blank].to_numpy(float)
         order = np.lexsort((*x.T, y))
@@ -502,7 +503,7 @@ def score_toxicity(
     modulo 5, is 0), about ``sample`` of them at most, by the hash of the id.
 
     Defined results: null and empty texts have no finds and the score of a text without
-    any; texts and words of any length are read whole; equal texts with both labels teach
+    any, which is never 0.5 or more; texts and words of any length are read whole; equal texts with both labels teach
     either; null labels teach nothing; null ids are held out and join no label; an id with
     several labels teaches each of them; repeated rows score alike; without toxic
     labels nothing is predicted toxic; further columns are not read; an empty table

@@ -404,12 +404,109 @@ def test_drop_near_duplicates_keeps_one_of_each(spark):
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, None, 4, 5], key=str)
 
 
-def test_pipeline_stages_against_brute_force(spark, tmp_path):
+def plain_near_dedup(before):
+    from tests.llm.test_neardup import shingle_set
+
+    sets = {i: shingle_set(r.text, 5) for i, r in before.items()}
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets.items():
+        for j, n in Counter(j for x in s for j in where[x] if j > i).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i for i in sets if root(i) == i}
+
+
+def plain_toxicity(lex, text):
+    """The score by a look-up of every word against every term, without trie, forms or batches."""
+    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+    hits = {}
+    for i, w in enumerate(words):
+        forms = [(toxicity.bare(w), 0)]
+        if not forms[0][0].isalpha():
+            forms.append((forms[0][0].translate(toxicity._LOOKALIKE), 1))
+        for form, more in forms:
+            if len(forms[0][0]) < 3 or (more and (form == forms[0][0] or not form.isalpha())):
+                continue
+            found = []
+            for k, (t, stem) in enumerate(zip(lex.terms, lex.stems, strict=True)):
+                far = swap_distance if len(t) >= toxicity.SWAPS else distance
+                if not stem and abs(len(t) - len(form)) > 2:
+                    continue
+                edits = min(far(t, form[:n]) for n in range(min(len(form), len(t) + 2) + 1)) if stem else far(t, form)
+                if edits <= min(0 if len(form) < 5 else 9, toxicity.allowed(len(t))):
+                    found.append((edits, k))
+            if found and (not more or min(found)[0] == 0):
+                hits[i] = (more + min(found)[0], {k for e, k in found if e == min(found)[0]})
+                break
+    return words, hits
+
+
+def test_toxicity_scores_match_a_plain_version(spark):
+    """Finds and scores of whole texts by the learned lexicon against plain loops."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    lex = toxicity.train_lexicon(docs, labels, toxicity.Scratch(spark, "t"), "doc_id", "text", "toxic", toxicity.id_remainder("id", 5) == 0, toxicity.SAMPLE)
+    toxic = {r.doc_id for r in labels.filter("toxic = 1").collect()}
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id not in toxic, len(r.text or "")))
+    some = [r for r in rows if len(r.text or "") < 3000][:40] + [r for r in rows if r.doc_id not in toxic and len(r.text or "") < 3000][:40]
+    for r in some:
+        words, want = plain_toxicity(lex, r.text)
+        got = {row: (w, hits) for row, w, hits in lex.spotted(pa.array([r.text], pa.string()))}.get(0, (words, {}))
+        assert got[0] == words and set(got[1]) == set(want)
+        for i, (term, edits) in got[1].items():
+            assert edits == want[i][0] and term in want[i][1]
+        score = toxicity._score(lex, r.text)[0]
+        if not want:
+            assert math.isclose(score, 1 / (1 + math.exp(-lex.none)))
+            continue
+        best, n = {}, 0
+        for i, (term, edits) in got[1].items():
+            w = lex.edited.get((term, edits), 0.75 * lex.weights[term]) if edits else lex.weights[term]
+            n += w > 1
+            around = sum(lex.context.get(f, 0) for f in toxicity.features(words, i))
+            best[term] = max(best.get(term, 0), w + min(1, max(-3, around)))
+        total = sum(w * toxicity.FADE**k for k, w in enumerate(sorted(best.values(), reverse=True)))
+        x = lex.scale[0] + lex.scale[1] * total + lex.scale[2] * math.log(len(words)) + lex.scale[3] * math.log1p(n)
+        assert math.isclose(score, 1 / (1 + math.exp(-x)), rel_tol=1e-6)
+
+
+def test_equal_texts_with_both_labels_and_long_texts(spark):
+    """Reruns agree; a text of very many words and one word of very many letters are read whole."""
+    rows = [(i, f"word{i % 50} filler text {'slurry' if i % 4 == 0 else 'pleasant'} more{i % 37}") for i in range(400)]
+    rows += [(1000 + k, "same text slurry here") for k in range(6)] + [(2000, "calm " * 60_000 + "slurry"), (2001, "x" * 200_000), (2002, "calm " * 60_000)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(1000 + k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    one, two = (sorted((r.doc_id, round(r.score, 9), r.n_finds) for r in toxicity.score_toxicity(d, labels).collect()) for d in (docs, docs.repartition(5)))
+    assert one == two
+    found = {i: n for i, _, n in one}
+    assert (found[2000], found[2001], found[2002]) == (1, 0, 0)
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     """Each stage's output is what a plain version of it makes of its own input."""
+    import zlib as z
+
+    import duckdb
+
+    from listingspark.llm.queries import OP6_SQL, vocabulary_path
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    words = lambda t: H.words(pa.array([t], pa.string()), letters=True)[0]
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_dedup", "decontamination", "mixing", "token_output"]
+    source = f"{SF}/documents.parquet"
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, SF)
         out.write.parquet(str(tmp_path / name))
@@ -417,37 +514,48 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
         before = {r.doc_id: r for r in docs.collect()}
         rows = after.collect()
         if k < 4:
-            assert after.columns == columns
+            assert after.columns == columns and all(tuple(r) == tuple(before[r.doc_id]) for r in rows)
+        kept = {r.doc_id for r in rows}
         if name == "toxicity":
-            scores = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
-            assert {r.doc_id for r in rows} == {i for i, p in scores.items() if not p}
+            labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if held(r.doc_id, 5)}
+            assert np.mean([(i not in kept) == bool(y) for i, y in labels.items()]) > 0.95
+            assert all(i in kept for i, y in labels.items() if not y)
         elif name == "near_dedup":
-            from tests.llm.test_neardup import shingle_set
-
-            sets = {i: shingle_set(r.text, 5) for i, r in before.items()}
-            where = defaultdict(list)
-            for i, s in sets.items():
-                for x in s:
-                    where[x].append(i)
-            parent = {i: i for i in sets}
-
-            def root(x):
-                while parent[x] != x:
-                    x = parent[x]
-                return x
-
-            for i, s in sets.items():
-                shared = Counter(j for x in s for j in where[x] if j > i)
-                for j, n in shared.items():
-                    if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
-                        a, b = root(i), root(j)
-                        parent[max(a, b)] = min(a, b)
-            assert {r.doc_id for r in rows} == {i for i in sets if root(i) == i}
+            assert kept == plain_near_dedup(before) and len(rows) == len(kept)
+        elif name == "decontamination":
+            score = lambda t, x: align(words(x), words(t))[0] / (2 * len(words(x)))
+            for i in set(before) - kept:
+                assert max(score(before[i].text, x) for _, x in items) >= 0.5
+            for i in sorted(kept)[:25]:
+                assert len(before[i].text or "") > 9000 or max(score(before[i].text, x) for _, x in items) < 0.5
         elif name == "mixing":
-            assert {r.doc_id for r in rows} <= set(before) and max(Counter(r.doc_id for r in rows).values()) <= 3
+            con = duckdb.connect()
+            con.execute(f"create view documents as select * from '{source}'")
+            want = {r[0]: r[4] // r[1] for r in con.execute(f"select doc_id, size, source_size, target, taken from ({OP6_SQL})").fetchall() if r[1]}
+            assert Counter(r.doc_id for r in rows if words(r.text).size) == Counter({i: n for i, n in want.items() if n and words(before[i].text).size})
         elif name == "token_output":
-            assert len(rows) == docs.count() and sorted(r.start for r in rows)[0] == 0
-        docs = after
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(vocabulary_path())
+            start, want = 0, []
+            for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+                ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+                want.append((r.doc_id, start, len(ids), z.crc32(np.array(ids, "<u4").tobytes())))
+                start += len(ids)
+            assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows) == sorted(want)
+        docs, source = after, f"{tmp_path / name}/*.parquet"
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, a long text and empty tables go through all stages."""
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some plain words " * 5, "en", None, 3), (3, "some plain words " * 5, "en", None, 3), (None, "no id here at all", "en", "b", 1), (4, "long words " * 30_000, "en", "b", 9)]
+    for name, rows in (("odd", odd), ("empty", [])):
+        for table, data, schema in (("documents", rows, ddl), ("labels", [(1, 1, 1), (3, None, 0)][: len(rows)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, "nothing like the others is in here"), (None, None)][: len(rows)], "item_id long, text string")):
+            spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(got) == bool(rows)
+        assert all(r.n_tokens >= 1 for r in got)
 
 
 def test_word_hash_letters():
