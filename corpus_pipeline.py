@@ -46,16 +46,20 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: The learned lexicon, the alignment and the tokenizer have no SQL form; the tests
-#: compare the stages with a brute-force version.
+#: The learned lexicon, the alignment and the tokenizer have no SQL form; the tests compare each
+#: stage on its own input with a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; a stage's table goes once the next one is written."""
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
+    written: list[str] = []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.table(docs, name)
+            scratch.drop(*written)
+            written = [name]
     return docs
