@@ -280,17 +280,38 @@ def rescore_plan(listings: DataFrame, scores: DataFrame, version: int, cfg: Conf
     )
 
 
+#: What enrichment adds to a payload, by its part; parts without any value are left out.
+ENRICHED = {
+    "schools": ("schools",),
+    "commute": ("commute_minutes", "commute_rejected"),
+    "price_per_sqft": ("ppsf", "benchmark", "ratio", "signal"),
+    "tax": ("assessed", "market", "tier"),
+    "lot": ("lot_acres",),
+    "power": ("n_features", "nearest_m"),
+    "flood": ("zone", "sfha"),
+    "station": ("station", "station_m", "walk_min"),
+}
+
+
 def build_scoring_payload(df: DataFrame) -> DataFrame:
-    """(listing_id, payload): the nested request of a listing with its features, as JSON."""
+    """(listing_id, payload): the nested request of a listing, as JSON.
+
+    Base fields, size source, inferred type and age come first, then the description's
+    features that say anything, then what ``enrich_all`` found, as far as ``df`` has its
+    columns, then the evidence: images, where there is such a column, and description.
+    """
     from listingspark.functions.features import with_description_features
 
     rich = with_description_features(df)
     usable = lambda c: F.when(F.size(F.filter(F.array(*[F.col(f"{c}.{n}").cast("string") for n in rich.schema[c].dataType.names]), lambda x: x.isNotNull() & (x != "false"))) > 0, F.col(c))
+    parts = {name: [c for c in columns if c in df.columns] for name, columns in ENRICHED.items()}
+    found = [F.when(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull(), F.struct(*columns)).alias(name) for name, columns in parts.items() if columns]
     payload = F.struct(
-        *[F.col(c) for c in ("address", "town", "state", "price", "sqft", "bedrooms", "year_built", "commute_minutes")],
+        *[F.col(c) for c in ("address", "town", "state", "price", "sqft", "bedrooms", "year_built")],
         "sqft_provenance", "inferred_type", "age_condition",
         *[usable(c).alias(c) for c in ("garage", "hoa", "pool", "basement", "energy", "views", "outdoor", "lot_traits")],
-        F.struct("description").alias("evidence"),
+        *found,
+        F.struct(*[c for c in ("images", "description") if c in df.columns]).alias("evidence"),
     )
     return rich.select("listing_id", F.to_json(payload).alias("payload"))
 

@@ -45,12 +45,22 @@ def kv_latest(df: DataFrame, key: str = "key", order: tuple[str, ...] = ("ts", "
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` with the rows of ``updates`` put in or put over by key."""
+    """``target`` with the rows of ``updates`` put in or put over by key.
+
+    Of several updates of a key the one with the greatest hash counts, on every run alike;
+    ``last_of`` keeps the last by an order of its own.
+    """
     both = target.withColumn("__age", F.lit(1)).unionByName(updates.withColumn("__age", F.lit(0)), allowMissingColumns=True)
-    first = Window.partitionBy(*keys).orderBy("__age")
+    first = Window.partitionBy(*keys).orderBy("__age", F.xxhash64(*target.columns).desc())
     return both.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").drop("__rn", "__age")
 
 
+def last_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the last by ``order``, then by the hash of the row."""
+    last = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.xxhash64(*df.columns).desc())
+    return df.withColumn("__rn", F.row_number().over(last)).filter("__rn = 1").drop("__rn")
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -81,11 +91,16 @@ def upsert_table(updates: DataFrame, path: str, keys: list[str], version: str |
             return
         table = upsert(read_table(spark, path), updates, keys)
     else:
-        table = updates.dropDuplicates(keys)
+        table = last_of(updates, keys, [])
     table.write.mode("overwrite").parquet(f"{path}/{name}")
-    out = fs.create(pointer, True)
+    # the pointer is written beside and renamed over the old one, so that a reader never meets half of it
+    jvm, draft = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
     out.write(bytearray(name.encode()))
     out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    jvm.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, pointer, over)
 
 
 def populated(c: Column) -> Column:

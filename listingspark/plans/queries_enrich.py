@@ -201,12 +201,15 @@ NEAR_HOME = NEAREST.replace("listings_v", "homes_v").removeprefix(", ")
     from homes_v h left join near using (listing_id) left join power using (listing_id) left join z using (listing_id) left join lot using (listing_id) left join tax using (listing_id) left join ride using (listing_id) left join sch on sch.zip = h.zip_code left join p using (listing_id)""",
 )
 def _(v):
-    homes = v("homes_v")
-    refs = E.References(
+    best = F.get(F.filter("schools", lambda x: x["level"] == "elementary"), F.lit(0))["best"].alias("best_elementary")
+    columns = "listing_id station station_m walk_min n_features power_checked zone zone_checked assessed market tier tax_checked signal commute_minutes commute_rejected commute_checked lot_acres".split()
+    return E.enrich_all(v("homes_v"), references(v, v("homes_v"))).select(*columns, best)
+
+
+def references(v, homes):
+    """The fixture's reference tables."""
+    return E.References(
         stations=v("stations_v"), index=E.read_wide_index(v("price_index_v"), ["m1", "m2", "m3"]), features=v("features_v"), zones=_zones(v), parcels=v("parcels_v"), rolls=v("parcels_v"), nyc=v("nyc_v"),
         municipalities=v("municipalities_v"), town_county=v("town_county_v"), schools=v("schools_v"), overrides=v("overrides_v"), drives=v("drives_v"), transits=v("transits_v"),
         places=homes.select("address", "town", "state", "lat", "lng"), urls=homes.select("address", "town", F.lit("/p").alias("url")),
     )
-    best = F.get(F.filter("schools", lambda x: x["level"] == "elementary"), F.lit(0))["best"].alias("best_elementary")
-    columns = "listing_id station station_m walk_min n_features power_checked zone zone_checked assessed market tier tax_checked signal commute_minutes commute_rejected commute_checked lot_acres".split()
-    return E.enrich_all(homes, refs).select(*columns, best)

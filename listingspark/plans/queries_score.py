@@ -172,7 +172,11 @@ def _(v):
 
 @query("f22_scoring_payload", L, None)
 def _(v):
-    return C.build_scoring_payload(v("listings_v"))
+    from listingspark.operators.enrich import enrich_all
+    from listingspark.plans.queries_enrich import references
+
+    homes = v("listings_v")
+    return C.build_scoring_payload(enrich_all(homes, references(v, homes)))
 
 
 @query(

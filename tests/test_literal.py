@@ -197,3 +197,15 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(sparkContext=context))
+
+
+def test_payload_holds_what_is_known(spark):
+    import json
+
+    from listingspark.operators import score
+
+    df = spark.sql("select 1L as listing_id, '5 Oak St' as address, 'Rye' as town, 'NY' as state, 900000L as price, 2000L as sqft, 3L as bedrooms, 1990L as year_built, 'Two-car attached garage.' as description, 450.0d as ppsf, 'at_market' as signal, cast(null as string) as zone, cast(null as boolean) as sfha, array('a.jpg') as images, 45L as commute_minutes")
+    got = json.loads(score.build_scoring_payload(df).head().payload)
+    assert got["price"] == 900000 and got["price_per_sqft"] == {"ppsf": 450.0, "signal": "at_market"}
+    assert got["commute"] == {"commute_minutes": 45} and "flood" not in got and "pool" not in got
+    assert got["evidence"] == {"images": ["a.jpg"], "description": "Two-car attached garage."}
