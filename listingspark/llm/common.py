@@ -109,3 +109,19 @@ def count_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once, also inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Keys that hold at least 1 / HEAVY_SHARE of a weight are heavy, so at most that many are.
+HEAVY_SHARE = 1000
+
+
+def split_heavy(table: DataFrame, weight: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table``, a written table with one row a key, by their part of all weight.
+
+    Weights are never negative. The first part has HEAVY_SHARE rows at most, whatever the table's size, and may be
+    broadcast; a key of the second holds less than 1 / HEAVY_SHARE of the weight, so
+    a shuffle join on it has no hot task.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("decimal(38,0)").alias("t")).first().t
+    heavy = (F.col(weight) > 0) & (F.col(weight).cast("decimal(28,0)") * HEAVY_SHARE >= F.lit(total))
+    return table.filter(heavy), table.filter(~heavy)

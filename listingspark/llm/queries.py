@@ -9,13 +9,16 @@ from listingspark.llm.binrecords import token_records
 from listingspark.llm.cleaning import BOILERPLATE, LEADS_ON, MENU_WORDS, SENTENCE_ENDS, SEPARATORS, clean_lines
 from listingspark.llm.common import read
 from listingspark.llm.decontam import find_leaks
+from listingspark.llm.linededup import drop_shared_lines
 from listingspark.llm.lm import score_language
 from listingspark.llm.mixing import mix_to_weights
 from listingspark.llm.neardup import near_duplicates
+from listingspark.llm.prefixtrie import numbered, prefix_trie, share_heads
 from listingspark.llm.quality import score_quality
 from listingspark.llm.secretscan import joined, scan_secrets
 from listingspark.llm.toxicity import score_toxicity
 from listingspark.llm.warc import archive_pages
+from listingspark.llm.whitening import whiten
 
 #: The vocabulary of op8; any file of the tokenizers library serves.
 VOCABULARY = "word_bpe_49k.json"
@@ -90,6 +93,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points and more that five documents hold stay in the last of them."""
+    cut = drop_shared_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the conversations, whose first turns come from the first of each twenty."""
+    return prefix_trie(share_heads(numbered(read(spark, sf_dir, "conversations"))))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen first whitened components of every usable vector."""
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     found = [
         op1_quality,
@@ -102,6 +121,9 @@ def queries() -> dict:
         op8_token_records,
         op9_warc_archives,
         op10_decontaminate,
+        op11_line_dedup,
+        op12_conversation_trie,
+        op13_embedding_whitening,
     ]
     return {f.__name__: f for f in found}
 
