@@ -76,11 +76,13 @@ def drop_shared_lines(
     lines = long_lines(docs, id_col, text_col, least_chars)
     shared = scratch.table(shared_keys(lines, least_documents), "shared")
     heavy, light = (part.drop("n_lines") for part in split_heavy(shared, "n_lines"))
-    elsewhere = ~F.col("doc").eqNullSafe(F.col("keeper"))
-    # lines of heavy keys meet their few rows where they are; only the others are dealt out by key
-    most = lines.join(F.broadcast(heavy), ["h1", "h2"])
-    rest = lines.join(F.broadcast(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti").join(light, ["h1", "h2"])
-    gone = most.union(rest.select(most.columns)).filter(elsewhere)
+    # lines of heavy keys meet their few rows where they are; they take part in the other join under
+    # their row's hash, so that only the lines of light keys are dealt out by key
+    met = lines.join(F.broadcast(heavy.withColumnRenamed("keeper", "__heavy")), ["h1", "h2"], "left")
+    known = F.col("__heavy").isNotNull()
+    met = met.withColumns({"h1": F.when(known, F.col("r1")).otherwise(F.col("h1")), "h2": F.when(known, F.col("r2")).otherwise(F.col("h2"))})
+    met = met.join(light, ["h1", "h2"], "left").withColumn("keeper", F.coalesce("__heavy", "keeper"))
+    gone = met.filter(F.col("keeper").isNotNull() & ~F.col("doc").eqNullSafe(F.col("keeper")))
     r1, r2, positions, lines_col = spare(docs, "r1", "r2", "gone", "lines")
     gone = gone.groupBy(F.col("r1").alias(r1), F.col("r2").alias(r2)).agg(F.collect_set("pos").alias(positions))
     k1, k2 = hashes(F.col(id_col), F.coalesce(text_col, F.lit("")))
