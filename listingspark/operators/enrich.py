@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,11 @@ from listingspark.functions import text as T
 BROADCAST_STATIONS = 5_000
 
 
+def few(table: DataFrame, most: int = BROADCAST_STATIONS) -> DataFrame:
+    """``table`` with a broadcast hint if it has ``most`` rows at most; else joins with it shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def nearest_station(df: DataFrame, stations: DataFrame, cell_degrees: float | None = None) -> DataFrame:
     """Adds station, station_m and walk_min: the nearest station, the first in the table on ties.
 
@@ -62,20 +68,35 @@ def nearest_station(df: DataFrame, stations: DataFrame, cell_degrees: float | No
     return out.select(*df.columns, F.col("__best.name").alias("station"), metres.cast("long").alias("station_m"), F.bround(F.col("__best.d") / 83).cast("long").alias("walk_min"))
 
 
+#: Latitude beyond which meridians stand so close that rows and vertices meet by latitude alone.
+POLAR = 85.0
+
+
 def within_radius(df: DataFrame, features: DataFrame, radius_m: float = 300.0, key: str = "listing_id") -> DataFrame:
     """(key, n_features, nearest_m, kind, voltage, found): features with a vertex within the radius.
 
     Rows and vertices meet in grid cells, an equi join with the distance as residual
-    test. Features count once, however many vertices they have. Distances are to
-    vertices, not to the lines between them. Rows without a feature get found = false.
+    test. Cells go round the globe, so 180 and -180 degrees are one; near a pole a row meets all
+    vertices of its latitudes. Features count once, however many vertices they have. Distances
+    are to vertices, not to the lines between them. Rows without a feature get found = false, and so
+    do those whose place is no place on the globe.
     """
-    reach = max(1, int(radius_m / 111_000 / G.CELL) + 1)
-    usable = df.filter("lat is not null and lng is not null").select(key, "lat", "lng")
-    # a degree of longitude is shorter; so its cells reach further
-    span = F.ceil(F.lit(radius_m / 111_000) / F.cos(F.radians(F.col("lat"))) / G.CELL).cast("long")
-    near = usable.withColumn("cy", F.explode(G.neighbours(G.cell(F.col("lat")), reach)))
-    near = near.withColumn("cx", F.explode(F.sequence(G.cell(F.col("lng")) - span, G.cell(F.col("lng")) + span)))
-    vertices = features.select("feature_id", "kind", "voltage", F.col("lat").alias("vlat"), F.col("lng").alias("vlng"), G.cell(F.col("lat")).alias("cy"), G.cell(F.col("lng")).alias("cx"))
+    degrees = radius_m / 111_000
+    reach = max(1, int(degrees / G.CELL) + 1)
+    around = round(360 / G.CELL)
+    on_globe = lambda y, x: (F.abs(y) <= 90) & (F.abs(x) <= 360)
+    polar = lambda y: F.abs(y) + degrees > POLAR
+    usable = df.select(key, "lat", "lng").filter(on_globe(F.col("lat"), F.col("lng")))
+    # a degree of longitude is shorter; so its cells reach further, but never beyond the globe
+    span = F.least(F.ceil(F.lit(degrees) / F.cos(F.radians(F.abs("lat") + degrees)) / G.CELL), F.lit(around // 2)).cast("long")
+    columns = F.array_distinct(F.transform(F.sequence(G.cell(F.col("lng")) - span, G.cell(F.col("lng")) + span), lambda c: F.pmod(c, F.lit(around))))
+    near = usable.withColumn("cx", F.explode(F.when(polar(F.col("lat")), F.array(F.lit(-1).cast("long"))).otherwise(columns)))
+    near = near.withColumn("cy", F.explode(G.neighbours(G.cell(F.col("lat")), reach)))
+    vertices = features.select("feature_id", "kind", "voltage", F.col("lat").alias("vlat"), F.col("lng").alias("vlng")).filter(on_globe(F.col("vlat"), F.col("vlng")))
+    own = F.pmod(G.cell(F.col("vlng")), F.lit(around))
+    # those that a polar row may reach are listed by latitude as well
+    listed = F.when(F.abs("vlat") + 3 * degrees > POLAR, F.array(own, F.lit(-1).cast("long"))).otherwise(F.array(own))
+    vertices = vertices.select("*", G.cell(F.col("vlat")).alias("cy"), F.explode(listed).alias("cx"))
     hits = near.join(vertices, ["cy", "cx"]).withColumn("d", G.haversine_m(F.col("lat"), F.col("lng"), F.col("vlat"), F.col("vlng"))).filter(F.col("d") <= radius_m)
     by_feature = hits.groupBy(key, "feature_id").agg(F.min(F.struct("d", "kind", "voltage")).alias("x"))
     out = by_feature.groupBy(key).agg(F.count("*").alias("n_features"), F.min(F.struct("x.d", "feature_id", "x.kind", "x.voltage")).alias("y"))
@@ -138,9 +159,8 @@ def _by_prefix(left: DataFrame, right: DataFrame, keys: list[str], begin: str, w
 
 def county_of(df: DataFrame, town_county: DataFrame, default: str = "Westchester") -> DataFrame:
     """Adds county: that of the town in ``town_county``, null where that says so, else ``default``."""
-    # the towns of a region are a fixed list
     towns = town_county.groupBy(F.lower(F.trim("town")).alias("__town")).agg(F.min("county").alias("__county"), F.lit(True).alias("__listed"))
-    out = df.join(F.broadcast(towns), F.lower(F.trim("town")) == F.col("__town"), "left")
+    out = df.join(few(towns), F.lower(F.trim("town")) == F.col("__town"), "left")
     return out.withColumn("county", F.when(F.col("__listed"), F.col("__county")).otherwise(default)).drop("__town", "__county", "__listed")
 
 
@@ -165,7 +185,7 @@ def parcel_lot_acres(df: DataFrame, parcels: DataFrame, town_county: DataFrame)
     lot = F.when(F.col("acres") > 0, F.col("acres")).when(F.col("calc_acres") > 0, F.col("calc_acres"))
     # parcels that any place would rank alike are one candidate: the first of them with a lot
     p = p.withColumn("lot", lot).groupBy("county", "number", _word(F.col("pstreet"), 2).alias("ptwo"), "muni", "city")
-    p = p.agg(F.count("*").alias("n"), F.min(F.when(F.col("lot").isNotNull(), F.struct("parcel_id", "lot"))).alias("p"))
+    p = p.agg(F.min("parcel_id").alias("lo"), F.max("parcel_id").alias("hi"), F.min(F.when(F.col("lot").isNotNull(), F.struct("parcel_id", "lot"))).alias("p"))
     # the compounds are a fixed list: every place has its own word first, then those that apply
     compound = [F.when(F.col("street").startswith(a), F.struct(F.lit(k + 1).alias("turn"), F.lit(b.split()[0]).alias("word"))) for k, (a, b) in enumerate(STREET_COMPOUNDS)]
     turns = F.array_compact(F.array(F.struct(F.lit(0).alias("turn"), _word(F.col("street")).alias("word")), *compound))
@@ -173,10 +193,10 @@ def parcel_lot_acres(df: DataFrame, parcels: DataFrame, town_county: DataFrame)
     two = _word(F.col("street"), 2)
     either = lambda a: F.col(a).contains(F.col("town")) | F.col("town").contains(F.col(a))
     rank = F.when((two == F.col("ptwo")) & two.contains(" "), 3).when(either("muni"), 2).when(either("city"), 1).otherwise(0)
-    ranked = met.groupBy(*keys, "turn").agg(F.sum("n").alias("n"), F.min(F.when(F.col("p").isNotNull() & (rank > 0), F.struct((-rank).alias("r"), "p"))).alias("good"), F.min("p").alias("any"))
+    ranked = met.groupBy(*keys, "turn").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.when(F.col("p").isNotNull() & (rank > 0), F.struct((-rank).alias("r"), "p"))).alias("good"), F.min("p").alias("any"))
     # the first turn that finds parcels at all
-    best = ranked.groupBy(*keys).agg(F.min(F.struct("turn", "n", "good", "any")).alias("b"))
-    found = F.coalesce("b.good.p.lot", F.when(F.col("b.n") == 1, F.col("b.any.lot")))
+    best = ranked.groupBy(*keys).agg(F.min(F.struct("turn", "lo", "hi", "good", "any")).alias("b"))
+    found = F.coalesce("b.good.p.lot", F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.any.lot")))
     return rows.join(best, keys).select("listing_id", F.round(found, 4).alias("lot_acres")).filter("lot_acres is not null")
 
 
@@ -199,8 +219,7 @@ def property_tax(df: DataFrame, rolls: DataFrame, town_county: DataFrame, nyc: D
     number_of = lambda c: _word(F.col(c))
     city = _by_prefix(city.withColumn("nr", number_of("address")), roll.withColumn("nr", number_of("whole")), ["boro", "nr"], "address", "whole")
     city = city.groupBy("boro", "address").agg(F.min(F.struct("row_id", "assessed", "market")).alias("c"))
-    # the towns of a region are a fixed list
-    named = F.broadcast(municipalities.groupBy(F.lower("town").alias("__t")).agg(F.min("municipality").alias("__m")))
+    named = few(municipalities.groupBy(F.lower("town").alias("__t")).agg(F.min("municipality").alias("__m")))
     rows = county_of(rows.withColumn("boro", borough), town_county).join(named, F.lower("town") == F.col("__t"), "left")
     rows = rows.withColumn("muni", F.upper(F.coalesce("__m", "town"))).drop("__t", "__m")
     state = rolls.select("parcel_id", "county", F.upper("municipality").alias("muni"), "number", _word(F.upper("street")).alias("whole"), "assessed", "market")
@@ -261,22 +280,23 @@ def commute(df: DataFrame, stations: DataFrame, overrides: DataFrame, drives: Da
 
     ``overrides`` (town, station_town) names another town's station for some towns, and
     ``stations`` (idx, name, lat, lng) are met by their folded names. ``drives`` (listing_id,
-    station, drive_s, road_m) and ``transits`` (station, transit_s) are the legs of routes.
-    Null with a reason where the station is unknown, a leg is missing or too long, or its
-    road winds too much against the straight line.
+    station, drive_s, road_m) and ``transits`` (station, transit_s) are the legs of routes; of
+    several legs between the same ends the shortest above zero counts. Null with a reason where
+    the station is unknown, a leg is missing or too long, or its road winds too much against the
+    straight line. One row for each row of ``df``.
     """
-    # the overrides and stations of a region are fixed lists; the straight line comes from their places
-    other = F.broadcast(overrides.groupBy(F.lower("town").alias("__town")).agg(F.min("station_town").alias("__other")))
+    other = few(overrides.groupBy(F.lower("town").alias("__town")).agg(F.min("station_town").alias("__other")))
+    ways = transits.filter("transit_s > 0").groupBy(F.col("station").alias("name")).agg(F.min("transit_s").alias("transit_s"))
     named = stations.groupBy(T.fold_place(F.col("name")).alias("__key")).agg(F.min(F.struct("idx", "name", "lat", "lng")).alias("__s"))
+    named = few(named.withColumn("name", F.col("__s.name")).join(ways, "name", "left").drop("name"))
+    legs = drives.filter("drive_s > 0").groupBy("listing_id", "station").agg(F.min(F.struct("drive_s", "road_m")).alias("__d"))
     out = df.select("listing_id", "town", "lat", "lng").join(other, F.lower("town") == F.col("__town"), "left")
     out = out.withColumn("__key", T.fold_place(F.coalesce("__other", "town"))).join(named, "__key", "left").withColumn("station", F.col("__s.name"))
-    out = out.join(drives.select("listing_id", F.col("station").alias("__d"), "drive_s", "road_m"), "listing_id", "left")
-    drive = F.when(F.col("__d") == F.col("station"), F.col("drive_s"))
-    out = out.withColumn("drive_s", drive).join(F.broadcast(transits.groupBy("station").agg(F.min("transit_s").alias("transit_s"))), "station", "left")
+    out = out.join(legs, ["listing_id", "station"], "left").withColumns({"drive_s": F.col("__d.drive_s"), "road_m": F.col("__d.road_m")})
     straight = G.haversine_m(F.col("lat"), F.col("lng"), F.col("__s.lat"), F.col("__s.lng"))
     reason = (
         F.when(F.col("station").isNull(), "no_station")
-        .when(F.coalesce(F.col("drive_s") <= 0, F.lit(True)) | F.coalesce(F.col("transit_s") <= 0, F.lit(True)), "missing_leg")
+        .when(F.col("drive_s").isNull() | F.col("transit_s").isNull(), "missing_leg")
         .when(F.col("transit_s") > 120 * 60, "transit_too_long")
         .when(F.col("drive_s") > 30 * 60, "drive_too_long")
         .when(F.col("road_m") > F.greatest(3 * straight, F.lit(5000)), "road_too_long")
@@ -353,42 +373,142 @@ class References:
     urls: DataFrame
 
 
-#: What each lookup adds, filled where it is missing.
-FILLED = ("commute_minutes", "station", "station_m", "walk_min", "n_features", "nearest_m", "zone", "sfha", "lot_acres", "assessed", "market", "tier", "schools")
+@dataclass(frozen=True)
+class Lookup:
+    """A lookup of ``enrich_all``: what it needs, what it fills, and how it finds it for places.
+
+    A row is asked about if it has all of ``needs``, lacks one of ``core`` and bears no
+    marker. ``find`` takes the places asked about, keyed by listing_id, and returns the columns of
+    ``fills`` for those of which something is known; they are put in together.
+    """
+
+    name: str
+    needs: tuple[str, ...]
+    core: tuple[str, ...]
+    fills: tuple[str, ...]
+    find: Callable[[DataFrame], DataFrame]
+
+    def asked(self, columns: list[str]) -> Column:
+        lacks = F.lit(False)
+        for c in self.core:
+            lacks = lacks | (F.col(c).isNull() if c in columns else F.lit(True))
+        fit = lacks
+        for c in self.needs:
+            fit = fit & F.col(c).isNotNull()
+        marker = f"{self.name}_checked"
+        return fit & ~F.coalesce(F.col(marker), F.lit(False)) if marker in columns else fit
+
+
+def lookups(refs: References) -> list[Lookup]:
+    """Those that depend on a row's place alone."""
+    point, address = ("lat", "lng"), ("address", "town")
+
+    def power(places: DataFrame) -> DataFrame:
+        return within_radius(places, refs.features).filter("found").select("listing_id", "n_features", "nearest_m")
+
+    def schools(places: DataFrame) -> DataFrame:
+        by_level = schools_by_zip(places, refs.schools).select("listing_id", F.struct("level", "names", "best").alias("x"))
+        return by_level.groupBy("listing_id").agg(F.array_sort(F.collect_list("x")).alias("schools"))  # three levels at most
+
+    def lot(places: DataFrame) -> DataFrame:
+        return parcel_lot_acres(places, refs.parcels, refs.town_county).filter("lot_acres between 0.01 and 1000")
+
+    near = ("station", "station_m", "walk_min")
+    return [
+        Lookup("station", point, near, near, lambda p: nearest_station(p.select("listing_id", *point), refs.stations).drop(*point).filter("station is not null")),
+        Lookup("power", point, ("n_features",), ("n_features", "nearest_m"), power),
+        Lookup("zone", point, ("zone",), ("zone", "sfha"), lambda p: zone_lookup(p, refs.zones).filter("zone is not null").select("listing_id", "zone", "sfha")),
+        Lookup("tax", address, ("tier",), ("assessed", "market", "tier"), lambda p: property_tax(p, refs.rolls, refs.town_county, refs.nyc, refs.municipalities)),
+        Lookup("schools", ("zip_code",), ("schools",), ("schools",), schools),
+        Lookup("lot", ("address",), ("lot_acres",), ("lot_acres",), lot),
+    ]
+
+
+#: The columns that tell one place from another.
+PLACE = ("address", "town", "state", "zip_code", "lat", "lng")
+
+
+def _place_key() -> Column:
+    """Two hashes of a place; nulls count, so that a value in another column is another place."""
+    parts = [x for c in PLACE for x in (F.col(c), F.col(c).isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
+def place_answers(base: DataFrame, wanted: list[Lookup]) -> DataFrame:
+    """(__place, <name> as a struct of what it fills) for the distinct places of ``base`` that are asked about.
+
+    Every lookup gets the places with its bit set, from one shared aggregation, and what all find
+    becomes one table.
+    """
+    bits = F.lit(0)
+    for k, lookup in enumerate(wanted):
+        bits = bits.bitwiseOR(F.when(F.coalesce(lookup.asked(base.columns), F.lit(False)), 1 << k).otherwise(0))
+    rows = base.select(*PLACE, bits.alias("__bits")).filter("__bits > 0")
+    places = rows.groupBy(*PLACE).agg(F.bit_or("__bits").alias("__bits")).withColumn("listing_id", _place_key())
+    found = None
+    for k, lookup in enumerate(wanted):
+        answer = lookup.find(places.filter(F.col("__bits").bitwiseAND(F.lit(1 << k)) > 0).select("listing_id", *PLACE))
+        answer = answer.select(F.col("listing_id").alias("__place"), F.struct(*lookup.fills).alias(f"__{lookup.name}"))
+        found = answer if found is None else found.unionByName(answer, allowMissingColumns=True)
+    return found.groupBy("__place").agg(*[F.first(f"__{x.name}", ignorenulls=True).alias(f"__{x.name}") for x in wanted])
+
+
+def _fill(base: DataFrame, lookup: Lookup) -> DataFrame:
+    """``base`` with the struct __<name> put in where it was asked for, and the marker where it is null."""
+    columns, found = base.columns, F.col(f"__{lookup.name}")
+    marker = f"{lookup.name}_checked"
+    ask = F.coalesce(lookup.asked(columns), F.lit(False))
+    old = lambda c, kind: F.col(c) if c in columns else F.lit(None).cast(kind)
+    kinds = {f.name: f.dataType for f in base.schema[f"__{lookup.name}"].dataType.fields}
+    given = {c: F.when(ask & found.isNotNull(), found[c]).otherwise(old(c, kinds[c])) for c in lookup.fills}
+    marked = (ask & found.isNull()) | F.coalesce(old(marker, "boolean"), F.lit(False))
+    return base.withColumns(given | {marker: marked}).drop(f"__{lookup.name}")
+
+
+def _read_description(df: DataFrame) -> dict[str, Column]:
+    """What a description tells: dues and size source are read anew, the rest fills gaps; pairs go together."""
+    from listingspark.functions import features as X
+
+    d, have = F.col("description"), set(df.columns)
+    old = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    out = {"hoa_monthly": F.coalesce(X.hoa(d)["hoa_monthly"], old("hoa_monthly", "long"))}
+    source = X.sqft_source(d)
+    for c, kind in (("sqft_source", "string"), ("sqft_verified", "boolean")):
+        out[c] = F.when(source["sqft_source"].isNotNull(), source[c]).otherwise(old(c, kind))
+    pairs = ((X.garage(d), "garage_count", "int", "garage_type"), (X.pool(d), "has_pool", "boolean", "pool_type"), (X.basement(d), "has_basement", "boolean", "basement_type"))
+    for found, first, kind, second in pairs:
+        fresh = old(first, kind).isNull() & found[first].isNotNull()
+        out |= {first: F.when(fresh, found[first]).otherwise(old(first, kind)), second: F.when(fresh, found[second]).otherwise(old(second, "string"))}
+    return out | {"year_built": F.coalesce(old("year_built", "long"), X.year_built(d)), "list_date": F.coalesce(old("list_date", "string"), X.list_date(d))}
 
 
 def enrich_all(df: DataFrame, refs: References) -> DataFrame:
     """One plan of all enrichments: ``df`` with its gaps filled, its markers and its signals.
 
-    URLs and coordinates are resolved first, since other lookups read them. A column of
-    FILLED that ``df`` has keeps its values and is filled where null. What a description says
-    of dues, size source and (where the lot is missing) lot is read anew. Lookups that find
-    nothing leave ``<name>_checked`` = true, so that they are not asked again.
+    Keys, URLs and coordinates come first, since lookups read them. Each lookup is asked about
+    the distinct places of rows that lack its columns and bear no marker, and a commute about
+    such rows; what it finds is put in together, and where it finds nothing <name>_checked becomes
+    true, so that a later run asks no more. Rows without what a lookup needs are not asked about
+    and get no mark. What a description tells is read without looking anything up; a lot
+    that no parcel gives is read from it. Price signals are worked out anew. Rows stay as
+    many as they were, and ``enrich_all`` of its own result changes nothing.
     """
-    from listingspark.functions.features import hoa, sqft_source
-
+    key = T.address_key(F.col("address"), F.col("town"), F.col("state"))
     base = geocode_join(resolve_urls(df, refs.urls), refs.places)
-    key = base.select("listing_id", "address", "town", "state", "zip_code", "lat", "lng", "price", "sqft")
-    near = nearest_station(key.select("listing_id", "lat", "lng"), refs.stations).drop("lat", "lng")
-    power = within_radius(key, refs.features).select("listing_id", F.when(F.col("found"), F.col("n_features")).alias("n_features"), "nearest_m")
-    zone = zone_lookup(key, refs.zones).select("listing_id", "zone", "sfha")
-    signal = price_per_sqft_signal(key, refs.index)
-    lot = parcel_lot_acres(key, refs.parcels, refs.town_county).withColumnRenamed("lot_acres", "parcel_acres")
-    tax = property_tax(key, refs.rolls, refs.town_county, refs.nyc, refs.municipalities)
-    by_level = schools_by_zip(key, refs.schools).select("listing_id", F.struct("level", "names", "best").alias("x"))
-    schools = by_level.groupBy("listing_id").agg(F.array_sort(F.collect_list("x")).alias("schools"))  # three levels at most
-    ride = commute(key, refs.stations, refs.overrides, refs.drives, refs.transits).select("listing_id", F.col("minutes").alias("commute_minutes"), F.col("rejected").alias("commute_rejected"))
-    found = [near, power, zone, lot, tax, schools, ride]
-    for extra in found:
-        have = [c for c in extra.columns if c != "listing_id" and c in base.columns]
-        base = base.join(extra.withColumnsRenamed({c: f"__{c}" for c in have}), "listing_id", "left")
-        base = base.withColumns({c: F.coalesce(c, f"__{c}") for c in have}).drop(*[f"__{c}" for c in have])
-    base = base.join(signal, "listing_id", "left")
-    d = F.col("description")
-    own = [F.col("lot_acres")] if "lot_acres" in df.columns else []
-    checked = {"power": "n_features", "zone": "zone", "tax": "tier", "schools": "schools", "lot": "lot_acres", "commute": "commute_minutes"}
-    return (
-        base.withColumns({"lot_acres": F.coalesce(*own, "parcel_acres", T.parse_lot_acres(d)), "hoa_monthly": hoa(d)["hoa_monthly"], "sqft_source": sqft_source(d)["sqft_source"]})
-        .withColumns({f"{n}_checked": F.col(c).isNull() for n, c in checked.items()})
-        .drop("parcel_acres")
-    )
+    base = base.withColumns({"address_key": F.coalesce(F.nullif("address_key", F.lit("")), key) if "address_key" in df.columns else key} | _read_description(df))
+    wanted = lookups(refs)
+    answers = place_answers(base, wanted)
+    ride = Lookup("commute", ("town",), ("commute_minutes",), ("commute_minutes",), lambda p: commute(p, refs.stations, refs.overrides, refs.drives, refs.transits))
+    rides = ride.find(base.filter(ride.asked(base.columns)).select("listing_id", "town", "lat", "lng").dropDuplicates(["listing_id"]))
+    rides = rides.select("listing_id", F.when(F.col("minutes").isNotNull(), F.struct(F.col("minutes").alias("commute_minutes"))).alias("__commute"), F.col("rejected").alias("__rejected"))
+    index = few(refs.index.groupBy(F.col("zip").alias("__zip")).agg(F.min("value").alias("__value")))
+    out = base.drop("ppsf", "benchmark", "ratio", "signal").withColumn("__place", _place_key()).join(answers, "__place", "left").drop("__place").join(rides, "listing_id", "left")
+    asked = F.coalesce(ride.asked(base.columns), F.lit(False))
+    old = F.col("commute_rejected") if "commute_rejected" in df.columns else F.lit(None).cast("string")
+    out = out.withColumn("commute_rejected", F.when(asked, F.col("__rejected")).otherwise(old)).drop("__rejected")
+    for lookup in [*wanted, ride]:
+        out = _fill(out, lookup)
+    out = out.join(index, F.col("zip_code") == F.col("__zip"), "left")
+    signal = price_signal(F.col("price"), F.col("sqft"), F.col("__value"))
+    out = out.withColumn("lot_acres", F.coalesce("lot_acres", T.parse_lot_acres(F.col("description")))).withColumn("__signal", signal)
+    return out.select(*[c for c in out.columns if not c.startswith("__")], "__signal.*")

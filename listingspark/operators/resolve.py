@@ -26,9 +26,6 @@ def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int").desc()
 
 
-ADDRESS_ORDER = ["toured", "mls_id", "listing_url", "listing_id"]
-
-
 def address_order() -> list[Column]:
     has = lambda c: _yes(~T.blank(F.col(c)))
     return [_yes(F.col("toured")), has("mls_id"), has("listing_url"), F.col("listing_id")]
@@ -115,9 +112,25 @@ def fold_status_windowed(updates: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def coalesce_update(target: DataFrame, updates: DataFrame, key: str, columns: list[str], force: bool = False) -> DataFrame:
-    """Fills null and blank cells of ``target`` from ``updates``; with ``force`` overwrites."""
-    given = updates.select(key, *[F.col(c).alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
+def one_update(updates: DataFrame, key: str, columns: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns): one row of each key, the last by ``order`` (nulls first), then the greatest by its columns.
+
+    Only map-side aggregation, so many updates of one key meet as one row a task.
+    """
+    rank = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in [*order, *columns]])
+    last = updates.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), rank).alias("__u"))
+    return last.select(key, *[F.col("__u")[c].alias(c) for c in columns])
+
+
+def coalesce_update(target: DataFrame, updates: DataFrame, key: str, columns: list[str], force: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+    """Fills null and blank cells of ``target`` from ``updates``; with ``force`` overwrites.
+
+    Of several updates of a key the last by ``order`` counts, see ``one_update``; the
+    rows of ``target`` stay as many as they were.
+    """
+    if not columns:
+        return target
+    given = one_update(updates, key, columns, order).select(key, *[F.col(c).alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
     out = target.join(given, key, "left")
     text = {f.name for f in target.schema.fields if f.dataType.typeName() == "string"}
     for c in columns:
@@ -126,30 +139,33 @@ def coalesce_update(target: DataFrame, updates: DataFrame, key: str, columns: li
     return out.select(*target.columns)
 
 
-def partial_enrich_update(target: DataFrame, updates: DataFrame, key: str, allowed: list[str], as_of: Column) -> DataFrame:
-    """Only whitelisted columns that the update has; stamps enriched_at where a row was met."""
+def partial_enrich_update(target: DataFrame, updates: DataFrame, key: str, allowed: list[str], as_of: Column, order: tuple[str, ...] = ()) -> DataFrame:
+    """Only whitelisted columns that the update has, the last update by ``order``; stamps enriched_at where a row was met."""
     columns = [c for c in allowed if c in updates.columns and c in target.columns]
-    met = updates.select(key, F.lit(True).alias("__met"))
-    out = coalesce_update(target, updates, key, columns, force=True).join(met, key, "left")
+    met = updates.select(key).distinct().withColumn("__met", F.lit(True))
+    out = coalesce_update(target, updates, key, columns, True, order).join(met, key, "left")
     old = F.col("enriched_at") if "enriched_at" in target.columns else F.lit(None)
     return out.withColumn("enriched_at", F.when(F.col("__met"), as_of).otherwise(old)).drop("__met")
 
 
-def first_non_null_merge(base: DataFrame, sources: list[DataFrame], key: str, columns: list[str], core: list[str]) -> DataFrame:
-    """Fills each missing field from the first source that has it; lists core fields still missing."""
+def first_non_null_merge(base: DataFrame, sources: list[DataFrame], key: str, columns: list[str], core: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """Fills each missing field from the first source that has it; lists core fields still missing.
+
+    Of a source's rows for a key the last by ``order`` counts.
+    """
     out = base
     for source in sources:
-        out = coalesce_update(out, source, key, [c for c in columns if c in source.columns])
+        out = coalesce_update(out, source, key, [c for c in columns if c in source.columns], order=order)
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in core]))
     return out.withColumn("core_missing", missing).withColumn("ok", F.size("core_missing") == 0)
 
 
 def assign_agent(messages: DataFrame, agents: DataFrame) -> DataFrame:
-    """Adds agent: by the exact address of the sender, else by its domain."""
+    """Adds agent: by the exact address of the sender, else by its domain; of agents that share a pattern the first by name."""
     bare = F.lower(F.trim(F.coalesce(T.extract(F.col("sender"), "<([^>]+)>"), F.col("sender"))))
     out = messages.withColumn("__mail", bare).withColumn("__domain", F.substring_index("__mail", "@", -1))
-    exact = agents.filter(F.col("pattern").contains("@")).select(F.lower("pattern").alias("__mail"), F.col("agent").alias("__exact"))
-    domain = agents.filter(~F.col("pattern").contains("@")).select(F.lower("pattern").alias("__domain"), F.col("agent").alias("__by_domain"))
+    exact = agents.filter(F.col("pattern").contains("@")).groupBy(F.lower("pattern").alias("__mail")).agg(F.min("agent").alias("__exact"))
+    domain = agents.filter(~F.col("pattern").contains("@")).groupBy(F.lower("pattern").alias("__domain")).agg(F.min("agent").alias("__by_domain"))
     out = out.join(exact, "__mail", "left").join(domain, "__domain", "left")
     return out.withColumn("agent", F.coalesce("__exact", "__by_domain")).drop("__mail", "__domain", "__exact", "__by_domain")
 

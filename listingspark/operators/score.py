@@ -321,8 +321,10 @@ def apply_scores(requests: DataFrame, responses: DataFrame, cfg: Config = DEFAUL
 
     A response is validated, then stripped of a Reject that neither the gate nor its own
     validated failures bear out, then reconciled with its ledger. ``requests`` holds the
-    listings' gate columns, best_school and property_type.
+    listings' gate columns, best_school and property_type. Of several responses to a request
+    the greatest as text counts.
     """
+    responses = responses.groupBy("listing_id").agg(F.max("response").alias("response"))
     schema = f"score string, verdict string, hard_results {HARD}, soft_points map<string,string>, concerns array<string>, confidence string"
     read = requests.select("listing_id").join(responses, "listing_id", "left").withColumn("r", F.from_json(T.strip_json_fence(F.col("response")), schema))
     good = validate_scores(read.filter(F.col("r.verdict").isNotNull()).select("listing_id", "r.*"))

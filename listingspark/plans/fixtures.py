@@ -131,6 +131,13 @@ select listing_id, case when listing_id % 10 = 7 then concat(cast(listing_id % 9
   case when listing_id % 14 = 3 then 'NJ' else state end as state, zip_code, price, sqft, listing_url, description, lat, lng from listings_v
 """
 
+VIEWS["half_filled_v"] = """
+select h.*, case when listing_id % 11 = 0 then 'Old Station' end as station, case when listing_id % 22 = 0 then cast(77 as bigint) end as station_m, case when listing_id % 22 = 0 then cast(1 as bigint) end as walk_min,
+  case when listing_id % 7 = 0 then cast(9 as bigint) end as n_features, case when listing_id % 5 = 0 then true end as zone_checked, case when listing_id % 6 = 1 then 'old' end as tier,
+  case when listing_id % 4 = 0 then 1.25 end as lot_acres, listing_id % 9 = 0 as commute_checked, case when listing_id % 9 = 0 then 'asked before' end as commute_rejected, 'stale' as signal, case when listing_id % 8 = 0 then 'kept' end as address_key,
+  case when listing_id % 13 = 0 then 3 end as garage_count from homes_v h
+"""
+
 VIEWS["town_county_v"] = """
 select lower(n_name) as town, case n_nationkey % 4 when 0 then 'Putnam' when 1 then 'Dutchess' else null end as county from nation where n_nationkey % 4 <> 3
 """
@@ -156,10 +163,15 @@ select lower(n_name) as town, concat('Supplier ', lpad(cast(n_nationkey + 1 as v
 VIEWS["drives_v"] = """
 select listing_id, case when listing_id % 13 = 0 then 'Elsewhere' else concat('Supplier#', lpad(cast(cast(zip_code as int) - 10499 as varchar(9)), 9, '0')) end as station,
   (listing_id * 13) % 2400 as drive_s, cast((listing_id * 7) % 90000 as double) as road_m from listings_v where listing_id % 19 <> 0
+union all
+select listing_id, case when listing_id % 2 = 0 then 'Farther' else concat('Supplier#', lpad(cast(cast(zip_code as int) - 10499 as varchar(9)), 9, '0')) end as station,
+  (listing_id * 17) % 3600 as drive_s, cast((listing_id * 5) % 70000 as double) as road_m from listings_v where listing_id % 3 = 0
 """
 
 VIEWS["transits_v"] = """
 select s_name as station, case when s_suppkey % 17 = 0 then null else cast((s_suppkey * 2900) % 8000 as bigint) end as transit_s from supplier
+union all
+select s_name as station, cast((s_suppkey * 1700) % 7000 as bigint) as transit_s from supplier where s_suppkey % 5 = 0
 """
 
 VIEWS["tasks_v"] = """
@@ -191,7 +203,7 @@ from listings_v where listing_id % 3 = 0 and listing_id % 6 <> 0
 """
 
 
-NEEDS = {"export_v": ["listings_v"], "homes_v": ["listings_v"], "drives_v": ["listings_v"]}
+NEEDS = {"half_filled_v": ["listings_v", "homes_v"], "export_v": ["listings_v"], "homes_v": ["listings_v"], "drives_v": ["listings_v"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

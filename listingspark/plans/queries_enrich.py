@@ -121,8 +121,9 @@ def _(v):
 FOLDED = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 RIDE = f"""with s as (select {FOLDED.format('name')} as k, min((idx, name, lat, lng)) as s from stations_v group by 1),
     g as (select h.listing_id, h.lat, h.lng, s.s[2] as station, s.s[3] as slat, s.s[4] as slng from homes_v h left join overrides_v o on o.town = lower(h.town) left join s on s.k = {FOLDED.format('coalesce(o.station_town, h.town)')}),
-    w as (select g.*, case when d.station = g.station then drive_s end as drive_s, road_m, transit_s, {S.haversine('lat', 'lng', 'slat', 'slng')} as straight_m from g left join drives_v d using (listing_id) left join transits_v t on t.station = g.station),
-    r as (select *, case when station is null then 'no_station' when coalesce(drive_s <= 0, true) or coalesce(transit_s <= 0, true) then 'missing_leg' when transit_s > 7200 then 'transit_too_long' when drive_s > 1800 then 'drive_too_long' when road_m > greatest(3 * straight_m, 5000) then 'road_too_long' end as rejected from w)
+    d as (select listing_id, station, min((drive_s, road_m)) as d from drives_v where drive_s > 0 group by 1, 2), t as (select station, min(transit_s) as transit_s from transits_v where transit_s > 0 group by 1),
+    w as (select g.*, d.d[1] as drive_s, d.d[2] as road_m, transit_s, {S.haversine('lat', 'lng', 'slat', 'slng')} as straight_m from g left join d on d.listing_id = g.listing_id and d.station = g.station left join t on t.station = g.station),
+    r as (select *, case when station is null then 'no_station' when drive_s is null or transit_s is null then 'missing_leg' when transit_s > 7200 then 'transit_too_long' when drive_s > 1800 then 'drive_too_long' when road_m > greatest(3 * straight_m, 5000) then 'road_too_long' end as rejected from w)
     select listing_id, station, case when rejected is null then cast(round_even((drive_s + transit_s) / 60, 0) as bigint) end as minutes, rejected from r"""
 RIDE_VIEWS = ["homes_v", "stations_v", "overrides_v", "drives_v", "transits_v"]
 
@@ -189,21 +190,27 @@ NEAR_HOME = NEAREST.replace("listings_v", "homes_v").removeprefix(", ")
 
 @query(
     "e20_enrich_all",
-    [*TAX_VIEWS, *RIDE_VIEWS, "features_v", "zones_v", "price_index_v", "schools_v"],
+    [*TAX_VIEWS, *RIDE_VIEWS, "half_filled_v", "features_v", "zones_v", "price_index_v", "schools_v"],
     f""", {INDEX}, near as (with {NEAR_HOME}), power as (select l.listing_id, count(distinct feature_id) as n_features from homes_v l join features_v f on abs(l.lat - f.lat) < 0.003 and abs(l.lng - f.lng) < 0.004 and {S.haversine('l.lat', 'l.lng', 'f.lat', 'f.lng')} <= 300 group by 1),
     z as ({ZONES.format('homes_v')}), lot as ({LOT}), tax as ({TAX}), ride as ({RIDE}),
     k as (select *, case when contains(lower(level), 'elem') then 'elementary' when contains(lower(level), 'mid') then 'middle' when contains(lower(level), 'high') then 'high' end as kind from schools_v),
     sch as (select zip, max(percentile) as best from (select *, row_number() over (partition by zip, kind order by coalesce(percentile, 0) desc, school_id) as rn from k where kind = 'elementary') where rn <= 3 group by 1),
     p as (select listing_id, case when price / sqft / (value / 1500) < 0.85 then 'below_market' when price / sqft / (value / 1500) > 1.2 then 'above_market' else 'at_market' end as signal from homes_v join ix on zip = zip_code where price is not null and sqft > 0 and value > 0)
-    select h.listing_id, near.station, near.station_m, near.walk_min, n_features, n_features is null as power_checked, zone, zone is null as zone_checked, assessed, market, tier, tier is null as tax_checked,
-      sch.best as best_elementary, signal, ride.minutes as commute_minutes, ride.rejected as commute_rejected, ride.minutes is null as commute_checked,
-      coalesce(lot_acres, case when description is not null then round((h.listing_id % 90 + 10) * 1000 / 43560.0, 4) end) as lot_acres
-    from homes_v h left join near using (listing_id) left join power using (listing_id) left join z using (listing_id) left join lot using (listing_id) left join tax using (listing_id) left join ride using (listing_id) left join sch on sch.zip = h.zip_code left join p using (listing_id)""",
+    select h.listing_id, case when h.walk_min is not null then h.station else near.station end as station, case when h.walk_min is not null then h.station_m else near.station_m end as station_m,
+      case when h.walk_min is not null then h.walk_min else near.walk_min end as walk_min, coalesce(h.n_features, power.n_features) as n_features, coalesce(h.n_features, power.n_features) is null as power_checked,
+      case when h.zone_checked is null then zone end as zone, h.zone_checked is not null or zone is null as zone_checked,
+      case when h.tier is null then assessed end as assessed, case when h.tier is null then market end as market, coalesce(h.tier, tax.tier) as tier, coalesce(h.tier, tax.tier) is null and town is not null as tax_checked,
+      sch.best as best_elementary, p.signal, case when not h.commute_checked then ride.minutes end as commute_minutes,
+      case when h.commute_checked then h.commute_rejected when town is not null then ride.rejected end as commute_rejected, h.commute_checked or (town is not null and ride.minutes is null) as commute_checked,
+      coalesce(h.lot_acres, lot.lot_acres, case when description is not null then round((h.listing_id % 90 + 10) * 1000 / 43560.0, 4) end) as lot_acres, h.lot_acres is null and lot.lot_acres is null as lot_checked,
+      coalesce(h.address_key, {S.address_key('h.address', 'h.town', 'h.state')}) as address_key, coalesce(h.garage_count, case when description is not null then case h.listing_id % 3 when 0 then 2 when 1 then 1 else 0 end end) as garage_count
+    from half_filled_v h left join near using (listing_id) left join power using (listing_id) left join z using (listing_id) left join lot using (listing_id) left join tax using (listing_id) left join ride using (listing_id) left join sch on sch.zip = h.zip_code left join p using (listing_id)""",
 )
 def _(v):
+    """Homes of which some have values, some marks of earlier runs."""
     best = F.get(F.filter("schools", lambda x: x["level"] == "elementary"), F.lit(0))["best"].alias("best_elementary")
-    columns = "listing_id station station_m walk_min n_features power_checked zone zone_checked assessed market tier tax_checked signal commute_minutes commute_rejected commute_checked lot_acres".split()
-    return E.enrich_all(v("homes_v"), references(v, v("homes_v"))).select(*columns, best)
+    columns = "listing_id station station_m walk_min n_features power_checked zone zone_checked assessed market tier tax_checked signal commute_minutes commute_rejected commute_checked lot_acres lot_checked address_key garage_count".split()
+    return E.enrich_all(v("half_filled_v"), references(v, v("homes_v"))).select(*columns, best)
 
 
 def references(v, homes):
