@@ -11,18 +11,17 @@ from listingspark.registry import query
 LIVE = f"({S.status_class('listing_status')}) in ('live_market', 'live_event')"
 
 
-@query(
-    "h01_alert_latch",
-    ["score_events_v"],
-    """, e as (select *, row_number() over (partition by listing_id order by ts, event_id) as k from score_events_v),
+LATCH = """, e as (select *, row_number() over (partition by listing_id order by ts, event_id) as k from score_events_v),
     f as (select listing_id, cast(0 as bigint) as k, false as latched, false as fired, cast(null as bigint) as event_id, cast(null as bigint) as score, cast(null as varchar) as reason from (select distinct listing_id from e) q
       union all
       select x.listing_id, x.k, case when x.fire then true else x.armed end, x.fired or x.fire, x.event_id, x.score, case when x.fire then case when x.fired then 're_armed' else 'first_time' end end
       from (select e.listing_id, e.k, e.event_id, e.score, f.fired, (f.latched and not (e.score < 60 and not e.criteria_rescore)) as armed,
           not (f.latched and not (e.score < 60 and not e.criteria_rescore)) and e.score >= 70 and e.live as fire
         from f join e on e.listing_id = f.listing_id and e.k = f.k + 1) x)
-    select listing_id, event_id, score, reason from f where reason is not null""",
-)
+    select listing_id, event_id, score, reason from f where reason is not null"""
+
+
+@query("h01_alert_latch", ["score_events_v"], LATCH)
 def _(v):
     return A.alert_latch(v("score_events_v")).drop("ts")
 
@@ -109,14 +108,40 @@ def _(v):
     "h13_ingest_health",
     None,
     """with p as (select event_type as source, ts, event_id % 3 <> 0 as ok, case when event_id % 50 = 1 then 1 else 0 end as n_new, case when event_id % 3 = 0 then 'invalid_grant' end as error from events),
-    m as (select max(ts) as t from events), f as (select source, max(case when n_new > 0 then ts end) as full_ts, max(case when ok then ts end) as last_success from p group by 1)
-    select f.source, last_success, last_success < (select t from m) - interval '25' hour as stale, (select count(*) from p where p.source = f.source and ok and (full_ts is null or p.ts > full_ts)) as empty_run from f""",
+    m as (select max(ts) as t from events), f as (select source, max(case when n_new > 0 or not ok then ts end) as full_ts, max(case when ok then ts end) as last_success from p group by 1),
+    e as (select source, error from (select *, row_number() over (partition by source order by ts desc) as rn from p) where rn = 1)
+    select f.source, coalesce(contains(error, 'invalid_grant'), false) as auth_error, last_success, last_success < (select t from m) - interval '25' hour as stale,
+      (select count(*) from p where p.source = f.source and ok and (full_ts is null or p.ts > full_ts)) as empty_run from f join e on e.source = f.source""",
+)
+def _(v):
+    polls = _polls(v)
+    now = polls.agg(F.max("ts").alias("t")).collect()[0]["t"]
+    return A.ingest_health(polls, F.lit(now))
+
+
+def _polls(v):
+    i = F.col("event_id")
+    return v.table("events").select(F.col("event_type").alias("source"), "ts", "event_id", (i % 3 != 0).alias("ok"), F.when(i % 50 == 1, 1).otherwise(0).alias("n_new"), F.when(i % 3 == 0, "invalid_grant").alias("error"))
+
+
+@query(
+    "h13_ingest_health_stream",
+    None,
+    """with p as (select event_type as source, ts, event_id % 3 <> 0 as ok, case when event_id % 50 = 1 then 1 else 0 end as n_new, case when event_id % 3 = 0 then 'invalid_grant' end as error from events),
+    f as (select source, max(ts) as ts, max(case when n_new > 0 or not ok then ts end) as full_ts, max(case when ok then ts end) as last_success from p group by 1),
+    e as (select source, error from (select *, row_number() over (partition by source order by ts desc) as rn from p) where rn = 1)
+    select f.source, ts, coalesce(contains(error, 'invalid_grant'), false) as auth_error, last_success, last_success < ts - interval '25' hour as stale,
+      (select count(*) from p where p.source = f.source and ok and (full_ts is null or p.ts > full_ts)) as empty_run from f join e on e.source = f.source""",
 )
 def _(v):
-    e = v.table("events")
-    polls = e.select(F.col("event_type").alias("source"), "ts", (F.col("event_id") % 3 != 0).alias("ok"), F.when(F.col("event_id") % 50 == 1, 1).otherwise(0).alias("n_new"), F.when(F.col("event_id") % 3 == 0, "invalid_grant").alias("error"))
-    now = e.agg(F.max("ts").alias("t")).collect()[0]["t"]
-    return A.ingest_health(polls, F.lit(now)).drop("auth_error")
+    """The last word of the stream on each source, its polls out of order."""
+    from listingspark.plans.streams import drained_late
+    from listingspark.streaming.ordered import ingest_health_stream
+
+    polls = _polls(v).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = drained_late(polls, "source", "~end", lambda s: ingest_health_stream(s, "30 days")).filter("not timer")
+    last = rows.groupBy("source").agg(F.max_by(F.struct("ts", "auth_error", "last_success", "stale", "empty_run"), "ts").alias("x"))
+    return last.select("source", "x.*").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "last_success")})
 
 
 @query("h02_alert_latch_stream", ["score_events_v"])
@@ -125,3 +150,13 @@ def _(v):
     from listingspark.plans.streams import latch_over_files
 
     return latch_over_files(v)
+
+
+@query("h02_alert_latch_late", ["score_events_v"], LATCH)
+def _(v):
+    """The latch over events out of order, its state in RocksDB."""
+    from listingspark.plans.streams import drained_late
+    from listingspark.streaming.ordered import alert_latch_late_stream
+
+    events = v("score_events_v").withColumn("ts", F.col("ts").cast("timestamp"))
+    return drained_late(events, "listing_id", -1, lambda s: alert_latch_late_stream(s, "30 days")).drop("ts")

@@ -1,4 +1,4 @@
-"""Streams: ingest with exactly-once effects, the alert latch as keyed state, volume windows."""
+"""Streams: repeats and late rows, the alert latch over an ordered source, volume windows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingspark.config import DEFAULT, Config
-from listingspark.operators.tables import last_of, upsert_table
 from listingspark.session import ship_package
 
 ALERTS = "listing_id long, event_id long, ts timestamp, score long, reason string"
@@ -65,16 +64,3 @@ def alert_latch_stream(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def alert_volume_stream(alerts: DataFrame, size: str = "7 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
     out = alerts.withWatermark("sent_at", delay).groupBy(F.window("sent_at", size, slide).alias("w")).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: tuple[str, ...] = ()):
-    """A query that upserts each micro-batch into a keyed table, once whatever is repeated.
-
-    Of a key's rows in a micro-batch the last by ``order`` counts.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        last = last_of(batch, keys, list(order))
-        upsert_table(last, path, keys, version=f"batch-{epoch:012d}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

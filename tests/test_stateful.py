@@ -4,7 +4,7 @@ import random
 
 from datetime import datetime, timedelta
 
-from listingspark.operators import alerts, resolve, tables
+from listingspark.operators import alerts, resolve
 from listingspark.streaming.alerts import alert_latch_stream, deduplicated
 
 
@@ -106,13 +106,3 @@ def test_dedup_is_idempotent(spark):
     once = resolve.dedup_by_address_key(df)
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, resolve.dedup_by_address_key(once).collect()), key=str)
     assert once.filter("address_key is null").count() == df.filter("address_key is null").count()
-
-
-def test_upsert_table_is_repeatable(spark, tmp_path):
-    path = str(tmp_path / "t")
-    one = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
-    two = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
-    tables.upsert_table(one, path, ["k"], "1")
-    for _ in range(2):
-        tables.upsert_table(two, path, ["k"], "2")
-    assert sorted(map(tuple, tables.read_table(spark, path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
