@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingspark.functions import markup as K
 from listingspark.functions import text as T
+from listingspark.functions.markup import let
 
 # Patterns of the alert layouts.
 FORWARD_MARK = "---------- Forwarded message"
@@ -103,11 +107,6 @@ def listing_blocks(text: Column) -> Column:
     return let(F.filter(blocks_of(text), telling), lambda found: F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(text), telling)))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _plain_fields(raw: Column, b: Column) -> dict[str, Column]:
     """Fields of a block ``raw``; ``b`` is the block without its status and tour lines."""
     url = F.regexp_replace(T.extract(b, T.LIST_URL, 0), r"[.,;:)]+$", "")
@@ -136,19 +135,20 @@ def extract_plain_fields(df: DataFrame, block: str = "block") -> DataFrame:
     return out.filter("price is not null or mls_id is not null or address is not null")
 
 
-HTML_CLASS = r'(?s)class="[^"]*highlight-{}[^"]*"[^>]*>\s*([^<]+?)\s*<'
 HTML_CITY = r"^([^,]+),\s*([A-Za-z ]+?)\s+(\d{5})"
+DISPLAY = "div.multiLineDisplay"
 
 
 def html_parts(html: Column) -> Column:
-    """The block markup of a message, one piece from each multiLineDisplay on."""
-    parts = F.split(html, r'<div[^>]*class="[^"]*multiLineDisplay', -1)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    """The block markup of a message: each multiLineDisplay element, to where it ends."""
+    return K.elements(html, [DISPLAY])
 
 
 def _html_fields(b: Column) -> dict[str, Column]:
-    field = lambda n: T.extract(b, HTML_CLASS.format(n))
-    place, specs = field("address"), field("specs")
+    names = ("price", "description", "address", "title")
+    texts = K.first_texts(b, [f".highlight-{n}" for n in names])
+    field = lambda n: F.nullif(F.get(texts, F.lit(names.index(n))), F.lit(""))
+    specs = K.text_of(F.array_join(K.elements(b, [".highlight-specs"], more=K.INLINE), " | "))
     return {
         "price": T.number(F.regexp_replace(field("price"), r"[^\d]", "")),
         "bedrooms": T.extract(specs, BEDS).try_cast("long"),
@@ -157,10 +157,11 @@ def _html_fields(b: Column) -> dict[str, Column]:
         "mls_id": T.extract(b, MLS),
         "listing_url": T.extract(b, r'href="([^"]*(?:onehome|redfin|zillow|listing)[^"]*)"'),
         "address": field("description"),
-        "town": F.coalesce(T.extract(place, HTML_CITY, 1), place),
-        "state": T.extract(place, HTML_CITY, 2),
-        "zip_code": T.extract(place, HTML_CITY, 3),
+        "town": F.coalesce(F.trim(T.extract(field("address"), HTML_CITY, 1)), field("address")),
+        "state": F.trim(T.extract(field("address"), HTML_CITY, 2)),
+        "zip_code": T.extract(field("address"), HTML_CITY, 3),
         "listing_status": T.extract(b, r'<img[^>]*alt="([^"]+)"'),
+        "property_type": T.canonical_property_type(field("title")),
     }
 
 
@@ -208,31 +209,79 @@ def backfill_urls_from_html(listings: DataFrame, urls: DataFrame) -> DataFrame:
     return first.select("message_id", "position", F.col("url").alias("listing_url"))
 
 
-STRIP = r"(?is)<(script|style|nav|footer|header|form)\b.*?</\1\s*>"
+#: Elements of a page that are no part of its content.
+FURNITURE = ("nav", "footer", "header", "form")
+# Patterns of page statistics.
+PAGE_PRICE = r"\$\s?([\d,]{6,})"
+PAGE_BEDS = r"(?i)(\d+)\s*(?:bed(?:room)?s?|bd)"
+PAGE_BATHS = r"(?i)(\d+(?:\.\d)?)\s*(?:bath(?:room)?s?|ba)"
+PAGE_SQFT = r"(?i)([\d,]+)\s*(?:sq\.?\s*ft|sqft|square\s*f(?:eet|oot))"
+COMPACT = r"(?i)\$\s?([\d,]{6,})\s+(\d+)\s*beds?\s+(\d+)\s*(?:bath|ba)\w*\s+([\d,]+)\s*(?:sq\.?\s*ft|sqft)"
+PAGE_YEAR = r"(?i)(?:year\s*built|built\s*in|constructed)\s*:?\s*(\d{4})"
+PAGE_LISTED = (
+    r"(?i)(?:list(?:ed|ing)\s*(?:date|on|since)?|on\s*(?:the\s*)?market(?:\s*since)?|date\s*listed)\s*:?\s*"
+    r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\w+\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2})"
+)
+JSON_YEAR = r'"[Yy]ear[Bb]uilt"\s*:\s*"?(\d{4})'
+JSON_LISTED = (r'"[Oo]n[Mm]arket[Dd]ate"\s*:\s*"(\d{4}-\d{2}-\d{2})', r'"(?:[Ll]ist(?:ing)?[Dd]ate|[Dd]ate[Ll]isted)"\s*:\s*"(\d{4}-\d{2}-\d{2})')
+JSON_LOT = r'"lotSize"\s*:\s*\{[^}]*"value"\s*:\s*([\d.]+)'
+JSON_LOT_TEXT = r'(?i)"lotSize"\s*:\s*"([\d,.]+)\s*(acres?|sqft|sq\s*ft|square\s*feet)"'
+LOT_TEXTS = ((r"(?i)([\d,.]+)\s*acres?\s*Lot\s*Size", 1), (r"(?i)(?<!/)([\d,.]+)\s*(?:acre|ac)s?\b", 1), (r"(?i)([\d,]+)\s*(?:sq\.?\s*ft|sqft|square\s*feet)\s+lot\b", 43560))
+LEAST_HOME_PRICE = 50_000
 
 
 def page_text(html: Column) -> Column:
     """Text of a page without its scripts, styles and furniture, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, STRIP, " "), r"<[^>]+>", " "), r"\s+", " "))
+    return K.text_of(K.without_elements(html, FURNITURE))
+
+
+def script_values(html: Column) -> Column:
+    """The scripts of a page as variants, in order; null where one is no JSON."""
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script"), F.lit(1)), F.try_parse_json)
+
+
+def _first_value(scripts: Column, paths: tuple[str, ...], kind: str) -> Column:
+    """The first value at any of ``paths`` in any of the scripts that fits the kind."""
+    at = F.transform(scripts, lambda v: F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths]))
+    return F.get(F.filter(at, lambda x: x.isNotNull()), F.lit(0))
 
 
 def extract_page_stats(df: DataFrame, html: str = "html") -> DataFrame:
-    """Adds price, bedrooms, bathrooms, sqft and year_built of a landed page."""
-    t = page_text(F.col(html))
-    out = df.withColumn("__t", t)
-    prices = F.transform(F.regexp_extract_all("__t", F.lit(PRICE), F.lit(1)), lambda x: T.number(F.substring_index(x, ".", 1)))
-    sizes = F.transform(F.regexp_extract_all("__t", F.lit(SQFT), F.lit(1)), T.number)
-    sizes = F.filter(sizes, lambda x: (x % 500 != 0) & (x >= 500) & (x <= 30000))
-    year = T.extract(F.col("__t"), r"(?i)(?:built in|year built:?)\s*(\d{4})").try_cast("long")
+    """Adds price, bedrooms, bathrooms, sqft, year, list_date and lot_acres of a landed page, as page_*.
+
+    A compact line gives what no field of its own does. The year and the list date are read from
+    the text, then from JSON; a lot is JSON's number, JSON's text with a unit, then the
+    text's own. JSON is read as such from scripts, and by pattern where a script is no JSON.
+    """
+    out = df.withColumns({"__t": page_text(F.col(html)), "__s": script_values(F.col(html))})
+    t, s, raw = F.col("__t"), F.col("__s"), F.col(html)
+    first = lambda xs, test: F.get(F.filter(xs, test), F.lit(0))
+    prices = F.transform(F.regexp_extract_all(t, F.lit(PAGE_PRICE), F.lit(1)), T.number)
+    sizes = F.filter(F.transform(F.regexp_extract_all(t, F.lit(PAGE_SQFT), F.lit(1)), T.number), lambda x: (x % 500 != 0) & (x >= 500) & (x <= 30000))
+    compact = F.when(T.number(T.extract(t, COMPACT, 1)) >= LEAST_HOME_PRICE, T.number(T.extract(t, COMPACT, 4)))
+    years = [T.extract(t, PAGE_YEAR).try_cast("long"), F.coalesce(_first_value(s, ("$.yearBuilt", "$.YearBuilt"), "long"), T.extract(raw, JSON_YEAR).try_cast("long"))]
+    listed = [_first_value(s, p, "string").substr(1, 10) for p in (("$.OnMarketDate", "$.onMarketDate"), ("$.listDate", "$.ListDate", "$.listingDate", "$.ListingDate", "$.dateListed", "$.DateListed"))]
+    lot = lambda value: F.when((value >= 0.01) & (value <= 1000), F.round(value, 4))
+    plain = lambda x: F.regexp_replace(x, ",", "").try_cast("double")
+
+    def worded(x: Column) -> Column:
+        size = plain(T.extract(x, JSON_LOT_TEXT, 1))
+        return lot(F.when(F.lower(T.extract(x, JSON_LOT_TEXT, 2)).startswith("acre"), size).otherwise(size / 43560))
+
+    given = F.concat(F.lit('"lotSize":"'), _first_value(s, ("$.lotSize",), "string"), F.lit('"'))
+    lots = [lot(F.coalesce(_first_value(s, ("$.lotSize.value",), "double"), T.extract(raw, JSON_LOT).try_cast("double"))), F.coalesce(worded(given), worded(raw))]
+    lots += [lot(plain(T.extract(t, p)) / by) for p, by in LOT_TEXTS]
     return out.withColumns(
         {
-            "page_price": F.get(F.filter(prices, lambda x: x >= 50_000), F.lit(0)),
-            "page_bedrooms": T.extract(F.col("__t"), BEDS).try_cast("long"),
-            "page_bathrooms": T.extract(F.col("__t"), r"(?i)(\d+(?:\.\d)?)\s*(?:ba|bath)").try_cast("double"),
-            "page_sqft": F.array_max(sizes),
-            "page_year": F.when((year >= 1700) & (year <= 2030), year),
+            "page_price": first(prices, lambda x: x >= LEAST_HOME_PRICE),
+            "page_bedrooms": T.extract(t, PAGE_BEDS).try_cast("long"),
+            "page_bathrooms": T.extract(t, PAGE_BATHS).try_cast("double"),
+            "page_sqft": F.coalesce(F.array_max(sizes), compact),
+            "page_year": F.coalesce(*[F.when((y >= 1700) & (y <= 2030), y) for y in years]),
+            "page_list_date": F.coalesce(F.trim(T.extract(t, PAGE_LISTED)), *listed, *[T.extract(raw, p) for p in JSON_LISTED]),
+            "page_lot_acres": F.coalesce(*lots),
         }
-    ).drop("__t")
+    ).drop("__t", "__s")
 
 
 def extract_reader_page_fields(df: DataFrame, body: str = "body") -> DataFrame:
@@ -255,17 +304,38 @@ def extract_reader_page_fields(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-DOMAIN_WORDS = r"(?i)bedroom|kitchen|bath|garage|basement|yard|home|property|floor"
+# Where pages keep their descriptions, and words that tell one.
+DESCRIPTION_SELECTORS = (
+    "section#overview", "div#house-info", ".remarksContainer", "#marketing-remarks-scroll", ".remarks-container",
+    '[data-rf-test-id="listingRemarks"]', '[data-testid="listing-description"]', '[id*="remarks"]', '[class*="property-details"]',
+    '[class*="listing-detail"]', ".keyDetailsList", ".propertyDetailsSectionContent", ".amenity-group", "div.remarks",
+    "div.description", "section.description", ".public-remarks", ".agent-remarks",
+)
+DESCRIPTION_WORDS = (
+    "basement", "finish", "unfin", "ground floor", "ground level", "bedroom", "bath", "kitchen", "pool", "sauna", "jacuzzi",
+    "hot tub", "soak", "lot", "acre", "garage", "deck", "patio", "renovated", "updated", "condition", "hardwood", "central air",
+    "fireplace", "attic", "laundry", "storage", "walk-out",
+)
+
+
+def extract_page_description(
+    html: Column, limit: int = 5000, selectors: tuple[str, ...] | list[str] = DESCRIPTION_SELECTORS, words: tuple[str, ...] = DESCRIPTION_WORDS, furniture: tuple[str, ...] = ("nav", "footer", "header")
+) -> Column:
+    """The longest text of 50 characters with one of ``words`` that a selector finds, cut at ``limit``.
+
+    Where none does, the longest of 80 of any paragraph, cell or block. An element inside
+    another has no more text than that, so only outermost ones are read.
+    """
+    content = K.without_elements(html, furniture)
+    telling = "|".join(re.escape(w) for w in words)
 
+    def longest(chosen: list[str], least: int) -> Column:
+        texts = F.transform(K.elements(content, chosen, outermost=True, more=K.INLINE), K.text_of)
+        good = F.filter(texts, lambda x: (F.length(x) >= least) & F.lower(x).rlike(telling))
+        ranked = F.transform(good, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x")))
+        return F.array_max(ranked)["x"]
 
-def extract_page_description(html: Column, limit: int = 5000, marker: str = "<p") -> Column:
-    """The longest paragraph of 50 characters with a domain word, else of 80; cut at ``limit``."""
-    clean = F.regexp_replace(html, STRIP, " ")
-    blocks = F.transform(F.split(clean, marker), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^[^<>]*>", ""), r"<[^>]+>", " "), r"\s+", " ")))
-    longest = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    good = longest(F.filter(blocks, lambda x: (F.length(x) >= 50) & x.rlike(DOMAIN_WORDS)))
-    any_ = longest(F.filter(blocks, lambda x: F.length(x) >= 80))
-    return F.left(F.coalesce(good, any_), F.lit(limit))
+    return F.left(F.coalesce(longest(list(selectors), 50), longest(["p", "div", "section", "td", "span"], 80)), F.lit(limit))
 
 
 def extract_image_urls(html: Column) -> Column:
@@ -287,7 +357,7 @@ def select_images(images: Column, k: int = 8) -> Column:
 
 
 def page_status(html: Column) -> Column:
-    return T.extract(html, r'"(?:SaleStatus|MlsStatus)"\s*:\s*"([^"]*)"')
+    return T.extract(html, r'(?i)"(?:SaleStatus|MlsStatus)"\s*:\s*"([^"]+)"')
 
 
 # What pages say of their status, and what a bot challenge looks like.
