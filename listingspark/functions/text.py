@@ -43,6 +43,11 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
     return none_if_empty(F.regexp_extract(c, pattern, group))
 
 
+def extract_once(c: Column, pattern: str, group: int = 1) -> Column:
+    """As ``extract``, matched once also where expressions are not shared, as in lambdas."""
+    return F.get(F.filter(F.array(F.regexp_extract(c, pattern, group)), lambda x: x != ""), F.lit(0))
+
+
 def number(c: Column) -> Column:
     """Digits with thousands commas as a whole number, else null."""
     return F.regexp_replace(c, ",", "").try_cast("long")

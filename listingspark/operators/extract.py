@@ -93,8 +93,20 @@ def _untitled(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, STATUS_LINE, ""), TOUR_LINE, "")
 
 
+def _inline(line: Column, extract=T.extract) -> tuple[Column, Column]:
+    """Address and town of a one-line address; what stands before a bar in its town belongs to the address."""
+    address, town = F.trim(extract(line, INLINE, 1)), F.trim(extract(line, INLINE, 2))
+    suite = F.trim(F.substring_index(town, "|", 1))
+    barred = town.contains("|")
+    whole = F.when(barred & (suite != ""), F.concat(address, F.lit(", "), suite)).otherwise(address)
+    return whole, F.when(barred, F.trim(F.regexp_replace(town, r"^[^|]*\|", ""))).otherwise(town)
+
+
 def _plain_address(b: Column) -> Column:
-    return F.coalesce(F.trim(T.extract(b, STREET_LINE)), F.trim(T.extract(b, INLINE, 1)), title_slug(T.extract(T.extract(b, T.LIST_URL, 0), SLUG, 3)))
+    """The address of a block inside a lambda."""
+    inline = let(T.extract_once(b, INLINE, 0), lambda line: _inline(line, T.extract_once)[0])
+    by_url = let(T.extract_once(b, T.LIST_URL, 0), lambda url: title_slug(T.extract_once(url, SLUG, 3)))
+    return F.coalesce(F.trim(T.extract_once(b, STREET_LINE)), inline, by_url)
 
 
 def _plain_price(b: Column) -> Column:
@@ -103,16 +115,45 @@ def _plain_price(b: Column) -> Column:
 
 def listing_blocks(text: Column) -> Column:
     """The blocks of a text with a price, an MLS number or an address; the whole text if none has."""
-    telling = lambda raw: let(_untitled(raw), lambda b: _plain_price(b).isNotNull() | T.extract(b, MLS).isNotNull() | _plain_address(b).isNotNull())
+    telling = lambda raw: let(_untitled(raw), lambda b: b.rlike(PRICE) | b.rlike(MLS) | _plain_address(b).isNotNull())
     return let(F.filter(blocks_of(text), telling), lambda found: F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(text), telling)))
 
 
-def _plain_fields(raw: Column, b: Column) -> dict[str, Column]:
-    """Fields of a block ``raw``; ``b`` is the block without its status and tour lines."""
-    url = F.regexp_replace(T.extract(b, T.LIST_URL, 0), r"[.,;:)]+$", "")
+# How alerts name a type and a list date.
+TYPE_LABEL = r"(?i)(?:style|type|property\s+type|home\s+type)\s*:\s*([\w][\w\s/\-]{1,50})"
+TYPE_LINE = (
+    r"(?im)^\s*(single[\s\-]family(?:\s+residential)?|single[\s\-]family\s+home|condo(?:minium)?|co[\s\-]?op|townhouse|townhome|"
+    r"multi[\s\-]?family|multifamily|two[\s\-]family|mobile[\s\-]home|manufactured[\s\-]home|residential|colonial|ranch|cape\s+cod|"
+    r"split[\s\-]level|contemporary|victorian|tudor|farmhouse|craftsman)\s*$"
+)
+LISTED_SINCE = (
+    r"(?i)(?:listed\s*(?:date|on|since)?|date\s+listed|active\s+since|on\s+(?:the\s+)?market\s*(?:since)?)\s*:?\s*"
+    r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[A-Za-z]+\.?\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2})"
+)
+
+
+def with_plain_parts(df: DataFrame, block: Column) -> DataFrame:
+    """Adds what several fields of a block read: it without status and tour lines, and its matches as such."""
+    b = F.col("__b")
+    parts = {"__street": F.trim(T.extract(b, STREET_LINE)), "__line": T.extract(b, INLINE, 0), "__city": T.extract(b, CITY_LINE, 0), "__url": F.regexp_replace(T.extract(b, T.LIST_URL, 0), r"[.,;:)]+$", "")}
+    return df.withColumn("__b", _untitled(block)).withColumns(parts)
+
+
+PLAIN_PARTS = ("__b", "__street", "__line", "__city", "__url")
+
+
+def _plain_fields(raw: Column) -> dict[str, Column]:
+    """Fields of a block ``raw`` of rows ``with_plain_parts``.
+
+    A street on a line of its own goes with a town on another; else a one-line address gives
+    both, and its URL where there is neither.
+    """
+    b, street, line, city, url = (F.col(c) for c in PLAIN_PARTS)
     slug = slug_fields(url)
-    # an inline address may carry its suite behind a bar
-    address = F.coalesce(F.trim(T.extract(b, STREET_LINE)), F.trim(F.substring_index(T.extract(b, INLINE, 1), "|", 1)), slug["address"])
+    line_address, line_town = _inline(line)
+    inline, by_url = street.isNull() & line.isNotNull(), street.isNull() & line.isNull()
+    place = lambda k, own, name: F.when(inline, own).otherwise(F.coalesce(F.trim(T.extract(city, CITY_LINE, k)), F.when(by_url, slug[name])))
+    town, address = place(1, line_town, "town"), F.coalesce(street, line_address, slug["address"])
     return {
         "price": _plain_price(b),
         "bedrooms": T.extract(b, BEDS).try_cast("long"),
@@ -121,17 +162,34 @@ def _plain_fields(raw: Column, b: Column) -> dict[str, Column]:
         "mls_id": T.extract(b, MLS),
         "listing_url": url,
         "address": address,
-        "town": F.coalesce(T.extract(b, CITY_LINE, 1), T.extract(b, INLINE, 2), slug["town"]),
-        "state": F.coalesce(T.extract(b, CITY_LINE, 2), T.extract(b, INLINE, 3), slug["state"]),
-        "zip_code": F.coalesce(T.extract(b, CITY_LINE, 3), T.extract(b, INLINE, 4), slug["zip_code"], T.extract(b, ZIP)),
+        "town": town,
+        "state": place(2, T.extract(line, INLINE, 3), "state"),
+        "zip_code": F.coalesce(place(3, T.extract(line, INLINE, 4), "zip_code"), F.when(town.isNull() & address.isNull(), T.extract(b, ZIP))),
         "listing_status": F.initcap(T.extract(raw, STATUS_LINE)),
+        "property_type": T.canonical_property_type(F.coalesce(T.extract(b, TYPE_LABEL), T.extract(b, TYPE_LINE))),
+        "list_date": T.parse_list_date_text(T.extract(b, LISTED_SINCE)).cast("string"),
     }
 
 
+def _backfilled(blocks: Column, html: Column) -> Column:
+    """The first URL of ``html`` that names the address of each block without a URL; each serves once."""
+    urls = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(T.LIST_URL), F.lit(0)), lambda u: F.regexp_replace(F.regexp_extract(u, r"""^[^"'>]*""", 0), r"[.,;:)]+$", "")))
+    slug = lambda raw: F.when(~raw.rlike(T.LIST_URL), F.lower(F.translate(F.translate(_plain_address(_untitled(raw)), ".", ""), " ", "-")))
+    state = "struct<left:array<string>,out:array<string>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        hit = F.get(F.filter(acc["left"], lambda u: F.lower(u).contains(s)), F.lit(0))
+        taken = F.when(hit.isNotNull(), F.array_remove(acc["left"], hit)).otherwise(acc["left"])
+        return F.struct(taken.alias("left"), F.concat(acc["out"], F.array(hit)).alias("out")).cast(state)
+
+    fold = lambda xs: F.aggregate(F.transform(blocks, slug), F.struct(xs.alias("left"), F.array().alias("out")).cast(state), step, lambda acc: acc["out"])
+    return F.when(F.size(urls) > 0, let(urls, fold))
+
+
 def extract_plain_fields(df: DataFrame, block: str = "block") -> DataFrame:
     """The fields of each block, the first match of each; blocks without price, MLS and address go."""
-    rows = df.withColumn("__b", _untitled(F.col(block)))
-    out = rows.withColumns(_plain_fields(F.col(block), F.col("__b"))).drop("__b")
+    rows = with_plain_parts(df, F.col(block))
+    out = rows.withColumns(_plain_fields(F.col(block))).drop(*PLAIN_PARTS)
     return out.filter("price is not null or mls_id is not null or address is not null")
 
 
@@ -144,11 +202,18 @@ def html_parts(html: Column) -> Column:
     return K.elements(html, [DISPLAY])
 
 
-def _html_fields(b: Column) -> dict[str, Column]:
-    names = ("price", "description", "address", "title")
-    texts = K.first_texts(b, [f".highlight-{n}" for n in names])
-    field = lambda n: F.nullif(F.get(texts, F.lit(names.index(n))), F.lit(""))
-    specs = K.text_of(F.array_join(K.elements(b, [".highlight-specs"], more=K.INLINE), " | "))
+HTML_TEXTS = ("price", "description", "address", "title", "specs")
+
+
+def html_texts(block: Column) -> Column:
+    """The texts of a block's fields, in the order of HTML_TEXTS; of specs all."""
+    return K.texts_of(block, [f".highlight-{n}" for n in HTML_TEXTS])
+
+
+def _html_fields(b: Column, texts: Column) -> dict[str, Column]:
+    """Fields of a block ``b`` with its ``html_texts``."""
+    field = lambda n: F.nullif(F.get(F.get(texts, F.lit(HTML_TEXTS.index(n))), F.lit(0)), F.lit(""))
+    specs = F.array_join(F.get(texts, F.lit(HTML_TEXTS.index("specs"))), " | ")
     return {
         "price": T.number(F.regexp_replace(field("price"), r"[^\d]", "")),
         "bedrooms": T.extract(specs, BEDS).try_cast("long"),
@@ -167,28 +232,31 @@ def _html_fields(b: Column) -> dict[str, Column]:
 
 def extract_html_blocks(df: DataFrame, html: str = "html") -> DataFrame:
     """One row for each multiLineDisplay block, its fields by class."""
-    rows = df.select("*", F.posexplode(html_parts(F.col(html))).alias("position", "block"))
-    return rows.withColumns(_html_fields(F.col("block")))
+    rows = df.select("*", F.posexplode(html_parts(F.col(html))).alias("position", "block")).withColumn("__x", html_texts(F.col("block")))
+    return rows.withColumns(_html_fields(F.col("block"), F.col("__x"))).drop("__x")
 
 
-FIELDS = ("price", "bedrooms", "bathrooms", "sqft", "mls_id", "listing_url", "address", "town", "state", "zip_code", "listing_status")
+FIELDS = ("price", "bedrooms", "bathrooms", "sqft", "mls_id", "listing_url", "address", "town", "state", "zip_code", "listing_status", "property_type", "list_date")
 
 
 def extract_listings(messages: DataFrame) -> DataFrame:
     """(message_id, position, fields, lot_acres, source_format) of all messages in one scan.
 
     Block markup comes first; where it yields no block, plain text that reads like a listing
-    does. The subject's status fills blank ones; a message without any record has one row of
-    format ``none``.
+    does, and takes missing URLs from the markup. The subject's status fills blank ones; a message
+    without any record has one row of format ``none``.
     """
     m = unwrap_forwarded(messages)
     marked = F.coalesce(F.col("html").rlike("highlight-price|multiLineDisplay"), F.lit(False))
-    m = m.select("message_id", "subject", "text", F.when(marked, html_parts(F.col("html"))).alias("__parts"))
+    m = m.select("message_id", "subject", "text", "html", F.when(marked, html_parts(F.col("html"))).alias("__parts"))
     m = m.withColumn("__html", F.coalesce(F.size("__parts") > 0, F.lit(False)))
     blocks = F.when(F.col("__html"), F.col("__parts")).when(is_listing_text(F.col("text")), listing_blocks(F.col("text")))
-    rows = m.select("message_id", "subject", "__html", F.posexplode_outer(blocks).alias("position", "block"))
-    rows = rows.withColumn("__b", F.when(~F.col("__html"), _untitled(F.col("block"))))
-    plain, html = _plain_fields(F.col("block"), F.col("__b")), _html_fields(F.col("block"))
+    m = m.withColumn("__blocks", blocks).withColumn("__urls", F.when(~F.col("__html"), _backfilled(F.col("__blocks"), F.col("html"))))
+    rows = m.select("message_id", "subject", "__html", "__urls", F.posexplode_outer("__blocks").alias("position", "block"))
+    rows = with_plain_parts(rows, F.when(~F.col("__html"), F.col("block"))).withColumn("__x", F.when(F.col("__html"), html_texts(F.col("block"))))
+    plain, html = _plain_fields(F.col("block")), _html_fields(F.col("block"), F.col("__x"))
+    plain["listing_url"] = F.coalesce(plain["listing_url"], F.get("__urls", F.col("position")))
+    html["list_date"] = F.lit(None).cast("string")
     rows = rows.withColumns({n: F.when(F.col("__html"), html[n]).otherwise(plain[n]) for n in FIELDS} | {"lot_acres": T.parse_lot_acres(F.col("block"))})
     found = F.col("position").isNotNull()
     status = F.when(found, F.coalesce(F.nullif("listing_status", F.lit("")), T.status_from_subject(F.col("subject"))))

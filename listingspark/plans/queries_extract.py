@@ -141,18 +141,64 @@ def _(v):
     return X.extract_listings(v("messages_v")).select("message_id", "position", "price", "bedrooms", "sqft", "mls_id", "address", "town", "zip_code", "source_format", "listing_status")
 
 
+#: Blocks whose fields lie in other lines than those of ``messages_v``: types, dates, lots, suites, URLs in markup.
+DETAILS = """, d as (select listing_id as k, message_id, listing_id % 97 + 1 as n, listing_id % 28 + 1 as day, listing_id % 5 as a, listing_id % 4 as b from messages_v)"""
+
+
+@query(
+    "b11_listing_details",
+    MV,
+    DETAILS
+    + """ select message_id, cast(0 as int) as position, 'plaintext' as source_format, 900000 + k as price, case a when 0 then concat(cast(n as varchar), ' Main Street, Suite 100') when 1 then concat(cast(n as varchar), ' Main Street, Suite B') else concat(cast(n as varchar), ' Main Street') end as address,
+      case when a = 3 then 'Rye' else 'White Plains' end as town, case when a = 3 then 'New York' else 'NY' end as state, case when a = 3 then '10580' else '10601' end as zip_code,
+      case b when 0 then 'Condo/Co-op' when 1 then 'Single Family Residential' when 2 then 'Multi-Family' end as property_type,
+      case when b <> 3 then concat('2025-01-', case when day < 10 then '0' else '' end, cast(day as varchar)) end as list_date, case b when 0 then 0.25 when 1 then round(10890 / 43560.0, 4) end as lot_acres,
+      case when a >= 2 and b = 2 then concat('https://www.redfin.com/NY/White-Plains/', cast(n as varchar), '-Main-Street-10601/home/', cast(k as varchar)) end as listing_url from d""",
+)
+def _(v):
+    k = F.col("listing_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    n, day, a, b = k % 97 + 1, k % 28 + 1, k % 5, k % 4
+    place = F.when(a == 0, text(n, " Main Street, Suite 100| White Plains, NY 10601")).when(a == 1, text(n, " Main Street, Suite B | White Plains, NY 10601"))
+    place = place.when(a == 3, text(n, " Main Street\nRye, New York 10580")).otherwise(text(n, " Main Street, White Plains, NY 10601"))
+    more = F.when(b == 0, text("Property Type: Condominium\nListed: 01/", day, "/2025\n0.25 acres lot")).when(b == 1, text("Colonial\nDate Listed: January ", day, ", 2025\n10,890 sq ft lot"))
+    more = more.when(b == 2, text("Type: Multi-Family\nActive since: Jan ", day, ", 2025")).otherwise("nothing more")
+    url = text('<a href="https://www.redfin.com/NY/White-Plains/', n, "-Main-Street-10601/home/", k, '">x</a><a href="https://www.redfin.com/NY/White-Plains/other-10601/home/1">y</a>')
+    rows = v("messages_v").select("message_id", "subject", F.when(b == 2, url).otherwise("").alias("html"), text("$", k + 900000, " 4 Beds 2 Baths\n", place, "\n", more).alias("text"))
+    return X.extract_listings(rows).select("message_id", "position", "source_format", "price", "address", "town", "state", "zip_code", "property_type", "list_date", "lot_acres", "listing_url")
+
+
 def _stats_page(v):
     i = F.col("page_id")
     line = F.concat(F.lit("<p>$"), (i % 9 + 1).cast("string"), F.lit("50,000 "), (i % 5 + 1).cast("string"), F.lit(" beds 2.5 baths 1,"), (i % 90 + 10).cast("string"), F.lit("3 sqft Built in "), (i % 90 + 1900).cast("string"), F.lit("</p>"))
     return v.table("pages").withColumn("html", F.concat(F.lit("<script>$9,999,999</script>"), line, F.coalesce("html", F.lit(""))))
 
 
-@query("b12_page_stats", None, "select page_id, (page_id % 9 + 1) * 100000 + 50000 - (page_id % 9 + 1) * 0 as page_price, page_id % 5 + 1 as page_bedrooms, 1000 + (page_id % 90 + 10) * 10 + 3 as page_sqft, page_id % 90 + 1900 as page_year from pages".replace("(page_id % 9 + 1) * 100000 + 50000 - (page_id % 9 + 1) * 0", "(page_id % 9 + 1) * 1000000 + 50000").replace("* 1000000 + 50000", "* 1000 * 1000 + 50000"))
+@query("b12_page_stats", None, "select page_id, cast(page_id % 9 + 1 as bigint) * 1000000 + 50000 as page_price, page_id % 5 + 1 as page_bedrooms, 1000 + (page_id % 90 + 10) * 10 + 3 as page_sqft, page_id % 90 + 1900 as page_year from pages")
 def _(v):
     rows = _stats_page(v).withColumn("html", F.regexp_replace("html", r"\$(\d)50,000", r"\$$1,050,000"))
     return X.extract_page_stats(rows).select("page_id", "page_price", "page_bedrooms", "page_sqft", "page_year")
 
 
+@query(
+    "b12_page_json",
+    None,
+    """select page_id, case page_id % 4 when 0 then 1950 when 1 then 1960 when 2 then 1931 end as page_year, case page_id % 4 when 0 then '2026-02-15' when 1 then '2026-01-20' end as page_list_date,
+      case page_id % 4 when 0 then 0.25 when 1 then 0.25 when 2 then 7.5 else cast(page_id % 9 + 1 as double) end as page_lot_acres from pages""",
+)
+def _(v):
+    """Statistics of scripts ahead of a page: the first that has a field counts, and one that is no JSON is read by pattern."""
+    scripts = [
+        '<script>{"a": </script><script>{"lotSize": {"@type": "Q", "value": 0.25}, "yearBuilt": 1950, "OnMarketDate": "2026-02-15T00:00:00"}</script><script>{"yearBuilt": 1960, "lotSize": "3 acres"}</script>',
+        '<script>{"lotSize": "10,890 sqft", "listDate": "2026-01-20", "YearBuilt": "1960"}</script>',
+        '<script>x = {"lotSize": {"value": 7.5}, "yearBuilt": "1931"};</script>',
+    ]
+    i = F.col("page_id")
+    ahead = F.element_at(F.array(*[F.lit(x) for x in scripts], F.lit("<p>1/4 acre</p>")), (i % 4 + 1).cast("int"))
+    html = F.concat(ahead, F.lit("<p>"), (i % 9 + 1).cast("string"), F.lit(" acres</p>"), F.coalesce("html", F.lit("")))
+    return X.extract_page_stats(v.table("pages").withColumn("html", html)).select("page_id", "page_year", "page_list_date", "page_lot_acres")
+
+
 @query("b13_reader_fields", None, "select page_id, case when page_id % 7 > 0 then (page_id % 7) * 100000 + 50000 end as reader_price, 2437 as reader_sqft, page_id % 5 + 1 as reader_bedrooms, 1900 + page_id % 100 as reader_year, 12345 as reader_tax from pages")
 def _(v):
     i = F.col("page_id")
