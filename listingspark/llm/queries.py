@@ -247,9 +247,58 @@ select page_id, payload_bytes, {_DIGITS} as payload_digest,
 from firsts
 """
 
+OP11_SQL = r"""
+with rows as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lines as (select doc_id, unnest(lines) as x, generate_subscripts(lines, 1) as p from rows),
+keyed as (
+  select doc_id, p, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines
+), shared as (
+  select k, max(doc_id) as keeper from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5
+), judged as (select doc_id, p, x, coalesce(keeper <> doc_id, false) as gone from keyed left join shared using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(x, chr(10) order by p) filter (not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+# crc32 by bits: the last two of a decimal id's checksum choose how many turns are shared
+OP12_SQL = r"""
+with recursive bits as (select i, i as c, 0 as step from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, step + 1 from bits where step < 8),
+entry as (select i, c from bits where step = 8),
+ids as (select distinct conv_id, cast(conv_id as varchar) as s from conversations where conv_id is not null),
+crc as (
+  select conv_id, s, cast(4294967295 as bigint) as c, 0 as n from ids
+  union all
+  select crc.conv_id, crc.s, xor(crc.c >> 8, entry.c), n + 1 from crc join entry on entry.i = xor(crc.c & 255, ascii(substr(crc.s, n + 1, 1))) where n < length(crc.s)
+), h as (select conv_id, conv_id - conv_id % 20 as first, xor(c, 4294967295) % 4 as h from crc where n = length(s)),
+numbered as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+), rebuilt as (
+  select h.conv_id, p, 0 as own, role, text from h join numbered n on n.conv_id = h.first and p <= h
+  union all select h.conv_id, p, 1, role, text from h join numbered n on n.conv_id = h.conv_id and p > h
+), turns as (select conv_id, row_number() over (partition by conv_id order by own, p) as d, concat(length(role), ':', role, text) as turn, text from rebuilt),
+paths as (
+  select conv_id, cast(0 as bigint) as d, '' as path, cast(0 as bigint) as w from h
+  union all
+  select paths.conv_id, turns.d, sha256(concat(paths.path, turns.turn)), len(regexp_extract_all(turns.text, '[^\x20\x09-\x0D]+')) from paths join turns on turns.conv_id = paths.conv_id and turns.d = paths.d + 1
+), lasts as (select conv_id, max(d) as last from paths group by 1),
+nodes as (
+  select d, path, min(paths.conv_id) as conv_id, count(*) as n_convs, max(w) as w, max(last) as longest,
+    coalesce(string_agg(cast(paths.conv_id as varchar), ',' order by paths.conv_id) filter (last = d), '') as ends
+  from paths join lasts on lasts.conv_id = paths.conv_id group by d, path
+), above as (
+  select n.d, n.path, p.d as up, p.path as up_path, n.w * (n.n_convs - 1) as cost, cast(n.longest = n.d as int) as leaf
+  from nodes n join paths p on p.conv_id = n.conv_id and p.d <= n.d
+), trees as (select up as d, up_path as path, sum(cost) as saved, sum(leaf) as leaves, count(*) filter (above.d = up + 1) as children from above group by 1, 2)
+select n.conv_id, n.d as depth, m.conv_id as parent_conv_id, n.n_convs, children as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join trees t on t.d = n.d and t.path = n.path
+  left join paths p on p.conv_id = n.conv_id and p.d = n.d - 1 left join nodes m on m.d = p.d and m.path = p.path
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_line_dedup": OP11_SQL,
+        "op12_conversation_trie": OP12_SQL,
         "op3_minhash_near_dedup": OP3_SQL,
         "op6_mix_sources": OP6_SQL,
         "op7_line_cleaning": OP7_SQL,
