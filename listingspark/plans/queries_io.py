@@ -60,6 +60,24 @@ def _(v):
     return M.read_listing_export_csv(v.spark, f"{folder}/export").select("address", "town", "price", "home_id")
 
 
+@query(
+    "a04_flatten_mime_tree",
+    MV,
+    "select message_id, case when listing_id % 3 = 0 then concat('last ', cast(listing_id as varchar)) else concat('<p>', cast(listing_id as varchar), '</p>') end as html, case when listing_id % 5 = 4 then '' when listing_id % 2 = 0 then concat('deep é ', cast(listing_id as varchar)) else concat('first ', cast(listing_id as varchar)) end as text from messages_v",
+)
+def _(v):
+    """Part trees of three levels, the chosen parts at different depths."""
+    k = F.col("listing_id")
+    said = lambda ahead, behind="": F.translate(F.base64(F.encode(F.concat(F.lit(ahead), k.cast("string"), F.lit(behind)), "utf-8")), "+/", "-_")
+    leaf = lambda mime, data: F.concat(F.lit(f'{{"mimeType": "{mime}", "body": {{"data": "'), data, F.lit('"}}'))
+    many = lambda mime, *parts: F.concat(F.lit(f'{{"mimeType": "multipart/{mime}", "parts": ['), F.concat_ws(", ", *parts), F.lit("]}"))
+    none = F.lit(None).cast("string")
+    related = many("related", leaf("text/html", said("<p>", "</p>")), F.when((k % 2 == 0) & (k % 5 != 4), leaf("text/plain", said("deep é "))).otherwise(none))
+    first = F.when(k % 5 != 4, leaf("text/plain", said("first "))).otherwise(none)
+    tree = many("mixed", first, many("alternative", related, leaf("text/html", F.lit(""))), F.when(k % 3 == 0, leaf("text/html", said("last "))).otherwise(none))
+    return M.flatten_mime_tree(v("messages_v").select("message_id", tree.alias("payload"))).select("message_id", "html", "text")
+
+
 @query("a07_read_price_index_csv", ["price_index_v"], "select zip, m3 as value from price_index_v where m3 is not null")
 def _(v):
     folder = shared_folder(v.spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,20 +47,60 @@ def select_messages(df: DataFrame, senders: list[str], as_of, max_age_days: int
     return out.join(processed.select("message_id").distinct(), "message_id", "left_anti") if processed is not None else out
 
 
+def decoded(data: Column) -> Column:
+    """Text of base64url data; bytes that are no UTF-8 become replacement characters."""
+    return F.make_valid_utf8(F.unbase64(F.translate(data, "-_", "+/")).cast("string"))
+
+
 def flatten_mime(df: DataFrame, parts: str = "parts") -> DataFrame:
-    """html and text of a message: its last non-empty part of either type, nested parts flattened.
+    """html and text of a message: its last non-empty part of either type, of a flat array of parts.
 
-    ``parts`` is an array of (mime, data) in base64url.
+    ``parts`` is an array of (mime, data) in base64url; ``flatten_mime_tree`` takes nested ones.
     """
-    decode = lambda d: F.decode(F.unbase64(F.translate(d, "-_", "+/")), "utf-8")
 
     def last(mime: str):
         found = F.filter(parts, lambda p: (p["mime"] == mime) & (F.length(p["data"]) > 0))
-        return F.coalesce(decode(F.try_element_at(found, F.lit(-1))["data"]), F.lit(""))
+        return F.coalesce(decoded(F.try_element_at(found, F.lit(-1))["data"]), F.lit(""))
 
     return df.withColumns({"html": last("text/html"), "text": last("text/plain")})
 
 
+def mime_parts(df: DataFrame, payload: str = "payload", key: str = "message_id") -> DataFrame:
+    """(key, path, mime, data): every part of the trees in ``payload``, of whatever depth, path its place in document order.
+
+    ``payload`` is JSON text {mimeType, body: {data}, parts: [...]}; what is no JSON has no
+    parts. A recursive query takes one level of all trees after the other; the session's limits on its rows and
+    levels are lifted, since trees end by themselves.
+    """
+    spark = df.sparkSession
+    for limit in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit"):
+        spark.conf.set(limit, "-1")
+    roots = df.select(F.col(key).alias("key"), F.try_parse_json(F.col(payload)).alias("part")).filter("part is not null")
+    found = spark.sql(
+        """with recursive tree(key, path, part) as (
+             select key, cast(array() as array<int>), part from {roots}
+             union all
+             select key, concat(path, array(place)), child from tree lateral view posexplode(try_variant_get(part, '$.parts', 'array<variant>')) p as place, child
+           )
+           select key, path, try_variant_get(part, '$.mimeType', 'string') as mime, try_variant_get(part, '$.body.data', 'string') as data from tree""",
+        roots=roots,
+    )
+    return found.withColumnRenamed("key", key)
+
+
+def flatten_mime_tree(df: DataFrame, payload: str = "payload", key: str = "message_id") -> DataFrame:
+    """``df`` with html and text: the last non-empty part of either type in document order, at any depth; empty where there is none.
+
+    ``key`` tells rows apart; a row without one, or without parts, has two empty texts.
+    """
+    parts = mime_parts(df.filter(F.col(key).isNotNull()), payload, key).filter("data <> ''")
+    last = lambda mime: F.max_by(F.when(F.col("mime") == mime, F.col("data")), F.when(F.col("mime") == mime, F.col("path")))
+    by_row = parts.groupBy(key).agg(last("text/html").alias("__html"), last("text/plain").alias("__text"))
+    out = df.drop("html", "text").join(by_row, key, "left")
+    given = {n: F.coalesce(decoded(F.col(f"__{n}")), F.lit("")) for n in ("html", "text")}
+    return out.withColumns(given).drop("__html", "__text")
+
+
 def read_listing_export_csv(spark: SparkSession, path: str) -> DataFrame:
     """A saved-search export by header name; rows without an address go."""
     df = spark.read.csv(path, header=True)
