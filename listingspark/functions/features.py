@@ -304,11 +304,35 @@ def with_description_features(df: DataFrame, description: str = "description", y
     )
 
 
+#: Letters of which a text holds one if it has the feature; looking for them is much less work than its pattern.
+TELLS = {
+    "has_solar": ("solar",), "has_geothermal": ("thermal",), "high_efficiency": ("effici", "energy", "systems"), "has_water_view": ("view", "water"),
+    "has_mountain_view": ("view", "mountain", "hills"), "has_city_view": ("view", "skyline"), "has_fenced_yard": ("fenc",),
+    "has_patio_deck": ("patio", "deck", "terrace", "porch", "pergola"), "has_mature_trees": ("tree", "landscap", "wooded"), "corner_lot": ("corner",),
+    "has_pool": ("pool",), "has_basement": ("basement", "lower", "downstairs", "below", "subterranean"), "year_built": ("built", "constructed", "erected"), "list_date": ("list", "market"),
+}
+
+
+def feature_bits(text: Column) -> Column:
+    """The features of TELLS that a lower-cased text has, as bits in that order; 0 for null."""
+    found = {n: text.rlike(p) for n, p in FLAGS.items()}
+    found |= {"has_pool": pool(text)["has_pool"], "has_basement": basement(text)["has_basement"], "year_built": year_built(text).isNotNull(), "list_date": list_date(text).isNotNull()}
+    bits = F.lit(0)
+    for k, (name, tells) in enumerate(TELLS.items()):
+        may = F.lit(False)
+        for x in tells:
+            may = may | text.contains(x)
+        bits = bits.bitwiseOR(F.when(F.coalesce(may & found[name], F.lit(False)), 1 << k).otherwise(0))
+    return bits
+
+
 def feature_prevalence(df: DataFrame, by: str, description: str = "description") -> DataFrame:
-    """(by, feature, share): the share of rows with each feature, in long form."""
-    d = F.col(description)
-    tests = {n: flag(d, n) for n in FLAGS}
-    tests |= {"has_pool": F.coalesce(pool(d)["has_pool"], F.lit(False)), "has_basement": F.coalesce(basement(d)["has_basement"], F.lit(False))}
-    tests |= {"year_built": year_built(d).isNotNull(), "list_date": list_date(d).isNotNull()}
-    wide = df.groupBy(by).agg(*[F.avg(c.cast("int")).alias(n) for n, c in tests.items()])
-    return wide.unpivot([by], list(tests), "feature", "share")
+    """(by, feature, share): the share of rows with each feature, in long form.
+
+    A text is lower-cased once and becomes one number of bits; its patterns are tried only
+    where its letters leave them possible.
+    """
+    rows = df.select(by, F.lower(description).alias("__text")).select(by, feature_bits(F.col("__text")).alias("__bits"))
+    share = lambda k: F.avg(F.shiftright("__bits", k).bitwiseAND(F.lit(1)))
+    wide = rows.groupBy(by).agg(*[share(k).alias(n) for k, n in enumerate(TELLS)])
+    return wide.unpivot([by], list(TELLS), "feature", "share")

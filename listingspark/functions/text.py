@@ -122,13 +122,12 @@ def is_market_state(c: Column) -> Column:
 
 
 def canonical_property_type(c: Column) -> Column:
+    """The name of a type by its whole text, else by the first in the table that begins it, else the text in title case."""
     s = F.lower(F.trim(c))
-    out = None
-    for exact in (True, False):
-        for key, name in PROPERTY_TYPES:
-            test = s == key if exact else s.startswith(key)
-            out = F.when(test, name) if out is None else out.when(test, name)
-    return F.when(~blank(F.trim(c)), out.otherwise(F.initcap(F.trim(c))))
+    table = F.array(*[F.struct(F.lit(key).alias("key"), F.lit(name).alias("name")) for key, name in PROPERTY_TYPES])
+    first = lambda test: F.get(F.filter(table, test), F.lit(0))["name"]
+    known = F.coalesce(first(lambda x: s == x["key"]), first(lambda x: F.startswith(s, x["key"])))
+    return F.when(~blank(F.trim(c)), F.coalesce(known, F.initcap(F.trim(c))))
 
 
 def parse_list_date_text(c: Column) -> Column:

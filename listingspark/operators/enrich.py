@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from listingspark.functions import geo as G
 from listingspark.functions import text as T
+from listingspark.functions.markup import let
 
 #: Stations up to which the joins by cell broadcast their table; a larger one is shuffled by cell.
 BROADCAST_STATIONS = 5_000
@@ -104,24 +105,95 @@ def within_radius(df: DataFrame, features: DataFrame, radius_m: float = 300.0, k
     return df.select(key).join(out, key, "left").withColumns({"found": F.col("n_features").isNotNull(), "n_features": F.coalesce("n_features", F.lit(0).cast("long"))})
 
 
+def _inside(ring: Column, y: Column, x: Column) -> Column:
+    """Whether a ray from the point crosses the ring's sides an odd number of times."""
+    shifted = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1))
+    crosses = lambda a, b: ((a["lat"] > y) != (b["lat"] > y)) & (
+        x < (b["lng"] - a["lng"]) * (y - a["lat"]) / F.when(b["lat"] != a["lat"], b["lat"] - a["lat"]) + a["lng"]
+    )
+    return F.aggregate(F.zip_with(ring, shifted, crosses), F.lit(0), lambda acc, c: acc + F.coalesce(c, F.lit(False)).cast("int")) % 2 == 1
+
+
+#: A polygon's span is cut in 2 to this power, and cells that a side meets once more.
+COVER_CUTS = 3
+#: Corners of all polygons together up to which their rings are broadcast.
+BROADCAST_CORNERS = 200_000
+
+
+def _levels(size: float) -> tuple[Column, Column]:
+    """The levels of a ring's coarse and fine cells; cells have ``size`` degrees at level 0 and double from level to level."""
+    ys, xs = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lng"])
+    wide = F.greatest(F.array_max(ys) - F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.lit(size))
+    top = F.ceil(F.log2(wide / size)).cast("int")
+    return F.greatest(top - COVER_CUTS, F.lit(0)), F.greatest(top - 2 * COVER_CUTS, F.lit(0))
+
+
+def _coarser(cell: Column, level: Column) -> Column:
+    """The cell of a level that holds a cell of level 0."""
+    return F.call_function("shiftright", cell, level)
+
+
+def zone_cover(zones: DataFrame, size: float = 0.01) -> DataFrame:
+    """(zone_id, level, cy, cx, border): the cells that cover each polygon (zone_id, ring).
+
+    A polygon's span has some nine by nine coarse cells, whatever its size. Those that no side
+    meets are wholly inside, or are left out; the others are cut into eight by eight fine ones,
+    likewise told apart, with only the sides that the coarse cell meets. So there are some
+    thousand cells a polygon at most, of which border cells follow its sides.
+    """
+    coarse, fine = _levels(size)
+    after = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1))
+    sides = F.zip_with("ring", after, lambda a, b: F.struct(a["lat"].alias("ay"), a["lng"].alias("ax"), b["lat"].alias("by"), b["lng"].alias("bx")))
+    shaped = zones.filter(F.size("ring") > 2).select("zone_id", "ring", coarse.alias("level"), fine.alias("fine"), sides.alias("sides"))
+
+    def span(c: str) -> Column:
+        ends = [_coarser(G.cell(f(F.transform("ring", lambda p: p[c])), size), F.col("level")) for f in (F.array_min, F.array_max)]
+        return F.explode(F.sequence(*ends))
+
+    def met(df: DataFrame) -> DataFrame:
+        """Keeps the sides that touch a row's cell, or come within a rounding error of it."""
+        w = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+        ends = {f"__{c}{k}": (F.col(c) + k) * w + (2e-9 * k - 1e-9) for c in ("cy", "cx") for k in (0, 1)}
+        y0, y1, x0, x1 = (F.col(c) for c in ends)
+
+        def touches(s: Column) -> Column:
+            box = (F.greatest(s["ay"], s["by"]) >= y0) & (F.least(s["ay"], s["by"]) <= y1) & (F.greatest(s["ax"], s["bx"]) >= x0) & (F.least(s["ax"], s["bx"]) <= x1)
+            corners = F.array(*[(s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"]) for y in (y0, y1) for x in (x0, x1)])
+            return box & let(corners, lambda c: (F.array_min(c) <= 0) & (F.array_max(c) >= 0))
+
+        return df.withColumns(ends).withColumn("sides", F.filter("sides", touches)).drop(*ends)
+
+    first = met(shaped.withColumn("cy", span("lat")).withColumn("cx", span("lng")))
+    cut = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("level") - F.col("fine")) - 1)
+    deeper = lambda c, k: F.call_function("shiftleft", F.col(c), F.col("level") - F.col("fine")) + F.col(k)
+    small = first.filter(F.size("sides") > 0).withColumn("y", F.explode(cut)).withColumn("x", F.explode(cut))
+    small = met(small.withColumns({"cy": deeper("cy", "y"), "cx": deeper("cx", "x"), "level": F.col("fine")}).drop("y", "x"))
+    cells = first.filter(F.size("sides") == 0).unionByName(small)
+    middle = lambda c: (F.col(c) + 0.5) * size * F.pow(F.lit(2.0), F.col("level"))
+    border = F.size("sides") > 0
+    return cells.filter(border | _inside(F.col("ring"), middle("cy"), middle("cx"))).select("zone_id", "level", "cy", "cx", border.alias("border"))
+
+
 def zone_lookup(df: DataFrame, zones: DataFrame, key: str = "listing_id", size: float = 0.01) -> DataFrame:
     """(key, zone_id, zone, sfha): the zone polygon that holds the point, the smallest id of several.
 
-    Polygons (zone_id, zone, ring: array of lat, lng) are listed by the cells that their
-    bounding box covers; a ray from the point tells inside from outside.
+    Polygons (zone_id, zone, ring: array of lat, lng), one row a zone, are met by the cells of
+    ``zone_cover``, a point's own at every level: a cell wholly inside answers by itself, and
+    only points in border cells are tested by a ray.
     """
-    ys, xs = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lng"])
-    boxed = zones.withColumn("cy", F.explode(F.sequence(G.cell(F.array_min(ys), size), G.cell(F.array_max(ys), size))))
-    boxed = boxed.withColumn("cx", F.explode(F.sequence(G.cell(F.array_min(xs), size), G.cell(F.array_max(xs), size))))
-    points = df.filter("lat is not null and lng is not null").select(key, "lat", "lng", G.cell(F.col("lat"), size).alias("cy"), G.cell(F.col("lng"), size).alias("cx"))
-    shifted = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1))
-    crosses = lambda a, b: ((a["lat"] > F.col("lat")) != (b["lat"] > F.col("lat"))) & (
-        F.col("lng") < (b["lng"] - a["lng"]) * (F.col("lat") - a["lat"]) / F.when(b["lat"] != a["lat"], b["lat"] - a["lat"]) + a["lng"]
-    )
-    sides = F.aggregate(F.zip_with("ring", shifted, crosses), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(False)).cast("int"))
-    inside = points.join(boxed, ["cy", "cx"]).filter(sides % 2 == 1)
-    best = inside.groupBy(key).agg(F.min(F.struct("zone_id", "zone")).alias("z"))
-    return df.select(key).join(best.select(key, "z.zone_id", "z.zone"), key, "left").withColumn("sfha", F.upper("zone").rlike("^[AV]"))
+    coarse, fine = _levels(size)
+    facts = zones.filter(F.size("ring") > 2).agg(F.min(fine).alias("lo"), F.max(coarse).alias("hi"), F.sum(F.size("ring")).alias("corners")).head()
+    points = df.filter("lat is not null and lng is not null").select(key, "lat", "lng")
+    levels = F.explode(F.sequence(F.lit(facts.lo or 0), F.lit(facts.hi or 0))).alias("level")
+    own = points.select(key, "lat", "lng", levels).withColumns({c: _coarser(G.cell(F.col(x), size), F.col("level")) for c, x in (("cy", "lat"), ("cx", "lng"))})
+    met = own.join(zone_cover(zones, size), ["level", "cy", "cx"])
+    rings = zones.select("zone_id", "ring")
+    rings = F.broadcast(rings) if (facts.corners or 0) <= BROADCAST_CORNERS else rings
+    tested = met.filter("border").join(rings, "zone_id").filter(_inside(F.col("ring"), F.col("lat"), F.col("lng")))
+    inside = met.filter("not border").select(key, "zone_id").union(tested.select(key, "zone_id"))
+    best = inside.groupBy(key).agg(F.min("zone_id").alias("zone_id"))
+    named = few(zones.select("zone_id", "zone"))
+    return df.select(key).join(best, key, "left").join(named, "zone_id", "left").select(key, "zone_id", "zone").withColumn("sfha", F.upper("zone").rlike("^[AV]"))
 
 
 # States without parcels here, and street names written as one word or two.
@@ -453,16 +525,16 @@ def place_answers(base: DataFrame, wanted: list[Lookup]) -> DataFrame:
     return found.groupBy("__place").agg(*[F.first(f"__{x.name}", ignorenulls=True).alias(f"__{x.name}") for x in wanted])
 
 
-def _fill(base: DataFrame, lookup: Lookup) -> DataFrame:
-    """``base`` with the struct __<name> put in where it was asked for, and the marker where it is null."""
-    columns, found = base.columns, F.col(f"__{lookup.name}")
-    marker = f"{lookup.name}_checked"
+def _fills(lookup: Lookup, columns: list[str], kinds: dict) -> dict[str, Column]:
+    """The columns that a lookup fills from the struct __<name> where it was asked, and its marker where that is null.
+
+    ``columns`` are those of the table as it came, ``kinds`` the types of the struct's fields.
+    """
+    found, marker = F.col(f"__{lookup.name}"), f"{lookup.name}_checked"
     ask = F.coalesce(lookup.asked(columns), F.lit(False))
     old = lambda c, kind: F.col(c) if c in columns else F.lit(None).cast(kind)
-    kinds = {f.name: f.dataType for f in base.schema[f"__{lookup.name}"].dataType.fields}
     given = {c: F.when(ask & found.isNotNull(), found[c]).otherwise(old(c, kinds[c])) for c in lookup.fills}
-    marked = (ask & found.isNull()) | F.coalesce(old(marker, "boolean"), F.lit(False))
-    return base.withColumns(given | {marker: marked}).drop(f"__{lookup.name}")
+    return given | {marker: (ask & found.isNull()) | F.coalesce(old(marker, "boolean"), F.lit(False))}
 
 
 def _read_description(df: DataFrame) -> dict[str, Column]:
@@ -502,12 +574,15 @@ def enrich_all(df: DataFrame, refs: References) -> DataFrame:
     rides = ride.find(base.filter(ride.asked(base.columns)).select("listing_id", "town", "lat", "lng").dropDuplicates(["listing_id"]))
     rides = rides.select("listing_id", F.when(F.col("minutes").isNotNull(), F.struct(F.col("minutes").alias("commute_minutes"))).alias("__commute"), F.col("rejected").alias("__rejected"))
     index = few(refs.index.groupBy(F.col("zip").alias("__zip")).agg(F.min("value").alias("__value")))
-    out = base.drop("ppsf", "benchmark", "ratio", "signal").withColumn("__place", _place_key()).join(answers, "__place", "left").drop("__place").join(rides, "listing_id", "left")
-    asked = F.coalesce(ride.asked(base.columns), F.lit(False))
+    columns = base.columns
+    out = base.drop("ppsf", "benchmark", "ratio", "signal").withColumn("__place", _place_key()).join(answers, "__place", "left").join(rides, "listing_id", "left")
+    asked = F.coalesce(ride.asked(columns), F.lit(False))
     old = F.col("commute_rejected") if "commute_rejected" in df.columns else F.lit(None).cast("string")
-    out = out.withColumn("commute_rejected", F.when(asked, F.col("__rejected")).otherwise(old)).drop("__rejected")
+    filled = {"commute_rejected": F.when(asked, F.col("__rejected")).otherwise(old)}
+    told = {f.name: f.dataType for schema in (answers.schema, rides.schema) for f in schema.fields}
     for lookup in [*wanted, ride]:
-        out = _fill(out, lookup)
+        filled |= _fills(lookup, columns, {f.name: f.dataType for f in told[f"__{lookup.name}"].fields})
+    out = out.withColumns(filled)
     out = out.join(index, F.col("zip_code") == F.col("__zip"), "left")
     signal = price_signal(F.col("price"), F.col("sqft"), F.col("__value"))
     out = out.withColumn("lot_acres", F.coalesce("lot_acres", T.parse_lot_acres(F.col("description")))).withColumn("__signal", signal)

@@ -160,3 +160,15 @@ def _(v):
 
     events = v("score_events_v").withColumn("ts", F.col("ts").cast("timestamp"))
     return drained_late(events, "listing_id", -1, lambda s: alert_latch_late_stream(s, "30 days")).drop("ts")
+
+
+@query(
+    "h09_digest_history",
+    ["listings_v", "scores_v"],
+    """, l as (select l.listing_id, coalesce(s.score, 0) as score, coalesce(s.verdict in ('Worth Touring', 'Strong Match'), false) as good, time_bucket(interval '7' day, cast(created_at as timestamp), timestamp '1970-01-01 00:00:00') as start from listings_v l join scores_v s using (listing_id)),
+    r as (select *, row_number() over (partition by start order by score desc, listing_id) as q from l where good)
+    select start, start + interval '7' day as "end", count(*) as n, count(*) filter (good) as n_good, coalesce((select string_agg(cast(r.listing_id as varchar), ',' order by q) from r where r.start = l.start and q <= 5), '') as top from l group by start""",
+)
+def _(v):
+    rows = v("listings_v").drop("score").join(v("scores_v").select("listing_id", "score", "verdict"), "listing_id")
+    return A.digest_history(rows).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

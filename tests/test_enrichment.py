@@ -56,7 +56,7 @@ def test_lookups_see_only_distinct_places_that_are_not_marked(spark):
     probe = E.Lookup("probe", ("town",), ("value",), ("value",), find)
     answers = E.place_answers(df, [probe])
     assert seen == [("1 A St", "Rye")]
-    out = E._fill(df.withColumn("__place", E._place_key()).join(answers, "__place", "left"), probe)
+    out = df.withColumn("__place", E._place_key()).join(answers, "__place", "left").withColumns(E._fills(probe, df.columns, {"value": "int"}))
     assert {r.listing_id: (r.value, r.probe_checked) for r in out.collect()} == {1: (None, True), 2: (None, True), 3: (None, True), 4: (None, False), 5: (9, False)}
 
 
@@ -132,3 +132,27 @@ def test_two_responses_to_a_request_are_one_score(spark):
     valid, retry = C.apply_scores(requests, responses)
     assert [r.listing_id for r in valid.collect()] == [1]
     assert retry.count() == retry.distinct().count()
+
+
+def in_ring(ring, y, x):
+    odd = False
+    for (ay, ax), (by, bx) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
+
+
+def test_zones_of_any_size_have_few_cells_and_the_same_answers(spark):
+    rng = random.Random(8)
+    star = lambda y, x, r, n: [(y + r * rng.uniform(0.4, 1) * math.sin(2 * math.pi * k / n), x + r * rng.uniform(0.4, 1) * math.cos(2 * math.pi * k / n)) for k in range(n)]
+    zones = {1: star(43, -75, 3, 60), 2: star(43, -75, 0.004, 5), 3: [(40, -80), (40, -70), (45, -70), (45, -80)], 4: star(-30, 10, 0.3, 9), 5: [(1.0, 1.0), (2.0, 2.0)], 6: star(0, 0, 20, 12)}
+    points = [(rng.uniform(38, 47), rng.uniform(-81, -69)) for _ in range(300)] + [(43 + rng.uniform(-1, 1) * 0.005, -75 + rng.uniform(-1, 1) * 0.005) for _ in range(60)]
+    points += [(-30 + rng.uniform(-1, 1) * 0.3, 10 + rng.uniform(-1, 1) * 0.3) for _ in range(60)] + [(rng.uniform(-20, 20), rng.uniform(-20, 20)) for _ in range(100)] + [(40.0, -75.0), (45.0, -75.0), (42.0, -80.0), (42.0, -70.0)]
+    z = spark.createDataFrame([(i, "AE" if i % 2 else "X", [{"lat": float(a), "lng": float(b)} for a, b in r]) for i, r in zones.items()] + [(7, "X", None)], "zone_id long, zone string, ring array<struct<lat:double,lng:double>>")
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)] + [(9000, None, 1.0)], "listing_id long, lat double, lng double")
+    got = {r.listing_id: r.zone_id for r in E.zone_lookup(df, z).collect()}
+    assert got == {k: min((i for i, r in zones.items() if in_ring(r, *p)), default=None) for k, p in enumerate(points)} | {9000: None}
+    assert len(set(got.values())) == 5
+    cells = {r.zone_id: (r["n"], r.free) for r in E.zone_cover(z).groupBy("zone_id").agg(F.count("*").alias("n"), F.count_if(~F.col("border")).alias("free")).collect()}
+    assert all(n < 4000 for n, _ in cells.values())
+    assert all(cells[i][1] > 0 for i in (1, 3, 4, 6))

@@ -209,3 +209,42 @@ def test_payload_holds_what_is_known(spark):
     assert got["price"] == 900000 and got["price_per_sqft"] == {"ppsf": 450.0, "signal": "at_market"}
     assert got["commute"] == {"commute_minutes": 45} and "flood" not in got and "pool" not in got
     assert got["evidence"] == {"images": ["a.jpg"], "description": "Two-car attached garage."}
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("$1,200,000 4 Beds 2.5 Baths 3,034 sqft\n12 Main Street, Suite 100| White Plains, NY 10601", {"address": "12 Main Street, Suite 100", "town": "White Plains", "state": "NY", "zip_code": "10601"}),
+        ("$1,200,000 4 Beds\n31 Lalli Dr, Katonah, NY 10536\nStyle: Colonial\nListed: 01/15/2025\n0.25 acres lot", {"address": "31 Lalli Dr", "property_type": "Single Family Residential", "list_date": "2025-01-15", "lot_acres": 0.25}),
+        ("$750,000 MLS #112233\nProperty Type: Condominium\nActive since: Feb 3, 2025", {"property_type": "Condo/Co-op", "list_date": "2025-02-03", "mls_id": "112233"}),
+        ("$850,000 MLS #445566\nType: Townhouse\nDate Listed: January 15, 2025", {"property_type": "Townhouse", "list_date": "2025-01-15"}),
+        ("$1,100,000 MLS #778899\nSingle Family\nListed on 2025-03-10\n10,890 sq ft lot", {"property_type": "Single Family Residential", "list_date": "2025-03-10", "lot_acres": 0.25}),
+        ("$900,000 MLS #1\nnear 10510", {"property_type": None, "list_date": None, "zip_code": "10510", "town": None}),
+    ],
+)
+def test_plain_alerts(spark, body, want):
+    from listingspark.operators.extract import extract_listings
+
+    row = extract_listings(spark.createDataFrame([("m", "s", "", body)], "message_id string, subject string, html string, text string")).head()
+    assert {k: row[k] for k in want} == want
+
+
+def test_urls_of_the_markup_serve_once_and_in_order(spark):
+    from listingspark.operators.extract import extract_listings
+
+    text = "$900,000 MLS #1\n5 Oak St, Rye, NY 10580\n\n$910,000 MLS #2\n5 Oak St, Rye, NY 10580\n\n$920,000 MLS #3\n6 Elm Ave., Rye, NY 10580"
+    html = "".join(f'<a href="https://www.redfin.com/NY/Rye/{s}/home/{i}">x</a>' for i, s in enumerate(["5-Oak-St-10580", "5-Oak-St-10580", "6-Elm-Ave-10580", "5-Oak-St-10580"]))
+    rows = extract_listings(spark.createDataFrame([("m", "s", html, text)], "message_id string, subject string, html string, text string")).orderBy("position").collect()
+    assert [r.listing_url.rsplit("/", 1)[1] for r in rows] == ["0", "1", "2"]
+
+
+def test_feature_bits_equal_the_patterns(spark):
+    from listingspark.functions import features as X
+
+    words = "Solar panels|geo-thermal|high efficiency|energy star|upgraded systems|water view|hill view|skyline|fenced lot|private fence|screened porch|mature landscaping|wooded lot|corner property|pool table|above ground pool|walk-out lower|downstairs suite|slab foundation|no basement|finished basement|Built in 1950|1960 year built|listed on 2026-01-05|on market since March 3, 2025|nothing"
+    df = spark.createDataFrame([(f"{a}. {b}",) for a in words.split("|") for b in words.split("|")] + [(None,), ("",)], "d string")
+    d = F.col("d")
+    plain = {n: X.flag(d, n) for n in X.FLAGS} | {"has_pool": X.pool(d)["has_pool"], "has_basement": X.basement(d)["has_basement"], "year_built": X.year_built(d).isNotNull(), "list_date": X.list_date(d).isNotNull()}
+    rows = df.select(X.feature_bits(F.lower("d")).alias("bits"), *[F.coalesce(plain[n], F.lit(False)).alias(n) for n in X.TELLS]).collect()
+    for r in rows:
+        assert [bool(r.bits >> k & 1) for k in range(len(X.TELLS))] == [r[n] for n in X.TELLS]
