@@ -1,7 +1,7 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification, union-find.
 
-Every document becomes the set of its word shingles. Documents with equal sets are one
-representative from the start. Representatives get a SuperMinHash signature, whose
+Every document becomes the set of its word shingles. Documents with equal sets, told by a
+128-bit cryptographic digest of the whole set, are one representative from the start. Representatives get a SuperMinHash signature, whose
 registers use one permutation rank per element, are split into bands, and meet in the
 buckets of equal bands. Links are confirmed on full sets and closed to components.
 
@@ -12,16 +12,18 @@ a group of copies in work linear in its size. When rounds join next to nothing m
 pairs of one bucket that still lie in different components are tried in full, so that no
 link that banding finds is lost. Those pairs are not listed by bucket either, where copies
 that differ a little too much would meet in their square: two sets can only link if they
-share one of their rarest elements, so they meet by those.
+share one of their rarest elements, so they meet by those, and only where size and position
+of the shared element leave room for a link.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingspark.llm import texthash as H
@@ -31,6 +33,8 @@ from listingspark.llm.components import connected_components
 U = np.uint64
 #: Rounds of single trials at most; what they leave is tried in full.
 ROUNDS = 12
+#: Rows of one rare element that one task takes on the side that is split.
+SPLIT = 4096
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, sets: int, m: int) -> np.ndarray:
@@ -78,9 +82,6 @@ def _sketcher(k: int, bands: int, width: int):
                 flat = np.concatenate(found) if found else np.zeros(0, U)
                 owner = np.repeat(np.arange(len(found)), sizes)
                 sig = superminhash(flat, owner, len(found), m)
-                edge = np.concatenate([[0], np.cumsum(sizes)])
-                one, two = (np.concatenate([np.zeros(1, U), np.cumsum(H.mix(flat ^ U(s)))]) for s in (0x51ED27, 0xA3B195))
-                f1, f2 = one[edge[1:]] - one[edge[:-1]], two[edge[1:]] - two[edge[:-1]]
                 keys = np.stack(
                     [
                         H.mix(H.fold([sig[:, b * width + i] for i in range(width)]) + U((b + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
@@ -97,12 +98,11 @@ def _sketcher(k: int, bands: int, width: int):
                     [
                         batch.column("id"),
                         pa.array(sizes),
-                        pa.array(f1.view(np.int64)),
-                        pa.array(f2.view(np.int64)),
+                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], pa.binary()),
                         lists,
                         pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["id", "n", "f1", "f2", "bands", "sig"],
+                    ["id", "n", "digest", "bands", "sig"],
                 )
 
     return run
@@ -158,6 +158,48 @@ def _alike(least: int):
     return run
 
 
+def meetings(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), possibly repeated: sets of different components that share an element where a link is still possible.
+
+    ``prefix`` has a row (id, n, c, i, e) for an element ``e`` at position ``i`` (from 0) of
+    the n elements of a set in component c. A row has room for partners of up to ``most``
+    elements: with more, those from position i on are too few for a link. So the smaller
+    set of a pair brings only rows with room for its own size, which copies just under the
+    similarity have none of, and meets larger sets by blocks of size up to ``most``. The
+    largest component of an element meets the others, never itself; an element of one component is left out.
+    Rows of a frequent element are dealt out by SPLIT, so that no task takes it whole.
+    """
+    sizes = prefix.groupBy("e", "c").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy("e").agg(F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("rows", "c")).alias("hub"))
+    sizes = sizes.filter("parts > 1").select("e", F.col("hub.c").alias("hub"), F.ceil(F.col("rows") / SPLIT).cast("int").alias("shares"))
+    block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
+    rows = prefix.withColumn("most", F.expr(f"(n - i) * {num + den} div {num} - n")).join(sizes, "e")
+    hub = F.col("c") == F.col("hub")
+
+    def side(df: DataFrame, kinds: Column, blocks: Column, shares: Column, name: str) -> DataFrame:
+        df = df.withColumn("kind", F.explode(kinds)).withColumn("block", F.explode(blocks)).withColumn("share", F.explode(shares))
+        return df.select("e", "kind", "block", "share", *[F.col(c).alias(f"{c}_{name}") for c in ("id", "n", "c", "most")])
+
+    # kinds of meeting: 1 the hub with a larger set, 2 with a smaller one, 3 none of the hub
+    small = side(
+        rows.filter("most >= n"),
+        F.when(hub, F.array(F.lit(1))).otherwise(F.array(F.lit(2), F.lit(3))),
+        F.sequence(block(F.col("n")), block(F.col("most"))),
+        F.sequence(F.lit(0), F.col("shares") - 1),
+        "a",
+    )
+    large = side(
+        rows,
+        F.when(hub, F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(3))),
+        F.array(block(F.col("n"))),
+        F.array(F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")),
+        "b",
+    )
+    met = small.join(large, ["e", "kind", "block", "share"]).filter("n_a < n_b or (n_a = n_b and id_a < id_b)")
+    met = met.filter("n_b <= most_a and n_a <= most_b and c_a <> c_b")
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -185,15 +227,15 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.table(
         texts.mapInArrow(
-            _sketcher(shingle, bands, width), "id long, n long, f1 long, f2 long, bands array<long>, sig binary"
+            _sketcher(shingle, bands, width), "id long, n long, digest binary, bands array<long>, sig binary"
         ),
         "sketch",
     )
     real = sketch.filter("n > 0 and id is not null")
     # equal sets: one representative, found with map-side combining
-    reps = scratch.table(real.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "reps")
+    reps = scratch.table(real.groupBy("n", "digest").agg(F.min("id").alias("rep")), "reps")
     leading = scratch.table(
-        real.join(reps.withColumnRenamed("rep", "id"), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "bands", "sig"),
+        real.join(reps.withColumnRenamed("rep", "id"), ["n", "digest", "id"], "left_semi").select("id", "n", "bands", "sig"),
         "leading",
     )
     placed = leading.select("id", F.explode("bands").alias("key"))
@@ -257,12 +299,7 @@ def near_duplicates(
     first_ones = F.expr(f"slice(xs, 1, cast(size(xs) - ({num} * size(xs) + {den - 1}) div {den} + 1 as int))")
     prefix = lists.select("id", F.size("xs").alias("n"), F.posexplode(first_ones).alias("i", "x")).filter("x.df > 1")
     prefix = scratch.table(prefix.join(open_ids, "id").select("id", "n", "c", "i", F.col("x.e").alias("e")), "prefix")
-    left = prefix.select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("i").alias("ia"))
-    right = prefix.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"))
-    # and of the pair's own need, ceil(p (na + nb) / (1 + p)) common elements, none may be out of reach
-    need = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
-    pairs = left.join(right, "e").filter(f"a < b and ca <> cb and ia <= na - {need} and ib <= nb - {need}")
-    pairs = scratch.table(pairs.select("a", "b").distinct(), "pairs")
+    pairs = scratch.table(meetings(prefix, num, den).distinct(), "pairs")
     # of those, the ones that share a bucket
     signs = leading.select("id", "bands", "sig")
     tried = pairs.join(signs.select(F.col("id").alias("a"), F.col("bands").alias("ka"), F.col("sig").alias("x")), "a").join(
@@ -282,10 +319,10 @@ def near_duplicates(
 
     # representatives that took part in a link, then every row by its set
     joined = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    groups = scratch.table(joined.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "groups")
-    linked = sketch.select("id", "n", "f1", "f2", F.when((F.col("n") > 0) & F.col("id").isNotNull(), True).alias("real"))
-    groups = groups.select("n", "f1", "f2", "component", F.lit(True).alias("real"))
-    out = linked.join(groups, ["n", "f1", "f2", "real"], "left")
+    groups = scratch.table(joined.select("n", "digest", F.coalesce("component", "rep").alias("component")), "groups")
+    linked = sketch.select("id", "n", "digest", F.when((F.col("n") > 0) & F.col("id").isNotNull(), True).alias("real"))
+    groups = groups.select("n", "digest", "component", F.lit(True).alias("real"))
+    out = linked.join(groups, ["n", "digest", "real"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col),
