@@ -22,3 +22,16 @@ def cell(degrees: Column, size: float = CELL) -> Column:
 
 def neighbours(c: Column, reach: int = 1) -> Column:
     return F.sequence(c - reach, c + reach)
+
+
+def on_sphere(lat: Column, lng: Column) -> tuple[Column, Column, Column]:
+    """The point on the unit sphere as x, y, z; nearer on the globe is nearer in space."""
+    y, x = F.radians(lat), F.radians(lng)
+    return F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
+
+
+def cube(x: str, y: str, z: str, level: int) -> Column:
+    """Number of the cube that holds a point on the unit sphere, of 4^level to a side (level 10 at most)."""
+    side = 4**level
+    at = lambda c: F.greatest(F.lit(0), F.least(F.floor((F.col(c) + 1) * (side / 2)), F.lit(side - 1))).cast("long")
+    return (at(x) * side + at(y)) * side + at(z)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from listingspark.functions import geo as G
 from listingspark.functions import text as T
 from listingspark.functions.markup import let
 
-#: Stations up to which the joins by cell broadcast their table; a larger one is shuffled by cell.
+#: Cells or stations up to which joins by cell broadcast their table; a larger one is shuffled by cell.
 BROADCAST_STATIONS = 5_000
 
 
@@ -22,47 +21,67 @@ def few(table: DataFrame, most: int = BROADCAST_STATIONS) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def nearest_station(df: DataFrame, stations: DataFrame, cell_degrees: float | None = None) -> DataFrame:
+#: Stations that the fullest cell of the last level should hold at most, and levels at most; the last cells are 12 m wide.
+LEAF_STATIONS, MOST_LEVELS = 16, 10
+#: Cells at most that every place looks at in the first level taken; levels above it are passed over.
+FIRST_CELLS = 16
+#: Shares into which the places of a cell are dealt where cells are too many to broadcast.
+SHARES = 64
+
+
+def nearest_station(df: DataFrame, stations: DataFrame) -> DataFrame:
     """Adds station, station_m and walk_min: the nearest station, the first in the table on ties.
 
-    Both joins are equi joins by grid cell, whatever the size of either table. Cells double from
-    level to level until they span the globe. Each distinct place first meets one station of
-    its own cell at every level; the nearest of those bounds the distance. Then it meets all
-    stations of its own and the neighbouring cells at the first level whose cells reach as far
-    as the bound, so that the nearest is among them. The first cells hold about two stations
-    each (``cell_degrees`` sets another width). Rows without a place get nulls.
+    Places and stations are points on the unit sphere in space, where neither poles nor the
+    date line differ from other places. Cubes, a quarter as wide from level to level, hold the
+    stations. Each distinct place goes down from the whole sphere: of the cubes below those it
+    has kept, it keeps those whose box of stations is no farther than the nearest of one
+    station of each. So a place meets few stations, however remote it is and however unevenly
+    stations lie. Cells are broadcast up to BROADCAST_STATIONS of a level; more are met by
+    equi joins in shares, so that no cell makes a hot task. Rows without a place, or with one
+    that is no number, get nulls, and so do all rows where there are no stations.
     """
-    table = stations.select(F.col("idx").cast("long").alias("i"), "name", F.col("lat").alias("slat"), F.col("lng").alias("slng")).filter("slat is not null and slng is not null")
-    if cell_degrees is None:
-        box = table.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("slat", "slng") for k, f in (("lo", F.min), ("hi", F.max))]).head()
-        area = (box.hi_slat - box.lo_slat) * (box.hi_slng - box.lo_slng) if box.n else 0.0
-        cell_degrees = min(2.0, max(0.01, (2 * area / max(1, box.n)) ** 0.5))
-    top = math.ceil(math.log2(360 / cell_degrees))
-    width = lambda level: cell_degrees * F.pow(F.lit(2.0), level)
-    few = stations.limit(BROADCAST_STATIONS + 1).count() <= BROADCAST_STATIONS
-    own = lambda d, y, x: d.withColumns({"cy": G.cell(F.col(y), width(F.col("level"))), "cx": G.cell(F.col(x), width(F.col("level")))})
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
-    placed = own(table.select("*", levels), "slat", "slng")
-    one = placed.groupBy("level", "cy", "cx").agg(F.first("slat").alias("slat"), F.first("slng").alias("slng"))
-    placed, one = (F.broadcast(placed), F.broadcast(one)) if few else (placed, one)
-    away = G.haversine_m(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
+    known = lambda y, x: F.col(y).isNotNull() & F.col(x).isNotNull() & ~F.isnan(F.col(y).cast("double")) & ~F.isnan(F.col(x).cast("double"))
+    table = stations.filter(known("lat", "lng")).groupBy(F.col("lat").alias("slat"), F.col("lng").alias("slng"))
+    table = table.agg(F.min(F.struct(F.col("idx").cast("long").alias("i"), "name")).alias("first")).select("slat", "slng", "first.i", "first.name")
+    table = table.withColumns(dict(zip(("sx", "sy", "sz"), G.on_sphere(F.col("slat"), F.col("slng")), strict=True)))
+    cube = lambda level: G.cube("sx", "sy", "sz", level)
+    by_level = F.explode(F.array([F.struct(F.lit(k).alias("level"), cube(k).alias("cell")) for k in range(1, MOST_LEVELS + 1)]))
+    held = table.select(by_level.alias("x")).groupBy("x.level", "x.cell").agg(F.count("*").alias("n"))
+    levels = {r.level: r for r in held.groupBy("level").agg(F.max("n").alias("most"), F.count("*").alias("cells"), F.sum("n").alias("rows")).collect()}
+    depth = next((k for k in sorted(levels) if levels[k].most <= LEAF_STATIONS), MOST_LEVELS if levels else 1)
+    # level 0 is one cube; from there straight to the last level of few cells
+    start = max((k for k in levels if k <= depth and levels[k].cells <= FIRST_CELLS), default=1)
+    steps = list(zip([0, *range(start, depth)], range(start, depth + 1), strict=True))
+
+    def meet(front: DataFrame, below: DataFrame, rows: int) -> DataFrame:
+        if rows <= BROADCAST_STATIONS:
+            return front.join(F.broadcast(below), "cell")
+        front = front.withColumn("share", F.pmod(F.xxhash64("lat", "lng"), F.lit(SHARES)).cast("int"))
+        return front.join(below.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["cell", "share"])
+
+    axes = ("x", "y", "z")
+    square = lambda gaps: sum((g * g for g in gaps), F.lit(0.0))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # places are few bytes and much work: no merging
-    places = df.filter("lat is not null and lng is not null").select("lat", "lng").distinct().repartition(parts, "lat", "lng")
-    bound = own(places.select("lat", "lng", levels), "lat", "lng").join(one, ["level", "cy", "cx"], "left").groupBy("lat", "lng").agg(F.min(away).alias("d"))
-    # how wide cells must be for the next meridian of them to lie beyond the bound; near the
-    # poles and where they would cross 180 degrees only the globe's will do
-    ratio = F.sin(F.col("d") / G.RADIUS_M) / F.cos(F.radians("lat"))
-    bound = bound.withColumn("need", F.when((F.col("d") < G.RADIUS_M) & (ratio < 0.99), F.degrees(F.asin(ratio)) * (1 + 1e-9)))
-    bound = bound.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("need"), F.lit(cell_degrees)) / cell_degrees))).cast("int"))
-    globe = F.col("need").isNull() | (F.col("level") > top) | (F.abs("lng") + width(F.col("level")) > 180)
-    bound = bound.select("lat", "lng", F.when(globe, top).otherwise(F.col("level")).alias("level"))
-    side = lambda c: F.explode(G.neighbours(G.cell(F.col(c), width(F.col("level")))))
-    near = bound.withColumn("cy", side("lat")).withColumn("cx", side("lng"))
-    met = near.join(placed, ["level", "cy", "cx"])
+    places = df.filter(known("lat", "lng")).select("lat", "lng").distinct().repartition(parts, "lat", "lng")
+    front = places.select("lat", "lng", *[c.alias(k) for k, c in zip(axes, G.on_sphere(F.col("lat"), F.col("lng")), strict=True)], F.lit(0).cast("long").alias("cell"))
+    for above, level in steps:
+        box = [f(f"s{k}").alias(f"{name}_{k}") for k in axes for name, f in (("lo", F.min), ("hi", F.max))]
+        one = F.first(F.struct("sx", "sy", "sz")).alias("one")
+        below = table.groupBy(cube(above).alias("cell"), cube(level).alias("down")).agg(*box, one)
+        met = meet(front, below, levels[level].cells if levels else 0)
+        least = square(F.greatest(F.col(f"lo_{k}") - F.col(k), F.col(k) - F.col(f"hi_{k}"), F.lit(0.0)) for k in axes)
+        sure = F.min(square(F.col(f"one.s{k}") - F.col(k) for k in axes)).over(Window.partitionBy("lat", "lng"))
+        met = met.select("lat", "lng", *axes, F.col("down").alias("cell"), least.alias("least"), sure.alias("sure"))
+        # rounding of distances must lose no tie
+        front = met.filter(F.col("least") <= F.col("sure") * (1 + 1e-8) + 1e-24).drop("least", "sure")
+    last = table.select(cube(depth).alias("cell"), "slat", "slng", "i", "name")
+    met = meet(front, last, levels[depth].rows if levels else 0)
+    away = G.haversine_m(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
     state = met.groupBy("lat", "lng").agg(F.min(F.struct(away.alias("d"), F.col("i"), F.col("name"))).alias("__best"))
     # rows without a place would all have one key: each takes one of many that no place has
     spread = -1000.0 - F.pmod(F.xxhash64(*df.columns), F.lit(4099))
-    rows = df.withColumns({"__lat": F.coalesce("lat", spread), "__lng": F.coalesce("lng", spread)})
+    rows = df.withColumns({"__lat": F.when(known("lat", "lng"), F.col("lat")).otherwise(spread), "__lng": F.when(known("lat", "lng"), F.col("lng")).otherwise(spread)})
     found = state.select(F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), "__best")
     out = rows.join(found, ["__lat", "__lng"], "left")
     metres = F.bround(F.col("__best.d"))
