@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,51 +35,105 @@ from listingspark.llm.files import open_input, whole_file
 MASK = 0xA282EAD8
 #: Words whose ids a Python worker keeps; beyond it the table starts anew.
 WORD_TABLE = 1_500_000
+#: New words that the tokenizer gets as one text, and the word that stands between them.
+GROUP, BORDER = 32, "\x01"
+#: Words are cut where an ASCII letter meets one of these signs.
+SIGNS = '.,;:!?*#$%&()"-/'
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
+_KINDS[[*SIGNS.encode()]] = 2
 #: Records that a reading task takes from a shard at once.
 BLOCK = 2048
 
 MANIFEST = "shard long, records long, tokens long, bytes long"
-_tables: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_tables: dict[tuple[str, bool], tuple[object, list[int], bool, dict[bytes, bytes]]] = {}
 
 
 def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
+def apart(column: pa.Array) -> pa.Array:
+    """The texts with a space wherever an ASCII letter meets one of SIGNS, on either side; null texts are empty."""
+    data, at = H.buffers(column)
+    begin = int(at[0])
+    data, at = data[begin : int(at[-1])], at - begin
+    kinds = _KINDS[data]
+    cuts = np.flatnonzero(kinds[:-1] + kinds[1:] == 3) + 1
+    data = np.insert(data, cuts, 32)
+    at = at + np.searchsorted(cuts, at)
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+
+
 class WordEncoder:
     """Ids of whole texts by way of the ids of their distinct words.
 
     Exact for tokenizers whose pieces never hold white space, as the word-end
     vocabulary's: its split pattern takes white space for nothing but a border, and its
     normaliser maps white space to white space only. Each worker encodes a word once and
-    keeps its ids for all later texts of all its tasks.
+    keeps its ids for all later texts of all its tasks. New words go to the tokenizer in
+    groups, a border word between them; where the border's id turns up oftener than that,
+    a word of the group has it too, and the group's words are encoded one by one.
+
+    Where letters and SIGNS are in pieces of their own (the split pattern never crosses from
+    one to the other, and no added token holds a sign), words are cut between them: far fewer
+    are distinct.
     """
 
     def __init__(self, path: str, wide: bool):
-        if path not in _tables:
+        self.key, self.kind = (path, wide), np.dtype("<u4" if wide else "<u2")
+        if self.key not in _tables:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             # words apart must give what the words give one by one, or the shortcut below is wrong
-            probe = ["Words", "apart,", "12", "--", "é漢", "x\u00a0y", "word"]
+            probe = ["Words", "apart,", "12", "--", "é漢", BORDER, "x\u00a0y", "word"]
             ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
             if any(ids(gap.join(["", *probe, ""])) != [i for w in probe for i in ids(w)] for gap in (" ", "\n", " \t\r\n ")):
                 raise ValueError(f"{path} keeps white space in its pieces: words cannot be encoded one by one")
-            _tables[path] = (tokenizer, {})
-        self.path, self.kind = path, np.dtype("<u4" if wide else "<u2")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        tokenizer, known = _tables[self.path]
-        parts = [(x or "").encode().split() for x in texts]
+            added = "".join(t.content for t in tokenizer.get_added_tokens_decoder().values())
+            cut = not set(added) & set(SIGNS) and all(ids(f"ab{s}Word") == [i for w in ("ab", s, "Word") for i in ids(w)] for c in SIGNS for s in (c, c + c))
+            _tables[self.key] = (tokenizer, ids(BORDER), cut, {})
+
+    def _learn(self, new: list[bytes]) -> None:
+        tokenizer, border, _, known = _tables[self.key]
+        unit = self.kind.itemsize
+        n = GROUP if len(border) == 1 else 1
+        between = f" {BORDER} ".encode()
+        for k in range(0, len(new), 4096):
+            groups = [new[i : i + n] for i in range(k, min(k + 4096, len(new)), n)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast([between.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=self.kind)
+                ends = np.flatnonzero(ids == border[0]).tolist() if len(group) > 1 else []
+                if len(ends) == len(group) - 1:
+                    data, lo = ids.tobytes(), 0
+                    for w, hi in zip(group, [*ends, len(ids)], strict=True):
+                        known[w] = data[unit * lo : unit * hi]
+                        lo = hi + 1
+                else:
+                    for w, one in zip(group, tokenizer.encode_batch_fast([w.decode() for w in group], add_special_tokens=False), strict=True):
+                        known[w] = np.array(one.ids, dtype=self.kind).tobytes()
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        _, _, cut, known = _tables[self.key]
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        parts = pc.ascii_split_whitespace(apart(column) if cut else pc.fill_null(column, ""))
+        words = parts.flatten().cast(pa.large_binary()).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(known) > WORD_TABLE:
             known.clear()
-        new = list({w for p in parts for w in p if w not in known})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype=self.kind).tobytes()
-        return [b"".join([known[w] for w in p]) for p in parts]
+        known[b""] = b""  # before and after white space at a text's ends
+        self._learn([w for w in distinct if w not in known])
+        found = [known[w] for w in distinct]
+        ids, unit = np.frombuffer(b"".join(found), self.kind), self.kind.itemsize
+        size = np.fromiter(map(len, found), np.int64, len(found)) // unit
+        start, code = np.cumsum(size) - size, words.indices.to_numpy()
+        at = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(size[code], out=at[1:])
+        data = ids[np.repeat(start[code] - at[:-1], size[code]) + np.arange(at[-1])].tobytes()
+        cuts = (at[parts.offsets.to_numpy()] * unit).tolist()
+        return [data[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, wide: bool):
@@ -94,7 +149,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, wide: bool):
             for whole in batches:
                 for batch in H.chunks(whole, "text", 4 << 20):
                     index, out = [], []
-                    for doc, body in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+                    for doc, body in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                         head = struct.pack("<Bq", doc is not None, doc or 0)
                         payload = b"".join((head, body, end))
                         size = struct.pack("<Q", len(payload))

@@ -1,12 +1,14 @@
 """Round trips of token records and archives, against brute force."""
 
 import base64
+import functools
 import gzip
 import hashlib
 import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +39,69 @@ def test_word_encoder_equals_whole_texts(texts):
     assert got == want
 
 
+@functools.cache
+def loaded():
+    return tokenizer()
+
+
+SIGNED = st.lists(st.sampled_from([*PIECES, *B.SIGNS, *"\x01xYé_", "\u0338", "'s", "'RE", "12", "ß", "漢"]), max_size=30).map("".join)
+
+
+@given(st.lists(SIGNED | st.none(), max_size=6), st.integers(0, 3))
+@settings(max_examples=300, deadline=None)
+def test_signs_and_border_words_equal_whole_texts(texts, skip):
+    texts = texts[skip:]
+    want = [e.ids for e in loaded().encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    for wide, kind in ((False, "<u2"), (True, "<u4")):
+        got = B.WordEncoder(vocabulary_path(), wide).encode(pa.array(["x, y"] + texts, pa.string()).slice(1))
+        assert [np.frombuffer(x, kind).tolist() for x in got] == want
+
+
+class Counting:
+    """A tokenizer that keeps the texts it was given."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.inner.encode_batch_fast(texts, **more)
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+
+def test_new_words_share_a_call_and_signs_are_no_new_words(monkeypatch, tmp_path):
+    import tokenizers
+
+    (tmp_path / "t.json").write_bytes(open(vocabulary_path(), "rb").read())  # a path that no table has yet
+    inner, counting = loaded(), Counting(loaded())
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Stub", (), {"from_file": staticmethod(lambda path: counting)}))
+    encoder = B.WordEncoder(str(tmp_path / "t.json"), False)
+    words = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(3200)]
+    for end in ("", ".", ",", "!?", '"', "(x)"):
+        text = " ".join(w + end for w in words)
+        assert encoder.encode([text]) == [np.array(inner.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+    assert len(counting.texts) <= 110
+
+
+def test_a_full_word_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(B, "WORD_TABLE", 5)
+    encoder = B.WordEncoder(vocabulary_path(), False)
+    for text in ("some words, more words and others", " other words and others ", "some more"):
+        assert np.frombuffer(encoder.encode([text, None])[0], "<u2").tolist() == loaded().encode(text, add_special_tokens=False).ids
+
+
+def test_vocabularies_that_join_signs_to_words_are_not_cut(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    whole = Tokenizer(models.WordLevel({"ab,": 0, ",": 1, "ab": 2, "[UNK]": 3}, unk_token="[UNK]"))
+    whole.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    whole.save(path := str(tmp_path / "t.json"))
+    text = "ab, ab unknown , ab,ab \x01 ab,"
+    assert np.frombuffer(B.WordEncoder(path, False).encode([text])[0], "<u2").tolist() == whole.encode(text).ids == [0, 2, 3, 1, 3, 3, 0]
+
+
 def expected(rows):
     t = tokenizer()
     out, start = [], 0
