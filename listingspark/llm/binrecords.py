@@ -33,8 +33,8 @@ from listingspark.llm.common import Scratch
 from listingspark.llm.files import open_input, whole_file
 
 MASK = 0xA282EAD8
-#: Words whose ids a Python worker keeps; beyond it the table starts anew.
-WORD_TABLE = 1_500_000
+#: Words of a generation whose ids a Python worker keeps, two generations at a time, and bytes of a word that is kept.
+WORD_TABLE, KEPT_WORD = 200_000, 64
 #: New words that the tokenizer gets as one text, and the word that stands between them.
 GROUP, BORDER = 32, "\x01"
 #: Words are cut where an ASCII letter meets one of these signs.
@@ -46,7 +46,7 @@ _KINDS[[*SIGNS.encode()]] = 2
 BLOCK = 2048
 
 MANIFEST = "shard long, records long, tokens long, bytes long"
-_tables: dict[tuple[str, bool], tuple[object, list[int], bool, dict[bytes, bytes]]] = {}
+_tables: dict[tuple[str, bool], tuple[object, list[int], bool, list[dict[bytes, bytes]]]] = {}
 
 
 def masked(crc: int) -> int:
@@ -70,8 +70,10 @@ class WordEncoder:
 
     Exact for tokenizers whose pieces never hold white space, as the word-end
     vocabulary's: its split pattern takes white space for nothing but a border, and its
-    normaliser maps white space to white space only. Each worker encodes a word once and
-    keeps its ids for all later texts of all its tasks. New words go to the tokenizer in
+    normaliser maps white space to white space only. Each worker keeps the ids of words for
+    later texts of all its tasks, in two generations: a full one becomes the older, and words
+    met again move up, so that only words not met for long are encoded anew. Long words are
+    not kept, so both have a bound in bytes. New words go to the tokenizer in
     groups, a border word between them; where the border's id turns up oftener than that,
     a word of the group has it too, and the group's words are encoded one by one.
 
@@ -94,10 +96,11 @@ class WordEncoder:
                 raise ValueError(f"{path} keeps white space in its pieces: words cannot be encoded one by one")
             added = "".join(t.content for t in tokenizer.get_added_tokens_decoder().values())
             cut = not set(added) & set(SIGNS) and all(ids(f"ab{s}Word") == [i for w in ("ab", s, "Word") for i in ids(w)] for c in SIGNS for s in (c, c + c))
-            _tables[self.key] = (tokenizer, ids(BORDER), cut, {})
+            _tables[self.key] = (tokenizer, ids(BORDER), cut, [{}, {}])
 
-    def _learn(self, new: list[bytes]) -> None:
-        tokenizer, border, _, known = _tables[self.key]
+    def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:
+        tokenizer, border, _, _ = _tables[self.key]
+        known = {b"": b""}  # before and after white space at a text's ends
         unit = self.kind.itemsize
         n = GROUP if len(border) == 1 else 1
         between = f" {BORDER} ".encode()
@@ -114,18 +117,30 @@ class WordEncoder:
                 else:
                     for w, one in zip(group, tokenizer.encode_batch_fast([w.decode() for w in group], add_special_tokens=False), strict=True):
                         known[w] = np.array(one.ids, dtype=self.kind).tobytes()
+        return known
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        generations = _tables[self.key][3]
+        young, old = generations
+        found = [young.get(w) or old.get(w) for w in words]
+        new = self._learned([w for w, ids in zip(words, found, strict=True) if ids is None and w])
+        found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        for w, ids in zip(words, found, strict=True):
+            if len(w) <= KEPT_WORD:
+                young[w] = ids
+                if len(young) >= WORD_TABLE:
+                    young, old = {}, young
+        generations[:] = young, old
+        return found
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
-        _, _, cut, known = _tables[self.key]
+        cut = _tables[self.key][2]
         column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         parts = pc.ascii_split_whitespace(apart(column) if cut else pc.fill_null(column, ""))
         words = parts.flatten().cast(pa.large_binary()).dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(known) > WORD_TABLE:
-            known.clear()
-        known[b""] = b""  # before and after white space at a text's ends
-        self._learn([w for w in distinct if w not in known])
-        found = [known[w] for w in distinct]
+        found = self._ids(distinct)
         ids, unit = np.frombuffer(b"".join(found), self.kind), self.kind.itemsize
         size = np.fromiter(map(len, found), np.int64, len(found)) // unit
         start, code = np.cumsum(size) - size, words.indices.to_numpy()
@@ -191,7 +206,8 @@ def write_records(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     order = ["id", F.xxhash64("text")]
     parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    done = sorted(parts.mapInArrow(_writer(folder, tokenizer, end_id, wide), MANIFEST).collect())
+    with Scratch(spark, "records").small_batches():
+        done = sorted(parts.mapInArrow(_writer(folder, tokenizer, end_id, wide), MANIFEST).collect())
     before, listed = 0, []
     for shard, records, tokens, size in done:
         listed.append((shard, records, tokens, size, before))

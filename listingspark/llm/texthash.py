@@ -151,7 +151,11 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
-    """Slices of a batch whose texts have at most ``limit`` bytes, or one row."""
+    """Slices of a batch whose texts have at most ``limit`` bytes, or one row.
+
+    Behind the last one Arrow's freed memory goes back to the system: workers live on for other
+    operators' tasks, and what each of them kept would add up.
+    """
     _, at = buffers(batch.column(text))
     row = 0
     while row < batch.num_rows:
@@ -159,3 +163,4 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
         end = min(end, batch.num_rows)
         yield batch.slice(row, end - row)
         row = end
+    pa.default_memory_pool().release_unused()

@@ -5,6 +5,9 @@ import functools
 import gzip
 import hashlib
 import io
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -92,6 +95,46 @@ def test_a_full_word_table_starts_anew(monkeypatch):
         assert np.frombuffer(encoder.encode([text, None])[0], "<u2").tolist() == loaded().encode(text, add_special_tokens=False).ids
 
 
+def test_full_word_tables_keep_what_is_met_again_and_no_long_words(monkeypatch, tmp_path):
+    import tokenizers
+
+    (tmp_path / "t.json").write_bytes(open(vocabulary_path(), "rb").read())
+    inner, counting = loaded(), Counting(loaded())
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Stub", (), {"from_file": staticmethod(lambda path: counting)}))
+    monkeypatch.setattr(B, "WORD_TABLE", 500)
+    encoder = B.WordEncoder(str(tmp_path / "t.json"), False)
+    for k in range(20):
+        text = " ".join(["met again", *(f"w{k}x{i}" for i in range(200)), f"{k}long" * 5000])
+        assert encoder.encode([text]) == [np.array(inner.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+    given_ = " ".join(counting.texts).split()
+    assert given_.count("again") == 1 and given_.count("w3x7") == 1
+    kept = [(w, ids) for table in B._tables[encoder.key][3] for w, ids in table.items()]
+    assert len(kept) <= 1000 and sum(len(w) + len(ids) for w, ids in kept) < 50_000
+
+
+def test_freed_memory_goes_back_behind_each_batch():
+    code = """
+import re
+import pyarrow as pa
+from listingspark.llm import binrecords as B, texthash as H
+from listingspark.llm.queries import vocabulary_path
+
+def held():
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+encoder = B.WordEncoder(vocabulary_path(), False)
+batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"some{i * j % 5000} words" for j in range(150)) for i in range(10_000)]})
+for slice_ in H.chunks(batch, "text"):
+    encoder.encode(slice_.column("text"))
+before = held()
+pa.default_memory_pool().release_unused()
+print(before - held())
+"""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p), "ARROW_DEFAULT_MEMORY_POOL": "mimalloc"}
+    got = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120, check=True)
+    assert float(got.stdout) < 8
+
+
 def test_vocabularies_that_join_signs_to_words_are_not_cut(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
