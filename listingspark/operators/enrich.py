@@ -92,35 +92,79 @@ def nearest_station(df: DataFrame, stations: DataFrame) -> DataFrame:
 POLAR = 85.0
 
 
-def within_radius(df: DataFrame, features: DataFrame, radius_m: float = 300.0, key: str = "listing_id") -> DataFrame:
-    """(key, n_features, nearest_m, kind, voltage, found): features with a vertex within the radius.
+def _shapes(vertices: DataFrame) -> DataFrame:
+    """(shape, n, vlat, vlng): the vertices of each distinct set of them, told by the least feature_id of the n features that have it.
 
-    Rows and vertices meet in grid cells, an equi join with the distance as residual
-    test. Cells go round the globe, so 180 and -180 degrees are one; near a pole a row meets all
-    vertices of its latitudes. Features count once, however many vertices they have. Distances
-    are to vertices, not to the lines between them. Rows without a feature get found = false, and so
-    do those whose place is no place on the globe.
+    Sets are told apart by their sizes and two hashes. Vertices without a feature_id are one feature.
+    """
+    points = vertices.select("feature_id", "vlat", "vlng").distinct()
+    named = points.filter("feature_id is not null")
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "vlat", "vlng")).alias(f"h{k}") for k in (1, 2)]
+    sets = named.groupBy("feature_id").agg(*digests, F.count("*").alias("size"))
+    chosen = sets.groupBy("h1", "h2", "size").agg(F.min("feature_id").alias("feature_id"), F.count("*").alias("n"))
+    rows = named.join(chosen.select("feature_id", "n"), "feature_id").unionByName(points.filter("feature_id is null").withColumn("n", F.lit(1).cast("long")))
+    return rows.withColumnRenamed("feature_id", "shape")
+
+
+def _meetings(places: DataFrame, features: DataFrame, radius_m: float) -> DataFrame:
+    """(lat, lng, shape, n, x): for distinct places the ``_shapes`` with a vertex within the radius, x the nearest vertex.
+
+    Places and vertices meet in grid cells, an equi join with the distance as residual
+    test. Cells go round the globe, so 180 and -180 degrees are one; near a pole a place meets all
+    vertices of its latitudes.
     """
     degrees = radius_m / 111_000
     reach = max(1, int(degrees / G.CELL) + 1)
     around = round(360 / G.CELL)
-    on_globe = lambda y, x: (F.abs(y) <= 90) & (F.abs(x) <= 360)
     polar = lambda y: F.abs(y) + degrees > POLAR
-    usable = df.select(key, "lat", "lng").filter(on_globe(F.col("lat"), F.col("lng")))
     # a degree of longitude is shorter; so its cells reach further, but never beyond the globe
     span = F.least(F.ceil(F.lit(degrees) / F.cos(F.radians(F.abs("lat") + degrees)) / G.CELL), F.lit(around // 2)).cast("long")
     columns = F.array_distinct(F.transform(F.sequence(G.cell(F.col("lng")) - span, G.cell(F.col("lng")) + span), lambda c: F.pmod(c, F.lit(around))))
-    near = usable.withColumn("cx", F.explode(F.when(polar(F.col("lat")), F.array(F.lit(-1).cast("long"))).otherwise(columns)))
+    near = places.withColumn("cx", F.explode(F.when(polar(F.col("lat")), F.array(F.lit(-1).cast("long"))).otherwise(columns)))
     near = near.withColumn("cy", F.explode(G.neighbours(G.cell(F.col("lat")), reach)))
-    vertices = features.select("feature_id", "kind", "voltage", F.col("lat").alias("vlat"), F.col("lng").alias("vlng")).filter(on_globe(F.col("vlat"), F.col("vlng")))
+    vertices = features.select("feature_id", "kind", "voltage", F.col("lat").alias("vlat"), F.col("lng").alias("vlng")).filter(_on_globe("vlat", "vlng"))
+    # features of one shape are one here, and of all at a vertex only the first may be the nearest
+    first = vertices.groupBy("vlat", "vlng").agg(F.min(F.struct("feature_id", "kind", "voltage")).alias("first"))
     own = F.pmod(G.cell(F.col("vlng")), F.lit(around))
     # those that a polar row may reach are listed by latitude as well
     listed = F.when(F.abs("vlat") + 3 * degrees > POLAR, F.array(own, F.lit(-1).cast("long"))).otherwise(F.array(own))
-    vertices = vertices.select("*", G.cell(F.col("vlat")).alias("cy"), F.explode(listed).alias("cx"))
-    hits = near.join(vertices, ["cy", "cx"]).withColumn("d", G.haversine_m(F.col("lat"), F.col("lng"), F.col("vlat"), F.col("vlng"))).filter(F.col("d") <= radius_m)
-    by_feature = hits.groupBy(key, "feature_id").agg(F.min(F.struct("d", "kind", "voltage")).alias("x"))
-    out = by_feature.groupBy(key).agg(F.count("*").alias("n_features"), F.min(F.struct("x.d", "feature_id", "x.kind", "x.voltage")).alias("y"))
-    out = out.select(key, "n_features", F.round("y.d", 1).alias("nearest_m"), F.col("y.kind").alias("kind"), F.col("y.voltage").alias("voltage"))
+    met = _shapes(vertices).join(first, ["vlat", "vlng"]).select("*", G.cell(F.col("vlat")).alias("cy"), F.explode(listed).alias("cx"))
+    hits = near.join(met, ["cy", "cx"]).withColumn("d", G.haversine_m(F.col("lat"), F.col("lng"), F.col("vlat"), F.col("vlng"))).filter(F.col("d") <= radius_m)
+    return hits.groupBy("lat", "lng", "shape").agg(F.max("n").alias("n"), F.min(F.struct("d", "first.feature_id", "first.kind", "first.voltage")).alias("x"))
+
+
+def _on_globe(lat: str, lng: str) -> Column:
+    return (F.abs(lat) <= 90) & (F.abs(lng) <= 360)
+
+
+def _summed(meetings: DataFrame, *by: str) -> DataFrame:
+    """(by, n_features, nearest_m, kind, voltage) of meetings, of which each shape has one with ``by``."""
+    out = meetings.groupBy(*by).agg(F.sum("n").alias("n_features"), F.min("x").alias("x"))
+    return out.select(*by, "n_features", F.round("x.d", 1).alias("nearest_m"), F.col("x.kind").alias("kind"), F.col("x.voltage").alias("voltage"))
+
+
+def places_within_radius(df: DataFrame, features: DataFrame, radius_m: float = 300.0) -> DataFrame:
+    """(lat, lng, n_features, nearest_m, kind, voltage): each distinct place of ``df`` that has a feature within the radius."""
+    return _summed(_meetings(df.filter(_on_globe("lat", "lng")).select("lat", "lng").distinct(), features, radius_m), "lat", "lng")
+
+
+def within_radius(df: DataFrame, features: DataFrame, radius_m: float = 300.0, key: str = "listing_id") -> DataFrame:
+    """(key, n_features, nearest_m, kind, voltage, found): features with a vertex within the radius.
+
+    Distinct places meet distinct sets of vertices, so neither rows at one place nor features at
+    the same vertices multiply. Features count once, however many vertices they have. Distances
+    are to vertices, not to the lines between them. Rows of one key count together. Rows without a
+    feature get found = false, and so do those whose place is no place on the globe.
+    """
+    usable = df.select(key, "lat", "lng").filter(_on_globe("lat", "lng"))
+    met = _meetings(usable.select("lat", "lng").distinct(), features, radius_m)
+    ends = usable.groupBy(key).agg(*[f(c).alias(f"{name}_{c}") for c in ("lat", "lng") for name, f in (("lo", F.min), ("hi", F.max))])
+    one = (F.col("lo_lat") == F.col("hi_lat")) & (F.col("lo_lng") == F.col("hi_lng"))
+    single = ends.filter(one).select(key, F.col("lo_lat").alias("lat"), F.col("lo_lng").alias("lng"))
+    out = single.join(_summed(met, "lat", "lng"), ["lat", "lng"]).drop("lat", "lng")
+    # a key with several places has what any of them has
+    several = usable.join(ends.filter(~one).select(key), key).distinct().join(met, ["lat", "lng"])
+    out = out.unionByName(_summed(several.groupBy(key, "shape").agg(F.max("n").alias("n"), F.min("x").alias("x")), key))
     return df.select(key).join(out, key, "left").withColumns({"found": F.col("n_features").isNotNull(), "n_features": F.coalesce("n_features", F.lit(0).cast("long"))})
 
 
@@ -495,7 +539,7 @@ def lookups(refs: References) -> list[Lookup]:
     point, address = ("lat", "lng"), ("address", "town")
 
     def power(places: DataFrame) -> DataFrame:
-        return within_radius(places, refs.features).filter("found").select("listing_id", "n_features", "nearest_m")
+        return places.join(places_within_radius(places, refs.features), list(point)).select("listing_id", "n_features", "nearest_m")
 
     def schools(places: DataFrame) -> DataFrame:
         by_level = schools_by_zip(places, refs.schools).select("listing_id", F.struct("level", "names", "best").alias("x"))

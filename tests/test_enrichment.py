@@ -110,6 +110,56 @@ def test_radius_round_poles_and_the_date_line(spark, radius):
     assert sum(want.values()) > 50
 
 
+def rows_joined(df):
+    """Rows out of each join of a collected DataFrame, from the plan's own counts."""
+    joined = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return joined
+
+
+def test_many_rows_and_features_at_one_place_do_not_multiply(spark):
+    rng = random.Random(5)
+    spot = lambda: (41 + rng.randrange(8) / 1000, -73 + rng.randrange(8) / 1000)
+    line = [(41.0, -73.0), (41.0007, -72.9995), (41.0014, -72.999)]
+    homes = [(i, 41.001, -73.001) for i in range(1500)] + [(i, *spot()) for i in range(1500, 1600)]
+    # keys with two places, a row that stands twice, and rows without a key or a place
+    homes += [(1500, 41.0, -73.0), (1501, 41.003, -73.0), (1501, 41.003, -73.0), (1, 41.001, -73.001), (None, 41.0, -73.0), (1700, None, -73.0)]
+    lines = [(i, "line", None if i % 2 else i % 7, *p) for i in range(1000) for p in line]
+    lines += [(i, rng.choice(["tower", "line"]), rng.randrange(3), *spot()) for i in range(1000, 1060) for _ in range(rng.randrange(1, 4))]
+    lines += [(None, "tower", 5, *spot()) for _ in range(6)] + [(3, "tower", 1, *line[0])]
+    df = spark.createDataFrame(homes, "listing_id long, lat double, lng double")
+    features = spark.createDataFrame(lines, "feature_id long, kind string, voltage long, lat double, lng double")
+    order = lambda x: tuple((v is not None, v if v is not None else 0) if not isinstance(v, str) else (True, v) for v in x)
+    places = {}
+    for i, y, x in homes:
+        places.setdefault(i, set()).add((y, x))
+
+    def want(i):
+        near = [(metres(*p, f[3], f[4]), f[0], f[1], f[2]) for p in places[i] if None not in p for f in lines if metres(*p, f[3], f[4]) <= 300] if i is not None else []
+        best = min(near, key=order) if near else (None,) * 4
+        return len({f for _, f, *_ in near}), round(best[0], 1) if near else None, best[2], best[3], bool(near)
+
+    known = {0: want(0)} | {i: want(i) for i in places if i is None or i >= 1500}
+    out = E.within_radius(df, features).select("listing_id", "n_features", "nearest_m", "kind", "voltage", "found")
+    got = out.collect()
+    assert len(got) == len(homes) and len({r.n_features for r in got}) > 5
+    for r in got:
+        assert tuple(r)[1:] == known[0 if r.listing_id is not None and r.listing_id < 1500 else r.listing_id], r
+    assert 0 < max(rows_joined(out)) < 20_000
+
+
 def test_updates_of_one_key_leave_one_row(spark):
     target = spark.createDataFrame([(1, None, ""), (2, 5, "b"), (None, 6, None)], "k long, n long, t string")
     updates = spark.createDataFrame([(1, 10, "old", 1), (1, 20, None, 3), (1, 15, "mid", 2), (2, 9, "z", None), (None, 1, "no", 9)], "k long, n long, t string, at long")
