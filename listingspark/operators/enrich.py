@@ -21,6 +21,9 @@ def few(table: DataFrame, most: int = BROADCAST_STATIONS) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+#: Distinct places or keys up to which what is known of them is broadcast to the rows; more are met by a shuffle.
+BROADCAST_PLACES = 250_000
+
 #: Stations that the fullest cell of the last level should hold at most, and levels at most; the last cells are 12 m wide.
 LEAF_STATIONS, MOST_LEVELS = 16, 10
 #: Cells at most that every place looks at in the first level taken; levels above it are passed over.
@@ -469,7 +472,7 @@ def resolve_urls(df: DataFrame, reference: DataFrame) -> DataFrame:
     key = lambda a, t: F.concat_ws("|", F.lower(F.trim(a)), F.lower(F.trim(t)))
     url = F.when(F.col("url").startswith("/"), F.concat(F.lit("https://www.redfin.com"), F.col("url"))).otherwise(F.col("url"))
     ref = reference.groupBy(key(F.col("address"), F.col("town")).alias("__key")).agg(F.min(url).alias("__url"))
-    out = df.join(ref, key(F.col("address"), F.col("town")) == F.col("__key"), "left")
+    out = df.join(few(ref, BROADCAST_PLACES), key(F.col("address"), F.col("town")) == F.col("__key"), "left")
     return out.withColumn("listing_url", F.coalesce(F.nullif("listing_url", F.lit("")), "__url")).select(*df.columns)
 
 
@@ -477,7 +480,7 @@ def geocode_join(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Fills missing coordinates from a table by the lower-cased address, town and state."""
     parts = lambda: F.concat_ws("|", *[F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in ("address", "town", "state")])
     ref = reference.groupBy(parts().alias("__key")).agg(F.min(F.struct("lat", "lng")).alias("g"))
-    out = df.join(ref, parts() == F.col("__key"), "left")
+    out = df.join(few(ref, BROADCAST_PLACES), parts() == F.col("__key"), "left")
     return out.withColumns({"lat": F.coalesce("lat", "g.lat"), "lng": F.coalesce("lng", "g.lng")}).select(*df.columns)
 
 
@@ -508,13 +511,18 @@ class References:
     urls: DataFrame
 
 
+#: The columns that tell one place from another.
+PLACE = ("address", "town", "state", "zip_code", "lat", "lng")
+
+
 @dataclass(frozen=True)
 class Lookup:
     """A lookup of ``enrich_all``: what it needs, what it fills, and how it finds it for places.
 
     A row is asked about if it has all of ``needs``, lacks one of ``core`` and bears no
     marker. ``find`` takes the places asked about, keyed by listing_id, and returns the columns of
-    ``fills`` for those of which something is known; they are put in together.
+    ``fills`` for those of which something is known; they are put in together. What it finds
+    depends on the columns ``by`` of a place alone.
     """
 
     name: str
@@ -522,6 +530,7 @@ class Lookup:
     core: tuple[str, ...]
     fills: tuple[str, ...]
     find: Callable[[DataFrame], DataFrame]
+    by: tuple[str, ...] = PLACE
 
     def asked(self, columns: list[str]) -> Column:
         lacks = F.lit(False)
@@ -549,43 +558,43 @@ def lookups(refs: References) -> list[Lookup]:
         return parcel_lot_acres(places, refs.parcels, refs.town_county).filter("lot_acres between 0.01 and 1000")
 
     near = ("station", "station_m", "walk_min")
+    house = (*address, "state")
     return [
-        Lookup("station", point, near, near, lambda p: nearest_station(p.select("listing_id", *point), refs.stations).drop(*point).filter("station is not null")),
-        Lookup("power", point, ("n_features",), ("n_features", "nearest_m"), power),
-        Lookup("zone", point, ("zone",), ("zone", "sfha"), lambda p: zone_lookup(p, refs.zones).filter("zone is not null").select("listing_id", "zone", "sfha")),
-        Lookup("tax", address, ("tier",), ("assessed", "market", "tier"), lambda p: property_tax(p, refs.rolls, refs.town_county, refs.nyc, refs.municipalities)),
-        Lookup("schools", ("zip_code",), ("schools",), ("schools",), schools),
-        Lookup("lot", ("address",), ("lot_acres",), ("lot_acres",), lot),
+        Lookup("station", point, near, near, lambda p: nearest_station(p.select("listing_id", *point), refs.stations).drop(*point).filter("station is not null"), point),
+        Lookup("power", point, ("n_features",), ("n_features", "nearest_m"), power, point),
+        Lookup("zone", point, ("zone",), ("zone", "sfha"), lambda p: zone_lookup(p, refs.zones).filter("zone is not null").select("listing_id", "zone", "sfha"), point),
+        Lookup("tax", address, ("tier",), ("assessed", "market", "tier"), lambda p: property_tax(p, refs.rolls, refs.town_county, refs.nyc, refs.municipalities), house),
+        Lookup("schools", ("zip_code",), ("schools",), ("schools",), schools, ("zip_code",)),
+        Lookup("lot", ("address",), ("lot_acres",), ("lot_acres",), lot, house),
     ]
 
 
-#: The columns that tell one place from another.
-PLACE = ("address", "town", "state", "zip_code", "lat", "lng")
-
-
-def _place_key() -> Column:
+def _place_key(by: tuple[str, ...] = PLACE) -> Column:
     """Two hashes of a place; nulls count, so that a value in another column is another place."""
-    parts = [x for c in PLACE for x in (F.col(c), F.col(c).isNull())]
+    parts = [x for c in by for x in (F.col(c), F.col(c).isNull())]
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
-def place_answers(base: DataFrame, wanted: list[Lookup]) -> DataFrame:
-    """(__place, <name> as a struct of what it fills) for the distinct places of ``base`` that are asked about.
+def place_answers(base: DataFrame, wanted: list[Lookup], by: tuple[str, ...] = PLACE) -> DataFrame:
+    """(__place, <name> as a struct of what it fills) for the distinct places of ``base`` that are asked about, told apart by ``by``.
 
     Every lookup gets the places with its bit set, from one shared aggregation, and what all find
-    becomes one table.
+    becomes one table, which is broadcast if BROADCAST_PLACES places at most are asked about.
     """
     bits = F.lit(0)
     for k, lookup in enumerate(wanted):
         bits = bits.bitwiseOR(F.when(F.coalesce(lookup.asked(base.columns), F.lit(False)), 1 << k).otherwise(0))
-    rows = base.select(*PLACE, bits.alias("__bits")).filter("__bits > 0")
-    places = rows.groupBy(*PLACE).agg(F.bit_or("__bits").alias("__bits")).withColumn("listing_id", _place_key())
+    rows = base.select(*by, bits.alias("__bits")).filter("__bits > 0")
+    # Spark keeps the filters of single lookups above such a number, so all read one shuffle of the places
+    places = rows.groupBy(*by).agg(F.bit_or("__bits").alias("__bits")).withColumn("__nr", F.monotonically_increasing_id()).filter("__nr >= 0")
+    places = places.withColumn("listing_id", _place_key(by))
     found = None
     for k, lookup in enumerate(wanted):
-        answer = lookup.find(places.filter(F.col("__bits").bitwiseAND(F.lit(1 << k)) > 0).select("listing_id", *PLACE))
+        answer = lookup.find(places.filter(F.col("__bits").bitwiseAND(F.lit(1 << k)) > 0).select("listing_id", *by))
         answer = answer.select(F.col("listing_id").alias("__place"), F.struct(*lookup.fills).alias(f"__{lookup.name}"))
         found = answer if found is None else found.unionByName(answer, allowMissingColumns=True)
-    return found.groupBy("__place").agg(*[F.first(f"__{x.name}", ignorenulls=True).alias(f"__{x.name}") for x in wanted])
+    answers = found.groupBy("__place").agg(*[F.first(f"__{x.name}", ignorenulls=True).alias(f"__{x.name}") for x in wanted])
+    return F.broadcast(answers) if rows.select(*by).distinct().limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES else answers
 
 
 def _fills(lookup: Lookup, columns: list[str], kinds: dict) -> dict[str, Column]:
@@ -621,8 +630,8 @@ def enrich_all(df: DataFrame, refs: References) -> DataFrame:
     """One plan of all enrichments: ``df`` with its gaps filled, its markers and its signals.
 
     Keys, URLs and coordinates come first, since lookups read them. Each lookup is asked about
-    the distinct places of rows that lack its columns and bear no marker, and a commute about
-    such rows; what it finds is put in together, and where it finds nothing <name>_checked becomes
+    the distinct places of rows that lack its columns and bear no marker, by the columns that it
+    goes by, and a commute about such rows; what it finds is put in together, and where it finds nothing <name>_checked becomes
     true, so that a later run asks no more. Rows without what a lookup needs are not asked about
     and get no mark. What a description tells is read without looking anything up; a lot
     that no parcel gives is read from it. Price signals are worked out anew. Rows stay as
@@ -630,23 +639,28 @@ def enrich_all(df: DataFrame, refs: References) -> DataFrame:
     """
     key = T.address_key(F.col("address"), F.col("town"), F.col("state"))
     base = geocode_join(resolve_urls(df, refs.urls), refs.places)
-    base = base.withColumns({"address_key": F.coalesce(F.nullif("address_key", F.lit("")), key) if "address_key" in df.columns else key} | _read_description(df))
+    # a lot is read before the joins, so that a description goes through them only where it is asked for
+    base = base.withColumn("__lot_read", T.parse_lot_acres(F.col("description"))).withColumns({"address_key": F.coalesce(F.nullif("address_key", F.lit("")), key) if "address_key" in df.columns else key} | _read_description(df))
     wanted = lookups(refs)
-    answers = place_answers(base, wanted)
+    groups = {by: [x for x in wanted if x.by == by] for by in dict.fromkeys(x.by for x in wanted)}
+    answers = {by: place_answers(base, those, by) for by, those in groups.items()}
     ride = Lookup("commute", ("town",), ("commute_minutes",), ("commute_minutes",), lambda p: commute(p, refs.stations, refs.overrides, refs.drives, refs.transits))
     rides = ride.find(base.filter(ride.asked(base.columns)).select("listing_id", "town", "lat", "lng").dropDuplicates(["listing_id"]))
     rides = rides.select("listing_id", F.when(F.col("minutes").isNotNull(), F.struct(F.col("minutes").alias("commute_minutes"))).alias("__commute"), F.col("rejected").alias("__rejected"))
     index = few(refs.index.groupBy(F.col("zip").alias("__zip")).agg(F.min("value").alias("__value")))
     columns = base.columns
-    out = base.drop("ppsf", "benchmark", "ratio", "signal").withColumn("__place", _place_key()).join(answers, "__place", "left").join(rides, "listing_id", "left")
+    # commutes first: the others are mostly broadcast, and need not go through their shuffle
+    out = base.drop("ppsf", "benchmark", "ratio", "signal").join(rides, "listing_id", "left")
+    for by, found in answers.items():
+        out = out.withColumn("__place", _place_key(by)).join(found, "__place", "left").drop("__place")
     asked = F.coalesce(ride.asked(columns), F.lit(False))
     old = F.col("commute_rejected") if "commute_rejected" in df.columns else F.lit(None).cast("string")
     filled = {"commute_rejected": F.when(asked, F.col("__rejected")).otherwise(old)}
-    told = {f.name: f.dataType for schema in (answers.schema, rides.schema) for f in schema.fields}
+    told = {f.name: f.dataType for schema in (rides.schema, *(x.schema for x in answers.values())) for f in schema.fields}
     for lookup in [*wanted, ride]:
         filled |= _fills(lookup, columns, {f.name: f.dataType for f in told[f"__{lookup.name}"].fields})
     out = out.withColumns(filled)
     out = out.join(index, F.col("zip_code") == F.col("__zip"), "left")
     signal = price_signal(F.col("price"), F.col("sqft"), F.col("__value"))
-    out = out.withColumn("lot_acres", F.coalesce("lot_acres", T.parse_lot_acres(F.col("description")))).withColumn("__signal", signal)
+    out = out.withColumn("lot_acres", F.coalesce("lot_acres", "__lot_read")).withColumn("__signal", signal)
     return out.select(*[c for c in out.columns if not c.startswith("__")], "__signal.*")

@@ -60,6 +60,26 @@ def test_lookups_see_only_distinct_places_that_are_not_marked(spark):
     assert {r.listing_id: (r.value, r.probe_checked) for r in out.collect()} == {1: (None, True), 2: (None, True), 3: (None, True), 4: (None, False), 5: (9, False)}
 
 
+def test_lookups_are_asked_about_what_they_go_by(spark):
+    """Places that differ in other columns only are asked about once, and one reading of the places serves all lookups."""
+    df = spark.range(60).selectExpr("id as listing_id", "concat(id, ' A St') as address", "'Rye' as town", "'NY' as state", "'10580' as zip_code", "if(id = 0, null, 41.0D) as lat", "-73.0D as lng")
+    seen = []
+
+    def find(places):
+        seen.append(sorted((r.lat, r.lng) for r in places.collect()))
+        return places.filter("lat = 41").select("listing_id", F.lit(7).alias("value"))
+
+    point = ("lat", "lng")
+    probes = [E.Lookup(n, point, ("value",), ("value",), find, point) for n in ("one", "two")]
+    answers = E.place_answers(df, probes, point)
+    assert seen == [[(41.0, -73.0)]] * 2
+    out = df.withColumn("__place", E._place_key(point)).join(answers, "__place", "left").collect()
+    assert {(r.listing_id > 0, r["__one"] and r["__one"].value, r["__two"] and r["__two"].value) for r in out} == {(False, None, None), (True, 7, 7)}
+    assert {x.name: x.by for x in E.lookups(E.References(*[None] * 15))}["zone"] == point
+    answers.collect()
+    assert "ReusedExchange" in answers._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeated_reference_rows_keep_the_row_count(spark, homes):
     df, refs = homes
     few = df.filter("listing_id % 16 = 1")
