@@ -4,12 +4,14 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from listingspark.operators import alerts
 from listingspark.streaming.ingest import append_stream, ingest_batch, ingest_stream, ingested, latest_rows, processed_messages
-from listingspark.streaming.ordered import alert_latch_late_stream, ingest_health_stream
+from listingspark.config import DEFAULT
+from listingspark.streaming.ordered import Health, alert_latch_late_stream, ingest_health_stream
 from tests.test_stateful import SCHEMA, latch_machine, random_events
 
 MESSAGES = "message_id string, sender string, subject string, ts timestamp, text string"
@@ -126,3 +128,71 @@ def test_health_stream_equals_batch_after_every_batch(spark, tmp_path):
         (want,) = alerts.ingest_health(polls.filter((F.col("source") == r.source) & (F.col("ts") <= F.lit(r.ts))), F.lit(r.ts)).collect()
         assert (r.auth_error, r.last_success, r.stale, r.empty_run) == (want.auth_error, want.last_success, want.stale, want.empty_run)
     assert len([r for r in told if not r.timer]) >= 4
+
+
+class Kept:
+    """State of one key in memory; a value or a list."""
+
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0] if isinstance(self.rows, tuple) else iter(self.rows)
+
+    def update(self, row):
+        self.rows = (row,)
+
+    def put(self, rows):
+        assert rows
+        self.rows = list(rows)
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.rows.extend(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getListState
+    registerTimer = lambda self, ms: self.timers.add(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_health_holds_polls_by_batch_and_tells_what_a_loop_does():
+    rng = random.Random(7)
+    polls = [(3_600_000_000 * rng.randrange(400) + rng.randrange(3), i, rng.random() < 0.8, rng.choice([None, 0, 0, 0, 0, 3]), rng.choice([None, "HTTP 401", "timeout"])) for i in range(1200)]
+    handle, past, told = Handle(), -1, []
+    arriving = sorted(polls, key=lambda p: p[0] + 3_600_000_000 * rng.uniform(0, 60))
+    for k in range(0, 1200, 100):
+        health = Health(DEFAULT)
+        health.init(handle)
+        part = [p for p in arriving[k : k + 100] if p[0] > past * 1000]
+        batches = [pd.DataFrame(part[i : i + 40], columns=["us", "event_id", "ok", "n_new", "error"]) for i in range(0, len(part), 40)]
+        list(health.handleInputRows(("a",), iter(batches), Clock(past)))
+        assert sum(len(x.rows) for x in handle.states.values()) <= 3 * (k // 100 + 1) + 1
+        past = max(p[0] for p in arriving[: k + 100]) // 1000 - 60 * 3_600_000 if k < 1100 else 10**12
+        rows = [r for f in health.handleExpiredTimer(("a",), Clock(past), None) for r in f.itertuples(index=False)]
+        told += [r for r in rows if not r.timer]
+    assert len(told) > 5 and {bool(r.auth_error) for r in told} == {True, False}
+    for r in told:
+        run, last, error = 0, None, None
+        for us, _, ok, new, error in sorted((p for p in polls if p[0] <= r.us), key=lambda p: p[:2]):  # noqa: B007
+            run, last = run + 1 if ok and not new else 0, us if ok else last
+        assert (r.empty_run, r.last_us, bool(r.auth_error), bool(r.stale)) == (run, last, error == "HTTP 401", last < r.us - DEFAULT.stale_hours * 3_600_000_000)
